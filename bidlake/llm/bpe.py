@@ -200,8 +200,7 @@ class PieceCache:
         self.row: dict[bytes, int] = {}
         self.ids, self.used, self.counts = np.empty(1 << 16, np.int32), 0, np.zeros(0, np.int64)
 
-    def find(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces in one array, and how many each piece has."""
+    def rows(self, pieces: list[bytes]) -> np.ndarray:
         if len(self.row) > self.entries or self.used > 8 * self.entries:
             self.clear()
         missing = list(set(pieces).difference(self.row))
@@ -214,7 +213,16 @@ class PieceCache:
                 self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), np.int32)])
             self.ids[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-        row = np.fromiter(map(self.row.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        return np.fromiter(map(self.row.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def find_counts(self, pieces: list[bytes]) -> np.ndarray:
+        """How many ids each piece has."""
+        row = self.rows(pieces)
+        return self.counts[row]
+
+    def find(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in one array, and how many each piece has."""
+        row = self.rows(pieces)
         counts = self.counts[row]
         return spread(self.ids, (np.cumsum(self.counts) - self.counts)[row], counts), counts
 
