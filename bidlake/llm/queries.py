@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bidlake.common import scratch, table
-from bidlake.llm import urls
+from bidlake.llm import neardup, toxicity, urls
 from bidlake.llm.bpe import bpe_digests
+from bidlake.llm.langid import language_report
 from bidlake.llm.mixing import mix_report
 from bidlake.llm.secrets import secret_report
 from bidlake.llm.token_cache import token_counts
@@ -28,6 +29,18 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report_tables(spark, sf_dir)
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(width=3, percent=85))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +55,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op3_secrets": op3_secrets,
         "op4_url_filters": op4_url_filters,
+        "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
     }
@@ -50,4 +66,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filters": urls.ORACLE_SQL,
+        "op8_near_duplicates": neardup.ORACLE_SQL,
     }

@@ -30,9 +30,11 @@ from bidlake.common import materialize, table
 from bidlake.llm.bpe import with_fields
 from bidlake.llm.learning import SHARDS, Ftrl, train_in_shards
 
-SAMPLE = 4_000
+SAMPLE = 4_000  # rows a grade over 0
+SAMPLE_CLEAN = 12_000  # rows of grade 0
 VOCABULARY = 1 << 14
 LEAST_DOCS = 4
+LEAST_CHI_SQUARE = 25.0
 PREFIXES = (4, 5, 6)
 ROUNDS = 6
 REJECT = 0.5
@@ -86,12 +88,14 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) ->
     chance = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
     for y, n in sizes.items():
-        share = F.when(F.col("y") == y, F.lit(sample / n)).otherwise(share)
+        share = F.when(F.col("y") == y, F.lit((sample if y else sample * SAMPLE_CLEAN // SAMPLE) / n)).otherwise(share)
     chosen = marks.where(chance < share)
     shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).cast("int")
     # The sample is bounded by ``sample`` rows a label, so it may be broadcast; the texts are not shuffled.
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return materialize(rows.select("text", "y", shard.alias("shard")).repartition(SHARDS, "shard").drop("shard"), "severity-sample")
+    # Copies would pass off their common words as evidence: one text counts once.
+    once = rows.select("text", "y", shard.alias("shard"), F.md5("text").alias("_d")).dropDuplicates(["_d"])
+    return materialize(once.select("text", "y", "shard").repartition(SHARDS, "shard").drop("shard"), "severity-sample")
 
 
 def _choose(sample: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +119,7 @@ def _choose(sample: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.nd
     per = sample.mapInArrow(count, "key long, n long, bad long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= least)
     expected = F.col("n") * (bad / max(n, 1.0))
     score = (F.col("bad") - expected) * F.abs(F.col("bad") - expected) / F.greatest(expected * F.lit(max(1.0 - bad / max(n, 1.0), 1e-9)), F.lit(1e-9))
-    top = per.select("key", (F.col("bad") / F.col("n")).alias("rate"), F.abs(score).alias("score")).orderBy(F.desc("score"), "key").limit(size).toArrow()
+    top = per.select("key", (F.col("bad") / F.col("n")).alias("rate"), F.abs(score).alias("score")).where(F.col("score") >= LEAST_CHI_SQUARE).orderBy(F.desc("score"), "key").limit(size).toArrow()
     key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     return key[order], top.column("rate").to_numpy()[order]
