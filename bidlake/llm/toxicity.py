@@ -16,6 +16,7 @@ nothing is rejected; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,25 +36,37 @@ SAMPLE_CLEAN = 12_000  # rows of grade 0
 VOCABULARY = 1 << 14
 LEAST_DOCS = 4
 LEAST_CHI_SQUARE = 25.0
-PREFIXES = (4, 5, 6)
-ROUNDS = 6
-REJECT = 0.5
+PREFIXES = (3, 5, 7)
+ROUNDS = 10
+REJECT = 0.3
 STRIP = b".,;:!?*$%&#\"'()[]{}<>|/\\+=~^_-`"
 GAP = 1.0
+AGAIN, DENSE = 100, 200
+DENSE_SHARE = 0.006
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct words and their prefixes (sorted, distinct); word hashes as they occur."""
+    """Hashes of the distinct words and their prefixes, again of those that occur more than once, and
+    again of prefixes that make up a share of all words (sorted, distinct); word hashes as they occur."""
     words = [w for w in (x.strip(STRIP) for x in (text or "").lower().encode("utf-8", "surrogatepass").split()) if w]
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    codes = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
-    keys = list(codes.values())
-    prefix = set()
-    for w in codes:
+    counts = Counter(words)
+    codes = {w: xxhash.xxh3_64_intdigest(w) for w in counts}
+    prefix: Counter = Counter()
+    for w, n in counts.items():
         chars = w.decode("utf-8", "surrogatepass")
-        prefix.update([(n, chars[:n]) for n in PREFIXES if len(chars) > n])
-    keys += [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass"), seed=n) for n, p in prefix]
+        for size in PREFIXES:
+            if len(chars) > size:
+                prefix[size, chars[:size]] += n
+    keys = list(codes.values()) + [xxhash.xxh3_64_intdigest(w, seed=AGAIN) for w, n in counts.items() if n > 1]
+    for (size, p), n in prefix.items():
+        raw = p.encode("utf-8", "surrogatepass")
+        keys.append(xxhash.xxh3_64_intdigest(raw, seed=size))
+        if n > 1:
+            keys.append(xxhash.xxh3_64_intdigest(raw, seed=size + AGAIN))
+            if n >= DENSE_SHARE * len(words):
+                keys.append(xxhash.xxh3_64_intdigest(raw, seed=size + DENSE))
     return np.unique(np.array(keys, dtype=np.uint64)), np.fromiter((codes[w] for w in words), dtype=np.uint64, count=len(words))
 
 
