@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bidlake.common import scratch, table
-from bidlake.llm import neardup, toxicity, urls
+from bidlake.llm import neardup, topk, toxicity, urls
 from bidlake.llm.bpe import bpe_digests
+from bidlake.llm.images import embedding_image_copies
 from bidlake.llm.langid import language_report
 from bidlake.llm.mixing import mix_report
 from bidlake.llm.secrets import secret_report
 from bidlake.llm.token_cache import token_counts
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embedding_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report_tables(spark, sf_dir)
 
 
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables hold no images, so each embedding is drawn as one."""
+    return embedding_image_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(width=3, percent=85))
 
@@ -52,11 +62,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": op1_top_k,
         "op2_bpe": op2_bpe,
         "op3_secrets": op3_secrets,
         "op4_url_filters": op4_url_filters,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
+        "op7_image_copies": op7_image_copies,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
@@ -65,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_top_k": topk.ORACLE_SQL,
         "op4_url_filters": urls.ORACLE_SQL,
         "op8_near_duplicates": neardup.ORACLE_SQL,
     }
