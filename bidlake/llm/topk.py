@@ -144,11 +144,13 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, Rings] | None:
     return keyed.join(F.broadcast(parts), ["pivot", "ring"]).select("pivot", "ring", cut, "vec_id", "x"), rings
 
 
-def _search(index: DataFrame, visits: DataFrame, blocks: int, k: int) -> DataFrame:
+def _search(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score: the k best of each visited part. ``visits``: query_id, block, q, pivot, ring, part."""
     keys = ["pivot", "ring", "part", "block"]
-    wanted = visits.select(*keys).distinct()
-    rows = index.join(wanted, ["pivot", "ring", "part"]) if blocks > 1 else index.withColumn("block", F.lit(0)).join(wanted, keys, "left_semi")
+    # Each block of queries gets its own copy of the parts that it visits, and no other part.
+    wanted = visits.select(*keys).distinct().select(*[F.col(c).alias(f"w_{c}") for c in keys])
+    same = (F.col("pivot") == F.col("w_pivot")) & (F.col("ring") == F.col("w_ring")) & (F.col("part") == F.col("w_part"))
+    rows = index.join(wanted, same).select("pivot", "ring", "part", F.col("w_block").alias("block"), "vec_id", "x")
 
     def best(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -225,11 +227,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     names=["query_id", "block", "q", "pivot", "ring", "part"],
                 )
 
-    near = materialize(_search(index, asked.mapInArrow(lambda b: visits(b, True), visit), blocks, k), "nearest")
+    near = materialize(_search(index, asked.mapInArrow(lambda b: visits(b, True), visit), k), "nearest")
     in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = near.withColumn("n", F.row_number().over(in_order)).where(F.col("n") == k).select("query_id", F.col("score").alias("floor"))
     bounded = asked.join(floors, "query_id", "left").select("query_id", "block", "q", "floor")
-    rest = _search(index, bounded.mapInArrow(lambda b: visits(b, False), visit), blocks, k)
+    rest = _search(index, bounded.mapInArrow(lambda b: visits(b, False), visit), k)
     ranked = near.unionByName(rest).withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
