@@ -30,21 +30,21 @@ def ocds_to_bids(main: DataFrame, awards: DataFrame, suppliers: DataFrame, defau
 
     Amounts are cast with null on failure; a buyer without id gets the digest of its name.
     """
-    joined = main.join(awards, main["ocid"] == awards["main_ocid"]).join(suppliers, (suppliers["main_ocid"] == main["ocid"]) & (suppliers["awards_id"] == awards["id"]))
-    text_length = lambda c: F.coalesce(F.length(c), F.lit(0))
+    m, a, s = main.alias("m"), awards.alias("a"), suppliers.alias("s")
+    joined = m.join(a, F.col("m.ocid") == F.col("a.main_ocid")).join(s, (F.col("s.main_ocid") == F.col("m.ocid")) & (F.col("s.awards_id") == F.col("a.id")))
     return joined.select(
-        main["ocid"].cast("string").alias("tender_id"),
-        awards["id"].cast("string").alias("lot_id"),
-        suppliers["id"].cast("string").alias("bidder_masterid"),
-        suppliers["name"].alias("bidder_name"),
-        F.coalesce(main["buyer_id"].cast("string"), F.md5(F.coalesce(main["buyer_name"], F.lit("")))).alias("buyer_masterid"),
-        F.coalesce(main["buyer_country"], F.lit(defaults["country"])).alias("buyer_country"),
+        F.col("m.ocid").cast("string").alias("tender_id"),
+        F.col("a.id").cast("string").alias("lot_id"),
+        F.col("s.id").cast("string").alias("bidder_masterid"),
+        F.col("s.name").alias("bidder_name"),
+        F.coalesce(F.col("m.buyer_id").cast("string"), F.md5(F.coalesce("m.buyer_name", F.lit("")))).alias("buyer_masterid"),
+        F.coalesce("m.buyer_country", F.lit(defaults["country"])).alias("buyer_country"),
         F.lit(True).alias("bid_iswinning"),
-        awards["value_amount"].try_cast("double").alias("bid_price"),
-        F.coalesce(main["tender_value_currency"], F.lit(defaults["currency"])).alias("currency"),
-        text_length(awards["description"]).alias("lot_description_length"),
-        F.datediff(main["end_date"], main["date"]).alias("submission_period"),
-        F.year(main["date"]).alias("publish_year"),
+        F.col("a.value_amount").try_cast("double").alias("bid_price"),
+        F.coalesce("m.tender_value_currency", F.lit(defaults["currency"])).alias("currency"),
+        F.coalesce(F.length("a.description"), F.lit(0)).alias("lot_description_length"),
+        F.datediff("m.end_date", "m.date").alias("submission_period"),
+        F.year("m.date").alias("publish_year"),
     )
 
 
