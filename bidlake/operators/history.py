@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIDDER, BUYER, COUNTRY, YEAR = "bidder_name", "buyer_masterid", "buyer_country", "publish_year"
-WON = F.col("bid_iswinning")
 NEVER_WON_YEARS = 10.0
 
 
@@ -71,7 +70,7 @@ def category(cpvs: Column) -> Column:
 
 def prior_category_wins(bids: DataFrame, probes: DataFrame) -> DataFrame:
     """(bidder, year of probe, category): wins in strictly earlier years. Wins are summed by year first."""
-    wins = bids.where(WON).dropna(subset=[BIDDER, YEAR]).groupBy(BIDDER, category(F.col("tender_cpvs")).alias("category"), F.col(YEAR).alias("win_year")).agg(F.count("*").alias("n"))
+    wins = bids.where("bid_iswinning").dropna(subset=[BIDDER, YEAR]).groupBy(BIDDER, category(F.col("tender_cpvs")).alias("category"), F.col(YEAR).alias("win_year")).agg(F.count("*").alias("n"))
     keys = probes.select(BIDDER, YEAR).dropna().distinct()
     joined = keys.join(wins, BIDDER).where(F.col("win_year") < F.col(YEAR))
     return joined.groupBy(BIDDER, YEAR, "category").agg(F.sum("n").alias("wins"))
