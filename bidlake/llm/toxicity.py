@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlake.common import materialize, table
+from bidlake.common import materialize, small_batches, table
 from bidlake.llm.bpe import with_fields
 from bidlake.llm.learning import SHARDS, Ftrl, train_in_shards
 
@@ -38,7 +38,7 @@ LEAST_DOCS = 4
 LEAST_CHI_SQUARE = 25.0
 PREFIXES = (3, 5, 7)
 ROUNDS = 10
-REJECT = 0.3
+REJECT = 0.2
 STRIP = b".,;:!?*$%&#\"'()[]{}<>|/\\+=~^_-`"
 GAP = 1.0
 AGAIN, DENSE = 100, 200
@@ -140,7 +140,7 @@ def _choose(sample: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, ftrl: Ftrl | None = None) -> SeverityModel | None:
     ftrl = ftrl or Ftrl(alpha=0.5, l1=1.0, l2=0.01)
-    rows = _sample(docs, labels, label_col, sample)
+    rows = _sample(small_batches(docs), labels, label_col, sample)
     grades = [r["y"] for r in rows.select("y").distinct().collect()]
     if len(grades) < 2:
         return None
@@ -195,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
 def score(docs: DataFrame, model: SeverityModel | None, text_col: str = "text", reject: float = REJECT) -> DataFrame:
     """Add p_toxic, expected_severity, grade (the likeliest) and toxic (rejected) to ``docs``."""
     added = ["p_toxic", "expected_severity", "grade", "toxic"]
+    docs = small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.drop(*added)
     kinds = (T.DoubleType(), T.DoubleType(), T.IntegerType(), T.BooleanType())
