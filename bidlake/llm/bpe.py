@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidlake.common import small_batches
 from bidlake.llm.textclass import LETTER, NUMBER, OTHER, SEPARATOR, SPACE, chunks, class_table, code_points
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 CHUNK_CHARS = 1_000_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 CACHED_BYTES = 64
 NO_PAIR = 1 << 30
 
@@ -373,6 +374,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", path: str | None = None, o
     ``keep`` names the input columns to pass on (all by default).
     """
     path = path or public_tokenizers.path(RANKS_FILE)
+    df = small_batches(df)
     source = df if keep is None else df.select(*dict.fromkeys([*keep, text_col]))
     out_fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), True))]
     out_fields += [T.StructField("offsets", T.ArrayType(T.IntegerType(), True))] if offsets else []

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlake.common import materialize
+from bidlake.common import materialize, small_batches
 from bidlake.llm.learning import SHARDS, Ftrl, train_in_shards
 from bidlake.llm.textclass import LETTER, class_table, code_points, lower_table
 
@@ -121,6 +121,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS, ftrl: Ftrl | None = None) -> LanguageModel | None:
     """Learn from text and non-null lang of the documents that are not held out."""
+    docs = small_batches(docs)
     ftrl = ftrl or Ftrl(alpha=1.0, l1=0.002, l2=0.0005)
     spark = docs.sparkSession
     key = F.col("doc_id")

@@ -27,6 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlake.common import small_batches
 from bidlake.llm.bpe import PieceCache, encode_texts, slices
 from bidlake.llm.textclass import chunks
 
@@ -115,6 +116,7 @@ def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
 
 def fill_cache(docs: DataFrame, path: str, cache_path: str, text_col: str = "text") -> DataFrame:
     """Encode one text of each content that the cache lacks, append the counts, and return the cache."""
+    docs = small_batches(docs)
     spark = docs.sparkSession
     version = tokenizer_digest(path)
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest")
