@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -46,5 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def package_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Let Arrow batches hold at most ``rows`` rows in this session: rows with whole texts are wide, and a
+    Python worker's memory follows the batch."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= rows:
+        conf.set(BATCH, str(rows))
+    return df
