@@ -18,17 +18,17 @@ def notices(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     cents = lambda c: F.format_string("%.2f", F.col(c))
     text = F.concat(
-        F.lit("Terms of reference. Estimated value: R "), cents("o_totalprice"), F.lit(". Bid price: R "), F.format_string("%.2f", F.col("o_totalprice") / 2), F.lit(". Briefing date: "), F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.lit("Terms of reference. Estimated value: R "), cents("o_totalprice"), F.lit(". Bid price: R "), F.format_string("%.2f", F.floor(F.col("o_totalprice") / 2).cast("double")), F.lit(". Briefing date: "), F.date_format("o_orderdate", "yyyy-MM-dd"),
         F.lit(". Closing date: "), F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 21 DAYS"), "d/M/yyyy"), F.lit(". The "), F.when(F.col("o_orderstatus") == "F", "80/20").otherwise("90/10"), F.lit(" system and R 50,000,000.00 apply. Specific goals"),
         F.when(F.col("o_orderstatus") == "O", " HDI").otherwise(""), F.lit(". Minimum score 70 %. "), F.when(F.col("o_custkey") % 2 == 0, "RFQ for services.").otherwise("Open, construction works."),
     )
     return o.select("o_orderkey", "o_custkey", "o_totalprice", text.alias("text"))
 
 
-@query("d1_extract_money", "SELECT o_orderkey, round(o_totalprice, 2) AS value, round(round(o_totalprice / 2, 2), 1) AS bid FROM orders WHERE o_totalprice > 3000")
+@query("d1_extract_money", "SELECT o_orderkey, round(o_totalprice, 2) AS value, CAST(floor(o_totalprice / 2) AS DOUBLE) AS bid FROM orders WHERE o_totalprice > 3000")
 def extract_money(spark, sf_dir):
     out = notices(spark, sf_dir).where("o_totalprice > 3000").select("o_orderkey", D.extract_money(F.col("text")).alias("m"))
-    return out.select("o_orderkey", F.col("m.value").alias("value"), F.round("m.bid", 1).alias("bid"))
+    return out.select("o_orderkey", F.col("m.value").alias("value"), F.col("m.bid").alias("bid"))
 
 
 @query("d2_extract_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS briefing, CAST(o_orderdate + INTERVAL 21 DAY AS DATE) AS closing, CAST(greatest(0, date_diff('day', DATE '1998-01-01', CAST(o_orderdate + INTERVAL 21 DAY AS DATE))) AS INTEGER) AS deadline_days FROM orders")

@@ -175,10 +175,10 @@ def compliance_status(spark, sf_dir):
 
 
 @query("a31_quote_totals", """WITH l AS (SELECT l_orderkey, l_quantity AS q, CASE WHEN l_discount < 0.095 THEN l_extendedprice END AS p FROM lineitem), s AS (SELECT l_orderkey, coalesce(sum(q * p), 0) AS t, count(*) FILTER (p IS NULL) AS unpriced FROM l GROUP BY 1)
-SELECT l_orderkey, round(t, 2) AS subtotal, unpriced, round(CASE WHEN unpriced = 0 THEN t * 0.15 END, 1) AS vat, round(CASE WHEN unpriced = 0 THEN t * 1.15 END, 1) AS total FROM s""")
+SELECT l_orderkey, round(t, 2) AS subtotal, unpriced, round(CASE WHEN unpriced = 0 THEN t * 0.15 END, 4) AS vat, round(CASE WHEN unpriced = 0 THEN t * 1.15 END, 4) AS total FROM s""")
 def quote_totals(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") < 0.095, F.col("l_extendedprice")).alias("price"))
-    return A.quote_totals(lines, "l_orderkey").withColumns({"subtotal": F.round("subtotal", 2), "vat": F.round("vat", 1), "total": F.round("total", 1)})
+    return A.quote_totals(lines, "l_orderkey").withColumns({"subtotal": F.round("subtotal", 2), "vat": F.round("vat", 4), "total": F.round("total", 4)})
 
 
 @query("a32_quote_flags", "SELECT event_id AS quote_id, CAST(CASE WHEN event_id % 7 = 0 THEN -1 ELSE 1 END AS INTEGER) AS position FROM events WHERE event_id % 7 = 0 OR value < 100")
