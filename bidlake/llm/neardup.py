@@ -8,13 +8,15 @@
    that shares most of its bands with anyone: the text that a group of edited copies goes back to. Pairs
    whose signatures agree enough are confirmed on the full shingle sets.
 3. Components of the confirmed links. A bucket that still holds several components may hide a link that
-   does not touch its centre: it gets two more stars with centres in different components, and small
-   buckets (up to ``SMALL`` members) compare all members of different components. Such rounds go on while
-   they find links, ``ROUNDS`` times at most.
+   does not touch its centre: it gets two more stars with centres in different components, up to ``STARS``
+   times. Stars only save work, they decide nothing.
+4. In each bucket that is then still open, whatever its size, all members of different components are
+   compared by their signatures: a bucket is cut into blocks of about ``BLOCK`` members, and each pair of
+   blocks is a group of rows of its own, so that a hot bucket is spread and no pair leaves the group
+   before it agrees. Pairs that agree enough are confirmed on the full sets.
 
-A pair at the threshold shares no bucket with a probability of about ``MISS``; a reported link is exact.
-What stars can lose is a link between two texts of a large bucket neither of which is ever a centre in any
-of the many buckets they share and that no other text connects.
+So every two texts that share a bucket are in one component or have been compared. A pair at the threshold
+shares no bucket with a probability of about ``MISS``; a reported link is exact.
 
 Defined results: lower-casing touches A-Z only; words are runs without ASCII white space; a text of fewer
 words than a shingle has is one shingle of all its words; a null text, or one without words, has no
@@ -40,9 +42,9 @@ from bidlake.llm.bpe import list_array
 from bidlake.llm.graph import connected_components
 
 ROWS = 6
-MISS = 1e-5
-SMALL = 12
-ROUNDS = 2
+MISS = 1e-7
+STARS = 2
+BLOCK = 1000
 SLACK_SIGMAS = 5.0
 SEED = 20240229
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -227,25 +229,85 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """(a, b) of different components, from buckets that hold several: more stars, and all pairs of small buckets."""
+    """(a, b) of different components, from buckets that hold several: more stars."""
     placed = members.join(found, "node", "left").select("key", "node", "deg", F.coalesce("component", "node").alias("c"))
     side = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(2)) == 0
     rank = F.struct("deg", "node", "c") if turn == 1 else F.struct(F.xxhash64("node", F.lit(turn)), "node", "c")
     centres = placed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(side, rank)).alias("s0"), F.max(F.when(~side, rank)).alias("s1")
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(side, rank)).alias("s0"), F.max(F.when(~side, rank)).alias("s1")
     )
     rows = materialize(placed.join(centres.where(F.col("lo") != F.col("hi")).drop("lo", "hi"), "key"), "open")
     pairs = None
     for star in ("s0", "s1"):
         own = rows.where(F.col("c") != F.col(f"{star}.c")).select(F.least("node", f"{star}.node").alias("a"), F.greatest("node", f"{star}.node").alias("b"))
         pairs = own if pairs is None else pairs.unionByName(own)
-    if turn == 1:
-        small = rows.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "c")).alias("m"))
-        both = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["node"] < y["node"]) & (x["c"] != y["c"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-        pairs = pairs.unionByName(small.select(F.explode(both).alias("p")).select("p.a", "p.b"))
     return pairs.distinct()
 
 
+def _across(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``one`` the rows of ``two`` of a lower rank that agree with it. Each: ranks (sorted), signatures."""
+    ends = np.searchsorted(two[0], one[0])
+    for k in np.flatnonzero(ends):
+        hit = np.flatnonzero(np.count_nonzero(two[1][: ends[k]] == one[1][k], axis=1) >= least)
+        if len(hit):
+            yield k, hit
+
+
+def _cell_pairs(rows: pa.Table, least: int) -> Iterator[tuple[bytes, bytes]]:
+    """Agreeing pairs of different components in one cell: of one block, or between two blocks."""
+    codes = rows.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
+    counts = np.bincount(codes)
+    if len(counts) < 2:
+        return
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    rank = rank[codes]
+    block = rows.column("block").to_numpy()
+    nodes = rows.column("node").to_pylist()
+    lanes = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint16).reshape(len(rows), -1)
+    order = np.argsort(rank, kind="stable")
+    sides = [order] if rows.column("i")[0].as_py() == rows.column("j")[0].as_py() else [order[block[order] == b] for b in np.unique(block)]
+    for x, y in [(0, 0)] if len(sides) == 1 else [(0, 1), (1, 0)]:
+        one, two = sides[x], sides[y]
+        for k, hit in _across((rank[one], lanes[one]), (rank[two], lanes[two]), least):
+            for m in hit:
+                yield tuple(sorted((nodes[one[k]], nodes[two[m]])))
+
+
+def _bucket_pairs(members: DataFrame, found: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """(a, b): all pairs of different components that share a bucket and whose signatures agree in at least so many rows."""
+    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi"))
+    rows = placed.join(open_.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").join(sigs, "node")
+    block = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).alias("block")
+    dealt = rows.select("key", "node", "c", "sig", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    cells = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "c", "sig")
+    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs_of(rows: pa.Table) -> pa.RecordBatch:
+            pairs = list(_cell_pairs(rows, least))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and last != tuple(ids[:, a]):
+                    yield pairs_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(ids[:, a])
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
+
+    return cells.mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, conf: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept."""
     conf = conf or NearDup()
@@ -263,20 +325,27 @@ def near_duplicates(docs: DataFrame, conf: NearDup | None = None, id_col: str =
     sigs = active.select("node", "sig")
     sets = materialize(_sets(docs, active, conf, id_col, text_col), "sets")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return materialize(_linked(_agreeing(pairs, sigs, conf.least_agreeing), sets, conf.percent), "links")
+    def links(agreeing: DataFrame) -> DataFrame:
+        return materialize(_linked(agreeing, sets, conf.percent), "links")
+
+    def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+        chains = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return materialize(connected_components(chains.unionByName(more)), "components")
 
-    found = materialize(connected_components(links(_star_pairs(members))), "components")
-    for turn in range(1, ROUNDS + 1):
-        more = links(_open_pairs(members, found, turn))
+    least = conf.least_agreeing
+    found = materialize(connected_components(links(_agreeing(_star_pairs(members), sigs, least))), "components")
+    for turn in range(1, STARS + 1):
+        more = links(_agreeing(_open_pairs(members, found, turn), sigs, least))
         if more.isEmpty():
             break
-        chains = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = materialize(connected_components(chains.unionByName(more)), "components")
+        found = merged(found, more)
+    more = links(materialize(_bucket_pairs(members, found, sigs, least), "bucket-pairs"))
+    if not more.isEmpty():
+        found = merged(found, more)
 
     placed = rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    least = placed.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "c", "left")
+    first = placed.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least"))
+    out = placed.join(first, "c", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 

@@ -77,3 +77,51 @@ def test_signatures_estimate_similarity():
             near.append((N.signature(np.unique(a), 240) == N.signature(np.unique(b), 240)).mean())
         true = (size - size // 8) / (size + size // 8)
         assert abs(np.mean(near) - true) < 0.05
+
+
+def test_near_pairs_among_texts_of_a_common_pool(spark):
+    """No text has words of its own, so that buckets are full of strangers and a near pair is rarely at a centre."""
+    import numpy as np
+
+    rnd = random.Random(7)
+    pool = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)) for _ in range(40)]
+    texts = [set(rnd.sample(range(40), 32)) for _ in range(2000)]
+    for own in texts[::20]:
+        texts.append(own - set(rnd.sample(sorted(own), 1)) | {rnd.choice([p for p in range(40) if p not in own])})
+    docs = [(i, " ".join(pool[p] for p in sorted(own))) for i, own in enumerate(texts)]
+    number = {}
+    hot = np.zeros((len(docs), 40 * 40 * 12), np.float32)
+    for i, t in docs:
+        for x in sets(t, 3):
+            hot[i, number.setdefault(x, len(number))] = 1
+    hot = hot[:, : len(number)]
+    size, common = hot.sum(axis=1), hot @ hot.T
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in zip(*np.nonzero(np.triu(100 * common >= 85 * (size[:, None] + size - common), 1)), strict=True):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = {i: find(i) for i, _ in docs}
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), N.NearDup(3, 85)).collect()}
+    assert sum(i != c for i, c in want.items()) >= 90
+    assert {i: c for i, c in got.items() if want[i] != c} == {}
+
+
+def test_blocks_of_a_bucket_are_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    names = [bytes([k]) for k in range(20)]
+    sig = np.zeros(8, np.uint16).tobytes()
+    members = spark.createDataFrame([(1, n) for n in names] + [(2, n) for n in names[:2]], "key long, node binary")
+    found = spark.createDataFrame([(n, names[0]) for n in names[:5]], "node binary, component binary")
+    pairs = N._bucket_pairs(members, found, members.select("node").distinct().withColumn("sig", F.lit(sig)), 8)
+    want = {(a, b) for a in names for b in names if a < b and not (a in names[:5] and b in names[:5])}
+    rows = [(bytes(r["a"]), bytes(r["b"])) for r in pairs.collect()]
+    assert len(rows) == len(want) and set(rows) == want
