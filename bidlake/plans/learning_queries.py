@@ -10,6 +10,7 @@ from bidlake.functions import scoring as R
 from bidlake.operators import learning as M
 from bidlake.operators import prepare as P
 from bidlake.operators import profile as Q
+from bidlake.operators.evaluation import year_folds
 from bidlake.plans.document_queries import notices
 from bidlake.plans.history_queries import PAIRS_SQL, pairs_of
 from bidlake.plans.registry import query
@@ -25,8 +26,8 @@ def model_rows(spark, sf_dir):
 def trained(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
     train = rows.where("split = 'train'")
-    years = sorted(r[0] for r in train.select("publish_year").distinct().collect())
-    stack = M.train_stack(train, FEATURES, "did_win", "publish_year", years[1:][-1:])
+    years = sorted(r["val_year"] for r in year_folds(train).collect())
+    stack = M.train_stack(train, FEATURES, "did_win", "publish_year", years)
     return M.calibrate(stack, rows.where("split = 'val'"), "did_win"), rows
 
 
