@@ -3,8 +3,8 @@
 Base kinds are regular expressions. The method adds kind ``entropy``: over candidate strings of secret-like
 characters a window slides by one character, its Shannon entropy kept by counts that change by the
 character that enters and the one that leaves; a window at or above the threshold of the candidate's
-character class marks its characters. Candidates on the allow-list, and such spans over a base span, are
-left out.
+character class marks its characters. Candidates on the allow-list are left out. The report lists such a
+span only where it meets no base span; redaction masks it also where it does, so that no rest of it stays.
 
 Positions are code points, end exclusive. Defined results: a null text counts as empty, an empty text has
 no spans; repeated rows are scanned each on its own; other columns pass through; an empty table gives an
@@ -158,10 +158,10 @@ def entropy_spans(text: Column) -> Column:
     return F.filter(F.transform(candidates, narrowed), lambda s: s.isNotNull())
 
 
-def secret_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
+def secret_spans(df: DataFrame, text_col: str = "text", overlapping: bool = False) -> DataFrame:
     """Add ``base_spans`` and ``secret_spans``: ``array<struct<start, rank, end, kind>>`` by start, then kind.
 
-    ``secret_spans`` holds the base spans and those of the method.
+    ``secret_spans`` holds the base spans and those of the method; of these, the ones that meet a base span only if ``overlapping``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -173,6 +173,8 @@ def secret_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
     added = ranked(entropy_spans(text), len(KINDS), "entropy")
     spread = df.withColumns({"base_spans": base, "_added": added})
+    if overlapping:
+        return spread.withColumn("secret_spans", F.array_sort(F.concat("base_spans", "_added"))).drop("_added")
     apart = F.filter("_added", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return spread.withColumn("secret_spans", F.array_sort(F.concat("base_spans", apart))).drop("_added")
 
@@ -191,8 +193,8 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace each secret of the text by ``mark``; a text without secrets stays as it is."""
-    found = secret_spans(df, text_col)
+    """Replace each secret of the text by ``mark``, overlapping ones by one; a text without secrets stays as it is."""
+    found = secret_spans(df, text_col, overlapping=True)
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 

@@ -66,3 +66,13 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdefgh b"), (2, "clean text"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in S.redact(df).collect()}
     assert got == {1: "a [SECRET] b", 2: "clean text", 3: None}
+
+
+def test_redaction_leaves_no_rest_of_a_secret_around_a_base_span(spark):
+    key = "wJa1rXUtnF3MIK7MDENGbPx9fiCYzQ5vT8kHs2Lo"
+    runs = ["AKIA" + "Q7Z4M1X8B5N2C9V6" + "/" + key, key + "0123456789abcdef01234567" + key]
+    df = spark.createDataFrame([(i, f"a {run} b") for i, run in enumerate(runs)], "doc_id long, text string")
+    for r in S.redact(df).collect():
+        left = r["text"]
+        assert left.startswith("a ") and left.endswith(" b") and "[SECRET]" in left
+        assert not any(key[i : i + 6] in left for i in range(len(key) - 5))
