@@ -215,14 +215,13 @@ def match_labels_exact(labels: DataFrame, aliases: DataFrame, blocked: DataFrame
 def match_labels_fuzzy(labels: DataFrame, aliases: DataFrame, enough: float = 85.0, second: float = 75.0, margin: float = 8.0) -> DataFrame:
     """Best canonical field of each key: matched, ambiguous, low_corroboration or unmatched.
 
-    Distinct keys meet aliases that share a word and a similar length; the score is the edit ratio, the
-    second opinion that of the sorted words.
+    Each distinct key meets every alias of the dictionary; the score is the edit ratio, the second opinion
+    that of the sorted words.
     """
     words = lambda c: F.array_sort(F.split(c, " "))
     keys = labels.select(normalize_label(F.col("label")).alias("key")).distinct()
-    left = keys.withColumn("w", F.explode(F.split("key", " ")))
-    right = aliases.select(normalize_label(F.col("alias")).alias("alias_key"), "canonical").withColumn("w", F.explode(F.split("alias_key", " ")))
-    pairs = left.join(F.broadcast(right), "w").select("key", "alias_key", "canonical").distinct()
+    known = aliases.select(normalize_label(F.col("alias")).alias("alias_key"), "canonical").where(F.col("alias_key").isNotNull()).distinct()
+    pairs = keys.where(F.col("key").isNotNull()).crossJoin(F.broadcast(known))
     ratio = lambda a, b: 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
     scored = pairs.select("key", "canonical", ratio(F.col("key"), F.col("alias_key")).alias("score"), ratio(F.array_join(words(F.col("key")), " "), F.array_join(words(F.col("alias_key")), " ")).alias("other"))
     best = scored.groupBy("key", "canonical").agg(F.max(F.struct("score", "other")).alias("b")).select("key", "canonical", "b.score", "b.other")
