@@ -6,14 +6,14 @@
 2. Bands of the signature are bucket keys. In each bucket of two or more nodes every member is paired with
    one centre only: a star, so pairs grow with members, not with their square. The centre is the member
    that shares most of its bands with anyone: the text that a group of edited copies goes back to. Pairs
-   whose signatures agree enough are confirmed on the full shingle sets.
+   whose signatures agree enough are confirmed on the full shingle sets. Stars only save work, they
+   decide nothing.
 3. Components of the confirmed links. A bucket that still holds several components may hide a link that
-   does not touch its centre: it gets two more stars with centres in different components, up to ``STARS``
-   times. Stars only save work, they decide nothing.
-4. In each bucket that is then still open, whatever its size, all members of different components are
-   compared by their signatures: a bucket is cut into blocks of about ``BLOCK`` members, and each pair of
-   blocks is a group of rows of its own, so that a hot bucket is spread and no pair leaves the group
-   before it agrees. Pairs that agree enough are confirmed on the full sets.
+   does not touch its centre. All members of such a bucket that are outside its largest component are
+   compared with all members of other components, on the full sets: a bucket is cut into cells of about
+   ``CELL`` shingles, each counts the common shingles of many members with all its residents at once, and
+   only the links that join two components leave it. So a hot bucket is spread over
+   cells, and no table of pairs is made.
 
 So every two texts that share a bucket are in one component or have been compared. A pair at the threshold
 shares no bucket with a probability of about ``MISS``; a reported link is exact.
@@ -43,8 +43,8 @@ from bidlake.llm.graph import connected_components
 
 ROWS = 6
 MISS = 1e-7
-STARS = 2
-BLOCK = 1000
+CELL = 1_000_000
+DENSE = 8
 SLACK_SIGMAS = 5.0
 SEED = 20240229
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -125,7 +125,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, conf: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null if empty), bands, sig (16 bits a row)."""
+    """doc_id, copy (digest of the text), n_shingles, node (digest of the set, null if empty), bands, sig (16 bits a row)."""
     width, bands, bins = conf.width, conf.bands, conf.bins
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +145,12 @@ def _signatures(docs: DataFrame, conf: NearDup, id_col: str, text_col: str) -> D
                     sigs.append(None)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), list_array(flat, np.array([len(k) for k in keys], np.int64)), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "bands", "sig"],
+                [batch.column("doc_id"), batch.column("copy"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), list_array(flat, np.array([len(k) for k in keys], np.int64)), pa.array(sigs, pa.binary())],
+                names=["doc_id", "copy", "n_shingles", "node", "bands", "sig"],
             )
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(sign, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, bands array<long>, sig binary")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("copy"))
+    return source.mapInArrow(sign, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, copy long, n_shingles long, node binary, bands array<long>, sig binary")
 
 
 def bit_filter(keys: DataFrame, key: str, bits_per_key: int = 16, most_bits: int = 1 << 26) -> tuple[np.ndarray, int]:
@@ -216,9 +216,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Members (key, node, deg) of buckets of two nodes or more; ``deg``: in how many such buckets the node is."""
+    """Members (key, node, size, deg) of buckets of two nodes or more; ``deg``: in how many such buckets the node is."""
     several = keys.groupBy("key").count().where(F.col("count") > 1).select("key")
-    members = materialize(keys.join(several, "key", "left_semi").select("key", "node"), "members")
+    members = materialize(keys.join(several, "key", "left_semi").select("key", "node", "size"), "members")
     return materialize(members.join(members.groupBy("node").agg(F.count("*").alias("deg")), "node"), "members")
 
 
@@ -228,132 +228,168 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return members.join(centre, "key").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
 
 
-def _open_pairs(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """(a, b) of different components, from buckets that hold several: more stars."""
-    placed = members.join(found, "node", "left").select("key", "node", "deg", F.coalesce("component", "node").alias("c"))
-    side = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(2)) == 0
-    rank = F.struct("deg", "node", "c") if turn == 1 else F.struct(F.xxhash64("node", F.lit(turn)), "node", "c")
-    centres = placed.groupBy("key").agg(
-        F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(side, rank)).alias("s0"), F.max(F.when(~side, rank)).alias("s1")
-    )
-    rows = materialize(placed.join(centres.where(F.col("lo") != F.col("hi")).drop("lo", "hi"), "key"), "open")
-    pairs = None
-    for star in ("s0", "s1"):
-        own = rows.where(F.col("c") != F.col(f"{star}.c")).select(F.least("node", f"{star}.node").alias("a"), F.greatest("node", f"{star}.node").alias("b"))
-        pairs = own if pairs is None else pairs.unionByName(own)
-    return pairs.distinct()
-
-
-def _across(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``one`` the rows of ``two`` of a lower rank that agree with it. Each: ranks (sorted), signatures."""
-    ends = np.searchsorted(two[0], one[0])
-    for k in np.flatnonzero(ends):
-        hit = np.flatnonzero(np.count_nonzero(two[1][: ends[k]] == one[1][k], axis=1) >= least)
-        if len(hit):
-            yield k, hit
-
-
-def _cell_pairs(rows: pa.Table, least: int) -> Iterator[tuple[bytes, bytes]]:
-    """Agreeing pairs of different components in one cell: of one block, or between two blocks."""
-    codes = rows.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
-    counts = np.bincount(codes)
-    if len(counts) < 2:
+def _cells(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, cell, node, c, minor, resident, set): the open buckets, cut into cells of about ``CELL`` shingles.
+
+    Each member of a bucket is resident in one cell. Members outside the bucket's largest component also visit
+    its other cells, so each pair of different components meets where one of the two is resident.
+    """
+    placed = members.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("n", "c")).alias("largest")).where("parts > 1")
+    open_ = materialize(open_.select("key", F.col("largest.c").alias("largest"), F.ceil(F.col("size") / CELL).cast("int").alias("cells")), "open")
+    home = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("cells")).cast("int").alias("home")
+    rows = placed.join(open_, "key").select("key", "node", "c", (F.col("c") != F.col("largest")).alias("minor"), "cells", home).join(sets, "node")
+    visits = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("home"))
+    dealt = rows.select("key", F.explode(visits).alias("cell"), "node", "c", "minor", "home", "set")
+    dealt = dealt.select("key", "cell", "node", "c", "minor", (F.col("cell") == F.col("home")).alias("resident"), "set")
+    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+
+
+def _common(rows: np.ndarray, values: np.ndarray, edges: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of ``rows``: the run, and how many values each of its rows has in common with each row of ``own``.
+
+    ``values``, ``edges``: distinct values row by row. What many rows of ``own`` hold is counted by a product of
+    0/1 matrices, whose size follows that of the input; the rest by posting lists, which are short.
+    """
+    sizes, n = np.diff(edges), len(own)
+    taken = lambda some: np.concatenate([values[edges[k] : edges[k + 1]] for k in some])
+    items = taken(own)
+    order = np.argsort(items, kind="stable")
+    items, holder = items[order], np.repeat(np.arange(n), sizes[own])[order]
+    keys, first, count = np.unique(items, return_index=True, return_counts=True)
+    often = count * DENSE >= n
+    column = np.where(often, np.cumsum(often) - 1, -1)
+    wide = int(often.sum())
+
+    def matrix(key: np.ndarray, row: np.ndarray, height: int) -> np.ndarray:
+        out = np.zeros((height, wide), np.float32)
+        hit = column[key] >= 0
+        out[row[hit], column[key[hit]]] = 1
+        return out
+
+    dense = matrix(np.repeat(np.arange(len(keys)), count), holder, n).T
+    step = max(1, min(512, 4_000_000 // n, 8_000_000 // max(wide, 1)))
+    for a in range(0, len(rows), step):
+        run = rows[a : a + step]
+        mine, row = taken(run), np.repeat(np.arange(len(run)), sizes[run])
+        key = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        known = keys[key] == mine
+        key, row = key[known], row[known]
+        common = (matrix(key, row, len(run)) @ dense).astype(np.int64)
+        seldom = ~often[key]
+        key, row = key[seldom], row[seldom]
+        length = count[key]
+        at = np.repeat(first[key] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        yield run, common + np.bincount(np.repeat(row, length) * n + holder[at], minlength=len(run) * n).reshape(len(run), n)
+
+
+def _cell_links(rows: pa.Table, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links between the components of one cell, counted on the full sets."""
+    column = lambda name: rows.column(name).combine_chunks()
+    part = column("c").dictionary_encode().indices.to_numpy()
+    minor, resident = (column(c).to_numpy(zero_copy_only=False) for c in ("minor", "resident"))
+    own = np.flatnonzero(resident)
+    if part.max() == 0 or not len(own):
         return
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-    rank = rank[codes]
-    block = rows.column("block").to_numpy()
-    nodes = rows.column("node").to_pylist()
-    lanes = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint16).reshape(len(rows), -1)
-    order = np.argsort(rank, kind="stable")
-    sides = [order] if rows.column("i")[0].as_py() == rows.column("j")[0].as_py() else [order[block[order] == b] for b in np.unique(block)]
-    for x, y in [(0, 0)] if len(sides) == 1 else [(0, 1), (1, 0)]:
-        one, two = sides[x], sides[y]
-        for k, hit in _across((rank[one], lanes[one]), (rank[two], lanes[two]), least):
-            for m in hit:
-                yield tuple(sorted((nodes[one[k]], nodes[two[m]])))
-
-
-def _bucket_pairs(members: DataFrame, found: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """(a, b): all pairs of different components that share a bucket and whose signatures agree in at least so many rows."""
-    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi"))
-    rows = placed.join(open_.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").join(sigs, "node")
-    block = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).alias("block")
-    dealt = rows.select("key", "node", "c", "sig", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
-    cells = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "c", "sig")
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    root = np.arange(part.max() + 1)
+    nodes, lists = column("node"), column("set")
+    edges = lists.offsets.to_numpy()
+    sizes = np.diff(edges)
+    for run, common in _common(np.flatnonzero(minor), lists.values.to_numpy(), edges, own):
+        linked = 100 * common >= percent * (sizes[run][:, None] + sizes[own] - common)
+        for i, j in zip(*np.nonzero(linked & (root[part[run]][:, None] != root[part[own]])), strict=True):
+            k, m = int(run[i]), int(own[j])
+            if root[part[k]] != root[part[m]]:  # one link joins two components
+                yield nodes[k].as_py(), nodes[m].as_py()
+                root[root == root[part[m]]] = root[part[k]]
+
+
+def _bucket_links(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges u, v that join all components with a linked pair in a common bucket."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-            pairs = list(_cell_pairs(rows, least))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        def links_of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            links = list(_cell_links(pa.Table.from_batches(rows), percent))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
             if not len(batch):
                 continue
-            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "cell")])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if held and last != tuple(ids[:, a]):
-                    yield pairs_of(pa.Table.from_batches(held))
+                    yield links_of(held)
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = tuple(ids[:, a])
         if held:
-            yield pairs_of(pa.Table.from_batches(held))
+            yield links_of(held)
 
-    return cells.mapInArrow(compare, "a binary, b binary").distinct()
+    return _cells(members, found, sets).mapInArrow(compare, "u binary, v binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, conf: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept."""
-    conf = conf or NearDup()
+def _placed(docs: DataFrame, conf: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, node, copy (digest of the text), least (least id reachable, null for a null id), first (that row's id and node)."""
     docs = small_batches(docs)
     signed = materialize(_signatures(docs, conf, id_col, text_col), "signatures")
-    rows = signed.select("doc_id", "n_shingles", "node")
     nodes = (
         signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("node")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     )
     nodes = materialize(nodes, "nodes")
-    members = _shared(nodes.select("node", F.explode("bands").alias("key")))
+    members = _shared(nodes.select("node", "size", F.explode("bands").alias("key")))
     active = materialize(members.select("node").distinct().join(nodes.select("node", "rep", "sig"), "node"), "active")
-    sigs = active.select("node", "sig")
-    sets = materialize(_sets(docs, active, conf, id_col, text_col), "sets")
+    sets = materialize(_sets(docs, active, conf, id_col, text_col).dropDuplicates(["node"]), "sets")
+    stars = materialize(_linked(_agreeing(_star_pairs(members), active.select("node", "sig"), conf.least_agreeing), sets, conf.percent), "links")
+    found = materialize(connected_components(stars), "components")
+    more = materialize(_bucket_links(members, found, sets, conf.percent), "links")
+    if not more.isEmpty():
+        chains = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = materialize(connected_components(chains.unionByName(more)), "components")
 
-    def links(agreeing: DataFrame) -> DataFrame:
-        return materialize(_linked(agreeing, sets, conf.percent), "links")
+    # Only sets that several rows hold, or that are linked, have to be looked up: any other row is its own component.
+    reps = nodes.select("node", "rep", "rows").join(found, "node", "left")
+    reps = materialize(reps.where("rows > 1 or component is not null").select("node", F.struct("rep", "node").alias("own"), F.coalesce("component", "node").alias("c")), "representatives")
+    least = materialize(reps.groupBy("c").agg(F.min("own").alias("first")), "least")
+    lookup = reps.join(least, "c").select("node", "first")
+    placed = signed.select("doc_id", "n_shingles", "node", "copy").join(lookup, "node", "left")
+    first = F.coalesce("first", F.struct(F.col("doc_id").alias("rep"), "node"))
+    return placed.select("doc_id", "n_shingles", "node", "copy", F.when(F.col("doc_id").isNotNull(), first).alias("first"))
 
-    def merged(found: DataFrame, more: DataFrame) -> DataFrame:
-        chains = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("u"), F.col("component").alias("v"))
-        return materialize(connected_components(chains.unionByName(more)), "components")
-
-    least = conf.least_agreeing
-    found = materialize(connected_components(links(_agreeing(_star_pairs(members), sigs, least))), "components")
-    for turn in range(1, STARS + 1):
-        more = links(_agreeing(_open_pairs(members, found, turn), sigs, least))
-        if more.isEmpty():
-            break
-        found = merged(found, more)
-    more = links(materialize(_bucket_pairs(members, found, sigs, least), "bucket-pairs"))
-    if not more.isEmpty():
-        found = merged(found, more)
 
-    placed = rows.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    first = placed.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("least"))
-    out = placed.join(first, "c", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+def near_duplicates(docs: DataFrame, conf: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept."""
+    component = F.col("first.rep")
+    return _placed(docs, conf or NearDup(), id_col, text_col).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, conf: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents of a component that are not its first; rows with a null id stay."""
-    gone = materialize(near_duplicates(docs, conf, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct(), "removed")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component: that of the least id. Rows with a null id, or without words, stay.
+
+    Rows are told apart by id and text, so of rows that repeat an id each is judged by its own text.
+    """
+    rows = _placed(docs, conf or NearDup(), id_col, text_col).where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    by_text = rows.groupBy("first", "doc_id", "node", "copy").agg(F.count("*").alias("n"))
+    chosen = F.struct(F.col("doc_id").alias("rep"), "node") == F.col("first")
+    by_text = materialize(by_text.select("doc_id", "node", "copy", "n", chosen.alias("chosen")), "copies")
+    # Where the chosen id repeats, one of its texts and one row of that stays.
+    again = by_text.where("chosen").groupBy("doc_id", "node").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("copy").alias("copy")).where("n > 1")
+    again = materialize(again, "repeated")
+    same = F.xxhash64(F.col(text_col)).alias("_copy")
+    gone = by_text.where("not chosen").select(F.col("doc_id").alias(id_col), F.col("copy").alias("_copy"))
+    if again.isEmpty():
+        return docs.withColumn("_copy", same).join(gone.distinct(), [id_col, "_copy"], "left_anti").select(*docs.columns)
+    others = by_text.where("chosen").alias("t").join(again.alias("r"), ["doc_id", "node"]).where(F.col("t.copy") != F.col("r.copy"))
+    gone = gone.unionByName(others.select(F.col("doc_id").alias(id_col), F.col("t.copy").alias("_copy"))).distinct()
+    left = docs.withColumn("_copy", same).join(gone, [id_col, "_copy"], "left_anti")
+    once = again.select(F.col("doc_id").alias(id_col), F.col("copy").alias("_copy"))
+    single = left.join(once, [id_col, "_copy"], "left_anti")
+    return single.unionByName(left.join(once, [id_col, "_copy"], "left_semi").dropDuplicates([id_col, "_copy"])).select(*docs.columns)
 
 
 def _sql_words(column: str) -> str:

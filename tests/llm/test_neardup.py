@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from bidlake.llm import neardup as N
@@ -61,12 +62,10 @@ def test_repeated_and_null_ids_and_empty(spark):
     rows = N.near_duplicates(df).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows) == [("1", "1", True), ("1", "1", True), ("None", "None", False)]
     assert N.near_duplicates(df.limit(0)).count() == 0
-    assert N.keep_one_of_each(df).count() == 3
+    assert N.keep_one_of_each(df).count() == 2
 
 
 def test_signatures_estimate_similarity():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     for size in (8, 60, 900):
         near = []
@@ -79,23 +78,19 @@ def test_signatures_estimate_similarity():
         assert abs(np.mean(near) - true) < 0.05
 
 
-def test_near_pairs_among_texts_of_a_common_pool(spark):
-    """No text has words of its own, so that buckets are full of strangers and a near pair is rarely at a centre."""
-    import numpy as np
-
-    rnd = random.Random(7)
-    pool = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)) for _ in range(40)]
-    texts = [set(rnd.sample(range(40), 32)) for _ in range(2000)]
-    for own in texts[::20]:
-        texts.append(own - set(rnd.sample(sorted(own), 1)) | {rnd.choice([p for p in range(40) if p not in own])})
-    docs = [(i, " ".join(pool[p] for p in sorted(own))) for i, own in enumerate(texts)]
-    number = {}
-    hot = np.zeros((len(docs), 40 * 40 * 12), np.float32)
-    for i, t in docs:
-        for x in sets(t, 3):
-            hot[i, number.setdefault(x, len(number))] = 1
-    hot = hot[:, : len(number)]
-    size, common = hot.sum(axis=1), hot @ hot.T
+def by_matrix(docs, width, percent):
+    """Component of each document, from the common shingles of all pairs."""
+    own = {i: sets(t, width) for i, t in docs}
+    holders = {}
+    for i, s in own.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    several = [h for h in holders.values() if len(h) > 1]
+    hot = np.zeros((len(docs), len(several)), np.float32)
+    for k, h in enumerate(several):
+        hot[h, k] = 1
+    size = np.array([len(own[i]) for i, _ in docs])
+    common = hot @ hot.T
     root = list(range(len(docs)))
 
     def find(i):
@@ -103,25 +98,61 @@ def test_near_pairs_among_texts_of_a_common_pool(spark):
             i = root[i]
         return i
 
-    for a, b in zip(*np.nonzero(np.triu(100 * common >= 85 * (size[:, None] + size - common), 1)), strict=True):
+    for a, b in zip(*np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size - common), 1)), strict=True):
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    want = {i: find(i) for i, _ in docs}
-    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), N.NearDup(3, 85)).collect()}
+    return {i: find(i) for i, _ in docs}
+
+
+def found(spark, docs, width, percent):
+    return {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), N.NearDup(width, percent)).collect()}
+
+
+def test_near_pairs_among_texts_of_a_common_pool(spark):
+    """No text has words of its own, so that buckets are full of strangers and a near pair is rarely at a centre."""
+    rnd = random.Random(7)
+    pool = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)) for _ in range(40)]
+    texts = [set(rnd.sample(range(40), 32)) for _ in range(2000)]
+    for own in texts[::20]:
+        texts.append(own - set(rnd.sample(sorted(own), 1)) | {rnd.choice([p for p in range(40) if p not in own])})
+    docs = [(i, " ".join(pool[p] for p in sorted(own))) for i, own in enumerate(texts)]
+    want = by_matrix(docs, 3, 85)
     assert sum(i != c for i, c in want.items()) >= 90
+    got = found(spark, docs, 3, 85)
     assert {i: c for i, c in got.items() if want[i] != c} == {}
 
 
-def test_blocks_of_a_bucket_are_all_compared(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 3)
-    import numpy as np
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize(("width", "percent", "changed", "count", "seed"), [(3, 85, 9, 300, 1), (3, 85, 9, 2000, 3), (5, 80, 8, 300, 4)])
+def test_copies_of_a_hub_that_is_not_there(spark, width, percent, changed, count, seed):
+    """All pairs are near the threshold, and no text is in the middle of the others."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    hub, docs = [word() for _ in range(600)], []
+    for i in range(count):
+        copy = list(hub)
+        for k in rnd.sample(range(600), changed):
+            copy[k] = word()
+        docs.append((i, " ".join(copy)))
+    want = by_matrix(docs, width, percent)
+    got = found(spark, docs, width, percent)
+    assert {i: c for i, c in got.items() if want[i] != c} == {}
+
 
-    names = [bytes([k]) for k in range(20)]
-    sig = np.zeros(8, np.uint16).tobytes()
-    members = spark.createDataFrame([(1, n) for n in names] + [(2, n) for n in names[:2]], "key long, node binary")
-    found = spark.createDataFrame([(n, names[0]) for n in names[:5]], "node binary, component binary")
-    pairs = N._bucket_pairs(members, found, members.select("node").distinct().withColumn("sig", F.lit(sig)), 8)
-    want = {(a, b) for a in names for b in names if a < b and not (a in names[:5] and b in names[:5])}
-    rows = [(bytes(r["a"]), bytes(r["b"])) for r in pairs.collect()]
-    assert len(rows) == len(want) and set(rows) == want
+def test_cells_of_a_bucket_meet_all_members(spark, monkeypatch):
+    """A bucket cut into many cells, where each member is linked to the next one only."""
+    monkeypatch.setattr(N, "CELL", 300)
+    names = [bytes([k]) for k in range(40)]
+    members = spark.createDataFrame([(1, n, 100) for n in names] + [(2, n, 100) for n in names[:2]], "key long, node binary, size long")
+    linked = spark.createDataFrame([(n, names[0]) for n in names[:15]], "node binary, component binary")
+    shingles = spark.createDataFrame([(n, list(range(7 * k, 7 * k + 100))) for k, n in enumerate(names)], "node binary, set array<long>")
+    assert N._cells(members, linked, shingles).select("cell").distinct().count() > 5
+    edges = [(bytes(r["u"])[0], bytes(r["v"])[0]) for r in N._bucket_links(members, linked, shingles, 80).collect()]
+    assert {tuple(sorted(e)) for e in edges} == {(k, k + 1) for k in range(14, 39)}
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    other = " ".join(f"v{k}" for k in range(50))
+    rows = [(1, text), (1, text), (2, text + " x"), (2, other), (2, other), (3, None), (3, None), (None, text)]
+    kept = N.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), N.NearDup(5, 80)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, [(1, text), (2, other), (3, None), (3, None), (None, text)]))
