@@ -1,10 +1,12 @@
 """Secret scans in native column expressions: no shuffle, no Python, one row in and one row out.
 
 Base kinds are regular expressions. The method adds kind ``entropy``: over candidate strings of secret-like
-characters a window slides by one character, its Shannon entropy kept by counts that change by the
-character that enters and the one that leaves; a window at or above the threshold of the candidate's
-character class marks its characters. Candidates on the allow-list are left out. The report lists such a
-span only where it meets no base span; redaction masks it also where it does, so that no rest of it stays.
+characters a window slides by one character, its Shannon entropy kept by the counts of the character that
+enters and the one that leaves; each run of windows at or above the threshold of the candidate's character
+class marks its characters. A candidate is scored if it has letters and digits, or letters alone; letters
+with separators and no digit are taken for paths and names. Whole candidates on the allow-list are left
+out, and so are windows that hold an allow-listed word. Of an entropy span only the parts outside the base
+spans are reported, so base and entropy spans together cover it and no rest of it stays when masked.
 
 Positions are code points, end exclusive. Defined results: a null text counts as empty, an empty text has
 no spans; repeated rows are scanned each on its own; other columns pass through; an empty table gives an
@@ -32,13 +34,23 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 # Character classes from narrow to wide, and the bits of entropy from which a window of them is marked.
-CLASSES = (("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.75), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9))
-MIXED = (r"[0-9]", r"[A-Za-z]")
+CLASSES = (
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
+    ("one case", r"^(?:[a-z]+|[A-Z]+)$", 3.7),
+    ("letters", r"^[A-Za-z]+$", 4.0),
+    ("alnum", r"^[A-Za-z0-9]+$", 3.75),
+    ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9),
+)
+SCORED = r"^(?:[A-Za-z]+|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z]).*)$"
+# Whole candidates: uuids, lower-case paths and slugs, short placeholders.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|0000000)",
-    r"^[/=_-]*[a-z]+([/_=-]+[a-z]*[0-9]{0,12})*$",
+    r"^[/_=-]*[a-z]+([/_=-]+[a-z]*[0-9]{0,12})+$",
+    r"(?i)^.{0,57}(example|sample|dummy|changeme)(key)?$",
 )
+# Words that no marked window holds; a match is the last character of the word.
+ALLOW_ENDS = r"(?i)(?<=exampl)e|(?<=sampl)e|(?<=dumm)y|(?<=placeholde)r|(?<=changem)e|(?<=xxx)x|(?<=000000)0"
+BREAK = "~"
 SCALE = 1 << 24
 
 
@@ -85,49 +97,53 @@ def match_spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> C
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
-def entropy_range(candidate: Column, threshold: Column) -> Column:
-    """``struct<first, last>``: the first and last start of a window at or above the threshold, -1 if none.
+def hot_runs(candidate: Column, threshold: Column) -> Column:
+    """``array<struct<start, end>>``: where windows at or above the threshold lie, those that touch as one.
 
-    The state of the fold is the count of each character in the window and the sum of n log2 n over
-    these counts, in whole units so that adding and removing cancel exactly.
+    The sum of n log2 n over the counts of a window changes by the count of the character that leaves and
+    that of the one that enters, in whole units so that adding and removing cancel exactly.
     """
-    weight = F.array(*[F.lit(round(n * math.log2(n) * SCALE) if n else 0).cast("long") for n in range(WINDOW + 2)])
+    weight = [round(n * math.log2(n) * SCALE) if n else 0 for n in range(WINDOW + 1)]
+    gain = F.array(*[F.lit(weight[n + 1] - weight[n]).cast("long") for n in range(WINDOW)])
     most = round(math.log2(WINDOW) * WINDOW * SCALE)
-    state = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
-    )
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def same(codes: Column, start: Column, length: Column, c: Column) -> Column:
+        return F.size(F.filter(F.slice(codes, start, length), lambda x: x == c))
+
+    def counted(codes: Column) -> Column:
+        before = F.transform(codes, lambda c, i: same(codes, F.greatest(i - WINDOW + 2, F.lit(1)), F.least(i, F.lit(WINDOW - 1)), c))
+        after = F.transform(codes, lambda c, i: same(codes, i + 2, F.lit(WINDOW - 1), c))
+        return F.struct(codes.alias("codes"), before.alias("before"), after.alias("after"))
+
+    def fold(x: Column, limit: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-WINDOW).alias("broken"), none.alias("runs"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
 
-    def fold(codes: Column, limit: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
-            enters = codes[i]
-            leaves = F.when(i >= WINDOW, codes[F.greatest(i - WINDOW, F.lit(0))]).otherwise(F.lit(-1))
-            more = F.transform(s["counts"], lambda n, k: n + F.when(k == enters, 1).otherwise(0))
-
-            def moved(counts: Column) -> Column:
-                total = s["sum"] + weight[counts[enters]] - weight[counts[enters] - 1]
-                gone = counts[F.greatest(leaves, F.lit(0))]
-                total = total - F.when(leaves >= 0, weight[gone] - weight[F.greatest(gone - 1, F.lit(0))]).otherwise(F.lit(0).cast("long"))
-                fewer = F.transform(counts, lambda n, k: n - F.when(k == leaves, 1).otherwise(0))
-                return let(F.struct(fewer.alias("counts"), total.alias("sum")), mark)
-
-            def mark(t: Column) -> Column:
-                hit = (i >= WINDOW - 1) & (F.lit(most).cast("long") - t["sum"] >= limit)
-                at = i - (WINDOW - 1)
-                return F.struct(
-                    t["counts"].alias("counts"),
-                    t["sum"].alias("sum"),
-                    F.when(hit & (s["first"] < 0), at).otherwise(s["first"]).alias("first"),
-                    F.when(hit, at).otherwise(s["last"]).alias("last"),
-                )
-
-            return let(more, moved)
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
-
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    codes = F.filter(codes, lambda c: c >= 0)
+            leaves = F.when(i >= WINDOW, gain[x["after"][F.greatest(i - WINDOW, F.lit(0))]]).otherwise(F.lit(0).cast("long"))
+            moved = F.struct((s["sum"] - leaves + gain[x["before"][i]]).alias("sum"), F.when(x["codes"][i] < 0, i).otherwise(s["broken"]).alias("broken"))
+            return let(moved, lambda t: mark(s, t, i))
+
+        def mark(s: Column, t: Column, i: Column) -> Column:
+            hot = (i >= WINDOW - 1) & (i - t["broken"] >= WINDOW) & (F.lit(most).cast("long") - t["sum"] >= limit)
+            apart = hot & (i - (WINDOW - 1) > s["end"])
+            return F.struct(
+                t["sum"].alias("sum"),
+                t["broken"].alias("broken"),
+                F.when(apart & (s["start"] >= 0), F.concat(s["runs"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["runs"]).alias("runs"),
+                F.when(apart, i - (WINDOW - 1)).otherwise(s["start"]).alias("start"),
+                F.when(hot, i + 1).otherwise(s["end"]).alias("end"),
+            )
+
+        def finish(s: Column) -> Column:
+            return F.when(s["start"] >= 0, F.concat(s["runs"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["runs"])
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["codes"]) - 1), start, step, finish)
+
+    characters = F.slice(F.split(F.regexp_replace(candidate, ALLOW_ENDS, BREAK), ""), F.lit(1), F.length(candidate))
+    codes = F.transform(characters, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     limit = (threshold * WINDOW * SCALE).cast("long")
-    return let(F.struct(codes.alias("codes"), limit.alias("limit")), lambda x: fold(x["codes"], x["limit"]))
+    return let(F.struct(let(codes, counted).alias("x"), limit.alias("limit")), lambda r: fold(r["x"], r["limit"]))
 
 
 def entropy_spans(text: Column) -> Column:
@@ -140,29 +156,33 @@ def entropy_spans(text: Column) -> Column:
         return out
 
     def suspicious(row: Column) -> Column:
-        value = row["value"]
-        keep = F.lit(True)
-        for pattern in MIXED:
-            keep = keep & value.rlike(pattern)
+        keep = row["value"].rlike(SCORED)
         for pattern in ALLOW:
-            keep = keep & ~value.rlike(pattern)
+            keep = keep & ~row["value"].rlike(pattern)
         return keep
 
-    def narrowed(row: Column) -> Column:
-        return let(
-            entropy_range(row["value"], of_class(row["value"])),
-            lambda r: F.when(r["first"] >= 0, F.struct((row["start"] + r["first"]).alias("start"), (row["start"] + r["last"] + WINDOW).alias("end"))),
-        )
+    def placed(row: Column) -> Column:
+        return F.transform(hot_runs(row["value"], of_class(row["value"])), lambda r: F.struct((row["start"] + r["start"]).alias("start"), (row["start"] + r["end"]).alias("end")))
 
-    candidates = F.filter(match_spans(text, CANDIDATE), suspicious)
-    return F.filter(F.transform(candidates, narrowed), lambda s: s.isNotNull())
+    return F.flatten(F.transform(F.filter(match_spans(text, CANDIDATE), suspicious), placed))
 
 
-def secret_spans(df: DataFrame, text_col: str = "text", overlapping: bool = False) -> DataFrame:
-    """Add ``base_spans`` and ``secret_spans``: ``array<struct<start, rank, end, kind>>`` by start, then kind.
+def outside(span: Column, others: Column) -> Column:
+    """The parts of ``span`` that none of ``others`` (sorted by start) covers."""
+    start = F.struct(span["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("parts"))
+    piece = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
 
-    ``secret_spans`` holds the base spans and those of the method; of these, the ones that meet a base span only if ``overlapping``.
-    """
+    def step(s: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(s["at"], b["end"]).alias("at"), F.when(b["start"] > s["at"], F.concat(s["parts"], piece(s["at"], b["start"]))).otherwise(s["parts"]).alias("parts")
+        )
+
+    meeting = F.filter(others, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return F.aggregate(meeting, start, step, lambda s: F.when(s["at"] < span["end"], F.concat(s["parts"], piece(s["at"], span["end"]))).otherwise(s["parts"]))
+
+
+def secret_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``base_spans`` and ``secret_spans`` (base spans and those of the method): ``array<struct<start, rank, end, kind>>`` by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def ranked(spans: Column, rank: int, kind: str) -> Column:
@@ -171,12 +191,9 @@ def secret_spans(df: DataFrame, text_col: str = "text", overlapping: bool = Fals
     base = F.array_sort(
         F.concat(*[ranked(match_spans(text, LONG_RUNS.get(kind, pattern), group, least), rank, kind) for rank, (kind, pattern, group, least) in enumerate(KINDS)])
     )
-    added = ranked(entropy_spans(text), len(KINDS), "entropy")
-    spread = df.withColumns({"base_spans": base, "_added": added})
-    if overlapping:
-        return spread.withColumn("secret_spans", F.array_sort(F.concat("base_spans", "_added"))).drop("_added")
-    apart = F.filter("_added", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return spread.withColumn("secret_spans", F.array_sort(F.concat("base_spans", apart))).drop("_added")
+    spread = df.withColumns({"base_spans": base, "_hot": entropy_spans(text)})
+    added = ranked(F.flatten(F.transform("_hot", lambda s: outside(s, F.col("base_spans")))), len(KINDS), "entropy")
+    return spread.withColumn("secret_spans", F.array_sort(F.concat("base_spans", added))).drop("_hot")
 
 
 def span_text(spans: Column) -> Column:
@@ -193,19 +210,16 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace each secret of the text by ``mark``, overlapping ones by one; a text without secrets stays as it is."""
-    found = secret_spans(df, text_col, overlapping=True)
+    """Replace each secret of the text by ``mark``, those that meet or touch by one; a text without secrets stays as it is."""
+    found = secret_spans(df, text_col)
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, span: Column) -> Column:
-        gap = span["start"] - s["at"]
-        return F.struct(
-            F.greatest(s["at"], span["end"]).alias("at"),
-            F.when(gap >= 0, F.concat(s["parts"], F.array(F.substr(text, (s["at"] + 1).cast("int"), gap.cast("int")), F.lit(mark)))).otherwise(s["parts"]).alias("parts"),
-        )
+        apart = (span["start"] > s["at"]) | (F.size(s["parts"]) == 0)
+        kept = F.substr(text, (s["at"] + 1).cast("int"), (span["start"] - s["at"]).cast("int"))
+        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(apart, F.concat(s["parts"], F.array(kept, F.lit(mark)))).otherwise(s["parts"]).alias("parts"))
 
-    clean = F.aggregate(
-        "secret_spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, (s["at"] + 1).cast("int")))
-    )
+    clean = F.aggregate("secret_spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, (s["at"] + 1).cast("int"))))
     return found.withColumn(text_col, F.when(F.size("secret_spans") > 0, clean).otherwise(text)).drop("base_spans", "secret_spans")
+

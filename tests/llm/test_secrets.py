@@ -13,6 +13,7 @@ PATTERNS = [
 ]
 PARTS = [
     "password: token: abcdef", 'PASSWD="hunter22"', "secret=ab", "token = zzz.zz-", "api_key:'A/b+c='", "AKIA" + "Q" * 12, "AKIA" + "Q" * 16, "AKIAAKIA" + "X" * 14, "0123456789abcdef" * 2, "é😀 word", " ", "\n", "x",
+    "wJa1rXUtnF3MIK7MDENGbPx9fiCYzQ5vT8kHs2Lo", "qzkvwjxmbyhgfdtrpnlcaeuio", "ZqKvWjXmByHgFdTrPnLcAeUiO", "/sample/", "xxxx", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "EXAMPLEKEY", "some/path/to-a_file", "geschwindigkeitsbegrenzung",
     "ghp_aB3dE5fG7hI9jK1lM2nO4pQ6r", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaaaaaaa1",
 ]
 
@@ -25,16 +26,26 @@ def base(text):
 def entropy_spans(text):
     for m in re.finditer(S.CANDIDATE, text or ""):
         v = m.group()
-        if not all(re.search(p, v) for p in S.MIXED) or any(re.search(p, v) for p in S.ALLOW):
+        if not re.search(S.SCORED, v) or any(re.search(p, v) for p in S.ALLOW):
             continue
         bits = next(b for _, p, b in S.CLASSES if re.search(p, v))
-        hits = []
+        ends = {e.start() for e in re.finditer(S.ALLOW_ENDS, v)}
+        hot = set()
         for i in range(len(v) - S.WINDOW + 1):
             counts = Counter(v[i : i + S.WINDOW]).values()
-            if math.log2(S.WINDOW) - sum(n * math.log2(n) for n in counts) / S.WINDOW >= bits - 1e-6:
-                hits.append(i)
-        if hits:
-            yield m.start() + hits[0], 3, m.start() + hits[-1] + S.WINDOW, "entropy"
+            at = range(i, i + S.WINDOW)
+            if not ends & set(at) and math.log2(S.WINDOW) - sum(n * math.log2(n) for n in counts) / S.WINDOW >= bits - 1e-6:
+                hot |= set(at)
+        runs = [k for k in sorted(hot) if k - 1 not in hot]
+        for k in runs:
+            yield m.start() + k, m.start() + next(e for e in range(k, len(v) + 1) if e not in hot)
+
+
+def outside(span, base):
+    left = [k for k in range(*span) if not any(b[0] <= k < b[2] for b in base)]
+    for k in left:
+        if k - 1 not in left:
+            yield k, 3, next(e for e in range(k, span[1] + 1) if e not in left), "entropy"
 
 
 def written(spans):
@@ -43,7 +54,7 @@ def written(spans):
 
 def test_against_brute_force(spark):
     rnd = random.Random(3)
-    texts = [None, ""] + [rnd.choice(["", " ", "."]).join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 9))) for _ in range(200)]
+    texts = [None, ""] + [rnd.choice(["", " ", "."]).join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 9))) for _ in range(300)]
     texts.append(" ".join(f"password=abcdef{i}" for i in range(500)))
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, base_spans string")
     for r in S.secret_report(df).collect():
@@ -52,7 +63,7 @@ def test_against_brute_force(spark):
         assert r["base_sha256"] == hashlib.sha256(written(own).encode()).hexdigest()
         kinds = Counter(s[3] for s in own)
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(kinds[k] for k in ("assign", "access", "hex"))
-        extra = [s for s in entropy_spans(t) if not any(b[0] < s[2] and s[0] < b[2] for b in own)]
+        extra = [piece for s in entropy_spans(t) for piece in outside(s, own)]
         assert r["spans"] == written(sorted(own + extra))
     assert S.secret_report(df.limit(0)).count() == 0
 
@@ -68,6 +79,18 @@ def test_redaction(spark):
     assert got == {1: "a [SECRET] b", 2: "clean text", 3: None}
 
 
+def test_parts_beside_a_base_span_are_reported(spark):
+    key = "Zq8KwJa1rXUtnF3MIK7MD"
+    text = f"{key}0123456789abcdef01234567{key}"
+    row = S.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["spans"] == f"entropy:0:{len(key)},hex:{len(key)}:{len(key) + 24},entropy:{len(key) + 24}:{len(text)}"
+
+
+def test_random_letters_are_found_and_long_words_are_not(spark):
+    df = spark.createDataFrame([(1, "key qzkvwjxmbyhgfdtrpnlcaeuiosw end"), (2, "die geschwindigkeitsbegrenzung und donaudampfschiffahrtsgesellschaft")], "doc_id long, text string")
+    assert [r["text"] for r in S.redact(df).sort("doc_id").collect()] == ["key [SECRET] end", "die geschwindigkeitsbegrenzung und donaudampfschiffahrtsgesellschaft"]
+
+
 def test_redaction_leaves_no_rest_of_a_secret_around_a_base_span(spark):
     key = "wJa1rXUtnF3MIK7MDENGbPx9fiCYzQ5vT8kHs2Lo"
     runs = ["AKIA" + "Q7Z4M1X8B5N2C9V6" + "/" + key, key + "0123456789abcdef01234567" + key]
