@@ -133,8 +133,8 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds:
     shares = spark.createDataFrame([(lang, float(sample_per_language) / n) for lang, n in sizes.items()], "lang string, share double")
     chance = F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.join(F.broadcast(shares), "lang").where(chance < F.col("share"))
-    sample = sample.select("lang", "text", F.pmod(F.xxhash64(F.lit("langid-part"), key), F.lit(5)).alias("part"), F.pmod(F.xxhash64(F.lit("langid-shard"), key), F.lit(SHARDS)).cast("int").alias("shard"))
-    sample = materialize(sample.repartition(SHARDS, "shard").drop("shard"), "language-sample")
+    sample = sample.select("doc_id", "lang", "text", F.md5("text").alias("digest"), F.pmod(F.xxhash64(F.lit("langid-part"), key), F.lit(5)).alias("part"), F.pmod(F.xxhash64(F.lit("langid-shard"), key), F.lit(SHARDS)).cast("int").alias("shard"))
+    sample = materialize(sample, "language-sample")
     seen, n = document_frequencies(usable.select("text"))
     idf = np.log((1.0 + n) / (1.0 + seen)) + 1.0
     index = {lang: k for k, lang in enumerate(languages)}
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds:
             ftrl.step(z, m, at, value[:, None] * p, w)
         return z, m
 
-    z, m = train_in_shards(sample, (np.zeros((BINS + 1, width)), np.zeros((BINS + 1, width))), local, rounds)
+    z, m = train_in_shards(sample, ["doc_id", "lang", "digest"], (np.zeros((BINS + 1, width)), np.zeros((BINS + 1, width))), local, rounds)
     w = ftrl.weights(z, m)
     model = LanguageModel(languages, w[:BINS], w[BINS], idf, 1.0)
     shared = spark.sparkContext.broadcast(model)
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, rounds:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int64()), pa.array([x.tolist() for _, x in pairs], pa.list_(pa.float64()))], names=["label", "logits"])
 
     back = sample.where("part = 0").select("lang", "text").mapInArrow(judge, "label long, logits array<double>").collect()
+    back.sort(key=lambda r: (r["label"], r["logits"]))
     temperature = fit_temperature(np.array([r["logits"] for r in back]).reshape(-1, width), np.array([r["label"] for r in back], dtype=np.int64))
     return LanguageModel(languages, w[:BINS], w[BINS], idf, temperature)
 

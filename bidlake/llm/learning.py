@@ -2,16 +2,18 @@
 
 Each round, every shard of the sample starts from the shared state, goes over its own rows once and sends
 its state back; the mean is the next shared state. The driver holds two arrays of the model's fixed size
-and never a row of the sample.
+and never a row of the sample. A row's shard, the order of the rows in a shard and the order in which
+states are added follow from the rows alone, so that reruns on any number of cores give the same model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 SHARDS = 6
@@ -41,26 +43,26 @@ class Ftrl:
 State = tuple[np.ndarray, np.ndarray]
 
 
-def train_in_shards(sample: DataFrame, start: State, local: Callable[[list[dict], State, int], State], rounds: int) -> State:
-    """``local(rows, state, round)`` goes over one shard. ``sample`` must be stable (written) and dealt in shards."""
+def train_in_shards(sample: DataFrame, order: list[str], start: State, local: Callable[[list[dict], State, int], State], rounds: int) -> State:
+    """``local(rows, state, round)`` goes over one shard. ``sample``: written, bounded, with a column ``shard``; ``order`` tells its rows apart."""
     spark = sample.sparkSession
     state = start
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(state)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            rows = [row for batch in batches for row in batch.to_pylist()]
-            if rows:
-                z, n = local(rows, (shared.value[0].copy(), shared.value[1].copy()), turn)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([z.astype(np.float32).tobytes()], pa.binary()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], names=["z", "n"]
-                )
+    def over_shards(shared: Broadcast, turn: int) -> Callable[[pa.Table], pa.Table]:
+        def run(shard: pa.Table) -> pa.Table:
+            rows = shard.sort_by([(c, "ascending") for c in order]).to_pylist()
+            z, n = local(rows, (shared.value[0].copy(), shared.value[1].copy()), turn)
+            return pa.table({"shard": pa.array([rows[0]["shard"]], pa.int32()), "z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+
+        return run
 
-        made = sample.mapInArrow(run, "z binary, n binary").collect()
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(state)
+        made = sorted(sample.groupBy("shard").applyInArrow(over_shards(shared, turn), "shard int, z binary, n binary").collect(), key=lambda r: r["shard"])
         shared.unpersist()
         if not made:
             return start
         shape = start[0].shape
-        mean = lambda k: np.mean([np.frombuffer(r[k], np.float32) for r in made], axis=0).astype(np.float64).reshape(shape)
+        mean = lambda k: (sum(np.frombuffer(r[k]) for r in made) / len(made)).reshape(shape)
         state = (mean("z"), mean("n"))
     return state

@@ -10,7 +10,8 @@ of grade 2 when the share of its words that carry a learned feature is above the
 
 Training uses a bounded sample of labelled rows (``sample`` rows a label, by hash of the id); scoring reads
 every whole text. Defined results: a null or empty text has severity of no features; repeated rows get
-equal results; label rows without text, or null, are not learned from; with no labels of either kind
+equal results; label rows without text, or null, are not learned from; of texts that repeat with several
+labels the least counts; with no labels of either kind
 nothing is rejected; an empty table gives an empty table.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +45,15 @@ STRIP = b".,;:!?*$%&#\"'()[]{}<>|/\\+=~^_-`"
 GAP = 1.0
 AGAIN, DENSE = 100, 200
 DENSE_SHARE = 0.006
+KNOWN_TOKENS = 200_000
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None) -> np.ndarray:
     """Hashes of the distinct words and their prefixes, again of those that occur more than once, and
-    again of prefixes that make up a share of all words (sorted, distinct); word hashes as they occur."""
+    again of prefixes that make up a share of all words (sorted, distinct)."""
     words = [w for w in (x.strip(STRIP) for x in (text or "").lower().encode("utf-8", "surrogatepass").split()) if w]
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     counts = Counter(words)
     codes = {w: xxhash.xxh3_64_intdigest(w) for w in counts}
     prefix: Counter = Counter()
@@ -67,15 +70,64 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             keys.append(xxhash.xxh3_64_intdigest(raw, seed=size + AGAIN))
             if n >= DENSE_SHARE * len(words):
                 keys.append(xxhash.xxh3_64_intdigest(raw, seed=size + DENSE))
-    return np.unique(np.array(keys, dtype=np.uint64)), np.fromiter((codes[w] for w in words), dtype=np.uint64, count=len(words))
-
-
-def positions(vocabulary: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where in the sorted vocabulary the keys stand that are in it."""
-    if not len(vocabulary) or not len(keys):
-        return np.zeros(0, dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
-    return at[vocabulary[at] == keys]
+    return np.unique(np.array(keys, dtype=np.uint64))
+
+
+class Lookup(dict):
+    """The features of a vocabulary in texts; what a token stands for is kept for up to ``KNOWN_TOKENS`` tokens."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        super().__init__()
+        self.at = {int(key): k for k, key in enumerate(vocabulary)}
+
+    def __missing__(self, token: bytes):
+        """None for no word; else positions of the word, once and again, and for each prefix its hash and positions: once, again, dense."""
+        word = token.strip(STRIP)
+        entry = None
+        if word:
+            find = lambda raw, seed: self.at.get(xxhash.xxh3_64_intdigest(raw, seed=seed), -1)
+            entry = (find(word, 0), find(word, AGAIN), [])
+            chars = word.decode("utf-8", "surrogatepass")
+            for size in PREFIXES:
+                if len(chars) > size:
+                    raw = chars[:size].encode("utf-8", "surrogatepass")
+                    places = [find(raw, size + more) for more in (0, AGAIN, DENSE)]
+                    if max(places) >= 0:
+                        entry[2].append((raw, places))
+            if entry == (-1, -1, []):
+                entry = ()
+        self[token] = entry
+        return entry
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, dict[int, int], int]:
+        """Sorted positions of the features of a text (as ``features`` defines them), occurrences of known words by position, words."""
+        if len(self) > KNOWN_TOKENS:
+            self.clear()
+        words, total, prefixes = {}, 0, {}
+        for token, n in Counter((text or "").lower().encode("utf-8", "surrogatepass").split()).items():
+            entry = self[token]
+            if entry is None:
+                continue
+            total += n
+            if entry:
+                once, again, starts = entry
+                if once >= 0 or again >= 0:
+                    words[once, again] = words.get((once, again), 0) + n
+                for raw, places in starts:
+                    prefixes.setdefault(raw, [places, 0])[1] += n
+        out = set()
+        for (once, again), n in words.items():
+            out.add(once)
+            if n > 1:
+                out.add(again)
+        for places, n in prefixes.values():
+            out.add(places[0])
+            if n > 1:
+                out.add(places[1])
+                if n >= DENSE_SHARE * total:
+                    out.add(places[2])
+        out.discard(-1)
+        return np.array(sorted(out), dtype=np.int64), {once: n for (once, _), n in words.items() if once >= 0}, total
 
 
 def sigmoid(x):
@@ -88,9 +140,13 @@ class SeverityModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup(self.vocabulary)
+
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for each threshold k."""
-        at = positions(self.vocabulary, features(text)[0])
+        at = self.lookup(text)[0]
         return sigmoid(self.weights[at].sum() - self.thresholds)
 
 
@@ -103,12 +159,12 @@ def _sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) ->
     for y, n in sizes.items():
         share = F.when(F.col("y") == y, F.lit((sample if y else sample * SAMPLE_CLEAN // SAMPLE) / n)).otherwise(share)
     chosen = marks.where(chance < share)
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).cast("int")
     # The sample is bounded by ``sample`` rows a label, so it may be broadcast; the texts are not shuffled.
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    # Copies would pass off their common words as evidence: one text counts once.
-    once = rows.select("text", "y", shard.alias("shard"), F.md5("text").alias("_d")).dropDuplicates(["_d"])
-    return materialize(once.select("text", "y", "shard").repartition(SHARDS, "shard").drop("shard"), "severity-sample")
+    # Copies would pass off their common words as evidence: one text counts once, with the least of its labels.
+    once = rows.groupBy(F.md5("text").alias("digest")).agg(F.first("text").alias("text"), F.min("y").alias("y"))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "digest"), F.lit(SHARDS)).cast("int")
+    return materialize(once.select("text", "y", "digest", shard.alias("shard")), "severity-sample")
 
 
 def _choose(sample: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +174,7 @@ def _choose(sample: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.nd
         keys, marks = [], []
         for batch in batches:
             for row in batch.to_pylist():
-                own = features(row["text"])[0]
+                own = features(row["text"])
                 keys.append(own)
                 marks.append(np.full(len(own), int(row["y"] > 0), dtype=np.int64))
         if keys:
@@ -151,15 +207,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, marked = shared.value
+        lookup = Lookup(words)
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own, used = features(row["text"])
-                at, hits = positions(words, own), positions(words, used)
-                out.append({"at": at.tolist(), "y": row["y"], "share": float(marked[hits].sum()) / max(len(used), 1)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("at", pa.list_(pa.int64())), ("y", pa.int32()), ("share", pa.float64())]))
-
-    indexed = materialize(rows.mapInArrow(index, "at array<long>, y int, share double"), "severity-rows")
+            at, share = [], []
+            for text in batch.column("text"):
+                own, known, total = lookup(text.as_py())
+                at.append(own.tolist())
+                share.append(sum(n for k, n in known.items() if marked[k]) / max(total, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.list_(pa.int64())), batch.column("y"), pa.array(share, pa.float64()), batch.column("digest"), batch.column("shard")], names=["at", "y", "share", "digest", "shard"]
+            )
+
+    indexed = materialize(rows.mapInArrow(index, "at array<long>, y int, share double, digest string, shard int"), "severity-rows")
     middle = indexed.where("y > 0").agg(F.median("share")).first()[0] or 0.0
     levels = 2 if binary else max(grades)
 
@@ -185,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
             ftrl.step(z, n, own, gradient, w)
         return z, n
 
-    z, n = train_in_shards(indexed, (np.zeros(size + levels), np.zeros(size + levels)), local, rounds)
+    z, n = train_in_shards(indexed, ["digest"], (np.zeros(size + levels), np.zeros(size + levels)), local, rounds)
     w = ftrl.weights(z, n)
     theta = w[size] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(w[size + 1 :], -5, 5)) * GAP)])
     used = np.flatnonzero(w[:size])
@@ -193,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
 
 
 def score(docs: DataFrame, model: SeverityModel | None, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """Add p_toxic, expected_severity, grade (the likeliest) and toxic (rejected) to ``docs``."""
+    """Add p_toxic, expected_severity, grade (0 unless rejected, else the likeliest over 0) and toxic (rejected) to ``docs``."""
     added = ["p_toxic", "expected_severity", "grade", "toxic"]
     docs = small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -206,8 +265,9 @@ def score(docs: DataFrame, model: SeverityModel | None, text_col: str = "text",
         for batch in batches:
             above = [np.zeros(1) if model is None else model.above(t.as_py()) for t in batch.column(text_col)]
             p = np.array([a[0] for a in above], dtype=np.float64)
-            likeliest = [int(np.argmax(-np.diff(np.concatenate([[1.0], a, [0.0]])))) for a in above]
-            columns = [pa.array(p), pa.array([float(a.sum()) for a in above], pa.float64()), pa.array(likeliest, pa.int32()), pa.array(p >= reject if model is not None else np.zeros(len(p), bool))]
+            rejected = p >= reject if model is not None else np.zeros(len(p), bool)
+            likeliest = [1 + int(np.argmax(-np.diff(np.append(a, 0.0)))) if r else 0 for a, r in zip(above, rejected, strict=True)]
+            columns = [pa.array(p), pa.array([float(a.sum()) for a in above], pa.float64()), pa.array(likeliest, pa.int32()), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
     return source.mapInArrow(judge, schema)

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bidlake.llm import langid as L
 from bidlake.llm import toxicity as X
@@ -23,8 +25,6 @@ def test_language_edges(spark):
 
 
 def test_temperature():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     label = rng.integers(0, 3, 4000)
     logits = rng.normal(0, 1, (4000, 3))
@@ -73,3 +73,40 @@ def test_toxicity_edges(spark, corpus):
 def test_thresholds_in_order(spark, corpus):
     model = X.fit(*corpus)
     assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+
+
+def test_models_do_not_depend_on_partitions(spark, corpus):
+    docs, labels = corpus
+    docs = docs.unionByName(docs.limit(40))
+    rows = lambda df: sorted(map(str, df.collect()))
+    dealt = [docs.repartition(n, F.xxhash64("text", F.lit(n))) for n in (2, 7)]
+    assert rows(X.toxicity_report(dealt[0], labels)) == rows(X.toxicity_report(dealt[1], labels.repartition(3)))
+    spoken = [d.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 3)) for d in dealt]
+    assert rows(L.language_report(spoken[0])) == rows(L.language_report(spoken[1]))
+
+
+def test_lookup_finds_the_features_of_a_text():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abé") for _ in range(rnd.randint(1, 9))) + rnd.choice(["", ".", "!", ","]) for _ in range(60)]
+    texts = [None, "", " .. "] + [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 400))) for _ in range(40)]
+    every = np.unique(np.concatenate([X.features(t) for t in texts]))
+    vocabulary = np.sort(np.random.default_rng(1).choice(every, len(every) // 3, replace=False))
+    lookup = X.Lookup(vocabulary)
+    for t in texts:
+        assert lookup(t)[0].tolist() == [k for k, v in enumerate(vocabulary) if v in set(X.features(t))]
+
+
+def test_toxicity_labels_of_equal_texts_and_null_labels(spark, corpus):
+    docs, labels = corpus
+    again = docs.where("doc_id < 500").select((F.col("doc_id") + 5000).alias("doc_id"), "text")
+    more = labels.select((F.col("doc_id") + 5000).alias("doc_id"), F.lit(1).alias("toxic")).unionByName(spark.createDataFrame([(3, None), (None, 1)], "doc_id long, toxic int"))
+    kept = lambda y: sorted((r["doc_id"], r["p_toxic"]) for r in X.toxicity_report(docs, y).collect())
+    model = X.fit(docs.unionByName(again), labels.unionByName(more))
+    assert sorted((r["doc_id"], r["p_toxic"]) for r in X.score(docs, model).collect()) == kept(labels)
+
+
+def test_very_long_text(spark, corpus):
+    docs, labels = corpus
+    long = spark.createDataFrame([(9100, "grumble vilexo " * 200_000)], "doc_id long, text string")
+    assert X.score(long, X.fit(docs, labels)).first()["toxic"]
+    assert L.language_report(long.withColumn("lang", F.lit("en"))).count() == 1
