@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set(CHECKPOINT_DIR, path)
     return path.rstrip("/")
@@ -45,13 +47,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Let Arrow batches hold at most ``rows`` rows in this session: rows with whole texts are wide, and a
-    Python worker's memory follows the batch."""
+def small_batches(df: DataFrame, most: int = 2 << 20) -> DataFrame:
+    """Let Arrow batches hold at most about so many bytes in this session: rows with whole texts are wide, and a
+    Python worker's memory follows the batch. A stricter setting of the session's own stays."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH)) <= rows:
-        conf.set(BATCH, str(rows))
+    now = conf.get(BATCH_BYTES, None)
+    if now is None or not now.isdigit() or int(now) > most:
+        conf.set(BATCH_BYTES, str(most))
     return df
