@@ -3,6 +3,9 @@
 Each stage takes all that its predecessor kept. All stages but the last return the columns of
 ``documents``: toxic documents are gone after the first, copies after the second, secrets are masked by the
 third, and after the fourth a document stands as often as the mix uses it.
+
+Defined results of every stage: an empty table gives an empty table; columns besides id, text, source and
+n_chars are carried along; no stage fails on a null in any column.
 """
 
 from __future__ import annotations
@@ -21,28 +24,37 @@ from bidlake.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labels of the documents it is given and drops the documents it rejects."""
+    """Learns from the labels of the documents it is given and drops the documents it rejects.
+
+    A null or empty text, or a document without id, is judged as any other and stays unless rejected.
+    """
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike to 0.8 or more in five-word shingles, the one with the least id stays."""
+    """Of documents alike to 0.8 or more in five-word shingles, the one with the least id stays.
+
+    Texts without words and rows without id stay; of repeated rows one stays.
+    """
     return keep_one_of_each(docs, NearDup(width=5, percent=80))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of each secret; ``n_chars`` follows where a text changed."""
+    """Puts a mark in the place of each secret; ``n_chars`` follows where a text changed. A null text stays null."""
     masked = redact(docs.withColumn("_was", F.length("text")))
     return masked.withColumn("n_chars", F.when(F.length("text") != F.col("_was"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out or repeats documents so that each source has its target number of words."""
+    """Leaves out or repeats documents so that each source has its target number of words.
+
+    A null source is a source. A document without words takes nothing of any target and is left out.
+    """
     return mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document; the digest of the bytes they decode to shows the round trip."""
+    """Token ids of each document; the digest of the bytes they decode to shows the round trip. A null text counts as empty."""
     decoded = bpe_decode(bpe_encode(docs, offsets=False, keep=["doc_id", "source"]))
     return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
