@@ -10,8 +10,8 @@ which the wanted number of words is reached, and a running sum inside this bucke
 Only the pattern table (one row a pattern) and the flow are handled by the driver; a pattern count over
 ``MAX_PATTERNS`` is refused. Documents are never collected.
 
-Defined results: a null text has size 0; a document of size 0 takes 0 words; repeated rows are separate
-documents of equal hash, taken together or not at all; a null source is a source, last in order; an empty
+Defined results: a null text has size 0; a document of size 0 takes 0 words; rows that share an id are told
+apart by their texts; rows of equal id and text have one place in the order, and are used equally often; a null source is a source, last in order; an empty
 table gives an empty table. No document is used more than ``repeats`` times. Reruns agree.
 """
 
@@ -115,11 +115,13 @@ def mix(docs: DataFrame, memberships: Column, size: Column, targets, order: Colu
 
     ``memberships``: sorted array of the document's sources; ``size``: its words; ``targets``: a function
     from {source: size} to {source: quota}; ``order``: what identifies a document for the seeded order.
+    Texts are read twice: for a table of sizes and hashes from which the cut is found, and for the result.
     """
     spark = docs.sparkSession
     ranked = docs.withColumns({"_of": memberships, "_size": size, "_hash": F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), order), 256), 1, 15), 16, 10).cast("long")})
     ranked = ranked.withColumn("_bucket", F.shiftright("_hash", 48).cast("int"))
-    table = ranked.groupBy("_of").agg(F.sum("_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+    slim = materialize(ranked.select("_of", "_size", "_hash", "_bucket"), "mix-sizes")
+    table = slim.groupBy("_of").agg(F.sum("_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(table) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     patterns = {tuple(r["_of"]): int(r["size"] or 0) for r in table}
@@ -135,12 +137,12 @@ def mix(docs: DataFrame, memberships: Column, size: Column, targets, order: Colu
         plan.append((list(p), whole, round(words - whole * n)))
     plan_df = F.broadcast(spark.createDataFrame(plan, "_of array<string>, _whole int, _rest long"))
 
-    buckets = ranked.groupBy("_of", "_bucket").agg(F.sum("_size").alias("_sum"))
+    buckets = slim.groupBy("_of", "_bucket").agg(F.sum("_size").alias("_sum"))
     in_order = Window.partitionBy("_of").orderBy("_bucket")
     edges = buckets.withColumn("_before", F.sum("_sum").over(in_order.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_before"])
     edges = edges.join(plan_df, "_of").where((F.col("_before") < F.col("_rest")) & (F.col("_rest") <= F.col("_before") + F.col("_sum")))
     edges = edges.select("_of", F.col("_bucket").alias("_edge"), "_before")
-    inside = ranked.join(F.broadcast(edges.withColumnRenamed("_edge", "_bucket")), ["_of", "_bucket"])
+    inside = slim.join(F.broadcast(edges.withColumnRenamed("_edge", "_bucket")), ["_of", "_bucket"])
     inside = inside.groupBy("_of", "_bucket", "_hash", "_before").agg(F.sum("_size").alias("_own"))
     in_bucket = Window.partitionBy("_of", "_bucket").orderBy("_hash")
     inside = inside.join(plan_df, "_of").withColumn("_upto", F.col("_before") + F.sum("_own").over(in_bucket))
@@ -167,17 +169,16 @@ def cycle_targets(sizes: dict) -> dict:
     return quotas(sizes, {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(names)}, sum(sizes.values()))
 
 
-def mix_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with ``size`` and ``times``, source sizes); each document belongs to its one source."""
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    used = mix(docs, F.array(F.coalesce("source", F.lit(NULL_SOURCE))), F.col("size"), cycle_targets, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return used, sizes
+def mix_documents(docs: DataFrame, size: Column, digest: Column) -> DataFrame:
+    """``docs`` with ``times``; each document belongs to its one source. ``digest``: of its text, to tell apart rows that share an id."""
+    return mix(docs, F.array(F.coalesce("source", F.lit(NULL_SOURCE))), size, cycle_targets, F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """Per document: its size, its source's size and target, and the words that the mix takes of it."""
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    used, sizes = mix_documents(sized)
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("digest")), "mix-documents")
+    used = mix_documents(sized, F.col("size"), F.col("digest"))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rows = {NULL_SOURCE if r["source"] is None else r["source"]: int(r["source_size"]) for r in sizes.collect()}
     target = cycle_targets(rows)
     lookup = docs.sparkSession.createDataFrame([(s, n, float(target[s])) for s, n in rows.items()], "_key string, source_size long, target double")
@@ -190,7 +191,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is used, with the columns of ``docs``."""
-    columns = docs.columns
-    used, _ = mix_documents(docs.withColumn("size", word_count(F.col("text"))))
+    used = mix_documents(docs, word_count(F.col("text")), F.md5("text"))
     repeated = used.where(F.col("times") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), "times")))
-    return repeated.select(*columns)
+    return repeated.select(*docs.columns)

@@ -144,5 +144,5 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, keep: list[str], l
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in keep if c not in ("n_bytes", "n_tokens", "over_limit")]
     keyed = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    joined = keyed.join(counts, "digest")
+    joined = keyed.join(counts, "digest", "left")
     return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

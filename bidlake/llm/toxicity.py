@@ -9,7 +9,9 @@ Labels may hold grades 0, 1, 2 ... in any column. Where they only hold 0 and 1,
 of grade 2 when the share of its words that carry a learned feature is above the median of such documents.
 
 Training uses a bounded sample of labelled rows (``sample`` rows a label, by hash of the id); scoring reads
-every whole text. Defined results: a null or empty text has severity of no features; repeated rows get
+every whole text. A document is rejected from a probability of ``REJECT`` on, if its features speak for a grade over 0 at all.
+
+Defined results: a null or empty text has severity of no features and is not rejected; repeated rows get
 equal results; label rows without text, or null, are not learned from; of texts that repeat with several
 labels the least counts; with no labels of either kind
 nothing is rejected; an empty table gives an empty table.
@@ -144,10 +146,12 @@ class SeverityModel:
     def lookup(self) -> Lookup:
         return Lookup(self.vocabulary)
 
-    def above(self, text: str | None) -> np.ndarray:
+    def evidence(self, text: str | None) -> float:
+        return float(self.weights[self.lookup(text)[0]].sum())
+
+    def above(self, evidence: float) -> np.ndarray:
         """P(grade > k) for each threshold k."""
-        at = self.lookup(text)[0]
-        return sigmoid(self.weights[at].sum() - self.thresholds)
+        return sigmoid(evidence - self.thresholds)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int) -> DataFrame:
@@ -263,9 +267,10 @@ def score(docs: DataFrame, model: SeverityModel | None, text_col: str = "text",
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            above = [np.zeros(1) if model is None else model.above(t.as_py()) for t in batch.column(text_col)]
+            evidence = [0.0 if model is None else model.evidence(t.as_py()) for t in batch.column(text_col)]
+            above = [np.zeros(1) if model is None else model.above(e) for e in evidence]
             p = np.array([a[0] for a in above], dtype=np.float64)
-            rejected = p >= reject if model is not None else np.zeros(len(p), bool)
+            rejected = (p >= reject) & (np.array(evidence) > 0)
             likeliest = [1 + int(np.argmax(-np.diff(np.append(a, 0.0)))) if r else 0 for a, r in zip(above, rejected, strict=True)]
             columns = [pa.array(p), pa.array([float(a.sum()) for a in above], pa.float64()), pa.array(likeliest, pa.int32()), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])

@@ -47,3 +47,10 @@ def test_mixed_rows_and_empty(spark):
     assert out.columns == df.columns and 0 < out.count() <= 120
     assert M.mixed_rows(df.limit(0)).count() == 0 and M.mix_report(df.limit(0)).count() == 0
     assert M.mix_report(df.where(F.lit(False))).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_rows_without_id_reach_the_target(spark):
+    df = spark.createDataFrame([(None, "w " * (k % 7 + 8) + str(k), "a") for k in range(400)] + [(k, "w " * 10, "b") for k in range(40)], "doc_id long, text string, source string")
+    rows = M.mix_report(df).collect()
+    own = [r for r in rows if r["doc_id"] is None]
+    assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 15

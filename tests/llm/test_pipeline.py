@@ -40,3 +40,21 @@ def test_empty(spark):
     for _, stage in C.STAGES:
         docs = materialize(stage(spark, docs, SF), "test-empty")
     assert docs.count() == 0
+
+
+def test_nulls_in_every_column_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = [(None, None, None, None, None), (7001, None, None, "s", 0), (7002, "", "en", None, 0), (None, "some words", "en", "s", 10), (7003, "a few other words", None, "s", None), (7003, "a few other words", None, "s", None)]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")).select(*docs.columns)
+    for name, stage in C.STAGES:
+        before = rows
+        rows = materialize(stage(spark, rows, SF), "test-nulls")
+        if name == "toxicity":
+            assert rows.where("doc_id IS NULL").count() == 2 and rows.where("doc_id = 7003").count() == 2
+        if name == "near_duplicates":
+            assert rows.where("doc_id IS NULL").count() == 2 and rows.where("doc_id = 7003").count() == 1 and rows.where("doc_id = 7001").count() == 1
+        if name == "secrets":
+            assert rows.count() == before.count() and rows.where("text IS NULL").count() == before.where("text IS NULL").count()
+    assert rows.count() == before.count()
+    repeats = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
+    assert N.keep_one_of_each(repeats).count() == 1
