@@ -5,6 +5,8 @@ Patterns stay in the common subset of Java and RE2. A null text gives null or em
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,17 +14,29 @@ AMOUNT = r"(?:ZAR|R|\$)\s?([0-9][0-9 ,]*(?:\.[0-9]{1,2})?)"
 DAY = r"([0-9]{1,2} [A-Za-z]+ [0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
 # The smallest amount of interest, and the statutory limit that every notice quotes.
 LEAST_AMOUNT, BOILERPLATE_AMOUNT = 1000.0, 50_000_000.0
-# Placeholders that stand for no value.
-SENTINELS = ("", "pending", "n/a", "na", "none", "null", "nil", "nan", "unknown", "not provided", "not available", "not applicable", "tbc", "tbd", "to be confirmed", "-", "--", "xxx")
+# Placeholders that stand for no value, trimmed and in lower case; levels that stand for no level.
+SENTINELS = (
+    "pending", "n/a", "na", "n.a.", "tbc", "tba", "unknown", "none", "not applicable", "not available", "nil", "-", "--", "0", "null", "undefined", "to be confirmed", "to be advised",
+)
+SENTINEL_LEVELS = (0, 9)
+# Document types in order, what their lower-case text holds, and their labels.
 DOCUMENT_RULES = (
-    ("tax_clearance", r"(?i)tax (clearance|compliance)"),
-    ("bbbee_certificate", r"(?i)b-?bbee"),
-    ("csd_report", r"(?i)central supplier database|\bcsd\b"),
-    ("cidb_certificate", r"(?i)\bcidb\b"),
-    ("cipc_registration", r"(?i)\bcipc\b|certificate of incorporation"),
-    ("quotation", r"(?i)\bquotation\b"),
-    ("tender", r"(?i)\btender\b|\bbid document\b|terms of reference"),
+    ("CSD_CERT", r"central supplier database|maaa[0-9]{7}|csd supplier number|csd report", "CSD Registration Certificate"),
+    ("BBBEE_CERT", r"b-bbee|bbbee|broad-based black economic|sworn affidavit|eme|qse|black owned", "B-BBEE Certificate / Affidavit"),
+    ("TAX_CLEARANCE", r"sars|tax clearance|tax compliance status|tax pin", "Tax Clearance PIN / Certificate"),
+    ("CIDB_CERT", r"cidb|construction industry development|crs number|grading designation", "CIDB Registration Certificate"),
+    ("CIPC_COR14_3", r"cipc|cor14\.3|certificate of incorporation|registration of company|ck1|ck2", "CIPC / COR14.3 Company Registration"),
+    ("BANK_STATEMENT", r"bank confirmation|account number|financial statement|bank letter|absa|fnb|standard bank|nedbank|capitec", "Bank Confirmation / Financial Statements"),
+    ("TRACK_RECORD_LETTER", r"reference letter|appointment letter|testimonial|completion certificate|satisfactory performance|past contract", "Track Record / Reference Letter"),
 )
+UNKNOWN_TYPE = ("UNKNOWN", "Unclassified Document", "Unknown Document")
+# What the upper-case text or the currency of a tender of each region holds, and what the region asks for.
+UK_TEXT, UK_CURRENCY = r"£|CONTRACTS FINDER|UNITED KINGDOM", "GBP"
+ZA_TEXT, ZA_CURRENCY = r"RANDS|BBBEE|PPPFA|SOUTH AFRICA", "ZAR"
+REGIONS = {
+    "ZA": ("Conquest-ZA (South Africa PPPFA)", "PPPFA 80/20 & 90/10", ("Verify Tax Clearance Pin", "Attach BBBEE Sworn Affidavit / SANAS Certificate")),
+    "UK": ("Conquest-UK (United Kingdom MEAT)", "MEAT PCR 2015", ("Ensure CPV code alignment", "Verify social value statement compliance")),
+}
 BLOCK_RULES = (
     ("signature", r"(?i)\bsign(ature|ed)?\b"),
     ("declaration", r"(?i)\b(declare|oath|affidavit|certify)\b"),
@@ -30,6 +44,9 @@ BLOCK_RULES = (
     ("pricing", r"(?i)\b(price|rate|amount|total|cost)\b"),
     ("narrative", r"(?i)\b(statement|methodology|describe|motivat)"),
 )
+# Letters of Latin scripts whose compatibility decomposition is one ASCII letter with marks, and those letters.
+_PLAIN = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFKD", c))[0].isascii() and d[0].isalpha() and all(unicodedata.combining(m) for m in d[1:])}
+ACCENTED, UNACCENTED = "".join(_PLAIN), "".join(_PLAIN.values())
 WHITELIST = ("company_name", "registration_number", "vat_number", "tax_number", "email", "phone", "address")
 
 
@@ -94,21 +111,32 @@ def extract_company(text: Column) -> Column:
 
 
 def document_type(text: Column) -> Column:
-    """struct(type, confidence, hits): first rule that hits; 0.95 alone, 0.75 among several, 0.2 for none, 0 for no text."""
-    hits = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in DOCUMENT_RULES]))
-    empty = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
+    """struct(type, confidence, label, hits): first rule that hits; 0.95 alone, 0.75 among several, 0.2 for none, 0 for no text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hits = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p, _ in DOCUMENT_RULES]))
+    empty = F.length(low) == 0
     confidence = F.when(empty, 0.0).when(F.size(hits) == 1, 0.95).when(F.size(hits) > 1, 0.75).otherwise(0.2)
-    return F.struct(F.when(~empty, F.coalesce(F.get(hits, F.lit(0)), F.lit("other"))).otherwise("empty").alias("type"), confidence.alias("confidence"), hits.alias("hits"))
+    first = F.get(hits, F.lit(0))
+    label = F.when(empty, UNKNOWN_TYPE[2])
+    for name, _, title in DOCUMENT_RULES:
+        label = label.when(first == name, title)
+    return F.struct(F.coalesce(first, F.lit(UNKNOWN_TYPE[0])).alias("type"), confidence.alias("confidence"), label.otherwise(UNKNOWN_TYPE[1]).alias("label"), hits.alias("hits"))
 
 
-def region(text: Column, currency: Column) -> Column:
-    uk = text.rlike(r"(?i)find a tender|contracts finder|united kingdom") | (currency == "GBP")
-    return F.when(F.coalesce(uk, F.lit(False)), "UK").otherwise("ZA")
+def region(text: Column, currency: Column, override: Column | None = None) -> Column:
+    """struct(region, engine, framework, recommendations): an override, else signals of the UK, then of ZA; ZA without any."""
+    upper, money = F.upper(F.coalesce(text, F.lit(""))), F.upper(F.coalesce(currency, F.lit("")))
+    signals = F.when(F.contains(money, F.lit(UK_CURRENCY)) | upper.rlike(UK_TEXT), "UK").when(F.contains(money, F.lit(ZA_CURRENCY)) | upper.rlike(ZA_TEXT), "ZA").otherwise("ZA")
+    found = signals if override is None else F.when(override.isin(*REGIONS), override).otherwise(signals)
+    advice = lambda name, k: F.array(*map(F.lit, REGIONS[name][k])) if k == 2 else F.lit(REGIONS[name][k])
+    parts = [F.when(found == "UK", advice("UK", k)).otherwise(advice("ZA", k)).alias(c) for k, c in enumerate(("engine", "framework", "recommendations"))]
+    return F.struct(found.alias("region"), *parts)
 
 
 def normalize_label(label: Column) -> Column:
-    """Matching key: no brackets, numbering, leaders or punctuation, lower case, single spaces."""
-    x = F.lower(F.regexp_replace(F.coalesce(label, F.lit("")), r"\([^)]*\)", " "))
+    """Matching key: no accents, brackets, numbering, leaders or punctuation, lower case, single spaces."""
+    plain = F.translate(F.coalesce(label, F.lit("")), ACCENTED, UNACCENTED)
+    x = F.lower(F.regexp_replace(plain, r"\([^)]*\)", " "))
     x = F.regexp_replace(x, r"^\s*[0-9]+(\.[0-9]+)*[.)]?\s+", "")
     return F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))
 
@@ -146,7 +174,13 @@ def fill_decision(block: Column, canonical: Column, score: Column, value: Column
 
 
 def null_sentinels(value: Column) -> Column:
-    return F.when(~F.lower(F.trim(value)).isin(*SENTINELS), value)
+    """The value, or null where it is blank or stands for none."""
+    return F.when(~F.lower(F.trim(value)).isin(*SENTINELS, ""), value)
+
+
+def null_level(level: Column) -> Column:
+    """A contribution level, or null where it stands for an unread or missing one."""
+    return F.when(~null_sentinels(level.cast("string")).try_cast("int").isin(*SENTINEL_LEVELS), level)
 
 
 def valid_sa_id(number: Column) -> Column:
@@ -186,7 +220,7 @@ def eligibility(docs: DataFrame, suppliers: DataFrame) -> DataFrame:
     province warns; no text passes with low confidence.
     """
     text = F.coalesce("text", F.lit(""))
-    pairs = docs.crossJoin(F.broadcast(suppliers))
+    pairs = docs.crossJoin(suppliers)
     threshold = _first(text, r"(?i)minimum[^0-9%]{0,40}([0-9]{1,3}) ?%").try_cast("int")
     history = F.coalesce(_first(text, r"(?i)past contracts[^0-9]{0,20}([0-9]{1,3})").try_cast("int"), F.lit(0))
     failures = F.array_compact(
@@ -209,7 +243,7 @@ def match_labels_exact(labels: DataFrame, aliases: DataFrame, blocked: DataFrame
     known = aliases.select(normalize_label(F.col("alias")).alias("key"), "canonical", "position").groupBy("key").agg(F.min_by("canonical", "position").alias("canonical"))
     keyed = labels.withColumn("key", normalize_label(F.col("label")))
     bad = blocked.select(normalize_label(F.col("key")).alias("key")).distinct()
-    return keyed.join(bad, "key", "left_anti").join(F.broadcast(known), "key", "left")
+    return keyed.join(bad, "key", "left_anti").join(known, "key", "left")
 
 
 def match_labels_fuzzy(labels: DataFrame, aliases: DataFrame, enough: float = 85.0, second: float = 75.0, margin: float = 8.0) -> DataFrame:
@@ -221,7 +255,7 @@ def match_labels_fuzzy(labels: DataFrame, aliases: DataFrame, enough: float = 85
     words = lambda c: F.array_sort(F.split(c, " "))
     keys = labels.select(normalize_label(F.col("label")).alias("key")).distinct()
     known = aliases.select(normalize_label(F.col("alias")).alias("alias_key"), "canonical").where(F.col("alias_key").isNotNull()).distinct()
-    pairs = keys.where(F.col("key").isNotNull()).crossJoin(F.broadcast(known))
+    pairs = keys.where(F.col("key").isNotNull()).crossJoin(known)
     ratio = lambda a, b: 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
     scored = pairs.select("key", "canonical", ratio(F.col("key"), F.col("alias_key")).alias("score"), ratio(F.array_join(words(F.col("key")), " "), F.array_join(words(F.col("alias_key")), " ")).alias("other"))
     best = scored.groupBy("key", "canonical").agg(F.max(F.struct("score", "other")).alias("b")).select("key", "canonical", "b.score", "b.other")

@@ -51,17 +51,17 @@ def share(df: DataFrame, by: list[str], value: str, name: str = "share") -> Data
 def asof_left(left: DataFrame, stats: DataFrame, by: list[str], left_on: str, stats_on: str, columns: list[str], offset: int = 1) -> DataFrame:
     """``left`` with ``columns`` of the latest stats row of its key with ``stats_on <= left_on - offset``; null when none.
 
-    One shuffle by key: stats and probes are interleaved by time, and the last stats row is carried on.
-    ``stats`` must be unique per (by, stats_on).
+    Only the distinct (key, time) of ``left`` are interleaved with the stats and get the last stats row carried
+    on, so that what a window task holds follows the times of a key and not its rows; an equi-join brings the
+    result back. ``stats`` must be unique per (by, stats_on).
     """
-    probe = left.select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(stats.select(F.struct(*columns)).schema[0].dataType).alias("_stats"))
-    known = stats.select(*by, (F.col(stats_on) + offset).cast(left.schema[left_on].dataType).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*columns).alias("_stats"))
-    findable = F.lit(True)
-    for c in by:
-        findable = findable & F.col(c).isNotNull()
+    value = F.struct(*columns)
+    probe = left.select(*by, left_on).dropna().distinct().select(*by, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(stats.select(value).schema[0].dataType).alias("_stats"))
+    known = stats.dropna(subset=[*by, stats_on]).select(*by, (F.col(stats_on) + offset).cast(left.schema[left_on].dataType).alias("_t"), F.lit(0).alias("_side"), value.alias("_stats"))
     upto = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = known.where(findable).unionByName(probe.where(findable)).withColumn("_stats", F.last("_stats", ignorenulls=True).over(upto)).where(F.col("_side") == 1)
-    return carried.unionByName(probe.where(~findable)).select("_left.*", *[F.col(f"_stats.{c}").alias(c) for c in columns])
+    carried = known.unionByName(probe).withColumn("_stats", F.last("_stats", ignorenulls=True).over(upto)).where(F.col("_side") == 1)
+    carried = carried.select(*by, F.col("_t").alias(left_on), *[F.col(f"_stats.{c}").alias(c) for c in columns])
+    return left.join(carried, [*by, left_on], "left").select(*left.columns, *columns)
 
 
 def category(cpvs: Column) -> Column:

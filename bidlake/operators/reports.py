@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Limits by tier; prices in USD per million tokens; the VAT rate; required documents.
-TIERS = [("free", 0, 0), ("pro", 5, 3), ("business", 50, 25)]
+TIERS = [("starter", 0, 0), ("pro", 5, 3), ("enterprise", 50, 25)]
 REQUIRED_DOCUMENTS = ["tax_clearance", "csd_report", "bbbee_certificate", "cipc_registration", "cidb_certificate"]
 VAT = 0.15
 COST_ALERT, LIMIT_ALERT = 50.0, 10

@@ -25,10 +25,15 @@ def notices(spark, sf_dir):
     return o.select("o_orderkey", "o_custkey", "o_totalprice", text.alias("text"))
 
 
-@query("d1_extract_money", "SELECT o_orderkey, round(o_totalprice, 2) AS value, CAST(floor(o_totalprice / 2) AS DOUBLE) AS bid FROM orders WHERE o_totalprice > 3000")
+@query("d1_extract_money", """WITH v AS (SELECT o_orderkey, o_custkey % 3 AS k, round(o_totalprice, 2) AS v, CAST(floor(o_totalprice / 2) AS DOUBLE) AS b FROM orders), f AS (
+SELECT *, list_filter(CASE k WHEN 0 THEN [v, b] WHEN 1 THEN [v, b] ELSE [b] END, lambda x: x > 1000 AND x <> 50000000) AS a FROM v)
+SELECT o_orderkey, CASE WHEN k = 0 THEN v WHEN list_max(a) > list_min(a) THEN list_max(a) END AS value, CASE WHEN k = 0 THEN b ELSE list_min(a) END AS bid, CAST(len(list_distinct(a)) AS INTEGER) AS n_amounts FROM f""")
 def extract_money(spark, sf_dir):
-    out = notices(spark, sf_dir).where("o_totalprice > 3000").select("o_orderkey", D.extract_money(F.col("text")).alias("m"))
-    return out.select("o_orderkey", F.col("m.value").alias("value"), F.col("m.bid").alias("bid"))
+    """Notices with labelled amounts, with two amounts without labels, and with one."""
+    kind, plain = F.col("o_custkey") % 3, table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%.2f", "o_totalprice").alias("v"), F.format_string("%.2f", F.floor(F.col("o_totalprice") / 2).cast("double")).alias("b"))
+    loose = F.when(kind == 1, F.concat(F.lit("For R "), "v", F.lit(" or ZAR "), "b", F.lit("; the limit of R 50,000,000.00 stands."))).otherwise(F.concat(F.lit("Up to $ "), "b", F.lit(".")))
+    out = notices(spark, sf_dir).join(plain, "o_orderkey").select("o_orderkey", D.extract_money(F.when(kind == 0, F.col("text")).otherwise(loose)).alias("m"))
+    return out.select("o_orderkey", F.col("m.value").alias("value"), F.col("m.bid").alias("bid"), F.size("m.amounts").alias("n_amounts"))
 
 
 @query("d2_extract_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS briefing, CAST(o_orderdate + INTERVAL 21 DAY AS DATE) AS closing, CAST(greatest(0, date_diff('day', DATE '1998-01-01', CAST(o_orderdate + INTERVAL 21 DAY AS DATE))) AS INTEGER) AS deadline_days FROM orders")
@@ -43,11 +48,21 @@ def extract_terms(spark, sf_dir):
     return notices(spark, sf_dir).select("o_orderkey", D.extract_terms(F.col("text")).alias("t")).select("o_orderkey", "t.*")
 
 
-@query("d4_completeness", "SELECT o_orderkey, CASE WHEN o_totalprice > 3000 THEN 1.0::DOUBLE END AS share FROM orders WHERE o_totalprice > 3000")
+@query("d4_completeness", """WITH p AS (SELECT o_orderkey, o_custkey % 2 = 1 AS value, o_custkey % 3 = 0 AND (o_custkey % 2 = 1 OR round(o_totalprice, 2) <= 1000) AS bid, o_custkey % 5 = 0 AS closing, o_orderstatus = 'P' AS system FROM orders)
+SELECT o_orderkey, (4 - value::INT - bid::INT - closing::INT - system::INT) / 4.0::DOUBLE AS share, array_to_string(list_filter([CASE WHEN value THEN 'value' END, CASE WHEN bid THEN 'bid' END, CASE WHEN closing THEN 'closing' END, CASE WHEN system THEN 'system' END], lambda x: x IS NOT NULL), ',') AS missing,
+value OR bid OR value::INT + bid::INT + closing::INT + system::INT > 2 AS incomplete FROM p""")
 def completeness(spark, sf_dir):
-    out = notices(spark, sf_dir).where("o_totalprice > 3000").select("o_orderkey", D.extract_money(F.col("text")).alias("m"), D.extract_dates(F.col("text"), F.current_date()).alias("d"), D.extract_terms(F.col("text")).alias("t"))
+    """Notices that lack any of their parts."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_custkey")
+    part = lambda shown, *text: F.when(shown, F.concat(*text)).otherwise("")
+    text = F.concat(
+        F.lit("Notice. "), part(k % 2 == 0, F.lit("Estimated value: R "), F.format_string("%.2f", "o_totalprice"), F.lit(". ")), part(k % 3 > 0, F.lit("Bid price: R "), F.format_string("%.2f", F.floor(F.col("o_totalprice") / 2).cast("double")), F.lit(". ")),
+        part(k % 5 > 0, F.lit("Closing date: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(". ")), F.when(F.col("o_orderstatus") == "F", "80/20 applies.").when(F.col("o_orderstatus") == "O", "90/10 applies.").otherwise(""),
+    )
+    out = o.select("o_orderkey", D.extract_money(text).alias("m"), D.extract_dates(text, F.lit("1998-01-01").cast("date")).alias("d"), D.extract_terms(text).alias("t"))
     fields = {"value": F.col("m.value"), "bid": F.col("m.bid"), "closing": F.col("d.closing"), "system": F.col("t.system")}
-    return out.select("o_orderkey", D.completeness(fields)["share"].alias("share"))
+    found = D.completeness(fields)
+    return out.select("o_orderkey", found["share"].alias("share"), F.array_join(found["missing"], ",").alias("missing"), found["incomplete"].alias("incomplete"))
 
 
 COMPANY_SQL = """SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'MAAA' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') END AS supplier_number, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 9 WHEN s_suppkey % 5 = 1 THEN s_suppkey % 8 + 1 WHEN s_suppkey % 5 = 2 THEN 1 WHEN s_suppkey % 5 = 3 THEN 2 END AS INTEGER) AS level,
@@ -71,20 +86,34 @@ def accreditation_gaps(spark, sf_dir):
     return D.accreditation_gaps(companies(spark, sf_dir).select("s_suppkey", D.extract_company(F.col("text")).alias("c")).select("s_suppkey", "c.*"), "s_suppkey")
 
 
-@query("d6_document_type", "SELECT s_suppkey AS id, 'csd_report' AS type, 0.95::DOUBLE AS confidence FROM supplier UNION ALL SELECT o_orderkey, 'tender', 0.95 FROM orders")
+TYPE_TEXTS = (
+    "Your CSD report number", "Issued by an accredited B-BBEE body", "SARS tax PIN letter", "Grading designation 4GB", "Form CK2 of the close corporation", "A letter of Nedbank", "A testimonial by a client",
+    "Printout of prices", "Tax compliance status and cidb grade", "",
+)
+
+
+@query("d6_document_type", """SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'CSD_CERT' WHEN 1 THEN 'BBBEE_CERT' WHEN 2 THEN 'TAX_CLEARANCE' WHEN 3 THEN 'CIDB_CERT' WHEN 4 THEN 'CIPC_COR14_3' WHEN 5 THEN 'BANK_STATEMENT' WHEN 6 THEN 'TRACK_RECORD_LETTER' WHEN 8 THEN 'TAX_CLEARANCE' ELSE 'UNKNOWN' END AS type,
+CASE p_partkey % 10 WHEN 7 THEN 0.2 WHEN 8 THEN 0.75 WHEN 9 THEN 0.0 ELSE 0.95 END::DOUBLE AS confidence, CASE p_partkey % 10 WHEN 0 THEN 'CSD_CERT' WHEN 1 THEN 'BBBEE_CERT' WHEN 2 THEN 'TAX_CLEARANCE' WHEN 3 THEN 'CIDB_CERT' WHEN 4 THEN 'CIPC_COR14_3' WHEN 5 THEN 'BANK_STATEMENT' WHEN 6 THEN 'TRACK_RECORD_LETTER' WHEN 8 THEN 'TAX_CLEARANCE,CIDB_CERT' ELSE '' END AS hits FROM part""")
 def document_type(spark, sf_dir):
-    texts = companies(spark, sf_dir).select(F.col("s_suppkey").alias("id"), "text").unionByName(notices(spark, sf_dir).select(F.col("o_orderkey").alias("id"), "text"))
-    return texts.select("id", D.document_type(F.col("text")).alias("t")).select("id", "t.type", "t.confidence")
+    """One text a part: of each type, of none, of two, and empty."""
+    text = F.element_at(F.array(*map(F.lit, TYPE_TEXTS)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    found = table(spark, sf_dir, "part").select("p_partkey", D.document_type(text).alias("t"))
+    return found.select("p_partkey", "t.type", "t.confidence", F.array_join("t.hits", ",").alias("hits"))
 
 
-@query("d7_region", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'UK' ELSE 'ZA' END AS region FROM documents")
+@query("d7_region", """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'UK' WHEN 1 THEN 'UK' WHEN 2 THEN 'UK' WHEN 6 THEN 'UK' ELSE 'ZA' END AS region, CASE WHEN c_custkey % 7 IN (0, 1, 2, 6) THEN 'MEAT PCR 2015' ELSE 'PPPFA 80/20 & 90/10' END AS framework,
+CASE WHEN c_custkey % 7 IN (0, 1, 2, 6) THEN 'Ensure CPV code alignment' ELSE 'Verify Tax Clearance Pin' END AS first_advice FROM customer""")
 def region(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", D.region(F.col("text"), F.when(F.col("doc_id") % 4 == 0, "GBP").otherwise("ZAR")).alias("region"))
+    """Notices that name a region by a sign, by words, by currency, by both, or not at all."""
+    k = F.col("c_custkey") % 7
+    text = F.when(k == 0, "Value £5,000").when(k == 1, "See Contracts Finder.").when(k == 3, "Paid in rands").when(k == 4, "The PPPFA applies").when(k == 6, "United Kingdom or South Africa").otherwise("A notice")
+    found = table(spark, sf_dir, "customer").select("c_custkey", D.region(text, F.when(k == 2, "gbp").when(k == 6, "ZAR")).alias("r"))
+    return found.select("c_custkey", "r.region", "r.framework", F.col("r.recommendations")[0].alias("first_advice"))
 
 
 @query("d8_normalize_label", "SELECT s_suppkey, 'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS key FROM supplier")
 def normalize_label(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", D.normalize_label(F.concat(F.lit("1.2) "), F.col("s_name"), F.lit(" (if any): ....."))).alias("key"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", D.normalize_label(F.concat(F.lit("1.2) "), F.regexp_replace("s_name", "Supplier", "Sùpplïér"), F.lit(" (if any): ....."))).alias("key"))
 
 
 @query("d14_block_rules", """SELECT event_id, CASE event_type WHEN 'click' THEN 'signature' WHEN 'error' THEN 'signing_date' WHEN 'purchase' THEN 'pricing' WHEN 'signup' THEN 'empty' END AS reason FROM events""")
@@ -106,9 +135,12 @@ def fill_decisions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", D.fill_decision(F.when(kind == "click", "signature"), canonical, F.col("value") / 5, F.when(F.col("event_id") % 2 == 1, "x")).alias("decision"))
 
 
-@query("d18_null_sentinels", "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS source FROM documents")
+@query("d18_null_sentinels", "SELECT doc_id, CASE WHEN doc_id % 21 >= 19 THEN source END AS source, CAST(CASE WHEN doc_id % 10 NOT IN (0, 9) THEN doc_id % 10 END AS INTEGER) AS level FROM documents")
 def null_sentinels(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", D.null_sentinels(F.when(F.col("doc_id") % 3 == 0, " Pending ").otherwise(F.col("source"))).alias("source"))
+    """Each placeholder in turn, a blank, and sources as they are; levels 0 to 9."""
+    held = F.get(F.array(*map(F.lit, [f" {x.title()} " for x in D.SENTINELS] + ["  "])), (F.col("doc_id") % 21).cast("int"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", D.null_sentinels(F.when(F.col("doc_id") % 21 < 19, held).otherwise(F.col("source"))).alias("source"), D.null_level((F.col("doc_id") % 10).cast("int")).alias("level"))
 
 
 @query("d13_fillable", "SELECT s_suppkey, s_suppkey % 2 = 0 AS fillable FROM supplier")
@@ -171,12 +203,12 @@ def match_labels_exact(spark, sf_dir):
     return D.match_labels_exact(labels, aliases, spark.createDataFrame([("page",)], "key string")).select("event_id", "canonical")
 
 
-@query("d10_match_labels_fuzzy", "SELECT DISTINCT CASE event_type WHEN 'view' THEN 'telephone numbre' WHEN 'click' THEN 'e mail adress' ELSE 'closing time' END AS key, CASE event_type WHEN 'view' THEN 'unmatched' WHEN 'click' THEN 'matched' ELSE 'unmatched' END AS status FROM events")
+@query("d10_match_labels_fuzzy", "SELECT DISTINCT CASE event_type WHEN 'view' THEN 'telephone numbre' WHEN 'click' THEN 'e mail adress' ELSE 'closing time' END AS key, CASE event_type WHEN 'view' THEN 'matched' WHEN 'click' THEN 'matched' ELSE 'unmatched' END AS status FROM events")
 def match_labels_fuzzy(spark, sf_dir):
     kind = F.col("event_type")
     label = F.when(kind == "view", "Telephone numbre").when(kind == "click", "E-mail adress").otherwise("Closing time")
     aliases = spark.createDataFrame(ALIASES, "alias string, canonical string, position int")
-    return D.match_labels_fuzzy(table(spark, sf_dir, "events").select(label.alias("label")), aliases, 88.0).select("key", "status")
+    return D.match_labels_fuzzy(table(spark, sf_dir, "events").select(label.alias("label")), aliases).select("key", "status")
 
 
 @query("d23_eligibility", """SELECT o_orderkey, s.name AS company_name, s.wins = 0 AS hard, s.wins > 0 AS eligible FROM orders, (VALUES ('new', 0), ('old', 5)) AS s(name, wins)""")

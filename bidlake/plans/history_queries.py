@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlake.common import materialize
 from bidlake.operators import history as H
 from bidlake.operators import prepare as P
 from bidlake.plans.registry import query
@@ -86,8 +87,8 @@ FROM raw r ASOF LEFT JOIN running s ON r.bidder_name = s.bidder_name AND r.publi
 @query("j2_asof_win_rate", ASOF_SQL)
 def asof_win_rate(spark, sf_dir):
     """For every bid, the bidder's win rate in strictly earlier years."""
-    pairs = pairs_of(spark, sf_dir).select("pair_id", H.BIDDER, H.YEAR)
-    bids = raw_contracts(spark, sf_dir)
+    bids = materialize(raw_contracts(spark, sf_dir).select("lot_id", "bidder_masterid", H.BIDDER, H.YEAR, "bid_iswinning", "bid_price", "tender_id"), "bids")
+    pairs = P.build_pairs(bids).select("pair_id", H.BIDDER, H.YEAR)
     running = H.cumulative(H.entries_by_year(bids, [H.BIDDER]), [H.BIDDER], H.YEAR, ["entries", "wins"])
     stats = running.select(H.BIDDER, H.YEAR, F.col("cum_entries").alias("prior_entries"), F.col("cum_wins").alias("prior_wins"))
     out = H.asof_left(pairs, stats, [H.BIDDER], H.YEAR, H.YEAR, ["prior_entries", "prior_wins"])
@@ -142,7 +143,8 @@ ROUNDED = ("pit_win_rate_overall", "pit_win_rate_country", "pit_experience_score
 
 @query("a5_supplier_features", FEATURES_SQL)
 def supplier_features(spark, sf_dir):
-    out = H.supplier_features(raw_contracts(spark, sf_dir), pairs_of(spark, sf_dir))
+    bids = materialize(raw_contracts(spark, sf_dir), "bids")
+    out = H.supplier_features(bids, P.build_pairs(bids))
     return out.withColumns({c: F.round(c, 6) for c in ROUNDED} | {"pit_avg_contract_value": F.round("pit_avg_contract_value", 2)})
 
 

@@ -111,15 +111,16 @@ def chronological(spark, sf_dir):
     return P.temporal_features(pairs_of(spark, sf_dir)).select("pair_id", "publish_year", "publish_month").orderBy("publish_year", "publish_month", "pair_id")
 
 
-@query("d15_document_context", "SELECT doc_id, 'form' AS context FROM documents WHERE text NOT ILIKE '%affidavit%' AND text NOT ILIKE '%declaration of interest%' AND text NOT ILIKE '%sbd%'")
+@query("d15_document_context", "SELECT doc_id, CASE WHEN doc_id % 4 < 3 OR regexp_matches(coalesce(text, ''), '(?i)\\bsbd ?[0-9]') THEN 'declaration' ELSE 'form' END AS context FROM documents")
 def document_context(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.lower("text").contains("sbd"))
-    return docs.select("doc_id", D.document_context(F.col("text")).alias("context"))
+    """Every document, three of four with a mark of a declaration form."""
+    mark = F.get(F.array(*map(F.lit, (" SBD 4", " Declaration of Interest", " a sworn affidavit", ""))), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", D.document_context(F.concat(F.coalesce("text", F.lit("")), mark)).alias("context"))
 
 
-@query("x10_score_stream", "SELECT o_orderkey, CASE WHEN o_totalprice > 50000000 THEN '90/10' ELSE '80/20' END AS system, CASE WHEN o_totalprice / 500000 >= 0.5 THEN 'PURSUE' ELSE 'PASS' END AS recommendation FROM orders WHERE o_totalprice > 3000")
+@query("x10_score_stream", "SELECT o_orderkey, CASE WHEN o_totalprice > 50000000 THEN '90/10' ELSE '80/20' END AS system, CASE WHEN o_totalprice / 500000 >= 0.5 THEN 'PURSUE' ELSE 'PASS' END AS recommendation FROM orders")
 def score_stream(spark, sf_dir):
     """The document-scoring plan in its batch form: extract, infer the system, score, recommend."""
-    docs = notices(spark, sf_dir).where("o_totalprice > 3000").withColumn("m", D.extract_money(F.col("text")))
+    docs = notices(spark, sf_dir).withColumn("m", D.extract_money(F.col("text")))
     scored = docs.select("o_orderkey", R.evaluation_system(F.col("m.value")).alias("system"), (F.col("m.value") / 500000).alias("p"))
     return scored.select("o_orderkey", "system", R.recommend(F.col("p"), 0.5)["recommendation"].alias("recommendation"))

@@ -69,7 +69,7 @@ SELECT *, CASE WHEN action_type NOT IN ('purchase', 'view') THEN 0 WHEN company_
 SELECT company_id, action_type, day, used, CAST(daily AS INTEGER) AS daily, greatest(0, daily - used) AS remaining, used < daily AS allowed FROM l""")
 def usage_today(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("company_id"), F.col("event_type").alias("action_type"), "ts")
-    tier = F.when(F.col("company_id") % 3 == 0, "free").when(F.col("company_id") % 3 == 1, "pro").otherwise("business")
+    tier = F.when(F.col("company_id") % 3 == 0, "starter").when(F.col("company_id") % 3 == 1, "pro").otherwise("enterprise")
     companies = events.select("company_id").distinct().withColumn("tier", tier)
     tiers = spark.createDataFrame([(t, a, n) for t, quotes, fills in A.TIERS for a, n in (("purchase", quotes), ("view", fills))], "tier string, action_type string, daily int")
     return A.usage_today(events, companies, tiers)

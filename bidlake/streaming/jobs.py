@@ -68,11 +68,11 @@ def decide_batch(events: DataFrame, step: Step) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, []
+        key, state = object(), []
         for pdf in batches:
             parts = []
             for k, part in pdf.groupby("key", sort=False, dropna=False):
-                if k != key:
+                if k != key and not (pd.isna(k) and pd.isna(key)):  # a null key comes as NaN
                     key, state = k, []
                 done, state = _run(part, step, state)
                 parts.append(done)

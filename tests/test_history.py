@@ -41,3 +41,13 @@ def test_asof_without_match_and_empty(spark):
     got = sorted(((r["k"], r["t"], r["v"]) for r in H.asof_left(left, stats, ["k"], "t", "y", ["v"]).collect()), key=str)
     assert got == sorted([("a", 5, 7), ("a", 1, None), (None, 5, None)], key=str)
     assert H.asof_left(left.limit(0), stats, ["k"], "t", "y", ["v"]).count() == 0
+
+
+def test_asof_of_a_hot_key_carries_distinct_times_only(spark):
+    left = spark.range(60_000).select(F.lit("a").alias("k"), (F.col("id") % 7).cast("int").alias("t"), "id")
+    stats = spark.createDataFrame([("a", 2, 20), ("a", 4, 40)], "k string, y int, v int")
+    got = H.asof_left(left, stats, ["k"], "t", "y", ["v"])
+    assert {(r["t"], r["v"]): r["count"] for r in got.groupBy("t", "v").count().collect()} == {(t, None if t < 3 else 20 if t < 5 else 40): 60_000 // 7 + (t < 60_000 % 7) for t in range(7)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "Aggregate" in window and "id#" not in window.split("Union")[0]

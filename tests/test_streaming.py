@@ -46,3 +46,14 @@ def test_upsert_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     X.upsert_stream(stream, str(tmp_path / "out"), ["key"], "version", str(tmp_path / "c")).awaitTermination(120)
     assert {(r["key"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {("k", "new"), ("m", "x")}
+
+
+def test_null_key_keeps_its_state_over_slices(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        events = spark.createDataFrame([(None, i, float(i), False) for i in range(8)], SCHEMA)
+        assert sum(r["admitted"] for r in X.decide_batch(events, X.replay_window(100.0)).collect()) == 1
+    finally:
+        spark.conf.set(name, before)
