@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidlake.operators.ranks import running
+
 
 def score_counts(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Positives and negatives of each distinct score, with running totals from the highest score down.
 
-    Aggregating first keeps the window to one row a distinct score.
+    Scores are counted first; the running totals are made inside buckets of scores, not in one task.
     """
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    return running(per, list(by), score, {"tp": "pos", "fp": "neg"}, descending=True)
 
 
 def auc_table(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidlake.operators.ranks import quantiles
+
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """The frame itself, or an error that names every missing column, before any work is done."""
@@ -226,8 +228,9 @@ def ordinal_encode(df: DataFrame, dictionary: DataFrame, columns: list[str], unk
 
 def median_impute(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls as the exact training median, 0 where training has no value."""
-    medians = train.agg(*[F.median(c).alias(c) for c in columns]).first()
-    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))).alias(c) if c in columns else c for c in df.columns])
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    medians = {r["column"]: r["q"][0] for r in quantiles(long, [0.5]).collect()}  # one row a column
+    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(medians.get(c) or 0.0))).alias(c) if c in columns else c for c in df.columns])
 
 
 def bool_to_int(df: DataFrame) -> DataFrame:

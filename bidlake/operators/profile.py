@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from bidlake.operators.ranks import quantiles
 from pyspark.sql import types as T
 
 
@@ -55,8 +57,11 @@ def numeric_summary(df: DataFrame, columns: list[str], approximate: bool = False
     """Castable count, least, quartiles, 95 %, greatest and mean of each column; text that is no number is left out."""
     values = df.select(*[F.col(c).cast("string").try_cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value").where(F.col("value").isNotNull())
     at = [0.25, 0.5, 0.75, 0.95]
-    q = F.percentile_approx("value", at, 10_000) if approximate else F.percentile("value", F.array(*[F.lit(p) for p in at]))
-    out = values.groupBy("column").agg(F.count("*").alias("n"), F.min("value").alias("least"), q.alias("q"), F.max("value").alias("greatest"), F.avg("value").alias("mean"))
+    own = [F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.avg("value").alias("mean")]
+    if approximate:
+        out = values.groupBy("column").agg(*own, F.percentile_approx("value", at, 10_000).alias("q"))
+    else:
+        out = values.groupBy("column").agg(*own).join(quantiles(values, at), "column")
     return out.select("column", "n", "least", *[F.col("q")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75", "p95"))], "greatest", "mean")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidlake.common import materialize
+from bidlake.operators.ranks import positions
+
 # Limits by tier; prices in USD per million tokens; the VAT rate; required documents.
 TIERS = [("starter", 0, 0), ("pro", 5, 3), ("enterprise", 50, 25)]
 REQUIRED_DOCUMENTS = ["tax_clearance", "csd_report", "bbbee_certificate", "cipc_registration", "cidb_certificate"]
@@ -169,35 +172,36 @@ def rolling_count(events: DataFrame, key: str, at: str, seconds: int) -> DataFra
     return events.withColumn("recent", F.count("*").over(Window.partitionBy(key).orderBy(t).rangeBetween(-seconds * 1_000_000, 0)))
 
 
-def market_permutation(pairs: DataFrame, market: list[str], key: str, bidder: list[str], seed: str = "market") -> DataFrame:
+def market_permutation(pairs: DataFrame, market: list[str], key: str, bidder: list[str], seed: str = "market", times: int = 1) -> DataFrame:
     """Each row with the bidder of another place in its market: a seeded permutation of whole bidders.
 
-    Two orders of the rows of a market, by key and by seeded hash, are joined by position; nothing is
-    collected, and a bidder's id and name move together.
+    Two orders of the rows of a market, by hashes of different seeds, are joined by position; nothing is
+    collected, and a bidder's id and name move together. With ``times`` above 1 each row comes once for
+    each of so many permutations. A market's positions are made in parts, so a hot market is no one's task.
     """
-    by_key = Window.partitionBy(*market).orderBy(key)
-    by_hash = Window.partitionBy(*market).orderBy(F.xxhash64(F.lit(seed), key), key)
-    places = pairs.withColumn("_at", F.row_number().over(by_key))
-    moved = pairs.select(*market, F.row_number().over(by_hash).alias("_at"), *[F.col(b).alias(f"new_{b}") for b in bidder])
-    return places.join(moved, [*market, "_at"]).drop("_at")
+    places = positions(pairs, market, F.xxhash64(F.lit(f"{seed}-place"), key), "_at")
+    source = pairs.select(*market, F.col(key).alias("_key"), *[F.col(b).alias(f"new_{b}") for b in bidder], F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_k"))
+    moved = positions(source, [*market, "_k"], F.xxhash64(F.lit(seed), "_k", "_key"), "_at").drop("_key", "_k")
+    place = F.struct(*market, "_at")
+    joined = places.withColumn("_place", place).join(moved.select(place.alias("_place"), *[f"new_{b}" for b in bidder]), "_place")
+    return joined.select(*pairs.columns, *[f"new_{b}" for b in bidder])
 
 
 def synthetic_negatives(pairs: DataFrame, market: list[str], target: float = 0.15, trigger: float = 0.30, most: int = 10) -> DataFrame:
     """Losing pairs from seeded permutations inside each market, none of them a real (lot, bidder), each once.
 
+    The pairs are written once, as they are read for the counts, for both orders and to leave real pairs out.
     Only the two counts that set the number of permutations reach the driver.
     """
+    pairs = materialize(pairs, "pairs")
     counts = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum("did_win"), F.lit(0)).alias("w")).first()
     n, wins = counts["n"], counts["w"]
     if not n or wins / n <= trigger:
         return pairs.limit(0)
     times = max(1, min(most, int(wins / target - n) // n))
     bidder, real = ["bidder_masterid", "bidder_name"], pairs.select("lot_id", "bidder_masterid").distinct()
-    out = None
-    for k in range(times):
-        moved = market_permutation(pairs, market, "pair_id", bidder, f"negative-{k}").where(F.col("new_bidder_masterid") != F.col("bidder_masterid"))
-        moved = moved.select(*[F.col(f"new_{c}").alias(c) if c in bidder else c for c in pairs.columns if c not in ("pair_id", "did_win", "pair_type")])
-        out = moved if out is None else out.unionByName(moved)
+    moved = market_permutation(pairs, market, "pair_id", bidder, "negative", times).where(F.col("new_bidder_masterid") != F.col("bidder_masterid"))
+    out = moved.select(*[F.col(f"new_{c}").alias(c) if c in bidder else c for c in pairs.columns if c not in ("pair_id", "did_win", "pair_type")])
     fresh = out.join(real, ["lot_id", "bidder_masterid"], "left_anti").dropDuplicates(["lot_id", "bidder_masterid"])
     return fresh.select(F.concat_ws("_", "lot_id", "bidder_masterid").alias("pair_id"), "*", F.lit(0).alias("did_win"), F.lit("synthetic_negative").alias("pair_type")).select(*pairs.columns)
 
