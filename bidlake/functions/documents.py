@@ -47,6 +47,14 @@ BLOCK_RULES = (
 # Letters of Latin scripts whose compatibility decomposition is one ASCII letter with marks, and those letters.
 _PLAIN = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFKD", c))[0].isascii() and d[0].isalpha() and all(unicodedata.combining(m) for m in d[1:])}
 ACCENTED, UNACCENTED = "".join(_PLAIN), "".join(_PLAIN.values())
+# Keys too general to be matched at all, and words that open running prose instead of a caption.
+GENERAL_LABELS = (
+    "registration number", "registration no", "registration", "number", "no", "name", "names", "full name", "full names", "address", "code", "reference number", "status level", "level", "amount",
+    "pin", "total", "other", "details", "description", "subject", "yes", "n a", "if yes", "if no", "particulars", "comments", "remarks",
+)
+PROSE_OPENERS = (
+    "i", "in", "of", "and", "or", "the", "this", "that", "by", "at", "to", "with", "for", "if", "as", "we", "is", "are", "be", "hereby", "who", "which", "from", "on", "it", "any", "all", "do", "have", "was", "were",
+)
 WHITELIST = ("company_name", "registration_number", "vat_number", "tax_number", "email", "phone", "address")
 
 
@@ -100,14 +108,37 @@ def completeness(fields: dict[str, Column]) -> Column:
     return F.struct(share.alias("share"), missing.alias("missing"), ((share < 0.5) | needed).alias("incomplete"))
 
 
+# How a company report states its level, its ownership, its names, its trades and its grading.
+LEVEL_STATED = r"(?i)(?:b-bbee status level|b-bbee level|b-bbee status|bbbee status level|bbbee level|b-bbee contributor level)[:\s]+(?:of contributor)?[:\s]*(?:level\s+)?([1-9])"
+LEVEL_AFTER = r"(?i)level\s+([1-9])\s+(?:contributor)?\s*(?:to)?\s*(?:b-bbee|bbbee)"
+OWNERSHIP = r"(?i)% owned by black people\s+([0-9]{1,3}\.[0-9]{2})"
+REGISTRATION = r"([0-9]{4}/[0-9]{6}/[0-9]{2}|K[0-9]{9})"
+COMPANY_NAME = r"(?i)(?:enterprise name|legal name|name of company|trading name)[:\s]+([A-Z0-9 ,().&-]+)"
+NO_NAME = r"(?i)registration|postal|physical|enterprise"
+COMMODITY = r"(?:(?:Segment|Family|Class|Commodity)\s*(?:Code)?\s*[:-]\s*(?:[0-9]{6,8}\s*[-–]\s*)?|\b[0-9]{8}\s+)([A-Za-z][A-Za-z ,&/'-]{6,80})"
+INDUSTRY = r"(?i)(?:industry|industry classification|nature of business|business type|sector)\s*[:-]\s*([A-Za-z][A-Za-z ,&/'-]{4,80})"
+GRADING = r"\b([1-9]) *((?:GB|CE|SB|EB|EP|ME|SD|SF|SG|SH|SI|SJ|SK|SL|SM|SN|SO|SQ))\b"
+MOST_COMMODITIES = 12
+
+
 def extract_company(text: Column) -> Column:
-    """struct(supplier_number, level, registration, cidb_grade): level as stated, else from ownership; non-compliant is 9."""
-    stated = _first(text, r"(?i)\blevel\s*[:\-]?\s*([1-8])\b").try_cast("int")
-    owned = _first(text, r"(?i)([0-9]{1,3}) ?% black[- ]owned").try_cast("int")
-    level = F.when(text.rlike(r"(?i)non[- ]compliant"), 9).otherwise(F.coalesce(stated, F.when(owned >= 100, 1).when(owned >= 51, 2).when(owned.isNotNull(), 4)))
+    """struct(supplier_number, level, registration, company_name, commodities, industry, cidb_grade).
+
+    The level is the stated one, else by ownership (100 % is 1, 51 % or more 2, less 4), else 9 where non-compliant;
+    the industry is the stated one, else the first trade.
+    """
+    owned = _first(text, OWNERSHIP).try_cast("double")
+    stated = F.coalesce(_first(text, LEVEL_STATED), _first(text, LEVEL_AFTER)).try_cast("int")
+    level = F.coalesce(stated, F.when(owned >= 100, 1).when(owned >= 51, 2).when(owned.isNotNull(), 4), F.when(text.rlike(r"(?i)non[- ]compliant"), 9))
+    registration = F.coalesce(_first(text, r"(?i)(?:enterprise number|registration number|registration no)[:\s]+" + REGISTRATION), _first(text, rf"\b{REGISTRATION}\b"))
+    name = F.upper(F.trim(F.regexp_replace(_first(text, COMPANY_NAME), r"\s+", " ")))
+    trades = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(COMMODITY), F.lit(1)), lambda c: F.btrim(F.regexp_replace(c, r"\s+", " "), F.lit(" -,"))), lambda c: F.length(c) > 6))
+    commodities = F.slice(trades, 1, MOST_COMMODITIES)
     return F.struct(
-        _first(text, r"\b(MAAA[0-9]{7})\b").alias("supplier_number"), level.alias("level"), _first(text, r"\b([0-9]{4}/[0-9]{6}/[0-9]{2})\b").alias("registration"), _first(text, r"(?i)\bcidb\b[^0-9]{0,20}([1-9] ?[A-Z]{2})\b").alias("cidb_grade")
-    )
+        F.upper(_first(text, r"(?i)(MAAA[0-9]{7})")).alias("supplier_number"), level.alias("level"), registration.alias("registration"), F.when((F.length(name) > 3) & ~name.rlike(NO_NAME), name).alias("company_name"),
+        commodities.alias("commodities"), F.coalesce(F.btrim(F.regexp_replace(_first(text, INDUSTRY), r"\s+", " "), F.lit(" -,")), F.get(commodities, F.lit(0))).alias("industry"),
+        F.when(text.rlike(GRADING), F.concat(F.regexp_extract(text, GRADING, 1), F.regexp_extract(text, GRADING, 2))).alias("cidb_grade"),
+    )
 
 
 def document_type(text: Column) -> Column:
@@ -134,10 +165,10 @@ def region(text: Column, currency: Column, override: Column | None = None) -> Co
 
 
 def normalize_label(label: Column) -> Column:
-    """Matching key: no accents, brackets, numbering, leaders or punctuation, lower case, single spaces."""
-    plain = F.translate(F.coalesce(label, F.lit("")), ACCENTED, UNACCENTED)
-    x = F.lower(F.regexp_replace(plain, r"\([^)]*\)", " "))
-    x = F.regexp_replace(x, r"^\s*[0-9]+(\.[0-9]+)*[.)]?\s+", "")
+    """Matching key: no accents, leaders, numbering, brackets or punctuation, hyphens joined, lower case, single spaces."""
+    plain = F.regexp_replace(F.translate(F.coalesce(label, F.lit("")), ACCENTED, UNACCENTED), "[\u2013\u2014]", "-")
+    x = F.regexp_replace(F.regexp_replace(plain, r"[_.\u2026]{2,}|\n", " "), r"(?i)^\s*([0-9]+(\.[0-9]+)*[.)]?|([a-z]|[ivxlc]+)[.)])\s+", "")
+    x = F.regexp_replace(F.lower(F.regexp_replace(x, r"\([^)]*\)", " ")), "-", "")
     return F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))
 
 
@@ -189,20 +220,42 @@ def valid_sa_id(number: Column) -> Column:
     return F.coalesce(shape & F.call_function("luhn_check", number), F.lit(False))
 
 
+# What each field of a profile must look like, once trimmed; numbers without white space, phones without marks.
 PROFILE_RULES = {
-    "registration_number": r"^[0-9]{4}/[0-9]{6}/[0-9]{2}$", "supplier_number": r"^MAAA[0-9]{7}$", "tax_number": r"^[0-9]{10}$", "vat_number": r"^4[0-9]{9}$",
-    "email": r"^[^@ ]+@[^@ ]+\.[a-zA-Z]{2,}$", "phone": r"^(\+27|0)[0-9]{9}$", "level": r"^[1-8]$",
+    "registration_number": r"(?i)^[A-Z]{0,3}[0-9]{4}/[0-9]{6}/[0-9]{2}$", "supplier_number": r"(?i)^MAAA[0-9]{6,10}$", "tax_number": r"^[0-9]{10}$", "vat_number": r"^4[0-9]{9}$",
+    "email": r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$", "phone": r"^(\+27|0)[0-9]{9}$", "level": r"(?i)^(level\s*[1-8]\b.*|[1-8]|.*non.*compl.*)$", "company_name": r"^.{2,}$", "address": r"^[\s\S]{8,}$",
 }
+IGNORED_MARKS = {"tax_number": r"\s", "vat_number": r"\s", "phone": r"[\s().-]"}
 
 
-def validate_profiles(profiles: DataFrame, key: str) -> DataFrame:
-    """(key, field, value): values that break their field's rule; the quarantine of a profile table."""
+def validate_profiles(profiles: DataFrame, key: str, required: list[str] = ()) -> DataFrame:
+    """(key, field, value, problem): ``format`` where a value breaks its field's rule, ``missing`` where a required one is blank."""
     fields = [f for f in PROFILE_RULES if f in profiles.columns]
-    long = profiles.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([key], fields, "field", "value")
-    rule = F.lit(None).cast("string")
-    for f, pattern in PROFILE_RULES.items():
-        rule = F.when(F.col("field") == f, F.lit(pattern)).otherwise(rule)
-    return long.where(F.col("value").isNotNull()).withColumn("_rule", rule).where(~F.expr("value rlike _rule")).drop("_rule")
+    cleaned = {f: F.regexp_replace(F.trim(F.col(f).cast("string")), IGNORED_MARKS.get(f, "$^"), "") for f in fields}
+    state = lambda f: F.when(F.coalesce(cleaned[f], F.lit("")) == "", F.lit("missing") if f in required else F.lit(None)).when(~cleaned[f].rlike(PROFILE_RULES[f]), "format")
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), state(f).alias("problem")) for f in fields])
+    return profiles.select(key, F.inline(F.filter(rows, lambda r: r["problem"].isNotNull())))
+
+
+def validate_directors(profiles: DataFrame, key: str, directors: str = "directors") -> DataFrame:
+    """(key, position, field, problem) of a JSON array of name, id_number and is_state_employee.
+
+    ``position`` is -1 where there is no list, or none that can be read. A name needs two characters; an identity number
+    of digits only must be a valid one; one with other characters is a passport and only warned of. The answer on state
+    employment must be given: true, yes, 1, false, no or 0.
+    """
+    spread = profiles.withColumn("_d", F.from_json(directors, "array<struct<name:string,id_number:string,is_state_employee:string>>"))
+    none = spread.where(F.coalesce(F.size("_d"), F.lit(0)) <= 0).select(key, F.lit(-1).alias("position"), F.lit("directors").alias("field"), F.lit("missing").alias("problem"))
+    each = spread.select(key, F.posexplode("_d").alias("position", "d"))
+    number = F.replace(F.trim(F.coalesce("d.id_number", F.lit(""))), F.lit(" "), F.lit(""))
+    digits = number.rlike("^[0-9]+$")
+    judged = {
+        "name": F.when(F.length(F.trim(F.coalesce("d.name", F.lit("")))) < 2, "missing"),
+        "id_number": F.when(number == "", "missing").when(digits & ~valid_sa_id(number), "invalid").when(~digits, "passport"),
+        "is_state_employee": F.when(~F.lower(F.trim(F.coalesce("d.is_state_employee", F.lit("")))).isin("true", "yes", "1", "false", "no", "0"), "missing"),
+    }
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), c.alias("problem")) for f, c in judged.items()])
+    return none.unionByName(each.select(key, "position", F.inline(F.filter(rows, lambda r: r["problem"].isNotNull()))))
 
 
 def profile_diff(current: DataFrame, proposed: DataFrame, key: str) -> DataFrame:
@@ -266,6 +319,22 @@ def match_labels_fuzzy(labels: DataFrame, aliases: DataFrame, enough: float = 85
     return keys.join(out, "key", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
 
 
+def label_lookup(labels: DataFrame, aliases: DataFrame, enough: float = 85.0) -> DataFrame:
+    """(key, canonical, score, status) of each distinct key: blocked, exact, prose_fragment, else as the fuzzy match says.
+
+    An empty or null label is unmatched; only keys without an equal alias go to the fuzzy match, and ``canonical`` is
+    set only for the statuses exact and matched. Of equal aliases the first wins.
+    """
+    keys = labels.select(normalize_label(F.col("label")).alias("key")).distinct()
+    known = aliases.select(normalize_label(F.col("alias")).alias("key"), "canonical", "position").groupBy("key").agg(F.min_by("canonical", "position").alias("_exact"))
+    opener = F.split_part("key", F.lit(" "), F.lit(1)).isin(*PROSE_OPENERS)
+    status = F.when(F.col("key") == "", "unmatched").when(F.col("key").isin(*GENERAL_LABELS), "blocked").when(F.col("_exact").isNotNull(), "exact").when(opener, "prose_fragment")
+    first = keys.join(known, "key", "left").withColumn("status", status)
+    rest = match_labels_fuzzy(first.where(F.col("status").isNull()).select(F.col("key").alias("label")), aliases, enough)
+    sure = first.where(F.col("status").isNotNull()).select("key", F.when(F.col("status") == "exact", F.col("_exact")).alias("canonical"), F.when(F.col("status") == "exact", 100.0).otherwise(0.0).alias("score"), "status")
+    return sure.unionByName(rest.withColumns({"canonical": F.when(F.col("status") == "matched", F.col("canonical")), "score": F.coalesce("score", F.lit(0.0))}))
+
+
 def lessons(log: DataFrame) -> DataFrame:
     """(company_id, key): the latest meaning taught and how often it was taught."""
     return log.withColumn("key", lesson_key(F.col("label"))).groupBy("company_id", "key").agg(F.max_by(F.struct("kind", "canonical_field"), "taught_at").alias("m"), F.count("*").alias("occurrences")).select("company_id", "key", "m.kind", "m.canonical_field", "occurrences")

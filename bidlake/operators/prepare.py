@@ -201,6 +201,24 @@ def check_split(df: DataFrame, least: int = 30, year: str = "publish_year") -> D
     )
 
 
+def require_split(df: DataFrame, least: int = 30, year: str = "publish_year") -> DataFrame:
+    """The frame itself, or an error where a split is too small or years of splits overlap."""
+    state = check_split(df, least, year).first()
+    if not (state["large_enough"] and state["in_order"]):
+        raise ValueError("a split is too small" if not state["large_enough"] else "years of splits overlap")
+    return df
+
+
+def null_placeholders(df: DataFrame, placeholders: dict[str, str]) -> DataFrame:
+    """Null where a column still holds its known placeholder; any other value stays. Columns that the frame lacks are skipped."""
+    return df.withColumns({c: F.when(~F.col(c).eqNullSafe(F.lit(v)), F.col(c)) for c, v in placeholders.items() if c in df.columns})
+
+
+def upcoming(events: DataFrame, day: str, as_of: Column, n: int, *ties: str) -> DataFrame:
+    """The next n events from a day on."""
+    return events.where(F.col(day) >= as_of).orderBy(day, *ties).limit(n)
+
+
 def coerce_numeric(df: DataFrame, least: float = 0.5, keys: list[str] = ()) -> DataFrame:
     """String columns as doubles where more than ``least`` of their values convert (one pass over all)."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in keys]
@@ -216,13 +234,16 @@ def ordinal_dictionary(train: DataFrame, columns: list[str]) -> DataFrame:
     return values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
 
 
-def ordinal_encode(df: DataFrame, dictionary: DataFrame, columns: list[str], unknown: int = -1, missing: int = -2) -> DataFrame:
-    """Codes in the place of values; Spark broadcasts each dictionary where it is small enough."""
-    out = df
+def ordinal_encode(df: DataFrame, dictionary: DataFrame, columns: list[str], unknown: int = -1, missing: int = -2, scoring: bool = False) -> DataFrame:
+    """Codes in the place of values; Spark broadcasts each dictionary where it is small enough.
+
+    In ``scoring`` values match trimmed and in lower case; of entries that become equal the last one counts.
+    """
+    out, form = df, (lambda c: F.lower(F.trim(c))) if scoring else (lambda c: c)
     for c in columns:
-        own = dictionary.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("code").alias("_c"))
+        own = dictionary.where(F.col("column") == c).groupBy(form(F.col("value")).alias("_v")).agg(F.max("code").alias("_c"))
         code = F.when(F.col(c).isNull(), missing).otherwise(F.coalesce("_c", F.lit(unknown)))
-        out = out.join(own, F.col(c).cast("string") == F.col("_v"), "left").withColumn(c, code.cast("int")).drop("_v", "_c")
+        out = out.join(own, form(F.col(c).cast("string")) == F.col("_v"), "left").withColumn(c, code.cast("int")).drop("_v", "_c")
     return out
 
 

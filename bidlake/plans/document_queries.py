@@ -66,22 +66,28 @@ def completeness(spark, sf_dir):
 
 
 COMPANY_SQL = """SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN 'MAAA' || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') END AS supplier_number, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 9 WHEN s_suppkey % 5 = 1 THEN s_suppkey % 8 + 1 WHEN s_suppkey % 5 = 2 THEN 1 WHEN s_suppkey % 5 = 3 THEN 2 END AS INTEGER) AS level,
-'2001/' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '/07' AS registration FROM supplier"""
+'2001/' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '/07' AS registration, CASE WHEN s_suppkey % 4 > 0 THEN 'FIRM ' || s_suppkey || ' (PTY) LTD' END AS company_name, CASE WHEN s_suppkey % 7 = 0 THEN 'Engineering Services,Road Construction' WHEN s_suppkey % 7 = 1 THEN 'Road Construction' ELSE '' END AS commodities,
+CASE WHEN s_suppkey % 2 = 0 THEN 'Civil works' WHEN s_suppkey % 7 = 0 THEN 'Engineering Services' WHEN s_suppkey % 7 = 1 THEN 'Road Construction' END AS industry, CASE WHEN s_suppkey % 6 = 1 THEN '4GB' WHEN s_suppkey % 6 = 2 THEN '7CE' END AS cidb_grade FROM supplier"""
 
 
 def companies(spark, sf_dir):
+    """Reports with and without each part; non-compliance counts only where nothing else tells the level."""
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    level = F.when(k % 5 == 0, "The firm is non-compliant").when(k % 5 == 1, F.concat(F.lit("It is level "), (k % 8 + 1).cast("string"))).when(k % 5 == 2, "It is 100% black-owned").when(k % 5 == 3, "It is 60% black owned").otherwise("Nothing is stated")
-    number = F.when(k % 3 > 0, F.concat(F.lit(" number MAAA"), F.lpad(k.cast("string"), 7, "0"))).otherwise("")
-    return s.select("s_suppkey", F.concat(F.lit("Central supplier database report"), number, F.lit(". Registration 2001/"), F.lpad(k.cast("string"), 6, "0"), F.lit("/07. "), level, F.lit(".")).alias("text"))
+    level = F.when(k % 5 == 0, "The firm is non-compliant").when(k % 5 == 1, F.concat(F.lit("B-BBEE Status Level of Contributor: Level "), (k % 8 + 1).cast("string"), F.lit(", never non-compliant"))).when(k % 5 == 2, "% Owned by black people 100.00").when(k % 5 == 3, "% Owned by black people 60.50").otherwise("Nothing is stated")
+    number = F.when(k % 3 > 0, F.concat(F.lit(" number maaa"), F.lpad(k.cast("string"), 7, "0"))).otherwise("")
+    name = F.when(k % 4 > 0, F.concat(F.lit("\nLegal Name: Firm  "), k.cast("string"), F.lit(" (Pty) Ltd\n"))).otherwise("\nEnterprise Name: Postal box\n")
+    trade = F.when(k % 7 == 0, "Segment: 81000000 - Engineering Services\n72141000 Road Construction\nClass: Engineering  Services\n").when(k % 7 == 1, "72141000 Road Construction\n").otherwise("")
+    industry, grade = F.when(k % 2 == 0, "Nature of Business: Civil works\n").otherwise(""), F.when(k % 6 == 1, "Grading 4 GB").when(k % 6 == 2, "Grading 7CE").otherwise("Grading 7XX")
+    return s.select("s_suppkey", F.concat(F.lit("Central supplier database report"), number, F.lit(". Registration 2001/"), F.lpad(k.cast("string"), 6, "0"), F.lit("/07. "), level, F.lit("."), name, trade, industry, grade).alias("text"))
 
 
 @query("d5_extract_company", COMPANY_SQL)
 def extract_company(spark, sf_dir):
-    return companies(spark, sf_dir).select("s_suppkey", D.extract_company(F.col("text")).alias("c")).select("s_suppkey", "c.supplier_number", "c.level", "c.registration")
+    found = companies(spark, sf_dir).select("s_suppkey", D.extract_company(F.col("text")).alias("c")).select("s_suppkey", "c.*")
+    return found.withColumn("commodities", F.array_join("commodities", ","))
 
 
-@query("d24_accreditation_gaps", f"WITH c AS ({COMPANY_SQL}) SELECT s_suppkey, CAST(1 AS INTEGER) AS priority, 'register on the central supplier database' AS advice FROM c WHERE supplier_number IS NULL UNION ALL SELECT s_suppkey, 1, 'obtain a contribution level' FROM c WHERE level IS NULL OR level >= 9 UNION ALL SELECT s_suppkey, 2, 'obtain a grading for works' FROM c")
+@query("d24_accreditation_gaps", f"WITH c AS ({COMPANY_SQL}) SELECT s_suppkey, CAST(1 AS INTEGER) AS priority, 'register on the central supplier database' AS advice FROM c WHERE supplier_number IS NULL UNION ALL SELECT s_suppkey, 1, 'obtain a contribution level' FROM c WHERE level IS NULL OR level >= 9 UNION ALL SELECT s_suppkey, 2, 'obtain a grading for works' FROM c WHERE cidb_grade IS NULL")
 def accreditation_gaps(spark, sf_dir):
     return D.accreditation_gaps(companies(spark, sf_dir).select("s_suppkey", D.extract_company(F.col("text")).alias("c")).select("s_suppkey", "c.*"), "s_suppkey")
 
@@ -148,11 +154,16 @@ def fillable(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", D.fillable(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.col("s_suppkey").cast("string"))).alias("fillable"))
 
 
-@query("d20_validate_profiles", "SELECT c_custkey, 'email' AS field, CAST(c_custkey AS VARCHAR) || '@x' AS value FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, 'level', '9' FROM customer WHERE c_custkey % 7 = 0")
+@query("d20_validate_profiles", """WITH c AS (SELECT c_custkey, c_custkey % 2 AS e, c_custkey % 7 AS l, c_custkey % 5 AS a, c_custkey % 11 AS p FROM customer)
+SELECT c_custkey, 'email' AS field, CAST(c_custkey AS VARCHAR) || '@x' AS value, 'format' AS problem FROM c WHERE e = 1 UNION ALL SELECT c_custkey, 'level', '9', 'format' FROM c WHERE l = 0
+UNION ALL SELECT c_custkey, 'address', 'Road 1', 'format' FROM c WHERE a = 0 UNION ALL SELECT c_custkey, 'address', ' ', 'missing' FROM c WHERE a = 1 UNION ALL SELECT c_custkey, 'phone', '+27 82 123', 'format' FROM c WHERE p = 0""")
 def validate_profiles(spark, sf_dir):
-    k = F.col("c_custkey").cast("string")
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(k, F.when(F.col("c_custkey") % 2 == 1, "@x").otherwise("@x.org")).alias("email"), F.when(F.col("c_custkey") % 7 == 0, 9).otherwise(3).alias("level"), F.lit("0821234567").alias("phone"))
-    return D.validate_profiles(c, "c_custkey")
+    n, k = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(k, F.when(n % 2 == 1, "@x").otherwise("@x.org")).alias("email"), F.when(n % 7 == 0, "9").when(n % 7 == 1, "Level 3 Contributor").when(n % 7 == 2, "Non-compliant").otherwise("3").alias("level"),
+        F.when(n % 11 == 0, "+27 82 123").when(n % 11 > 3, "(082) 123-4567").alias("phone"), F.when(n % 5 == 0, "Road 1").when(n % 5 == 1, " ").otherwise("Long Road 12, 0001").alias("address"), F.lit("4 123 456 789").alias("vat_number"),
+    )
+    return D.validate_profiles(c, "c_custkey", ["address", "email"])
 
 
 @query("d21_valid_sa_id", "SELECT c_custkey, c_custkey % 2 = 0 AS valid FROM customer")
@@ -161,6 +172,18 @@ def valid_sa_id(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", D.valid_sa_id(number).alias("valid"))
 
 
+@query("d21_validate_directors", """WITH c AS (SELECT c_custkey, c_custkey % 6 AS k FROM customer)
+SELECT c_custkey, CAST(-1 AS INTEGER) AS position, 'directors' AS field, 'missing' AS problem FROM c WHERE k IN (0, 1, 2) UNION ALL SELECT c_custkey, 0, 'id_number', 'invalid' FROM c WHERE k = 4
+UNION ALL SELECT c_custkey, 0, 'is_state_employee', 'missing' FROM c WHERE k = 4 UNION ALL SELECT c_custkey, 1, 'id_number', 'passport' FROM c WHERE k = 4 UNION ALL SELECT c_custkey, 0, 'name', 'missing' FROM c WHERE k = 5 UNION ALL SELECT c_custkey, 0, 'id_number', 'missing' FROM c WHERE k = 5""")
+def validate_directors(spark, sf_dir):
+    """No list, an empty one, a broken one, a good one, and two with problems."""
+    k = F.col("c_custkey") % 6
+    lists = F.when(k == 1, "[]").when(k == 2, "no list").when(k == 3, '[{"name": "Ann B", "id_number": "800101 5009087", "is_state_employee": false}]').when(
+        k == 4, '[{"name": "Cid D", "id_number": "8001015009088"}, {"name": "Eve F", "id_number": "P12X", "is_state_employee": "Yes"}]'
+    ).when(k == 5, '[{"name": "G", "is_state_employee": true}]')
+    return D.validate_directors(table(spark, sf_dir, "customer").select("c_custkey", lists.alias("directors")), "c_custkey")
+
+
 @query("d22_profile_diff", "SELECT c_custkey, 'c_name' AS field, c_name AS before, c_name || '!' AS after FROM customer WHERE c_custkey % 4 = 0")
 def profile_diff(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
@@ -203,7 +226,7 @@ def match_labels_exact(spark, sf_dir):
     return D.match_labels_exact(labels, aliases, spark.createDataFrame([("page",)], "key string")).select("event_id", "canonical")
 
 
-@query("d10_match_labels_fuzzy", "SELECT DISTINCT CASE event_type WHEN 'view' THEN 'telephone numbre' WHEN 'click' THEN 'e mail adress' ELSE 'closing time' END AS key, CASE event_type WHEN 'view' THEN 'matched' WHEN 'click' THEN 'matched' ELSE 'unmatched' END AS status FROM events")
+@query("d10_match_labels_fuzzy", "SELECT DISTINCT CASE event_type WHEN 'view' THEN 'telephone numbre' WHEN 'click' THEN 'email adress' ELSE 'closing time' END AS key, CASE event_type WHEN 'view' THEN 'matched' WHEN 'click' THEN 'matched' ELSE 'unmatched' END AS status FROM events")
 def match_labels_fuzzy(spark, sf_dir):
     kind = F.col("event_type")
     label = F.when(kind == "view", "Telephone numbre").when(kind == "click", "E-mail adress").otherwise("Closing time")
@@ -211,6 +234,17 @@ def match_labels_fuzzy(spark, sf_dir):
     return D.match_labels_fuzzy(table(spark, sf_dir, "events").select(label.alias("label")), aliases).select("key", "status")
 
 
+@query("j10_label_lookup", """SELECT event_id, CASE event_type WHEN 'view' THEN 'phone' WHEN 'click' THEN 'email' END AS canonical,
+CASE event_type WHEN 'view' THEN 'matched' WHEN 'click' THEN 'exact' WHEN 'purchase' THEN 'blocked' WHEN 'error' THEN 'prose_fragment' ELSE 'unmatched' END AS status FROM events""")
+def label_lookup(spark, sf_dir):
+    """Labels that are near an alias, equal to one, too general, prose, and unlike any."""
+    kind = F.col("event_type")
+    label = F.when(kind == "view", "iv) Telephone numbre ....").when(kind == "click", "E\u2013Mail Address").when(kind == "purchase", "Full Names:").when(kind == "error", "In the name of company").otherwise("Closing time")
+    labels = table(spark, sf_dir, "events").select("event_id", label.alias("label")).withColumn("key", D.normalize_label(F.col("label")))
+    aliases = spark.createDataFrame(ALIASES, "alias string, canonical string, position int")
+    return labels.join(D.label_lookup(labels, aliases), "key").select("event_id", "canonical", "status")
+
+
 @query("d23_eligibility", """SELECT o_orderkey, s.name AS company_name, s.wins = 0 AS hard, s.wins > 0 AS eligible FROM orders, (VALUES ('new', 0), ('old', 5)) AS s(name, wins)""")
 def eligibility(spark, sf_dir):
     suppliers = spark.createDataFrame([("new", 0, "A", "Gauteng", True, True, True), ("old", 5, "A", "Gauteng", True, True, True)], "company_name string, pit_total_wins int, municipality string, province string, has_csd boolean, has_cidb boolean, has_tax_clearance boolean")

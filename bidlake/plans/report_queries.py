@@ -318,6 +318,12 @@ def cascade_remove(spark, sf_dir):
     return children.select(F.col("k").alias("l_orderkey"), "l_linenumber", "l_suppkey", "l_shipdate")
 
 
+@query("j16_null_placeholders", "SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS o_orderpriority, nullif(o_orderstatus, 'F') AS o_orderstatus FROM orders")
+def null_placeholders(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return P.null_placeholders(orders, {"o_orderpriority": "5-LOW", "o_orderstatus": "F", "absent": "x"})
+
+
 @query("u1_union_sources", "SELECT o_orderkey AS k, 'o' AS s FROM orders UNION ALL SELECT l_orderkey, 'l' FROM lineitem")
 def union_sources(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit("o").alias("s")).unionByName(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.lit("l").alias("s")))
@@ -378,6 +384,12 @@ def calendar(spark, sf_dir):
     return events.groupBy("day", "kind").agg(F.count("*").alias("n"))
 
 
+@query("t6_upcoming", "SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1997-01-01' ORDER BY 1, 2 LIMIT 20")
+def upcoming(spark, sf_dir):
+    events = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), "o_orderkey")
+    return P.upcoming(events, "day", F.lit("1997-01-01").cast("date"), 20, "o_orderkey")
+
+
 @query("t7_due_for_renewal", "SELECT event_id, ts <= TIMESTAMP '2024-01-10 00:00:00' AS expired FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-12 00:00:00'")
 def due_for_renewal(spark, sf_dir):
     ts, now = F.col("ts").cast("timestamp_ntz"), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")

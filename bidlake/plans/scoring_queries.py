@@ -250,6 +250,16 @@ def ordinal_encode(spark, sf_dir):
     return P.ordinal_encode(pairs.select("pair_id", "buyer_country"), dictionary, ["buyer_country"])
 
 
+@query("m5_ordinal_scoring", f"""WITH {SPLIT_SQL}, codes AS (SELECT buyer_country, CAST(row_number() OVER (ORDER BY buyer_country) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT buyer_country FROM splits WHERE split = 'train' AND tender_cpvs <> 'ECONOMY'))
+SELECT pair_id, CASE WHEN did_win = 1 THEN coalesce(codes.code, -1) ELSE -2 END AS buyer_country FROM splits LEFT JOIN codes USING (buyer_country)""")
+def ordinal_scoring(spark, sf_dir):
+    """Values in lower case with blanks around them, and missing ones."""
+    pairs = P.time_split(pairs_of(spark, sf_dir))
+    dictionary = P.ordinal_dictionary(pairs.where("split = 'train' AND tender_cpvs <> 'ECONOMY'"), ["buyer_country"])
+    asked = pairs.select("pair_id", F.when(F.col("did_win") == 1, F.concat(F.lit(" "), F.lower("buyer_country"), F.lit(" "))).alias("buyer_country"))
+    return P.ordinal_encode(asked, dictionary, ["buyer_country"], scoring=True)
+
+
 @query("m6_median_impute", f"""WITH {SPLIT_SQL}, k AS (SELECT pair_id, split, CASE WHEN bid_iswinning THEN bid_price END AS price FROM splits)
 SELECT pair_id, round(coalesce(price, (SELECT median(price) FROM k WHERE split = 'train')), 6) AS price FROM k""")
 def median_impute(spark, sf_dir):

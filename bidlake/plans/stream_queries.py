@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bidlake.common import scratch, table
 from bidlake.plans.history_queries import PAIRS_SQL, pairs_of
 from bidlake.plans.registry import query
+from bidlake.plans.report_queries import OCDS_SQL, release
 from bidlake.plans.scoring_queries import SPLIT_SQL
 from bidlake.operators import prepare as P
 from bidlake.sources import tables as S
@@ -57,6 +58,12 @@ def error_alerts(spark, sf_dir):
     return first.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start")).agg(F.min("event_id").alias("event_id"), F.max("n").alias("n"))
 
 
+@query("x7_incidents", """WITH e AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS first FROM events WHERE event_type = 'error'), g AS (SELECT ts, sum(first) OVER (ORDER BY ts, first DESC ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS opened, count(*) AS n FROM g GROUP BY k""")
+def incidents(spark, sf_dir):
+    return X.incidents(table(spark, sf_dir, "events"), gap="2 hours").select(F.date_format("opened", "yyyy-MM-dd HH:mm:ss").alias("opened"), "n")
+
+
 @query("x8_expire", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 86400 SECONDS")
 def expire(spark, sf_dir):
     return X.expire(table(spark, sf_dir, "events"), "ts", "2024-01-10 00:00:00", 86400).select("event_id")
@@ -70,9 +77,10 @@ def track_outcomes(spark, sf_dir):
     return P.upsert(P.latest_per_key(target, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")), newest, ["user_id", "event_type"], "ts").select("user_id", "event_type", "value")
 
 
-@query("x11_pack_events", "SELECT user_id, CAST(count(*) AS BIGINT) AS seq, round(sum(value), 4) AS total FROM events GROUP BY 1")
+@query("x11_pack_events", "SELECT user_id, event_id, count(*) OVER w AS seq, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def pack_events(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("seq"), F.round(F.sum("value"), 4).alias("total"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return X.pack_events(events, "user_id", "event_id", "value").select("user_id", "event_id", "seq", F.round("total", 4).alias("total"))
 
 
 @query("s1_bids_csv", "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem")
@@ -83,6 +91,18 @@ def bids_csv(spark, sf_dir):
     return S.read_bids_csv(spark, path, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double")
 
 
+@query("s2_read_ocds", OCDS_SQL)
+def read_ocds(spark, sf_dir):
+    """The three tables of a release, written as CSV with line breaks inside a field, read back and joined into bids."""
+    main, awards, suppliers = release(spark, sf_dir)
+    parts = {"main": main, "awards": awards.withColumn("description", F.concat("description", F.lit(' "a"\nb'))), "suppliers": suppliers}
+    paths = {name: scratch(spark, name) for name in parts}
+    for name, df in parts.items():
+        df.write.option("escape", '"').csv(paths[name], header=True)
+    main, awards, suppliers = S.read_ocds(spark, *paths.values(), {name: df.schema for name, df in parts.items()})
+    return P.ocds_to_bids(main, awards.withColumn("description", F.regexp_replace("description", ' "a"\nb$', "")), suppliers, {"country": "ZA", "currency": "ZAR"})
+
+
 @query("s3_write_table", "SELECT o_orderkey, o_orderstatus FROM orders")
 def write_table(spark, sf_dir):
     path = scratch(spark, "table")
@@ -116,14 +136,18 @@ def dataset_metadata(spark, sf_dir):
     return S.dataset_metadata(pairs_of(spark, sf_dir), ["bid_price", "estimate"], "buyer_country")
 
 
-@query("s8_documents", "SELECT doc_id, lang FROM documents")
+@query("s8_documents", "SELECT CAST(doc_id // 100 AS INTEGER) AS folder, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY 1")
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang")
+    """The documents as text files in folders of a hundred, read back whole."""
+    path = scratch(spark, "texts")
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 100").cast("int").alias("folder"), F.coalesce("text", F.lit("")).alias("value"))
+    docs.write.partitionBy("folder").text(path)
+    return S.read_documents(spark, path).where("type = 'txt'").groupBy("folder").agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
-@query("s9_tail_events", "SELECT event_id, event_type FROM events WHERE user_id = 3 AND event_id > 100")
+@query("s9_tail_events", "SELECT event_id, event_type FROM events WHERE event_id > 100")
 def tail_events(spark, sf_dir):
-    return S.tail_events(table(spark, sf_dir, "events").where("user_id = 3"), 100, "event_id").select("event_id", "event_type")
+    return S.tail_events(table(spark, sf_dir, "events"), 100, "event_id").select("event_id", "event_type")
 
 
 @query("s11_replace_partition", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS version, o_orderstatus FROM orders")

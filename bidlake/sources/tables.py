@@ -57,9 +57,10 @@ def dataset_metadata(df: DataFrame, features: list[str], country: str, year: str
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row a text file: name, type and whole text."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
-    return raw.select("name", F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1)).alias("type"), F.coalesce("value", F.lit("")).alias("text"))
+    """One row a text file: name, type and whole text, and the columns of partition folders."""
+    raw = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_name").alias("name"))
+    kept = [c for c in raw.columns if c not in ("value", "name")]
+    return raw.select("name", F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1)).alias("type"), F.coalesce("value", F.lit("")).alias("text"), *kept)
 
 
 def stream_documents(spark: SparkSession, path: str) -> DataFrame:

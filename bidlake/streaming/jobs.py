@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bidlake.operators.prepare import latest_per_key, upsert
+from bidlake.operators.ranks import running
 
 WATERMARK = "10 minutes"
 State = list[float]
@@ -116,6 +117,11 @@ def incidents(events: DataFrame, at: str = "ts", gap: str = "24 hours") -> DataF
     return bad.groupBy(F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("opened"), "n")
 
 
+def pack_events(events: DataFrame, pack: str, order: str, amount: str) -> DataFrame:
+    """Each event with its number in its pack and the pack's total so far. ``order`` is a number, unique in a pack."""
+    return running(events.withColumn("_one", F.lit(1)), [pack], order, {"seq": "_one", "total": amount}).drop("_one")
+
+
 def expire(df: DataFrame, at: str, now, seconds: int) -> DataFrame:
     """Rows still alive ``seconds`` after their time."""
     return df.where(F.col(at).cast("timestamp") > F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)))
