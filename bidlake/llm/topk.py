@@ -15,7 +15,8 @@ Arithmetic is exact: integer-valued doubles while their products stay below 2^53
 Defined results: a vector that is null or holds null or non-finite components takes no part, nor does a
 row without id; components that a shorter vector lacks count as 0; ties go to the smaller id; a query that
 repeats an id is answered once; other rows that repeat an id stay candidates; extra columns are ignored; an
-empty table gives an empty table.
+empty table gives an empty table. A score that does not fit 64 bits (norms of about 1e7 and more) has no
+defined value, and components of 1e300 and more count as not finite.
 """
 
 from __future__ import annotations
