@@ -6,14 +6,15 @@ vector by its nearest pivot and its distance to it, cut into rings (annuli) and,
 rows, into parts by hash of the id.
 
 A query first meets one part of its own ring, which gives it a lower bound for its k-th score. It then
-expands to the rings in order of their least possible distance, and stops where the triangle inequality
-says that no vector of a ring can reach the bound. Rings and queries meet in blocks of bounded size.
+expands to the rings in order of their least possible distance, in waves of which each opens ``WAVE`` times
+as many rings as all before it and raises the bound, and stops where the triangle inequality says that no
+vector of a further ring can reach it. Rings and queries meet in blocks of bounded size.
 
 Pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id); every vector is indexed.
 Arithmetic is exact: integer-valued doubles while their products stay below 2^53, 64-bit integers beyond.
 
 Defined results: a vector that is null or holds null or non-finite components takes no part, nor does a
-row without id; components that a shorter vector lacks count as 0; ties go to the smaller id; a query that
+row without id; components that a shorter vector lacks count as 0, so those of a query beyond the longest vector do not matter; ties go to the smaller id; a query that
 repeats an id is answered once; other rows that repeat an id stay candidates; extra columns are ignored; an
 empty table gives an empty table. A score that does not fit 64 bits (norms of about 1e7 and more) has no
 defined value, and components of 1e300 and more count as not finite.
@@ -37,14 +38,17 @@ RINGS = 24
 SAMPLE = 2_048
 LEAST_SEGMENT, MOST_SEGMENT = 128, 8_192
 QUERY_BLOCK = 512
+WAVE = 4
+STEP = 1_024  # queries whose bounds to all rings are held at once
 EXACT = float(1 << 53)
 
 
 def to_integers(vectors: list, dim: int) -> np.ndarray:
-    """floor(256 x) of each component, as integer-valued doubles, padded with zeros."""
+    """floor(256 x) of each component, as integer-valued doubles, padded with zeros or cut to ``dim``."""
     out = np.zeros((len(vectors), dim))
     for k, v in enumerate(vectors):
-        out[k, : len(v)] = np.floor(256.0 * np.asarray(v, dtype=np.float64))
+        part = np.floor(256.0 * np.asarray(v[:dim], dtype=np.float64))
+        out[k, : len(part)] = part
     return out
 
 
@@ -104,7 +108,7 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame) -> tuple[DataFrame, Rings] | None:
-    """``vectors``: vec_id, vector, all usable. Returns the index (pivot, ring, part, vec_id, x) and its directory."""
+    """``vectors``: vec_id, vector, all usable. Returns the index (pivot, ring, part, vec_id, x) and its shared.value."""
     spark = vectors.sparkSession
     square = F.aggregate(F.transform("vector", lambda c: F.floor(256 * c.cast("double")).cast("double")), F.lit(0.0), lambda s, c: s + c * c)
     stats = vectors.agg(F.count("*").alias("n"), F.max(square).alias("norm2"), F.max(F.size("vector")).alias("dim")).first()
@@ -184,57 +188,72 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], schema)
     index, rings = materialize(built[0], "pivot-index"), built[1]
     asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    total = asked.count()
-    blocks = max(1, math.ceil(total / QUERY_BLOCK))
     shared = spark.sparkContext.broadcast(rings)
-    visit = "query_id long, block int, q binary, pivot int, ring int, part int"
 
     def integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = to_integers(batch.column("vector").to_pylist(), shared.value.dim)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("block"), pa.array([r.tobytes() for r in x], pa.binary())], names=["query_id", "block", "q"])
-
-    block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("block")
-    asked = asked.select(F.col("vec_id").alias("query_id"), block, "vector").where(F.size("vector") <= rings.dim)
-    asked = materialize(asked.mapInArrow(integers, "query_id long, block int, q binary"), "queries")
-
-    def visits(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-        rings = shared.value
+            if len(batch):
+                q = to_integers(batch.column("vector").to_pylist(), shared.value.dim)
+                home = np.concatenate([shared.value.bounds(q[a : a + STEP])[0].argmin(axis=1) for a in range(0, len(q), STEP)])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(home.astype(np.int32)), pa.array([r.tobytes() for r in q], pa.binary())], names=["query_id", "home", "q"])
+
+    asked = materialize(asked.select("vec_id", "vector").mapInArrow(integers, "query_id long, home int, q binary"), "queries")
+    # Queries of neighbouring home rings share a block, so that a block opens few rings; a crowded home fills several.
+    homes, before = [], 0
+    for r in asked.groupBy("home").count().orderBy("home").collect():
+        homes.append((r["home"], before // QUERY_BLOCK, -(-r["count"] // QUERY_BLOCK)))
+        before += r["count"]
+    lots = F.broadcast(spark.createDataFrame(homes, "home int, _from long, _lots long"))
+    lot = F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.col("_lots"))
+    asked = asked.join(lots, "home").select("query_id", (F.col("_from") + lot).cast("int").alias("block"), "q")
+
+    def opened(batch: pa.RecordBatch, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, ring, whether it is the query's home) of the rings at places ``first`` to ``last`` from the nearest outwards that may still hold one of the k best."""
+        q = np.frombuffer(b"".join(batch.column("q").to_pylist())).reshape(len(batch), -1)
+        least, most = shared.value.bounds(q)
+        order = least.argsort(axis=1, kind="stable")[:, first:last]
+        floor = batch.column("floor").fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.float64)
+        slack = 1e-3 + 1e-9 * ((q * q).sum(axis=1) + shared.value.norm2)
+        row, place = np.nonzero(np.take_along_axis(most, order, axis=1) >= (floor - slack)[:, None])
+        return row, order[row, place], place + first == 0
+
+    def left(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            q = np.frombuffer(b"".join(batch.column("q").to_pylist())).reshape(len(batch), -1)
-            least, most = rings.bounds(q)
-            home = least.argmin(axis=1)
-            seed_part = np.mod(batch.column("query_id").to_numpy(), rings.parts[home])
-            row, ring, part = np.arange(len(q)), home, seed_part
-            if not first:
-                floor = batch.column("floor").fill_null(-(1 << 62)).to_numpy(zero_copy_only=False).astype(np.float64)
-                slack = 1e-3 + 1e-9 * ((q * q).sum(axis=1) + rings.norm2)
-                open_ = most >= (floor - slack)[:, None]
-                row, ring = np.nonzero(open_)
-                order = np.lexsort((least[row, ring], row))  # rings from the nearest outwards
-                row, ring = np.repeat(row[order], rings.parts[ring[order]]), np.repeat(ring[order], rings.parts[ring[order]])
-                new = np.concatenate([[True], (row[1:] != row[:-1]) | (ring[1:] != ring[:-1])]) if len(row) else np.zeros(0, bool)
-                at = np.arange(len(row))
-                part = at - np.maximum.accumulate(np.where(new, at, 0))
-                keep = ~((ring == home[row]) & (part == seed_part[row]))
+            n = sum(len(opened(batch.slice(a, STEP), first, len(shared.value.parts))[0]) for a in range(0, len(batch), STEP))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    def visits(batches: Iterator[pa.RecordBatch], first: int, last: int, seed: bool) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), STEP):
+                batch = whole.slice(a, STEP)
+                row, ring, home = opened(batch, first, last)
+                parts = shared.value.parts[ring]
+                start = np.repeat(np.cumsum(parts) - parts, parts)
+                row, ring, home = np.repeat(row, parts), np.repeat(ring, parts), np.repeat(home, parts)
+                part = np.arange(len(row)) - start
+                own = home & (part == np.mod(batch.column("query_id").to_numpy()[row], shared.value.parts[ring]))
+                keep = own if seed else ~own
                 row, ring, part = row[keep], ring[keep], part[keep]
-            for a in range(0, len(row), 20_000):
-                r, g, p = row[a : a + 20_000], ring[a : a + 20_000], part[a : a + 20_000]
-                take = pa.array(r)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(take), batch.column("block").take(take), batch.column("q").take(take), pa.array(rings.key[g, 0].astype(np.int32)), pa.array(rings.key[g, 1].astype(np.int32)), pa.array(p.astype(np.int32))],
-                    names=["query_id", "block", "q", "pivot", "ring", "part"],
-                )
+                for b in range(0, len(row), 20_000):
+                    take, g = pa.array(row[b : b + 20_000]), shared.value.key[ring[b : b + 20_000]].astype(np.int32)
+                    columns = [batch.column(c).take(take) for c in ("query_id", "block", "q")] + [pa.array(g[:, 0]), pa.array(g[:, 1]), pa.array(part[b : b + 20_000].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "block", "q", "pivot", "ring", "part"])
 
-    near = materialize(_search(index, asked.mapInArrow(lambda b: visits(b, True), visit), k), "nearest")
+    visit = "query_id long, block int, q binary, pivot int, ring int, part int"
     in_order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = near.withColumn("n", F.row_number().over(in_order)).where(F.col("n") == k).select("query_id", F.col("score").alias("floor"))
-    bounded = asked.join(floors, "query_id", "left").select("query_id", "block", "q", "floor")
-    rest = _search(index, bounded.mapInArrow(lambda b: visits(b, False), visit), k)
-    ranked = near.unionByName(rest).withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
+    seeds = asked.withColumn("floor", F.lit(None).cast("long")).mapInArrow(lambda b: visits(b, 0, 1, True), visit)
+    best = materialize(ranked(_search(index, seeds, k)), "nearest")
+    first, last = 0, WAVE
+    while first < len(rings.parts):
+        floors = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        bounded = materialize(asked.join(floors, "query_id", "left").select("query_id", "block", "q", "floor"), "bounds")
+        if not bounded.mapInArrow(lambda b, first=first: left(b, first), "n long").agg(F.sum("n")).first()[0]:
+            break
+        found = _search(index, bounded.mapInArrow(lambda b, first=first, last=last: visits(b, first, last, False), visit), k)
+        best = materialize(ranked(best.drop("rank").unionByName(found)), "nearest")
+        first, last = last, last * WAVE
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def embedding_neighbours(embeddings: DataFrame) -> DataFrame:

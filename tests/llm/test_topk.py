@@ -28,6 +28,17 @@ def test_ties_nulls_and_blocks(spark, monkeypatch, block):
         assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
 
 
+def test_long_query_is_answered_by_the_components_that_vectors_have(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, [])], "vec_id long, vector array<double>")
+    queries = spark.createDataFrame([(9, [0.0, 1.0, 5.0])], "vec_id long, vector array<double>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in K.top_k(vectors, queries, 3).orderBy("rank").collect()] == [(1, 1, 131072), (2, 2, 65536), (3, 3, 0)]
+
+
+def test_no_query(spark):
+    vectors = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, vector array<double>")
+    assert K.top_k(vectors, vectors.where("vec_id > 5")).count() == 0
+
+
 def test_empty_and_small(spark):
     df = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>")
     assert K.embedding_neighbours(df).count() == 0 and K.embedding_neighbours(df.limit(0)).count() == 0
