@@ -37,13 +37,6 @@ REGIONS = {
     "ZA": ("Conquest-ZA (South Africa PPPFA)", "PPPFA 80/20 & 90/10", ("Verify Tax Clearance Pin", "Attach BBBEE Sworn Affidavit / SANAS Certificate")),
     "UK": ("Conquest-UK (United Kingdom MEAT)", "MEAT PCR 2015", ("Ensure CPV code alignment", "Verify social value statement compliance")),
 }
-BLOCK_RULES = (
-    ("signature", r"(?i)\bsign(ature|ed)?\b"),
-    ("declaration", r"(?i)\b(declare|oath|affidavit|certify)\b"),
-    ("signing_date", r"(?i)^(date|dated|date signed)$"),
-    ("pricing", r"(?i)\b(price|rate|amount|total|cost)\b"),
-    ("narrative", r"(?i)\b(statement|methodology|describe|motivat)"),
-)
 # Letters of Latin scripts whose compatibility decomposition is one ASCII letter with marks, and those letters.
 _PLAIN = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFKD", c))[0].isascii() and d[0].isalpha() and all(unicodedata.combining(m) for m in d[1:])}
 ACCENTED, UNACCENTED = "".join(_PLAIN), "".join(_PLAIN.values())
@@ -177,24 +170,6 @@ def lesson_key(label: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"[-/]", ""), r"[^a-z0-9]+", " "))
 
 
-def fillable(label: Column) -> Column:
-    """Whether a label may be filled at all: not empty, no prose, no pre-printed number."""
-    words = F.size(F.split(F.trim(label), r"\s+"))
-    return F.coalesce((F.length(F.trim(label)) > 1) & (words <= 12) & ~F.trim(label).rlike(r"^[0-9 .,/%-]+$") & ~F.trim(label).rlike(r"[.;]\s+[A-Z]"), F.lit(False))
-
-
-def block_reason(label: Column, context: Column) -> Column:
-    """Why a label must not be filled: an empty label, a declaration form, then the rules in order; null if none."""
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(BLOCK_RULES):
-        out = F.when(label.rlike(pattern), F.lit(name)).otherwise(out)
-    return F.when(F.length(F.trim(F.coalesce(label, F.lit("")))) == 0, "empty").when(context == "declaration", "declaration").otherwise(out)
-
-
-def document_context(text: Column) -> Column:
-    return F.when(text.rlike(r"(?i)\b(declaration of interest|sworn affidavit|sbd ?[0-9])"), "declaration").otherwise("form")
-
-
 def explain_unfilled(block: Column, status: Column) -> Column:
     return F.when(block == "declaration", "declaration").when(block == "pricing", "pricing cell").when(block == "narrative", "tender terms").when(block.isNotNull(), block).when(status == "ambiguous", "ambiguous").otherwise("unmatched")
 

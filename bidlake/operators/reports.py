@@ -97,17 +97,32 @@ def pack_status(rollup: DataFrame, stored: DataFrame) -> DataFrame:
     return out.select("pack_id", F.when(F.col("status").isin("draft", "processing", "error"), F.col("status")).when(clear, "reviewed").otherwise("needs_review").alias("status"))
 
 
+def _first_labels(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """(by, labels): the least ``most`` different labels of each group, in order; no more rows of a group are ever gathered."""
+    ranked = rows.where(F.col("label").isNotNull()).select(*by, "label").distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("label")))
+    return ranked.where(F.col("_n") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("label")).alias("labels"))
+
+
 def outstanding_groups(items: DataFrame, structural: list[str], labels: int = 6) -> DataFrame:
     """Items of structural reasons as one group each (count, pages, first labels); others stand alone."""
     grouped = F.col("reason").isin(structural)
     keyed = items.withColumn("group_key", F.when(grouped, F.col("reason")).otherwise(F.concat_ws(":", "reason", "item_key")))
-    return keyed.groupBy("group_key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("page")).alias("pages"), F.slice(F.array_sort(F.collect_set("label")), 1, labels).alias("labels"))
+    groups = keyed.groupBy("group_key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("page")).alias("pages"))
+    out = groups.join(_first_labels(keyed, ["group_key"], labels), "group_key", "left")
+    return out.select("group_key", "n", "pages", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
 
 
 def missing_fields(wanted: DataFrame, profile: DataFrame, labels: int = 5) -> DataFrame:
-    """Fields wanted but empty in the profile: count and first labels. ``profile``: company_id, field, value."""
-    have = profile.where(F.trim(F.coalesce("value", F.lit(""))) != "").select("company_id", "field").distinct()
-    return wanted.join(have, ["company_id", "field"], "left_anti").groupBy("company_id", "field").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("label")), 1, labels).alias("labels"))
+    """Fields wanted but empty in the profile: count, first labels, and the place (from 1) in the company's order, most needed first.
+
+    ``wanted``: company_id, field, label; ``profile``: company_id, field, value. Companies and fields are not null.
+    """
+    by = ["company_id", "field"]
+    have = profile.where(F.trim(F.coalesce("value", F.lit(""))) != "").select(*by).distinct()
+    open_ = wanted.join(have, by, "left_anti")
+    counted = open_.groupBy(*by).agg(F.count("*").alias("n")).join(_first_labels(open_, by, labels), by, "left")
+    need = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("n"), "field"))
+    return counted.select(*by, "n", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), need.alias("need"))
 
 
 def merge_archive(documents: DataFrame) -> DataFrame:

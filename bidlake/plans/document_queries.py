@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidlake.common import table
+from bidlake.functions import blanks as B
 from bidlake.functions import documents as D
 from bidlake.plans.registry import query
 
@@ -122,10 +123,25 @@ def normalize_label(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", D.normalize_label(F.concat(F.lit("1.2) "), F.regexp_replace("s_name", "Supplier", "Sùpplïér"), F.lit(" (if any): ....."))).alias("key"))
 
 
-@query("d14_block_rules", """SELECT event_id, CASE event_type WHEN 'click' THEN 'signature' WHEN 'error' THEN 'signing_date' WHEN 'purchase' THEN 'pricing' WHEN 'signup' THEN 'empty' END AS reason FROM events""")
+# Label, canonical field, heading, context, and the reason that must come out.
+BLANKS = (
+    ("SIGNATURE OF BIDDER", None, None, "form", "signature"), ("Capacity under which this bid is signed", None, None, "form", None), ("Getuie 1", None, None, "form", "signature"), ("________", None, None, "form", "signature"),
+    ("Family member who is employed", None, None, "form", "declaration"), ("Company names", None, None, "declaration", None), ("Full name", None, None, "declaration", "declaration"), ("Full name", None, None, "form", None),
+    ("Dated at", None, None, "form", "signing_date"), ("Closing date", None, None, "form", None), ("TOTAL BID PRICE", None, None, "form", "pricing"), ("Total number of items", None, None, "form", None), ("R ......", None, None, "form", "pricing"),
+    ("Method statement", None, None, "form", "narrative"), ("Total number of items and comments", None, None, "form", "narrative"), (" ", None, None, "form", "empty"), (None, None, "Enquiries", "form", "empty"),
+    ("Telephone number", None, "Enquiries may be DIRECTED TO", "form", "counterparty"), ("Telephone number", None, "Supplier information", "form", None), ("Offer", "bid_amount", None, "form", "pricing"), ("", "signature_date", "Issued by", "form", "signing_date"),
+)
+BLANKS_SQL = "[" + ", ".join("NULL" if b[4] is None else f"'{b[4]}'" for b in BLANKS) + "]"
+
+
+def cycled(number, rows, column):
+    return F.get(F.array(*[F.lit(r[column]).cast("string") for r in rows]), (number % len(rows)).cast("int"))
+
+
+@query("d14_block_rules", f"SELECT event_id, {BLANKS_SQL}[event_id % {len(BLANKS)} + 1] AS reason FROM events")
 def block_rules(spark, sf_dir):
-    label = F.when(F.col("event_type") == "click", "SIGNATURE OF BIDDER").when(F.col("event_type") == "error", "DATE").when(F.col("event_type") == "purchase", "TOTAL BID PRICE").when(F.col("event_type") == "signup", " ").otherwise("Name of company")
-    return table(spark, sf_dir, "events").select("event_id", D.block_reason(label, F.lit("form")).alias("reason"))
+    label, canonical, section, context = (cycled(F.col("event_id"), BLANKS, c) for c in range(4))
+    return table(spark, sf_dir, "events").select("event_id", B.block_reason(label, context, canonical, section).alias("reason"))
 
 
 @query("d16_explain_unfilled", """SELECT event_id, CASE event_type WHEN 'click' THEN 'signature' WHEN 'purchase' THEN 'pricing cell' WHEN 'error' THEN 'ambiguous' ELSE 'unmatched' END AS why FROM events""")
@@ -149,9 +165,17 @@ def null_sentinels(spark, sf_dir):
     return docs.select("doc_id", D.null_sentinels(F.when(F.col("doc_id") % 21 < 19, held).otherwise(F.col("source"))).alias("source"), D.null_level((F.col("doc_id") % 10).cast("int")).alias("level"))
 
 
-@query("d13_fillable", "SELECT s_suppkey, s_suppkey % 2 = 0 AS fillable FROM supplier")
+# Label, and whether it is a field.
+LABELS = (
+    ("Name of bidder (tenderer)", True), ("Of:", False), ("yes", False), ("I, the undersigned, being a director", False), ("KINDLY NOTE the venue", False), ("Attach the certificate;", False), ("Price schedule –", False), ("of this tender", False), ("email", True),
+    ("80", False), ("R 1,000.00", False), ("20 %", False), ("\t \n", False), (None, False), ("Value of work inclusive of tax (Rand)", True), ("VAT 15", True), ("A long caption of more than a dozen words that asks for one thing only, once", True),
+)
+LABELS_SQL = "[" + ", ".join(str(ok).lower() for _, ok in LABELS) + "]"
+
+
+@query("d13_fillable", f"SELECT event_id, {LABELS_SQL}[event_id % {len(LABELS)} + 1] AS fillable FROM events")
 def fillable(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", D.fillable(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.col("s_suppkey").cast("string"))).alias("fillable"))
+    return table(spark, sf_dir, "events").select("event_id", B.fillable(cycled(F.col("event_id"), LABELS, 0)).alias("fillable"))
 
 
 @query("d20_validate_profiles", """WITH c AS (SELECT c_custkey, c_custkey % 2 AS e, c_custkey % 7 AS l, c_custkey % 5 AS a, c_custkey % 11 AS p FROM customer)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidlake.common import table
+from bidlake.functions import blanks as B
 from bidlake.functions import documents as D
 from bidlake.functions import scoring as R
 from bidlake.operators import learning as M
@@ -111,11 +112,11 @@ def chronological(spark, sf_dir):
     return P.temporal_features(pairs_of(spark, sf_dir)).select("pair_id", "publish_year", "publish_month").orderBy("publish_year", "publish_month", "pair_id")
 
 
-@query("d15_document_context", "SELECT doc_id, CASE WHEN doc_id % 4 < 3 OR regexp_matches(coalesce(text, ''), '(?i)\\bsbd ?[0-9]') THEN 'declaration' ELSE 'form' END AS context FROM documents")
+@query("d15_document_context", "SELECT doc_id, CASE WHEN doc_id % 5 < 3 OR regexp_matches(coalesce(text, ''), '(?i)declaration of interest|employed by the state|\\b[sm]bd\\s*4\\b') THEN 'declaration' ELSE 'form' END AS context FROM documents")
 def document_context(spark, sf_dir):
-    """Every document, three of four with a mark of a declaration form."""
-    mark = F.get(F.array(*map(F.lit, (" SBD 4", " Declaration of Interest", " a sworn affidavit", ""))), (F.col("doc_id") % 4).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", D.document_context(F.concat(F.coalesce("text", F.lit("")), mark)).alias("context"))
+    """Every document, three of five with a mark of a declaration form, one with the number of another form."""
+    mark = F.get(F.array(*map(F.lit, (" SBD 4", " Declaration of  Interest", " the bidder\u2019s disclosure", " SBD 6.1", ""))), (F.col("doc_id") % 5).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", B.document_context(F.concat(F.coalesce("text", F.lit("")), mark)).alias("context"))
 
 
 @query("x10_score_stream", "SELECT o_orderkey, CASE WHEN o_totalprice > 50000000 THEN '90/10' ELSE '80/20' END AS system, CASE WHEN o_totalprice / 500000 >= 0.5 THEN 'PURSUE' ELSE 'PASS' END AS recommendation FROM orders")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from bidlake.functions import blanks as B
 from bidlake.functions import documents as D
 from bidlake.functions import scoring as R
 
@@ -42,6 +43,6 @@ def test_parsers_never_fail(spark, text):
 
 
 def test_supplier_block_fill(spark):
-    want = {"Signed by": "signature", "Dated": "signing_date", "Rate per hour": "pricing", "Describe your methodology": "narrative", "I certify that": "declaration", "Trading name": None}
+    want = {"Signed by": "signature", "Dated": None, "Dated at": "signing_date", "Rate per hour": "pricing", "Describe your methodology": "narrative", "Any conflict of interest": "declaration", "Trading name": None}
     df = spark.createDataFrame([(x,) for x in want], "label string")
-    assert {r["label"]: r["b"] for r in df.select("label", D.block_reason(F.col("label"), F.lit("form")).alias("b")).collect()} == want
+    assert {r["label"]: r["b"] for r in df.select("label", B.block_reason(F.col("label"), F.lit("form")).alias("b")).collect()} == want
