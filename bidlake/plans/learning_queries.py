@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidlake.common import table
+from bidlake.common import scratch, table
 from bidlake.functions import blanks as B
 from bidlake.functions import documents as D
 from bidlake.functions import scoring as R
+from bidlake.operators import document_scores as S
 from bidlake.operators import learning as M
 from bidlake.operators import prepare as P
 from bidlake.operators import profile as Q
 from bidlake.operators.evaluation import year_folds
+from bidlake.operators.ranks import quantiles
 from bidlake.plans.document_queries import notices
 from bidlake.plans.history_queries import PAIRS_SQL, pairs_of
 from bidlake.plans.registry import query
 from bidlake.plans.views import RAW_SQL, raw_contracts
+from bidlake.streaming.jobs import append_stream
 
 FEATURES = ["bid_price", "estimate", "publish_month", "deadline_days"]
 
@@ -125,3 +128,28 @@ def score_stream(spark, sf_dir):
     docs = notices(spark, sf_dir).withColumn("m", D.extract_money(F.col("text")))
     scored = docs.select("o_orderkey", R.evaluation_system(F.col("m.value")).alias("system"), (F.col("m.value") / 500000).alias("p"))
     return scored.select("o_orderkey", "system", R.recommend(F.col("p"), 0.5)["recommendation"].alias("recommendation"))
+
+
+def documents_to_score(spark, sf_dir):
+    """The notices; of each seventh customer unreadable or empty ones."""
+    k = F.col("o_custkey") % 7
+    return notices(spark, sf_dir).select("o_orderkey", F.when(k == 1, "  ").when(k > 0, F.col("text")).alias("text"))
+
+
+def scoring_plan(spark, sf_dir):
+    """How a frame of documents is scored: the trained stack, a firm without past wins, an offer above the lowest."""
+    stack, rows = trained(spark, sf_dir)
+    medians = {r["column"]: r["q"][0] for r in quantiles(rows.where("split = 'train'").unpivot(["pair_id"], [F.col(f).cast("double").alias(f) for f in FEATURES], "column", "value"), [0.5]).collect()}
+    firm = spark.createDataFrame([("Own firm", 0, "Limpopo", "Mookgophong", True, True, False)], S.PROFILE)
+    offer = S.Offer(level=2, price=120_000.0, lowest=100_000.0, competitors=4)
+    return lambda docs: S.score_documents(docs, firm, offer, stack, medians, 0.5, F.lit("1998-01-01").cast("date"))
+
+
+@query("x10_scored_documents")
+def scored_documents(spark, sf_dir):
+    """Documents scored as a stream of files."""
+    path, plan = scratch(spark, "scored"), scoring_plan(spark, sf_dir)
+    documents_to_score(spark, sf_dir).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("o_orderkey long, text string").parquet(f"{path}/in")
+    append_stream(plan(stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return S.ranked(spark.read.parquet(f"{path}/out"), "o_orderkey").select("o_orderkey", "type", "region", "completeness", "eligible", "system", "win_probability", "adjusted", "recommendation", "error")

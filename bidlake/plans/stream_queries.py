@@ -77,6 +77,16 @@ def track_outcomes(spark, sf_dir):
     return P.upsert(P.latest_per_key(target, ["user_id", "event_type"], F.desc("ts"), F.desc("event_id")), newest, ["user_id", "event_type"], "ts").select("user_id", "event_type", "value")
 
 
+@query("x9_outcomes_stream", "SELECT user_id, event_type, max_by(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+def outcomes_stream(spark, sf_dir):
+    """The same outcomes from a stream of files, several micro-batches, in any order."""
+    path, keys = scratch(spark, "outcomes"), ["user_id", "event_type"]
+    table(spark, sf_dir, "events").select(*keys, "value", F.struct("ts", "event_id").alias("version")).repartition(6).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    X.upsert_stream(stream, f"{path}/out", keys, "version", f"{path}/checkpoint").awaitTermination()
+    return X.read_upserted(spark, f"{path}/out", keys, "version").select(*keys, "value")
+
+
 @query("x11_pack_events", "SELECT user_id, event_id, count(*) OVER w AS seq, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def pack_events(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")

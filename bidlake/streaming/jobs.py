@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from bidlake.operators.prepare import latest_per_key, upsert
+from bidlake.operators.prepare import latest_per_key
 from bidlake.operators.ranks import running
 
 WATERMARK = "10 minutes"
+SHIFT = 1.0  # seconds added to times, because a stream's watermark starts at 0 and shuts out the rows at it
 State = list[float]
 Step = Callable[[State, float, bool], tuple[State, bool]]
 
@@ -84,17 +85,26 @@ def decide_batch(events: DataFrame, step: Step) -> DataFrame:
     return ordered.mapInPandas(run, "key string, id long, t double, flag boolean, admitted boolean")
 
 
-def decide_stream(events: DataFrame, step: Step) -> DataFrame:
-    """The same decision on a stream; the state of a key is its list of times."""
+def decide_stream(events: DataFrame, step: Step, keep: float, late: str = WATERMARK) -> DataFrame:
+    """The same decision on a stream; the state of a key is its list of times.
+
+    A key's state goes ``keep`` seconds (the rule's window) after its last time, once no row up to then can come; rows
+    later than ``late`` behind the newest take no part, nor do rows before 1970.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches))
-        done, kept = _run(rows, step, kept)
+        done, kept = _run(pd.concat(list(batches)), step, kept)
         state.update((kept,))
+        last = max(kept, default=0.0) + keep + SHIFT
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 1)
         yield done[["key", "id", "t", "flag", "admitted"]]
 
-    return events.groupBy("key").applyInPandasWithState(run, "key string, id long, t double, flag boolean, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("_at", F.timestamp_seconds(F.col("t") + SHIFT)).withWatermark("_at", late)
+    return timed.groupBy("key").applyInPandasWithState(run, "key string, id long, t double, flag boolean, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_usage(events: DataFrame, at: str = "ts") -> DataFrame:
@@ -128,12 +138,27 @@ def expire(df: DataFrame, at: str, now, seconds: int) -> DataFrame:
 
 
 def upsert_stream(changes: DataFrame, path: str, keys: list[str], version: str, checkpoint: str):
-    """Write each micro-batch into a versioned Parquet table: read the last version, upsert, write the next."""
-    spark = changes.sparkSession
+    """Upsert a stream into a table of changes: each micro-batch adds the newest row of each of its keys and rewrites nothing.
+
+    A batch that runs again replaces its own part only. ``read_upserted`` gives the table, ``compact_upserts`` a short form of it.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        latest_per_key(batch, keys, F.desc(version)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_upserted(spark: SparkSession, path: str, keys: list[str], version: str) -> DataFrame:
+    """The newest row of each key; of equal versions the one that came last."""
+    return latest_per_key(spark.read.parquet(path), keys, F.desc(version), F.desc("batch")).drop("batch")
+
+
+def compact_upserts(spark: SparkSession, path: str, keys: list[str], version: str, out: str) -> None:
+    """Write the table of changes with one row a key to a new path, each row in the batch that brought it."""
+    latest_per_key(spark.read.parquet(path), keys, F.desc(version), F.desc("batch")).write.partitionBy("batch").parquet(out)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        newest = latest_per_key(batch, keys, F.desc(version))
-        merged = upsert(spark.read.parquet(f"{path}/v{number - 1}"), newest, keys, version) if number else newest
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
 
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_stream(rows: DataFrame, path: str, checkpoint: str):
+    """Write every new row once, in the batches that are there now."""
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -21,3 +21,22 @@ def test_meta_model_sees_every_year_with_both_classes_on_both_sides(spark, monke
     with pytest.raises(Stopped):
         L.trained(spark, "")
     assert given == [2012, 2014]
+
+
+def test_scored_stream_equals_the_batch_and_keeps_bad_documents(spark, monkeypatch):
+    sf, columns = "/root/testdata/sf0.001", ["o_orderkey", "type", "region", "completeness", "eligible", "system", "recommendation", "error"]
+    docs = L.documents_to_score(spark, sf)
+    plan = L.scoring_plan(spark, sf)
+    monkeypatch.setattr(L, "scoring_plan", lambda spark, sf_dir: plan)
+    batch = {r["o_orderkey"]: r for r in plan(docs).collect()}
+    stream = {r["o_orderkey"]: r for r in L.scored_documents(spark, sf).collect()}
+    texts = {r["o_orderkey"]: r["text"] for r in docs.collect()}
+    assert set(batch) == set(stream) == set(texts)
+    for k, text in texts.items():
+        assert [batch[k][c] for c in columns] == [stream[k][c] for c in columns]
+        if text is None or not text.strip():
+            want = "unreadable" if text is None else "no text"
+            assert (stream[k]["error"], stream[k]["win_probability"], stream[k]["adjusted"], stream[k]["recommendation"]) == (want, None, None, "PASS")
+        else:
+            assert stream[k]["error"] is None and 0 < stream[k]["win_probability"] < 1
+            assert stream[k]["recommendation"] == ("DISQUALIFIED" if not stream[k]["eligible"] else "PURSUE" if stream[k]["adjusted"] >= 0.5 else "PASS")
