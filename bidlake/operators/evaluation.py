@@ -92,6 +92,25 @@ def year_folds(df: DataFrame, year: str = "publish_year", label: str = "did_win"
     return good.select(F.row_number().over(Window.orderBy(year)).alias("fold"), F.col(year).alias("val_year"), F.col("tn").alias("train_rows"), F.col("n").alias("val_rows"))
 
 
+def time_blocks(df: DataFrame, order: str, blocks: int = 5) -> DataFrame:
+    """``df`` with ``block``: 0 for the first rows by ``order``, then 1 to ``blocks`` for equal parts of the rest.
+
+    Of n rows a block takes n / (blocks + 1), rounded down, and block 0 what is left; rows of one ``order`` stay together, in
+    the block of their last; without an order there is no block.
+    """
+    upto = running(df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("_n")), [], order, {"_upto": "_n"})
+    total = upto.agg(F.max("_upto").alias("_all"))  # one row
+    size = F.floor(F.col("_all") / (blocks + 1))
+    past = F.col("_upto") - (F.col("_all") - blocks * size)
+    placed = upto.crossJoin(F.broadcast(total)).select(order, F.when(past <= 0, 0).otherwise(F.ceil(F.try_divide(past, size))).cast("int").alias("block"))
+    return df.join(placed, order, "left")
+
+
+def block_folds(df: DataFrame, order: str, label: str = "did_win", blocks: int = 5) -> DataFrame:
+    """(fold, val_block, train_rows, val_rows): as ``year_folds``, over blocks of rows; for data whose years give no fold."""
+    return year_folds(time_blocks(df, order, blocks), "block", label).withColumnRenamed("val_year", "val_block")
+
+
 def validation_status(metrics: DataFrame, bar: float = 0.60) -> DataFrame:
     """Whether the held-out AUC (test, else val) reaches the bar; a missing metric never does."""
     auc = F.coalesce(F.max(F.when(F.col("split") == "test", F.col("roc_auc"))), F.max(F.when(F.col("split") == "val", F.col("roc_auc"))))

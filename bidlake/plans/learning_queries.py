@@ -12,7 +12,7 @@ from bidlake.operators import document_scores as S
 from bidlake.operators import learning as M
 from bidlake.operators import prepare as P
 from bidlake.operators import profile as Q
-from bidlake.operators.evaluation import year_folds
+from bidlake.operators.evaluation import time_blocks, year_folds
 from bidlake.operators.ranks import quantiles
 from bidlake.plans.document_queries import notices
 from bidlake.plans.history_queries import PAIRS_SQL, pairs_of
@@ -30,8 +30,14 @@ def model_rows(spark, sf_dir):
 def trained(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
     train = rows.where("split = 'train'")
-    years = sorted(r["val_year"] for r in year_folds(train).collect())
-    stack = M.train_stack(train, FEATURES, "did_win", "publish_year", years)
+    fold, held = "publish_year", sorted(r["val_year"] for r in year_folds(train).collect())
+    if not held:
+        months = train.withColumn("months", F.col("publish_year") * 12 + F.col("publish_month"))
+        train, fold = time_blocks(months, "months"), "block"
+        held = sorted(r["val_year"] for r in year_folds(train, "block").collect())
+    if not held:
+        raise ValueError("no fold has both classes on both sides")
+    stack = M.train_stack(train, FEATURES, "did_win", fold, held)
     return M.calibrate(stack, rows.where("split = 'val'"), "did_win"), rows
 
 

@@ -210,6 +210,14 @@ def year_folds(spark, sf_dir):
     return M.year_folds(pairs_of(spark, sf_dir))
 
 
+@query("m9_block_folds", f"""WITH {PAIRS_SQL}, o AS (SELECT did_win, year(call_date) * 12 + month(call_date) AS k FROM pairs), u AS (SELECT did_win, count(*) OVER (ORDER BY k) AS upto, count(*) OVER () AS n FROM o), b AS (
+SELECT did_win, CASE WHEN upto <= n - 5 * (n // 6) THEN 0 ELSE CAST(ceil((upto - (n - 5 * (n // 6))) / (n // 6)) AS INTEGER) END AS block FROM u), y AS (SELECT block, count(*) AS n, sum(did_win) AS p FROM b GROUP BY 1), c AS (
+SELECT block, n, p, sum(n) OVER w AS tn, sum(p) OVER w AS tp FROM y WINDOW w AS (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT CAST(row_number() OVER (ORDER BY block) AS INTEGER) AS fold, block AS val_block, CAST(tn AS BIGINT) AS train_rows, n AS val_rows FROM c WHERE p > 0 AND p < n AND tp > 0 AND tp < tn""")
+def block_folds(spark, sf_dir):
+    return M.block_folds(pairs_of(spark, sf_dir).withColumn("months", F.year("call_date") * 12 + F.month("call_date")), "months")
+
+
 @query("m20_validation_status", f"""WITH {SCORED_SQL}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ar FROM scored WHERE l_linenumber > 4), a AS (
 SELECT round((sum(ar) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))), 6) AS auc FROM r) SELECT auc, CASE WHEN auc >= 0.6 THEN 'VALIDATED' ELSE 'NOT_VALIDATED' END AS status FROM a""")
 def validation_status(spark, sf_dir):

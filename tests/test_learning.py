@@ -23,6 +23,22 @@ def test_meta_model_sees_every_year_with_both_classes_on_both_sides(spark, monke
     assert given == [2012, 2014]
 
 
+@pytest.mark.parametrize(("labels", "blocks"), [([0, 1, 1, 0] * 6, [1, 2, 3, 4, 5]), ([0] * 24, None)])
+def test_one_year_is_cut_into_blocks(spark, monkeypatch, labels, blocks):
+    rows = [(k, 2010, k, "train", y) for k, y in enumerate(labels)]
+    given = []
+
+    def stop(train, features, label, fold_year, years, weight=1.0):
+        given.extend([fold_year, years, train.where("block = 0").count(), train.where("block = 5").count()])
+        raise Stopped
+
+    monkeypatch.setattr(L, "model_rows", lambda spark, sf_dir: spark.createDataFrame(rows, "pair_id long, publish_year int, publish_month int, split string, did_win int"))
+    monkeypatch.setattr(L.M, "train_stack", stop)
+    with pytest.raises(ValueError if blocks is None else Stopped):
+        L.trained(spark, "")
+    assert given == ([] if blocks is None else ["block", blocks, 4, 4])
+
+
 def test_scored_stream_equals_the_batch_and_keeps_bad_documents(spark, monkeypatch):
     sf, columns = "/root/testdata/sf0.001", ["o_orderkey", "type", "region", "completeness", "eligible", "system", "recommendation", "error"]
     docs = L.documents_to_score(spark, sf)
