@@ -13,6 +13,7 @@ from bidlake.llm.bpe import bpe_digests
 from bidlake.llm.images import embedding_image_copies
 from bidlake.llm.langid import language_report
 from bidlake.llm.mixing import mix_report
+from bidlake.llm.repair import repair_report
 from bidlake.llm.secrets import secret_report
 from bidlake.llm.token_cache import token_counts
 
@@ -60,6 +61,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-cache"), keep=["doc_id"])
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
+        "op11_repair": op11_repair,
     }
 
 
