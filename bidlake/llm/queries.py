@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bidlake.common import scratch, table
-from bidlake.llm import neardup, topk, toxicity, urls
+from bidlake.llm import lexical, neardup, topk, toxicity, urls
 from bidlake.llm.bpe import bpe_digests
 from bidlake.llm.images import embedding_image_copies
 from bidlake.llm.langid import language_report
@@ -65,6 +65,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_token_counts": op10_token_counts,
         "op11_repair": op11_repair,
+        "op12_lexical_search": op12_lexical_search,
     }
 
 
@@ -86,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_top_k": topk.ORACLE_SQL,
         "op4_url_filters": urls.ORACLE_SQL,
         "op8_near_duplicates": neardup.ORACLE_SQL,
+        "op12_lexical_search": lexical.ORACLE_SQL,
     }
