@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bidlake.common import scratch, table
-from bidlake.llm import lexical, neardup, topk, toxicity, urls
+from bidlake.llm import lexical, neardup, recompress, topk, toxicity, urls
 from bidlake.llm.bpe import bpe_digests
 from bidlake.llm.images import embedding_image_copies
 from bidlake.llm.langid import language_report
@@ -69,6 +69,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_repair": op11_repair,
         "op12_lexical_search": op12_lexical_search,
+        "op13_substring_dedup": op13_substring_dedup,
     }
 
 
@@ -92,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filters": urls.ORACLE_SQL,
         "op8_near_duplicates": neardup.ORACLE_SQL,
         "op12_lexical_search": lexical.ORACLE_SQL,
+        "op13_substring_dedup": recompress.ORACLE_SQL,
     }
