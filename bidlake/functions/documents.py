@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidlake.operators import fuzzy
+
 AMOUNT = r"(?:ZAR|R|\$)\s?([0-9][0-9 ,]*(?:\.[0-9]{1,2})?)"
 DAY = r"([0-9]{1,2} [A-Za-z]+ [0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
 # The smallest amount of interest, and the statutory limit that every notice quotes.
@@ -240,32 +242,6 @@ def profile_diff(current: DataFrame, proposed: DataFrame, key: str) -> DataFrame
     return long(current, "before").join(long(proposed, "after"), [key, "field"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def eligibility(docs: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Every document with every supplier: hard failures and warnings.
-
-    A firm without wins cannot reach a functionality threshold above what it can score without history;
-    a registration demanded elsewhere, CSD, CIDB or tax papers that lack are failures; a briefing in another
-    province warns; no text passes with low confidence.
-    """
-    text = F.coalesce("text", F.lit(""))
-    pairs = docs.crossJoin(suppliers)
-    threshold = _first(text, r"(?i)minimum[^0-9%]{0,40}([0-9]{1,3}) ?%").try_cast("int")
-    history = F.coalesce(_first(text, r"(?i)past contracts[^0-9]{0,20}([0-9]{1,3})").try_cast("int"), F.lit(0))
-    failures = F.array_compact(
-        F.array(
-            F.when((F.col("pit_total_wins") == 0) & (100 - history < threshold), "functionality"),
-            F.when(text.rlike(r"(?i)registered in") & ~F.coalesce(F.contains(F.lower(text), F.lower("municipality")), F.lit(False)), "locality"),
-            F.when(text.rlike(r"(?i)\bcsd\b") & ~F.col("has_csd"), "csd"),
-            F.when(text.rlike(r"(?i)\bcidb\b") & ~F.col("has_cidb"), "cidb"),
-            F.when(text.rlike(r"(?i)tax clearance") & ~F.col("has_tax_clearance"), "tax"),
-        )
-    )
-    place = _first(text, r"(?i)compulsory briefing in ([A-Za-z ]+)\.")
-    warnings = F.array_compact(F.array(F.when(~F.coalesce(F.lower(place) == F.lower("province"), F.lit(True)) & ~text.rlike(r"(?i)no compulsory briefing"), "briefing_province")))
-    out = pairs.select(*docs.columns, "company_name", failures.alias("hard_failures"), warnings.alias("warnings"), F.when(F.trim(text) == "", "low").otherwise("normal").alias("confidence"))
-    return out.withColumn("eligible", F.size("hard_failures") == 0)
-
-
 def match_labels_exact(labels: DataFrame, aliases: DataFrame, blocked: DataFrame) -> DataFrame:
     """``canonical`` by equal keys (the first alias wins), null for blocked keys. ``aliases``: alias, canonical, position; ``blocked``: key."""
     known = aliases.select(normalize_label(F.col("alias")).alias("key"), "canonical", "position").groupBy("key").agg(F.min_by("canonical", "position").alias("canonical"))
@@ -274,27 +250,16 @@ def match_labels_exact(labels: DataFrame, aliases: DataFrame, blocked: DataFrame
     return keyed.join(bad, "key", "left_anti").join(known, "key", "left")
 
 
-def match_labels_fuzzy(labels: DataFrame, aliases: DataFrame, enough: float = 85.0, second: float = 75.0, margin: float = 8.0) -> DataFrame:
-    """Best canonical field of each key: matched, ambiguous, low_corroboration or unmatched.
+def match_labels_fuzzy(labels: DataFrame, aliases: DataFrame, enough: float = fuzzy.ENOUGH, margin: float = fuzzy.MARGIN) -> DataFrame:
+    """(key, canonical, score, status) of each distinct key: matched, ambiguous, low_corroboration or unmatched.
 
-    Each distinct key meets every alias of the dictionary; the score is the edit ratio, the second opinion
-    that of the sorted words.
+    Keys and aliases meet only where letters or words in common leave a match possible; see ``bidlake.operators.fuzzy``.
     """
-    words = lambda c: F.array_sort(F.split(c, " "))
-    keys = labels.select(normalize_label(F.col("label")).alias("key")).distinct()
-    known = aliases.select(normalize_label(F.col("alias")).alias("alias_key"), "canonical").where(F.col("alias_key").isNotNull()).distinct()
-    pairs = keys.where(F.col("key").isNotNull()).crossJoin(known)
-    ratio = lambda a, b: 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
-    scored = pairs.select("key", "canonical", ratio(F.col("key"), F.col("alias_key")).alias("score"), ratio(F.array_join(words(F.col("key")), " "), F.array_join(words(F.col("alias_key")), " ")).alias("other"))
-    best = scored.groupBy("key", "canonical").agg(F.max(F.struct("score", "other")).alias("b")).select("key", "canonical", "b.score", "b.other")
-    ranked = best.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "canonical")))
-    top = ranked.groupBy("key").agg(F.max(F.when(F.col("n") == 1, F.struct("canonical", "score", "other"))).alias("t"), F.coalesce(F.max(F.when(F.col("n") == 2, F.col("score"))), F.lit(0.0)).alias("next"))
-    status = F.when(F.col("t.score") < enough, "unmatched").when(F.col("t.score") - F.col("next") < margin, "ambiguous").when(F.col("t.other") < second, "low_corroboration").otherwise("matched")
-    out = top.select("key", F.col("t.canonical").alias("canonical"), F.col("t.score").alias("score"), status.alias("status"))
-    return keys.join(out, "key", "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
-
-
-def label_lookup(labels: DataFrame, aliases: DataFrame, enough: float = 85.0) -> DataFrame:
+    known = aliases.select(normalize_label(F.col("alias")).alias("alias"), "canonical", "position")
+    return fuzzy.look_up(labels.select(normalize_label(F.col("label")).alias("key")), known, enough, margin).select("key", "canonical", "score", "status")
+
+
+def label_lookup(labels: DataFrame, aliases: DataFrame, enough: float = fuzzy.ENOUGH) -> DataFrame:
     """(key, canonical, score, status) of each distinct key: blocked, exact, prose_fragment, else as the fuzzy match says.
 
     An empty or null label is unmatched; only keys without an equal alias go to the fuzzy match, and ``canonical`` is
@@ -329,11 +294,6 @@ def resolve_ambiguous(candidates: DataFrame, profile: DataFrame) -> DataFrame:
     return spread.groupBy("company_id", "label").agg(F.collect_set("value").alias("v")).where(F.size("v") == 1).select("company_id", "label", F.col("v")[0].alias("value"))
 
 
-def head_gate(text: Column, score: Column, head: int = 1500, least: int = 40, enough: float = 0.7) -> Column:
-    """unreadable, tender or not_tender by the score of the first characters."""
-    return F.when(F.length(F.trim(F.substring(F.coalesce(text, F.lit("")), 1, head))) < least, "unreadable").when(score >= enough, "tender").otherwise("not_tender")
-
-
 def accreditation_gaps(parsed: DataFrame, key: str) -> DataFrame:
     """Advice rows from parsed company fields, high priority first."""
     advice = F.array_compact(
