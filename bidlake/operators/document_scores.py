@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bidlake.functions import documents as D
 from bidlake.functions import scoring as R
+from bidlake.operators.eligibility import firm_verdicts
 from bidlake.operators.learning import Stack, score_batch
 
 PROFILE = "company_name string, pit_total_wins int, province string, municipality string, has_csd boolean, has_cidb boolean, has_tax_clearance boolean"
@@ -39,7 +40,7 @@ def score_documents(docs: DataFrame, firm: DataFrame, offer: Offer, stack: Stack
     without text gives a row with an ``error``, no probability and PASS; nothing stops the others.
     """
     keys = [c for c in docs.columns if c != "text"]
-    read = D.eligibility(docs, firm).withColumns(extracted(F.col("text"), as_of))
+    read = firm_verdicts(docs, firm).withColumns(extracted(F.col("text"), as_of))
     read = read.withColumn("error", F.when(F.col("text").isNull(), "unreadable").when(F.trim("text") == "", "no text"))
     found = {"bid_price": F.col("_money.bid"), "estimate": F.col("_money.value"), "publish_month": F.month(as_of), "deadline_days": F.col("_dates.deadline_days")}
     read = read.withColumns({f: F.coalesce(found.get(f, F.lit(None)).cast("double"), F.lit(float(medians[f]))) for f in stack.features})

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidlake.common import table
+from bidlake.common import scratch, table
 from bidlake.functions import blanks as B
 from bidlake.functions import documents as D
+from bidlake.operators import eligibility as E
+from bidlake.operators import text_gate as G
 from bidlake.plans.registry import query
+from bidlake.streaming.jobs import append_stream
 
 
 def notices(spark, sf_dir):
@@ -258,6 +261,15 @@ def match_labels_fuzzy(spark, sf_dir):
     return D.match_labels_fuzzy(table(spark, sf_dir, "events").select(label.alias("label")), aliases).select("key", "status")
 
 
+@query("d10_match_captions")
+def match_captions(spark, sf_dir):
+    """Captions of the links of all pages against those that three pages or more use."""
+    caption = F.explode(F.regexp_extract_all("html", F.lit(r"<a href=[^>]*>([^<]+)</a>"), F.lit(1)))
+    links = table(spark, sf_dir, "pages").select("page_id", caption.alias("label")).distinct()
+    aliases = links.groupBy("label").count().where("count > 2").select(F.col("label").alias("alias"), D.normalize_label(F.col("label")).alias("canonical"), F.col("label").alias("position"))
+    return D.match_labels_fuzzy(links, aliases)
+
+
 @query("j10_label_lookup", """SELECT event_id, CASE event_type WHEN 'view' THEN 'phone' WHEN 'click' THEN 'email' END AS canonical,
 CASE event_type WHEN 'view' THEN 'matched' WHEN 'click' THEN 'exact' WHEN 'purchase' THEN 'blocked' WHEN 'error' THEN 'prose_fragment' ELSE 'unmatched' END AS status FROM events""")
 def label_lookup(spark, sf_dir):
@@ -269,13 +281,69 @@ def label_lookup(spark, sf_dir):
     return labels.join(D.label_lookup(labels, aliases), "key").select("event_id", "canonical", "status")
 
 
-@query("d23_eligibility", """SELECT o_orderkey, s.name AS company_name, s.wins = 0 AS hard, s.wins > 0 AS eligible FROM orders, (VALUES ('new', 0), ('old', 5)) AS s(name, wins)""")
+def tenders(spark, sf_dir):
+    """One tender text an order: a scorecard with or without points for a past, a place, papers, a briefing; a few are blank."""
+    n = F.col("o_orderkey")
+    card = (
+        "Evaluation criteria: Functionality\nThe minimum qualifying score of 80% is required to be eligible.\nPast contract track record: Max points 30\nExperience of the team 15\n",
+        "Bidders must score at least 40 points.\nScorecard\nTrack record weight: 50\nPlant weight: 50\n", "Past contracts: max points 90\nFunctionality threshold 60%\n", "A quotation is invited.\n",
+    )
+    place = ("Must be registered in eThekwini municipality.\n", "Offices located in the Western Cape province.\n", "", "", "")
+    papers = ("Registration on the CSD is welcome.\n", "Bidders must be registered on the Central Supplier Database and with the CIDB.\n", "Bids without a tax clearance will be read; a compulsory SARS PIN is asked for.\n")
+    visit = ("A compulsory site meeting will be held in Durban, KwaZulu-Natal.\n", "No visit in Gauteng.\n")
+    of = lambda parts, k: F.element_at(F.array(*map(F.lit, parts)), (k % len(parts) + 1).cast("int"))
+    text = F.concat(of(card, F.col("o_custkey")), of(place, n), of(papers, F.col("o_custkey") + n), of(visit, F.floor(n / 2)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(n % 11 > 0, text).alias("text"))
+
+
+def firms(spark, sf_dir):
+    """Suppliers with or without wins, seats and papers."""
+    k = F.col("s_suppkey")
+    town, province = F.when(k % 4 == 0, "eThekwini").when(k % 4 == 1, "City of Cape Town").when(k % 4 == 3, "Johannesburg"), F.when(k % 4 == 0, "KwaZulu-Natal").when(k % 4 == 1, "Western Cape").otherwise("Gauteng")
+    papers = [(k % 5 != 0).alias("has_csd"), (k % 5 != 1).alias("has_cidb"), F.when(k % 3 > 0, k % 3 == 1).alias("has_tax_clearance")]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (k % 2).cast("int").alias("pit_total_wins"), town.alias("municipality"), province.alias("province"), *papers)
+
+
+@query("d23_eligibility", """WITH o AS (SELECT CASE WHEN o_orderkey % 11 > 0 THEN o_custkey % 4 END AS card, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 5 END AS place, CASE WHEN o_orderkey % 11 > 0 THEN (o_custkey + o_orderkey) % 3 END AS papers, CASE WHEN o_orderkey % 11 > 0 THEN (o_orderkey // 2) % 2 END AS visit, count(*) AS n FROM orders GROUP BY ALL), p AS (
+SELECT s_suppkey, n, coalesce(card = 0 AND s_suppkey % 2 = 0, false) AS functionality, coalesce((place = 0 AND s_suppkey % 4 IN (1, 3)) OR (place = 1 AND s_suppkey % 4 IN (0, 3)), false) AS locality,
+coalesce(papers = 1 AND s_suppkey % 5 = 0, false) AS csd, coalesce(papers = 1 AND s_suppkey % 5 = 1, false) AS cidb, coalesce(papers = 2 AND s_suppkey % 3 = 2, false) AS tax, coalesce(visit = 0 AND s_suppkey % 4 <> 0 AND NOT (place = 1 AND s_suppkey % 4 = 1), false) AS far FROM o, supplier)
+SELECT s_suppkey, CAST(coalesce(sum(n) FILTER (NOT (functionality OR locality OR csd OR cidb OR tax)), 0) AS BIGINT) AS eligible, CAST(coalesce(sum(n) FILTER (functionality), 0) AS BIGINT) AS functionality, CAST(coalesce(sum(n) FILTER (locality), 0) AS BIGINT) AS locality,
+CAST(coalesce(sum(n) FILTER (csd), 0) AS BIGINT) AS csd, CAST(coalesce(sum(n) FILTER (cidb), 0) AS BIGINT) AS cidb, CAST(coalesce(sum(n) FILTER (tax), 0) AS BIGINT) AS tax, CAST(coalesce(sum(n) FILTER (far), 0) AS BIGINT) AS far, CAST(sum(n) AS BIGINT) AS tenders FROM p GROUP BY 1""")
 def eligibility(spark, sf_dir):
-    suppliers = spark.createDataFrame([("new", 0, "A", "Gauteng", True, True, True), ("old", 5, "A", "Gauteng", True, True, True)], "company_name string, pit_total_wins int, municipality string, province string, has_csd boolean, has_cidb boolean, has_tax_clearance boolean")
-    docs = notices(spark, sf_dir).select("o_orderkey", F.concat("text", F.lit(" Past contracts maximum 40.")).alias("text"))
-    return D.eligibility(docs, suppliers).select("o_orderkey", "company_name", F.array_contains("hard_failures", "functionality").alias("hard"), "eligible")
-
-
-@query("d25_head_gate", "SELECT doc_id, CASE WHEN length(trim(substring(text, 1, 1500))) < 40 THEN 'unreadable' WHEN n_chars % 100 >= 70 THEN 'tender' ELSE 'not_tender' END AS verdict FROM documents")
+    """For each supplier, how many of all tenders it may bid on, and why it may not; counted on classes, no pair of rows is made."""
+    found = E.eligibility(tenders(spark, sf_dir), firms(spark, sf_dir))
+    held = found.classes.join(found.docs.groupBy("tender_class").agg(F.count("*").alias("n")), "tender_class")
+    sums = {"eligible": F.col("eligible"), **{f: F.array_contains("hard_failures", f) for f in ("functionality", "locality", "csd", "cidb", "tax")}, "far": F.size("warnings") > 0, "tenders": F.lit(True)}
+    by_class = held.groupBy("firm_class").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name) for name, c in sums.items()])
+    return found.firms.select("s_suppkey", "firm_class").join(by_class, "firm_class").drop("firm_class")
+
+
+@query("d23_eligible_pairs", """WITH o AS (SELECT *, o_custkey % 4 AS card, o_orderkey % 5 AS place, (o_custkey + o_orderkey) % 3 AS papers FROM orders WHERE o_orderdate >= DATE '1998-07-01' AND o_orderkey % 11 > 0), p AS (
+SELECT o_orderkey, s_suppkey, array_to_string(list_filter([CASE WHEN card = 0 AND s_suppkey % 2 = 0 THEN 'functionality' END, CASE WHEN (place = 0 AND s_suppkey % 4 IN (1, 3)) OR (place = 1 AND s_suppkey % 4 IN (0, 3)) THEN 'locality' END,
+CASE WHEN papers = 1 AND s_suppkey % 5 = 0 THEN 'csd' END, CASE WHEN papers = 1 AND s_suppkey % 5 = 1 THEN 'cidb' END, CASE WHEN papers = 2 AND s_suppkey % 3 = 2 THEN 'tax' END], lambda x: x IS NOT NULL), ',') AS failures FROM o, supplier)
+SELECT o_orderkey, s_suppkey, failures FROM p WHERE failures LIKE '%,%,%'""")
+def eligible_pairs(spark, sf_dir):
+    """Pairs of the newest tenders and firms that fail in three ways or more."""
+    newest = tenders(spark, sf_dir).join(table(spark, sf_dir, "orders").where("o_orderdate >= DATE '1998-07-01'").select("o_orderkey"), "o_orderkey", "left_semi")
+    found = E.eligibility(newest, firms(spark, sf_dir))
+    worst = E.Eligibility(found.docs, found.firms, found.classes.where(F.size("hard_failures") > 2)).pairs()
+    return worst.select("o_orderkey", "s_suppkey", F.array_join("hard_failures", ",").alias("failures"))
+
+
+@query("d25_head_gate", "SELECT doc_id, CASE WHEN length(trim(substring(coalesce(text, ''), 1, 1500))) < 40 THEN 'unreadable' WHEN quality = 1 THEN 'tender' ELSE 'not_tender' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
 def head_gate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", D.head_gate(F.col("text"), (F.col("n_chars") % 100) / 100).alias("verdict"))
+    """Every document by a score that comes with it: its quality label."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.select("doc_id", G.head_gate(F.col("text"), F.col("quality").cast("double")).alias("verdict"))
+
+
+@query("d25_head_classifier")
+def head_classifier(spark, sf_dir):
+    """Every document by the classifier, fitted on the labelled ones, saved and loaded; run as a stream of files."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "gate")
+    G.save(G.fit_gate(docs.join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("quality").alias("label"))), f"{path}/model")
+    model = G.load(f"{path}/model")
+    docs.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{path}/in")
+    append_stream(G.gate(stream, model), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out")

@@ -9,6 +9,7 @@ from bidlake.common import table
 from bidlake.operators import prepare as P
 from bidlake.operators import reports as A
 from bidlake.plans.history_queries import PAIRS_SQL, pairs_of
+from bidlake.operators.containment import contained
 from bidlake.plans.registry import query
 from bidlake.plans.views import RAW_SQL, raw_contracts
 
@@ -280,12 +281,13 @@ def update_from(spark, sf_dir):
     return customer.join(per, customer["c_custkey"] == per["o_custkey"], "left").select("c_custkey", "n", "total")
 
 
-@query("j11_name_in_text", """WITH n AS (SELECT n_nationkey AS k, substring('THE AND OF TO IN THIS THAT WITH FOR ERE', 1 + 4 * CAST(n_nationkey AS BIGINT), 3) AS name FROM nation WHERE n_nationkey < 10)
-SELECT doc_id, min_by(name, k) AS name FROM documents JOIN n ON contains(lower(text), lower(name)) GROUP BY 1""")
+@query("j11_name_in_text", """WITH n AS (SELECT item_id, regexp_extract(lower(text), '^[^ \\n]+([ \\n]+[^ \\n]+){3}') AS name FROM benchmark)
+SELECT doc_id, min(item_id) AS item_id, min_by(name, item_id) AS name FROM documents JOIN n ON name <> '' AND contains(lower(text), name) GROUP BY 1""")
 def name_in_text(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("k"), F.expr("substring('THE AND OF TO IN THIS THAT WITH FOR ERE', 1 + 4 * n_nationkey, 3)").alias("name"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(F.broadcast(names), F.col("t").contains(F.lower("name"))).groupBy("doc_id").agg(F.min_by("name", "k").alias("name"))
+    """The first four words of each benchmark item as names, looked for in every document; the least item is kept."""
+    names = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract(F.lower("text"), r"^[^ \n]+([ \n]+[^ \n]+){3}", 0).alias("name"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return contained(names, docs).join(names, "name").groupBy(F.col("id").alias("doc_id")).agg(F.min("item_id").alias("item_id"), F.min_by("name", "item_id").alias("name"))
 
 
 @query("j12_new_only", "SELECT doc_id, source FROM documents ANTI JOIN labels ON documents.doc_id = labels.doc_id")
