@@ -49,13 +49,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so once the driver has collected its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote, once nothing reads them any more, and let go of the shuffles behind them."""
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
