@@ -45,7 +45,7 @@ def daily_usage(spark, sf_dir):
     return X.daily_usage(table(spark, sf_dir, "events")).withColumn("day", F.to_date("day"))
 
 
-@query("x6_rolling_api_summary", """WITH s AS (SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOURS * k AS start, event_type FROM events, (SELECT unnest([0, 1, 2, 3]) AS k))
+@query("x6_rolling_api_summary", """WITH s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR * k AS start, event_type FROM events, (SELECT unnest(range(24)) AS k))
 SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY 1""")
 def rolling_api_summary(spark, sf_dir):
     return X.rolling_summary(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

@@ -1,117 +1,22 @@
-"""Streaming forms: windows with watermarks, upserts by micro-batch, and state per key.
-
-Recursive rules (an admission that depends on earlier admissions) keep state per key. The batch form of
-each such rule is the same function over a whole group in time order, so both are tested against each other.
-"""
+"""Streaming forms: windows with watermarks, and what is written micro-batch by micro-batch. Rules with state are in ``rules``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bidlake.operators.prepare import latest_per_key
 from bidlake.operators.ranks import running
+from bidlake.streaming.rules import decide_batch, decide_stream, lockout, replay_window, sliding_limit  # noqa: F401
 
 WATERMARK = "10 minutes"
-SHIFT = 1.0  # seconds added to times, because a stream's watermark starts at 0 and shuts out the rows at it
-State = list[float]
-Step = Callable[[State, float, bool], tuple[State, bool]]
-
-
-def sliding_limit(limit: int = 30, seconds: float = 60.0) -> Step:
-    """Admit if fewer than ``limit`` were admitted in the last ``seconds``; refusals do not count."""
-
-    def step(state: State, t: float, flag: bool) -> tuple[State, bool]:
-        state = [x for x in state if x > t - seconds]
-        admitted = len(state) < limit
-        return ([*state, t] if admitted else state), admitted
-
-    return step
-
-
-def lockout(limit: int = 10, seconds: float = 900.0) -> Step:
-    """A try is let through while fewer than ``limit`` failures lie in the window; locked tries count, a success clears."""
-
-    def step(state: State, t: float, success: bool) -> tuple[State, bool]:
-        state = [x for x in state if x > t - seconds][-limit:]
-        open_ = len(state) < limit
-        return ([] if open_ and success else [*state, t]), open_
-
-    return step
-
-
-def replay_window(seconds: float = 900.0) -> Step:
-    """The first sighting of a key passes; repeats in the window after it do not, and do not extend it."""
-
-    def step(state: State, t: float, flag: bool) -> tuple[State, bool]:
-        passes = not state or t - state[0] >= seconds
-        return ([t] if passes else state), passes
-
-    return step
-
-
-def _run(pdf: pd.DataFrame, step: Step, state: State) -> tuple[pd.DataFrame, State]:
-    pdf = pdf.sort_values(["t", "id"], kind="stable")
-    out = []
-    for t, flag in zip(pdf["t"].tolist(), pdf["flag"].tolist(), strict=True):
-        state, passes = step(state, float(t), bool(flag))
-        out.append(passes)
-    return pdf.assign(admitted=out), state
-
-
-def decide_batch(events: DataFrame, step: Step) -> DataFrame:
-    """Add ``admitted``. Input: key string, id long, t double (epoch seconds), flag boolean.
-
-    A key's rows come sorted in slices, not as one group, so that a hot key needs the memory of a slice.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = object(), []
-        for pdf in batches:
-            parts = []
-            for k, part in pdf.groupby("key", sort=False, dropna=False):
-                if k != key and not (pd.isna(k) and pd.isna(key)):  # a null key comes as NaN
-                    key, state = k, []
-                done, state = _run(part, step, state)
-                parts.append(done)
-            if parts:
-                yield pd.concat(parts)
-
-    ordered = events.select("key", "id", "t", "flag").repartition("key").sortWithinPartitions("key", "t", "id")
-    return ordered.mapInPandas(run, "key string, id long, t double, flag boolean, admitted boolean")
-
-
-def decide_stream(events: DataFrame, step: Step, keep: float, late: str = WATERMARK) -> DataFrame:
-    """The same decision on a stream; the state of a key is its list of times.
-
-    A key's state goes ``keep`` seconds (the rule's window) after its last time, once no row up to then can come; rows
-    later than ``late`` behind the newest take no part, nor do rows before 1970.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        done, kept = _run(pd.concat(list(batches)), step, kept)
-        state.update((kept,))
-        last = max(kept, default=0.0) + keep + SHIFT
-        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield done[["key", "id", "t", "flag", "admitted"]]
-
-    timed = events.withColumn("_at", F.timestamp_seconds(F.col("t") + SHIFT)).withWatermark("_at", late)
-    return timed.groupBy("key").applyInPandasWithState(run, "key string, id long, t double, flag boolean, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_usage(events: DataFrame, at: str = "ts") -> DataFrame:
     return events.withWatermark(at, WATERMARK).groupBy(F.window(at, "1 day").alias("w"), "user_id", "event_type").agg(F.count("*").alias("used")).select("user_id", "event_type", F.col("w.start").alias("day"), "used")
 
 
-def rolling_summary(events: DataFrame, at: str = "ts", length: str = "24 hours", slide: str = "6 hours") -> DataFrame:
+def rolling_summary(events: DataFrame, at: str = "ts", length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
     out = events.withWatermark(at, WATERMARK).groupBy(F.window(at, length, slide).alias("w")).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return out.select(F.col("w.start").alias("start"), "calls", "errors")
 

@@ -24,8 +24,8 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([e for e in EVENTS if e[0]], SCHEMA)
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    for name, step, keep in (("limit", X.sliding_limit(3, 60.0), 60.0), ("lockout", X.lockout(3, 100.0), 100.0), ("replay", X.replay_window(35.0), 35.0)):
-        run = X.decide_stream(stream, step, keep).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    for name, step in (("limit", X.sliding_limit(3, 60.0)), ("lockout", X.lockout(3, 100.0)), ("replay", X.replay_window(35.0))):
+        run = X.decide_stream(stream, step).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         run.awaitTermination(120)
         have = {(r["id"], r["admitted"]) for r in spark.table(name).collect()}
         assert have == {(r["id"], r["admitted"]) for r in X.decide_batch(df, step).collect()}
@@ -59,7 +59,7 @@ def test_state_goes_after_the_window(spark, tmp_path):
     for i, rows in enumerate(([("a", 1, 10.0, False), ("b", 2, 20.0, False)], [("c", 3, 1e6, False)], [("d", 4, 2e6, False)])):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-        run = X.decide_stream(stream, X.replay_window(35.0), 35.0).writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        run = X.decide_stream(stream, X.replay_window(35.0)).writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         run.awaitTermination(120)
     assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
 
