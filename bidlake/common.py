@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +51,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: it does so once the driver has collected its garbage."""
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps whose results are written: it does so once the driver has collected its garbage.
+
+    A plan is only let go of some time after its last job, so a first collection often comes too early.
+    """
+    for _ in range(3):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def discard(*tables: DataFrame) -> None:
