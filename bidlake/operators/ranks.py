@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidlake.common import materialize
+
 PER_DOUBLING, ORIGIN, FARTHEST = 1024, 2_000_000, 1200.0
 
 
@@ -60,3 +62,24 @@ def positions(df: DataFrame, by: list[str], hashed: Column, at: str, buckets: in
     offsets = sizes.select("_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     ranked = own.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("_h")))
     return ranked.join(offsets, "_key").select(*df.columns, (F.col("_o") + F.col("_r")).alias(at))
+
+
+def running_over(df: DataFrame, by: list[str], order: list[str], measures: dict[str, tuple[str, str]], exclusive: bool = False) -> DataFrame:
+    """``df`` with running measures of each group in any order of columns; no task holds a whole group.
+
+    ``measures``: name to (kind, column); ``sum`` (0 at the start), ``max``, or ``last`` (the last that is not null). ``exclusive`` leaves the
+    row itself out. Rows are dealt out by ranges of group and order, so a hot group is many slices; each slice runs by itself, and
+    starts from what the slices before it add up to: one row a group and slice. Rows that agree in group and order come in any order.
+    """
+    own = materialize(df.repartitionByRange(*by, *order).select("*", F.spark_partition_id().alias("_slice"), F.struct(F.lit(0).alias("_all"), *by).alias("_key")), "slices")
+    end = -1 if exclusive else 0
+    inside = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    spot = F.struct(*order)
+    whole = {"sum": F.sum, "max": F.max, "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), spot))}
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    totals = own.groupBy("_key", "_slice").agg(*[whole[kind](c).alias(f"_{n}") for n, (kind, c) in measures.items()])
+    totals = totals.select("_key", "_slice", *[over[kind](f"_{n}").over(before).alias(f"_{n}") for n, (kind, _) in measures.items()])
+    ran = own.withColumns({n: over[kind](c).over(inside) for n, (kind, c) in measures.items()}).join(totals, ["_key", "_slice"])
+    both = {"sum": lambda n: F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0)), "max": lambda n: F.greatest(n, f"_{n}"), "last": lambda n: F.coalesce(n, f"_{n}")}
+    return ran.select(*df.columns, *[both[kind](n).alias(n) for n, (kind, _) in measures.items()])

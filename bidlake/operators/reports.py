@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.common import materialize
-from bidlake.operators.ranks import positions
+from bidlake.operators.ranks import positions, running_over
 
 # Limits by tier; prices in USD per million tokens; the VAT rate; required documents.
 TIERS = [("starter", 0, 0), ("pro", 5, 3), ("enterprise", 50, 25)]
@@ -182,9 +182,18 @@ def rank_batch(scored: DataFrame, key: str) -> DataFrame:
 
 
 def rolling_count(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """Events of the key in the ``seconds`` up to each event."""
+    """Events of the key in the ``seconds`` up to each event, that moment included.
+
+    The count is the key's running total at the event less that just before the window; both are read off one running sum over the
+    distinct times and window starts, in which a hot key is many slices. An event without time has no count.
+    """
     t = F.unix_micros(F.col(at).cast("timestamp"))
-    return events.withColumn("recent", F.count("*").over(Window.partitionBy(key).orderBy(t).rangeBetween(-seconds * 1_000_000, 0)))
+    moments = events.select(F.col(key).alias("_who"), t.alias("_t")).where("_t is not null").groupBy("_who", "_t").agg(F.count("*").alias("_n"))
+    marks = F.array(F.struct(F.col("_t").alias("v"), F.lit(1).alias("kind"), F.col("_n").alias("n")), F.struct((F.col("_t") - seconds * 1_000_000).alias("v"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n")))
+    upto = running_over(moments.select("_who", "_t", F.inline(marks)), ["_who"], ["v", "kind"], {"_upto": ("sum", "n")})
+    recent = upto.groupBy("_who", "_t").agg(F.sum(F.when(F.col("kind") == 1, F.col("_upto")).otherwise(-F.col("_upto"))).alias("recent"))
+    joined = events.withColumn("_at", t).join(recent, F.col("_at").eqNullSafe(F.col("_t")) & F.col(key).eqNullSafe(F.col("_who")), "left")
+    return joined.select(*events.columns, "recent")
 
 
 def market_permutation(pairs: DataFrame, market: list[str], key: str, bidder: list[str], seed: str = "market", times: int = 1) -> DataFrame:
@@ -217,20 +226,32 @@ def synthetic_negatives(pairs: DataFrame, market: list[str], target: float = 0.1
     bidder, real = ["bidder_masterid", "bidder_name"], pairs.select("lot_id", "bidder_masterid").distinct()
     moved = market_permutation(pairs, market, "pair_id", bidder, "negative", times).where(F.col("new_bidder_masterid") != F.col("bidder_masterid"))
     out = moved.select(*[F.col(f"new_{c}").alias(c) if c in bidder else c for c in pairs.columns if c not in ("pair_id", "did_win", "pair_type")])
-    fresh = out.join(real, ["lot_id", "bidder_masterid"], "left_anti").dropDuplicates(["lot_id", "bidder_masterid"])
+    # Of permutations that give the same pair, the row with the least hash stays, whichever task sees it first.
+    rest = [c for c in out.columns if c not in ("lot_id", "bidder_masterid")]
+    least = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row")
+    once = out.join(real, ["lot_id", "bidder_masterid"], "left_anti").groupBy("lot_id", "bidder_masterid").agg(least)
+    fresh = once.select("lot_id", "bidder_masterid", "_row.*")
     return fresh.select(F.concat_ws("_", "lot_id", "bidder_masterid").alias("pair_id"), "*", F.lit(0).alias("did_win"), F.lit("synthetic_negative").alias("pair_type")).select(*pairs.columns)
 
 
 def quota_cut(files: DataFrame, quotas: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Files in order until the quota is used: run, the first over it refused, the rest not_processed. Only consuming files count."""
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = files.join(quotas, by, "left").withColumn("_used", F.coalesce(F.sum(F.col("consumes").cast("int")).over(before), F.lit(0)))
+    counted = running_over(files.withColumn("_one", F.col("consumes").cast("int")), [by], order, {"_used": ("sum", "_one")}, exclusive=True)
     over = F.col("_used") >= F.coalesce("remaining", F.lit(0))
-    nth = F.sum(over.cast("int")).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return seen.withColumn("decision", F.when(~over, "run").when(nth == 1, "refused").otherwise("not_processed")).drop("_used", "remaining")
+    seen = counted.join(quotas, by, "left").withColumn("_over", over)
+    # The order is unique in a group, so the first over the quota is the least.
+    first = seen.where("_over").groupBy(F.col(by).alias("_by")).agg(F.min(F.struct(*order)).alias("_first"))
+    placed = seen.join(first, F.col(by).eqNullSafe(F.col("_by")), "left")
+    decision = F.when(~F.col("_over"), "run").when(F.struct(*order) == F.col("_first"), "refused").otherwise("not_processed")
+    return placed.select(*files.columns, decision.alias("decision"))
 
 
 def accepted_messages(messages: DataFrame, channel: str, at: list[str], number: str) -> DataFrame:
     """Messages whose number exceeds every earlier number of their channel."""
-    before = Window.partitionBy(channel).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("_high", F.max(number).over(before)).where(F.col("_high").isNull() | (F.col(number) > F.col("_high"))).drop("_high")
+    ran = running_over(messages, [channel], at, {"_high": ("max", number)}, exclusive=True)
+    return ran.where(F.col("_high").isNull() | (F.col(number) > F.col("_high"))).drop("_high")
+
+
+def next_seq(events: DataFrame, pack: str, order: list[str]) -> DataFrame:
+    """Each event with its number in its pack, from 1."""
+    return running_over(events.withColumn("_one", F.lit(1)), [pack], order, {"seq": ("sum", "_one")}).drop("_one")

@@ -10,6 +10,7 @@ from bidlake.operators import prepare as P
 from bidlake.operators import reports as A
 from bidlake.plans.history_queries import PAIRS_SQL, pairs_of
 from bidlake.operators.containment import contained
+from bidlake.operators.ranks import running_over
 from bidlake.plans.registry import query
 from bidlake.plans.views import RAW_SQL, raw_contracts
 
@@ -219,7 +220,7 @@ def latest_per_key(spark, sf_dir):
 
 @query("w6_next_seq", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS seq FROM events")
 def next_seq(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"))
+    return A.next_seq(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", F.col("seq").cast("int").alias("seq"))
 
 
 @query("w7_market_permutation")
@@ -234,8 +235,8 @@ def rolling_count(spark, sf_dir):
 
 @query("w11_section_carry", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations")
 def section_carry(spark, sf_dir):
-    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(upto).alias("heading"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("opens"))
+    return running_over(turns, ["conv_id"], ["turn"], {"heading": ("last", "opens")}).drop("opens")
 
 
 @query("m1_synthetic_negatives")

@@ -120,6 +120,17 @@ def write_table(spark, sf_dir):
     return S.read_table(spark, path).select("o_orderkey", F.col("o_orderstatus").cast("string").alias("o_orderstatus"))
 
 
+@query("x11_pack_event_stream", "SELECT user_id, max(n) AS events, CAST(sum(n) AS BIGINT) AS seqs, round(max_by(total, n), 4) AS total FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, sum(value) OVER (PARTITION BY user_id) AS total FROM events) GROUP BY 1")
+def pack_event_stream(spark, sf_dir):
+    """The events of each user numbered in several batches of a stream: each number once, and the total at the last."""
+    path = scratch(spark, "packs")
+    table(spark, sf_dir, "events").select("user_id", "event_id", "value").repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("user_id long, event_id long, value double").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    X.pack_event_stream(stream, "user_id", "event_id", "value", path, f"{path}/checkpoint").awaitTermination()
+    rows = X.read_pack_events(spark, path)
+    return rows.groupBy("user_id").agg(F.countDistinct("seq").alias("events"), F.sum("seq").alias("seqs"), F.round(F.max_by("total", "seq"), 4).alias("total"))
+
+
 @query("s4_capped_export", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100")
 def capped_export(spark, sf_dir):
     return S.capped_export(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], 100).select("o_orderkey", "o_custkey")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidlake.common import discard, materialize
+from bidlake.operators.ranks import running_over
+
 
 def read_bids_csv(spark: SparkSession, paths: str | list[str], schema: str | T.StructType, partitions: int | None = None) -> DataFrame:
     """Gzip or plain CSV with header; lines that do not fit the schema are skipped. Gzip cannot be split: deal it out once."""
@@ -29,12 +32,61 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def capped_export(df: DataFrame, order: list[str], n: int = 1_000_000) -> DataFrame:
-    """The first n rows in a fixed order, for a serving table."""
-    return df.orderBy(*order).limit(n)
-
-
-def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], batch: int = 100_000) -> None:
-    df.write.mode("overwrite").option("batchsize", batch).jdbc(url, name, properties=properties)
+    """The first n rows in a fixed order, for a serving table. ``order`` tells all rows apart.
+
+    Rows are numbered over slices, so no task holds more than a slice of them, and the export keeps the slices.
+    """
+    numbered = running_over(df.withColumn("_one", F.lit(1)), [], order, {"_place": ("sum", "_one")})
+    return numbered.where(F.col("_place") <= n).drop("_one", "_place")
+
+
+def _execute(spark: SparkSession, url: str, properties: dict[str, str], *statements: str) -> None:
+    jvm = spark.sparkContext._jvm
+    own = jvm.java.util.Properties()
+    for name, value in properties.items():
+        own.setProperty(name, value)
+    link = jvm.java.sql.DriverManager.getConnection(url, own)
+    try:
+        for statement in statements:
+            link.createStatement().execute(statement)
+    finally:
+        link.close()
+
+
+def _tables(spark: SparkSession, url: str, properties: dict[str, str]) -> set[str]:
+    jvm = spark.sparkContext._jvm
+    own = jvm.java.util.Properties()
+    for name, value in properties.items():
+        own.setProperty(name, value)
+    link = jvm.java.sql.DriverManager.getConnection(url, own)
+    try:
+        found, out = link.getMetaData().getTables(None, None, None, None), set()
+        while found.next():
+            out.add(found.getString("TABLE_NAME").upper())
+        return out
+    finally:
+        link.close()
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], batch: int = 100_000, writers: int = 8) -> int:
+    """Replace a serving table: ``writers`` tasks write a staging table in chunks, which takes the name once all rows are there.
+
+    Readers see the old rows or the new, never a part. A run that fails leaves the old table; the next drops what it left.
+    Returns the rows written.
+    """
+    spark = df.sparkSession
+    new, old = f"{name}_NEW", f"{name}_OLD"
+    held = _tables(spark, url, properties)
+    _execute(spark, url, properties, *[f"DROP TABLE {t}" for t in (new, old) if t.upper() in held and not (t == old and name.upper() not in held)])
+    rows = materialize(df, "export")
+    rows.repartition(writers).write.mode("append").option("batchsize", batch).jdbc(url, new, properties=properties)
+    count, there = rows.count(), spark.read.jdbc(url, new, properties=properties).count()
+    if count != there:
+        raise RuntimeError(f"{there} of {count} rows are in {new}")
+    swap = ([f"RENAME TABLE {name} TO {old}"] if name.upper() in held else []) + [f"RENAME TABLE {new} TO {name}"]
+    _execute(spark, url, properties, *swap, *([f"DROP TABLE {old}"] if name.upper() in held else []))
+    discard(rows)
+    return count
 
 
 def write_splits(df: DataFrame, path: str) -> None:

@@ -4,10 +4,13 @@ import math
 import random
 import statistics
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bidlake.operators import ranks as K
 from bidlake.operators.evaluation import auc_table, score_counts
+from bidlake.operators.ranks import running_over
+from bidlake.operators.reports import rolling_count
 
 VALUES = [0.0, -0.0, 1e-300, 5e-324, -1e300, 1e308, math.inf, -math.inf, 0.5, 1.0, 2.0, -3.5, 1023.9999, 1024.0]
 
@@ -59,3 +62,24 @@ def test_auc_against_all_pairs(spark):
     want = sum((p > q) + 0.5 * (p == q) for p in good for q in bad) / (len(good) * len(bad))
     assert math.isclose(auc_table(df).first()["roc_auc"], want)
     assert score_counts(df).count() == len({s for s, y in rows if s is not None and y is not None})
+
+
+def test_running_over_slices_equals_windows(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice(["hot", "hot", "hot", "b", None]), rnd.randrange(100), k, rnd.choice([None, 1, 2, 5])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "g string, a int, b int, x int").repartition(4)
+    for exclusive in (False, True):
+        got = running_over(df, ["g"], ["a", "b"], {"s": ("sum", "x"), "m": ("max", "x"), "l": ("last", "x")}, exclusive)
+        assert got.columns == [*df.columns, "s", "m", "l"]
+        over = Window.partitionBy("g").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        want = df.select("*", F.coalesce(F.sum("x").over(over), F.lit(0)), F.max("x").over(over), F.last("x", True).over(over))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert running_over(df.limit(0), ["g"], ["a"], {"s": ("sum", "x")}).count() == 0
+
+
+def test_rolling_counts_with_ties_nulls_and_one_hot_key(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["hot"] * 9 + [None]), rnd.randrange(3000), k) for k in range(2000)] + [("hot", None, -1)]
+    df = spark.createDataFrame(rows, "key string, s int, id int").withColumn("at", F.timestamp_seconds("s"))
+    got = {r["id"]: r["recent"] for r in rolling_count(df, "key", "at", 60).collect()}
+    assert got == {i: None if s is None else sum(k == k2 and s2 is not None and s - 60 <= s2 <= s for k2, s2, _ in rows) for k, s, i in rows}
