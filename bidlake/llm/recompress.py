@@ -10,7 +10,8 @@ a few at their ends, however they lie in their documents.
    set of such symbols, and the one with the longest text (rare words are long) is the anchor of all windows
    that agree on it. A window that has none, because long runs fill it, is its own anchor. High ones, of
    ``LEVELS`` rounds and at least ``LEAST_SPAN`` words, carry a 128-bit digest of their words. Per symbol only
-   the least and the greatest document that hold it are kept, combined before the shuffle, and symbols of one document go.
+   the least and the greatest document that hold it count, and symbols of one document go. What documents of one chunk share is
+   known before the shuffle.
 2. High symbols that an earlier document holds verify all windows inside them at once. The other windows whose
    anchor is shared are verified by a 128-bit digest of their words in a second Spark round, which finds the first
    document of each. The first document of a high symbol always takes part with all its windows, so others may rest on it.
@@ -32,10 +33,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.common import materialize, small_batches
+from bidlake.common import discard, forget_shuffles, materialize, small_batches
 from bidlake.llm.neardup import mix
 
 WINDOW = 13
@@ -187,8 +188,25 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _firsts(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the distinct (one, two, id), in order; whether each is the least id of its (one, two); and whether that has several ids."""
+    order = np.lexsort((ids, two, one))
+    one, two, ids = one[order], two[order], ids[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    fresh = new.copy()
+    fresh[1:] |= ids[1:] != ids[:-1]
+    first = new[fresh]
+    size = np.diff(np.append(np.flatnonzero(first), len(first)))
+    return order[fresh], first, np.repeat(size > 1, size)
+
+
 def _symbols(docs: DataFrame) -> DataFrame:
-    """key, more, doc_id: anchors (more: 0) and high symbols of each document, each once."""
+    """key, more, doc_id, sure: anchors (more: 0) and high symbols of each document, each once.
+
+    ``sure``: an anchor that documents of the same chunk share, or a high symbol that an earlier one of them holds. However many documents
+    of a chunk share a symbol, one row of it is not sure and stands for the chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -199,14 +217,15 @@ def _symbols(docs: DataFrame) -> DataFrame:
                 doc, start, end = chunk.spans()
                 one, two = chunk.digests.of(start, end)
                 key, more = np.concatenate([anchor[fresh], one]), np.concatenate([np.zeros(int(fresh.sum()), np.uint64), two | ONE])
-                doc = np.concatenate([chunk.window_doc[fresh], doc])
-                order = np.lexsort((more, key, doc))
-                key, more, doc = key[order], more[order], doc[order]
-                keep = np.ones(len(key), bool)
-                keep[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([_signed(key[keep]), _signed(more[keep]), batch.column("doc_id").take(pa.array(doc[keep]))], names=["key", "more", "doc_id"])
+                ids = batch.column("doc_id").to_numpy()[np.concatenate([chunk.window_doc[fresh], doc])]
+                at, first, several = _firsts(key, more, ids)
+                low = more[at] == 0
+                stand = at[low & first & several]  # for the chunk
+                sure = np.concatenate([np.where(low, several, ~first), np.zeros(len(stand), bool)])
+                at = np.concatenate([at, stand])
+                yield pa.RecordBatch.from_arrays([_signed(key[at]), _signed(more[at]), pa.array(ids[at]), pa.array(sure)], names=["key", "more", "doc_id", "sure"])
 
-    return docs.mapInArrow(run, "key long, more long, doc_id long")
+    return docs.mapInArrow(run, "key long, more long, doc_id long, sure boolean")
 
 
 def _own(lists: pa.Array, k: int) -> np.ndarray:
@@ -215,7 +234,9 @@ def _own(lists: pa.Array, k: int) -> np.ndarray:
 
 
 def _windows(docs: DataFrame) -> DataFrame:
-    """doc_id, one, two: digests of the windows that have to be verified; of those that are settled, ``one`` alone.
+    """doc_id, one, two, sure: digests of the windows that have to be verified, each once a document; of those that are settled, ``one`` alone.
+
+    ``sure``: settled, or an earlier document of the same chunk has the window; one row a window and chunk is not.
 
     ``docs``: doc_id, text, and the shared symbols of the document: keys (anchors), ones and twos (digests of
     high symbols that an earlier document holds).
@@ -246,12 +267,14 @@ def _windows(docs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(open_ | settled)
                 one, two = chunk.digests.of(chunk.window[at], chunk.window[at] + WINDOW)
                 two = np.where(settled[at], np.uint64(0), two | ONE)
-                take = pa.array(chunk.window_doc[at])
+                ids = batch.column("doc_id").to_numpy()[chunk.window_doc[at]]
+                at, first, _ = _firsts(one, two, ids)
+                sure = ~first | (two[at] == 0)
                 for a in range(0, len(at), 50_000):
-                    b = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take[b]), _signed(one[b]), _signed(two[b])], names=["doc_id", "one", "two"])
+                    b = at[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[b]), _signed(one[b]), _signed(two[b]), pa.array(sure[a : a + 50_000])], names=["doc_id", "one", "two", "sure"])
 
-    return docs.select("doc_id", "text", "keys", "ones", "twos").mapInArrow(run, "doc_id long, one long, two long")
+    return docs.select("doc_id", "text", "keys", "ones", "twos").mapInArrow(run, "doc_id long, one long, two long, sure boolean")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -295,19 +318,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     known = rows.where("doc_id is not null and text is not null")
     copies = materialize(_copies(known), "copies")
-    symbols = materialize(_symbols(known), "symbols")
-    shared = symbols.groupBy("key", "more").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # One shuffle by symbol. Rows that are sure are dealt out by document as well, so a hot symbol has one row a chunk.
+    alike = Window.partitionBy("key", "more", F.when(F.col("sure"), F.col("doc_id")))
+    ends = _symbols(known).select("*", F.min("doc_id").over(alike).alias("first"), F.max("doc_id").over(alike).alias("last"))
     # A document takes part with its shared anchors, and with the high symbols that an earlier one holds.
-    met = symbols.join(shared.select("key", "more", "first"), ["key", "more"]).where("more = 0 or first < doc_id")
+    met = ends.where(F.col("sure") | F.when(F.col("more") == 0, F.col("first") < F.col("last")).otherwise(F.col("first") < F.col("doc_id")))
     when = lambda high, column: F.collect_list(F.when((F.col("more") != 0) == high, F.col(column)))
     own = materialize(met.groupBy("doc_id").agg(when(False, "key").alias("keys"), when(True, "key").alias("ones"), when(True, "more").alias("twos")), "shared-symbols")
+    forget_shuffles(docs.sparkSession)
     is_copy = F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False))
     open_ = known.join(own.join(copies, "doc_id", "left"), "doc_id").where(~is_copy)
-    windows = materialize(_windows(open_), "windows")
-    first = windows.where("two != 0").groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = windows.where("two != 0").join(first.select("one", "two", "first"), ["one", "two"]).where("first < doc_id").select("doc_id", "one")
-    repeated = later.unionByName(windows.where("two = 0").select("doc_id", "one")).groupBy("doc_id").agg(F.collect_set("one").alias("repeated"))
+    alike = Window.partitionBy("one", "two", F.when(F.col("sure"), F.col("doc_id")))
+    later = _windows(open_).withColumn("first", F.min("doc_id").over(alike)).where(F.col("sure") | (F.col("first") < F.col("doc_id")))
+    repeated = later.groupBy("doc_id").agg(F.collect_set("one").alias("repeated"))
     found = materialize(repeated.join(copies, "doc_id", "full"), "repeated")
+    discard(own, copies)
+    forget_shuffles(docs.sparkSession)
     return _cut(rows.join(found, "doc_id", "left").withColumn("copy", is_copy))
 
 
