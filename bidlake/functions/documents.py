@@ -10,10 +10,22 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidlake.functions.scoring import evaluation_system
 from bidlake.operators import fuzzy
-
-AMOUNT = r"(?:ZAR|R|\$)\s?([0-9][0-9 ,]*(?:\.[0-9]{1,2})?)"
-DAY = r"([0-9]{1,2} [A-Za-z]+ [0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
+from bidlake.operators.eligibility import THRESHOLD
+
+# How amounts and days are written, and what stands before a bid, a value, a briefing, a closing and an award.
+NUMBER = r"([0-9][0-9\s,]{3,}(?:\.[0-9]{2})?)"
+AMOUNT = r"(?:R|ZAR|\$)\s*" + NUMBER
+BID_LABEL = r"(?i)(?:bid price|total price|contract sum|tender sum|tender price|offered price|pricing|amount)[:\s]*(?:R|ZAR|\$)?[:\s]*" + NUMBER
+VALUE_LABEL = r"(?i)(?:estimated value|tender value|budget|project estimate|estimated budget)[:\s]*(?:R|ZAR|\$)?[:\s]*" + NUMBER
+DAY = r"([0-9]{1,2}\s+[a-zA-Z]{3,9}\s+20[2-3][0-9]|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/20[2-3][0-9])"
+DAY_LABELS = {"briefing": "briefing session|site meeting|compulsory briefing", "closing": "closing date|deadline|submission date", "award": "validity period|award date"}
+# How a tender states its preference system, its goals, its procedure and what it buys, in order.
+SYSTEM_STATED = r"(?i)(?:applicable\s+preference\s+point\s+system|system\s+for\s+this\s+tender\s+is|will\s+be\s+evaluated\s+on\s+the)[\s\w]*(80/20|90/10)"
+GOALS, SHARED_GOALS = r"(?is)specific goals.{0,500}", r"(?i)hdi|locality|rdp|women"
+PROCEDURES = {"RFQ": r"(?i)\b(?:request for quotation|rfq)\b", "Open": r"(?i)\b(?:request for proposal|rfp|open tender|invitation to bid)\b"}
+SUPPLIES = {"Services": r"(?i)\b(?:services|consulting|maintenance)\b", "Goods": r"(?i)\b(?:goods|supply and delivery|equipment)\b", "Works": r"(?i)\b(?:works|construction|infrastructure)\b"}
 # The smallest amount of interest, and the statutory limit that every notice quotes.
 LEAST_AMOUNT, BOILERPLATE_AMOUNT = 1000.0, 50_000_000.0
 # Placeholders that stand for no value, trimmed and in lower case; levels that stand for no level.
@@ -50,7 +62,17 @@ GENERAL_LABELS = (
 PROSE_OPENERS = (
     "i", "in", "of", "and", "or", "the", "this", "that", "by", "at", "to", "with", "for", "if", "as", "we", "is", "are", "be", "hereby", "who", "which", "from", "on", "it", "any", "all", "do", "have", "was", "were",
 )
-WHITELIST = ("company_name", "registration_number", "vat_number", "tax_number", "email", "phone", "address")
+# Fields that may be filled, each with the column of the profile that it is drawn from; those filled with less confidence; the least score.
+WHITELIST = {
+    "company_name": "company_name", "registration_number": "registration_number", "csd_number": "csd_number", "bbbee_level": "bbbee_level", "tax_reference_number": "tax_reference_number",
+    "vat_registration_number": "vat_registration_number", "physical_address": "physical_address", "postal_address": "postal_address", "contact_person": "standard_contact_person", "telephone_number": "standard_phone",
+    "cell_phone_number": "standard_cell", "fax_number": "standard_fax", "email_address": "standard_email", "tax_compliance_pin": "tax_compliance_pin", "capacity": "authorized_signatory_capacity",
+    "director_names_and_id_numbers": "directors",
+}
+LESS_SURE, LEAST_SCORE = ("bbbee_level", "capacity"), 88.0
+# Wording of sworn declarations, and of terms that a tender asks for.
+SWORN = ("STATE INSTITUTION", "FURNISH PARTICULARS", "IF SO", "IN THE SERVICE OF THE STATE", "SURNAME AND NAME", "IDENTITY NUMBER", "ID NUMBER", "SHAREHOLDER", "DIRECTOR", "MEMBER", "RELATIONSHIP", "SPOUSE")
+TERMS = ("LEAD TIME", "DELIVERY", "PACKAGING", "CHARGE", "WARRANTY", "GUARANTEE", "VALIDITY", "DISCOUNT", "AVAILABILITY", "TURNAROUND", "COMPLETION")
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -63,44 +85,50 @@ def to_amount(text: Column) -> Column:
 
 
 def extract_money(text: Column) -> Column:
-    """struct(amounts, bid, value): amounts over 1,000 in order; labelled ones first, else the least and, if larger, the greatest."""
+    """struct(amounts, bid, value): amounts over 1,000 in order; labelled ones first, else the least and, if larger than the bid, the greatest."""
     found = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1)), to_amount)
     amounts = F.array_distinct(F.filter(found, lambda a: a.isNotNull() & (a > LEAST_AMOUNT) & (a != BOILERPLATE_AMOUNT)))
-    bid = F.coalesce(to_amount(_first(text, r"(?i)(?:bid|offer|tendered)(?: price| amount)?\s*[:\-]?\s*" + AMOUNT)), F.array_min(amounts))
-    value = F.coalesce(to_amount(_first(text, r"(?i)(?:estimated|contract|tender|project)(?: contract)? value\s*[:\-]?\s*" + AMOUNT)), F.when(F.array_max(amounts) > bid, F.array_max(amounts)))
+    labelled = lambda label: F.nullif(to_amount(_first(text, label)), F.lit(BOILERPLATE_AMOUNT))
+    bid = F.coalesce(labelled(BID_LABEL), F.array_min(amounts))
+    value = F.coalesce(labelled(VALUE_LABEL), F.when(F.array_max(amounts) > bid, F.array_max(amounts)))
     return F.struct(amounts.alias("amounts"), bid.alias("bid"), value.alias("value"))
 
 
 def parse_day(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_date(text, f) for f in ("d MMMM yyyy", "d MMM yyyy", "yyyy-MM-dd", "d/M/yyyy")])
+    plain = F.regexp_replace(F.trim(text), r"\s+", " ")
+    return F.coalesce(*[F.try_to_date(plain, f) for f in ("d MMMM yyyy", "d MMM yyyy", "yyyy-MM-dd", "d/M/yyyy")])
 
 
 def extract_dates(text: Column, as_of: Column) -> Column:
-    """struct(briefing, closing, award, deadline_days): days from ``as_of`` to closing, not under 0."""
-    day = lambda label: parse_day(_first(text, rf"(?i){label}(?: date| session| meeting)?\s*[:\-]?\s*{DAY}"))
-    closing = day("clos(?:ing|es)")
-    return F.struct(day("briefing").alias("briefing"), closing.alias("closing"), day("award(?:ed)?").alias("award"), F.greatest(F.lit(0), F.datediff(closing, as_of)).alias("deadline_days"))
+    """struct(briefing, closing, award, deadline_days): the first day behind each label on its line; days from ``as_of`` to closing, not under 0."""
+    days = {name: parse_day(_first(text, rf"(?i)(?:{label})[^\n]*?{DAY}")) for name, label in DAY_LABELS.items()}
+    return F.struct(*[c.alias(n) for n, c in days.items()], F.when(days["closing"].isNotNull(), F.greatest(F.lit(0), F.datediff(days["closing"], as_of))).alias("deadline_days"))
 
 
-def extract_terms(text: Column) -> Column:
-    """struct(system, goals_ratio, functionality, procedure, supply)."""
-    system = F.when(text.rlike(r"\b80/20\b"), "80/20").when(text.rlike(r"\b90/10\b"), "90/10")
-    goals = F.when(text.rlike(r"(?i)specific goals"), F.when(text.rlike(r"(?i)\bhdi\b"), 0.5).otherwise(1.0))
-    functionality = _first(text, r"(?i)(?:minimum|threshold)[^0-9%]{0,40}([0-9]{1,3}) ?%").try_cast("int")
-    supply = F.when(text.rlike(r"(?i)\bservices?\b"), "Services").when(text.rlike(r"(?i)\bgoods\b|\bsupply\b"), "Goods").when(text.rlike(r"(?i)\bworks\b|\bconstruction\b"), "Works")
-    procedure = F.when(text.rlike(r"(?i)\brfq\b|request for quotation"), "RFQ").otherwise("Open")
-    return F.struct(system.alias("system"), goals.alias("goals_ratio"), functionality.alias("functionality"), procedure.alias("procedure"), supply.alias("supply"))
+def extract_terms(text: Column, value: Column | None = None) -> Column:
+    """struct(system, low_confidence, goals_ratio, functionality, procedure, supply).
 
-
-def completeness(fields: dict[str, Column]) -> Column:
-    """struct(found share, missing names, incomplete): a field counts only where it was extracted."""
-    missing = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(n)) for n, c in fields.items()]))
-    share = (len(fields) - F.size(missing)) / F.lit(float(len(fields)))
-    needed = F.lit(False)
-    for n in ("value", "bid"):
-        if n in fields:
-            needed = needed | fields[n].isNull()
-    return F.struct(share.alias("share"), missing.alias("missing"), ((share < 0.5) | needed).alias("incomplete"))
+    The preference system is the stated one, else that of the ``value``, with low confidence; without either it is unknown. Specific
+    goals that go to more than the contribution level within 500 characters halve that level's part.
+    """
+    known = F.coalesce(text, F.lit(""))
+    stated = _first(known, SYSTEM_STATED)
+    system = F.coalesce(stated, evaluation_system(F.lit(None).cast("double") if value is None else value))
+    goals = F.when(F.regexp_extract(known, GOALS, 0).rlike(SHARED_GOALS), 0.5).otherwise(1.0)
+    of = lambda kinds: F.coalesce(*[F.when(known.rlike(p), F.lit(n)) for n, p in kinds.items()])
+    functionality = _first(known, THRESHOLD).try_cast("int")
+    return F.struct(system.alias("system"), stated.isNull().alias("low_confidence"), goals.alias("goals_ratio"), functionality.alias("functionality"), of(PROCEDURES).alias("procedure"), of(SUPPLIES).alias("supply"))
+
+
+def completeness(money: Column, dates: Column, terms: Column) -> Column:
+    """struct(share, missing, incomplete) of the seven parts of a tender. System and threshold always count as read: their absence is an answer."""
+    parts = {
+        "evaluation_system": F.lit(True), "tender_value": money["value"].isNotNull(), "bid_price": money["bid"].isNotNull(), "deadline_days": dates["deadline_days"].isNotNull(),
+        "tender_proceduretype": terms["procedure"].isNotNull(), "tender_supplytype": terms["supply"].isNotNull(), "functionality_threshold_pct": F.lit(True),
+    }
+    missing = F.array_compact(F.array(*[F.when(~c, F.lit(n)) for n, c in parts.items()]))
+    share = (len(parts) - F.size(missing)) / F.lit(float(len(parts)))
+    return F.struct(share.alias("share"), missing.alias("missing"), ((share < 0.5) | ~parts["tender_value"] | ~parts["bid_price"]).alias("incomplete"))
 
 
 # How a company report states its level, its ownership, its names, its trades and its grading.
@@ -172,13 +200,37 @@ def lesson_key(label: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"[-/]", ""), r"[^a-z0-9]+", " "))
 
 
-def explain_unfilled(block: Column, status: Column) -> Column:
-    return F.when(block == "declaration", "declaration").when(block == "pricing", "pricing cell").when(block == "narrative", "tender terms").when(block.isNotNull(), block).when(status == "ambiguous", "ambiguous").otherwise("unmatched")
+def explain_unfilled(label: Column, status: Column) -> Column:
+    """Why a label without a field stays blank: declaration, pricing_cell, tender_terms, prose, ambiguous_label or unmatched, in this order.
+
+    ``status`` is that of the look-up. What only the bidder can swear to comes first, whatever the look-up says.
+    """
+    text = F.regexp_replace(F.coalesce(label, F.lit("")), r"^\s+|\s+$", "")
+    holds = lambda words: F.upper(text).rlike("|".join(words))
+    found = F.when(text == "", "unmatched").when(holds(SWORN), "declaration").when(text.rlike(r"^[Rr]\s*[:.]?$"), "pricing_cell").when(holds(TERMS), "tender_terms")
+    return found.when(status == "prose_fragment", "prose").when(status.isin("blocked", "ambiguous"), "ambiguous_label").otherwise("unmatched")
+
+
+def fill_value(canonical: Column, value: Column) -> Column:
+    """What a profile's value is drawn as: placeholders and levels that stand for none are null, a level reads ``Level n``, directors are a roster."""
+    people = F.from_json(value, "array<struct<name:string,id_number:string>>")
+    part = lambda d, c: F.nullif(F.trim(F.coalesce(d[c], F.lit(""))), F.lit(""))
+    named = F.filter(people, lambda d: part(d, "name").isNotNull())
+    roster = F.nullif(F.array_join(F.transform(named, lambda d: F.when(part(d, "id_number").isNotNull(), F.concat(part(d, "name"), F.lit(" ("), part(d, "id_number"), F.lit(")"))).otherwise(part(d, "name"))), "; "), F.lit(""))
+    plain = F.trim(null_sentinels(value))
+    level = F.when(~F.coalesce(plain.try_cast("int").isin(*SENTINEL_LEVELS), F.lit(False)), F.when(plain.rlike("^[0-9]+$"), F.concat(F.lit("Level "), plain)).otherwise(plain))
+    return F.when(canonical == "director_names_and_id_numbers", roster).when(canonical == "bbbee_level", level).otherwise(plain)
 
 
 def fill_decision(block: Column, canonical: Column, score: Column, value: Column) -> Column:
-    """blocked > no_match > not_whitelisted > low_score > no_value > fill."""
-    return F.when(block.isNotNull(), "blocked").when(canonical.isNull(), "no_match").when(~canonical.isin(*WHITELIST), "not_whitelisted").when(score < 88, "low_score").when(value.isNull(), "no_value").otherwise("fill")
+    """struct(decision, value, low_confidence): blocked > no_match > not_whitelisted > low_score > no_value > fill; ``value`` only where filled.
+
+    Less confidence goes to scores that are too low and to the fields of ``LESS_SURE``.
+    """
+    drawn = fill_value(canonical, value)
+    decision = F.when(block.isNotNull(), "blocked").when(canonical.isNull(), "no_match").when(~canonical.isin(*WHITELIST), "not_whitelisted").when(score < LEAST_SCORE, "low_score").when(drawn.isNull(), "no_value").otherwise("fill")
+    low = (decision == "low_score") | ((decision == "fill") & canonical.isin(*LESS_SURE))
+    return F.struct(decision.alias("decision"), F.when(decision == "fill", drawn).alias("value"), F.coalesce(low, F.lit(False)).alias("low_confidence"))
 
 
 def null_sentinels(value: Column) -> Column:
@@ -235,11 +287,29 @@ def validate_directors(profiles: DataFrame, key: str, directors: str = "director
     return none.unionByName(each.select(key, "position", F.inline(F.filter(rows, lambda r: r["problem"].isNotNull()))))
 
 
-def profile_diff(current: DataFrame, proposed: DataFrame, key: str) -> DataFrame:
-    """(key, field, before, after) of every changed field, in either direction."""
-    fields = [c for c in current.columns if c != key]
-    long = lambda df, name: df.select(key, *[F.col(c).cast("string").alias(c) for c in fields]).unpivot([key], fields, "field", name)
-    return long(current, "before").join(long(proposed, "after"), [key, "field"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+def plain_json(value: Column) -> Column:
+    """JSON in one spelling: fields in order, no spare white space; anything else as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(value)), value)
+
+
+def profile_diff(current: DataFrame, proposed: DataFrame, key: str, writable: list[str], json_fields: list[str] = ()) -> DataFrame:
+    """(key, field, status, before, after): each proposed change of a writable field as ``changed``, and each value proposed for another field as ``ignored``.
+
+    A profile without changes has no ``changed`` row. Fields of JSON are compared by what they say; a company without profile has null before.
+    """
+    fields = [c for c in proposed.columns if c != key and c in writable]
+    others = [c for c in proposed.columns if c != key and c not in writable]
+    shown = lambda df, c: (plain_json(F.col(c).cast("string")) if c in json_fields else F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("string")
+    long = lambda df, name: df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("field"), shown(df, c).alias(name)) for c in fields])))
+    none = F.lit(None).cast("string")
+    out = proposed.select(key, F.lit("").alias("field"), F.lit("").alias("status"), none.alias("before"), none.alias("after")).limit(0)
+    if fields:
+        both = long(proposed, "after").join(long(current, "before"), [key, "field"], "left").where(~F.col("before").eqNullSafe(F.col("after")))
+        out = out.unionByName(both.select(key, "field", F.lit("changed").alias("status"), "before", "after"))
+    if others:
+        extra = proposed.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("after")) for c in others]))).where("after is not null")
+        out = out.unionByName(extra.select(key, "field", F.lit("ignored").alias("status"), none.alias("before"), "after"))
+    return out
 
 
 def match_labels_exact(labels: DataFrame, aliases: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -294,13 +364,16 @@ def resolve_ambiguous(candidates: DataFrame, profile: DataFrame) -> DataFrame:
     return spread.groupBy("company_id", "label").agg(F.collect_set("value").alias("v")).where(F.size("v") == 1).select("company_id", "label", F.col("v")[0].alias("value"))
 
 
+# Advice by contribution level, the pressing first: (levels, priority, advice); the last is for no level.
+LEVEL_ADVICE = (((1, 2), 3, "level gives most points"), ((3, 4), 3, "level is competitive, a better one gives most points"), ((5, 6), 2, "level is below average, improve it"), ((7, 8), 1, "level is not competitive, improve it before large bids"), ((), 1, "no level, no points"))
+
+
 def accreditation_gaps(parsed: DataFrame, key: str) -> DataFrame:
-    """Advice rows from parsed company fields, high priority first."""
-    advice = F.array_compact(
-        F.array(
-            F.when(F.col("supplier_number").isNull(), F.struct(F.lit(1).alias("priority"), F.lit("register on the central supplier database").alias("advice"))),
-            F.when(F.col("level").isNull() | (F.col("level") >= 9), F.struct(F.lit(1).alias("priority"), F.lit("obtain a contribution level").alias("advice"))),
-            F.when(F.col("cidb_grade").isNull(), F.struct(F.lit(2).alias("priority"), F.lit("obtain a grading for works").alias("advice"))),
-        )
-    )
-    return parsed.select(key, F.explode(advice).alias("a")).select(key, "a.priority", "a.advice")
+    """(key, priority, advice) rows, high priority first: one on the level always, the supplier database where the number lacks, a grading where a builder lacks it."""
+    note = lambda priority, advice: F.struct(F.lit(priority).alias("priority"), F.lit(advice).alias("advice"))
+    level = note(*LEVEL_ADVICE[-1][1:])
+    for levels, priority, advice in LEVEL_ADVICE[:-1]:
+        level = F.when(F.col("level").isin(*levels), note(priority, advice)).otherwise(level)
+    builds = F.lower(F.coalesce("industry", F.lit(""))).rlike("construction|works")
+    lacking = [F.when(F.col("supplier_number").isNull(), note(1, "register on the central supplier database")), F.when(F.col("cidb_grade").isNull() & builds, note(2, "obtain a grading for works"))]
+    return parsed.select(key, F.explode(F.array_sort(F.array_compact(F.array(level, *lacking)))).alias("a")).select(key, "a.priority", "a.advice")

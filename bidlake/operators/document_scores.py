@@ -29,7 +29,7 @@ class Offer:
 
 
 def extracted(text: Column, as_of: Column) -> dict[str, Column]:
-    money, dates, terms = D.extract_money(text), D.extract_dates(text, as_of), D.extract_terms(text)
+    money, dates, terms = D.extract_money(text), D.extract_dates(text, as_of), D.extract_terms(text, D.extract_money(text)["value"])
     return {"_money": money, "_dates": dates, "_terms": terms, "_company": D.extract_company(text), "_type": D.document_type(text), "_region": D.region(text, F.lit(None).cast("string"))}
 
 
@@ -45,16 +45,16 @@ def score_documents(docs: DataFrame, firm: DataFrame, offer: Offer, stack: Stack
     found = {"bid_price": F.col("_money.bid"), "estimate": F.col("_money.value"), "publish_month": F.month(as_of), "deadline_days": F.col("_dates.deadline_days")}
     read = read.withColumns({f: F.coalesce(found.get(f, F.lit(None)).cast("double"), F.lit(float(medians[f]))) for f in stack.features})
     read = score_batch(stack, read, threshold).drop("recommendation", "raw").withColumnRenamed("confidence", "_c")
-    system = R.evaluation_system(F.col("_money.value"))
+    system = F.col("_terms.system")
     number = lambda x, kind: F.lit(x).cast(kind)
     points = R.total_score(R.price_score(number(offer.price, "double"), number(offer.lowest, "double"), system), R.bbbee_points(number(offer.level, "int"), system).cast("double"), F.col("_terms.goals_ratio"))
     adjusted = R.adjust_probability(F.col("probability"), F.coalesce(points["total"], F.lit(0.0)), number(offer.competitors, "int"))
     bad = F.col("error").isNotNull()
     out = read.withColumns({"_system": system, "_points": points, "adjusted": F.when(~bad, adjusted), "win_probability": F.when(~bad, F.col("probability"))})
     advice = R.recommend(F.col("adjusted"), threshold, ~bad & ~F.col("eligible"))
-    share = D.completeness({"value": F.col("_money.value"), "bid": F.col("_money.bid"), "closing": F.col("_dates.closing"), "system": F.col("_terms.system")})["share"]
+    share = D.completeness(F.col("_money"), F.col("_dates"), F.col("_terms"))["share"]
     return out.withColumn("_advice", advice).select(
-        *keys, "company_name", F.col("_type.type").alias("type"), F.col("_region.region").alias("region"), F.col("_company.supplier_number").alias("supplier_number"), F.col("_money.value").alias("value"), F.col("_system").alias("system"),
+        *keys, "company_name", F.col("_type.type").alias("type"), F.col("_region.region").alias("region"), F.col("_company.supplier_number").alias("supplier_number"), F.col("_money.value").alias("value"), F.col("_system").alias("system"), F.col("_terms.low_confidence").alias("system_inferred"),
         F.when(bad, 0.0).otherwise(share).alias("completeness"), "eligible", "hard_failures", "warnings", "win_probability", "adjusted", F.col("_points.band").alias("band"),
         F.when(bad, "PASS").otherwise(F.col("_advice.recommendation")).alias("recommendation"), F.col("_advice.confidence").alias("confidence"), "error",
     )

@@ -113,16 +113,17 @@ def outstanding_groups(items: DataFrame, structural: list[str], labels: int = 6)
 
 
 def missing_fields(wanted: DataFrame, profile: DataFrame, labels: int = 5) -> DataFrame:
-    """Fields wanted but empty in the profile: count, first labels, and the place (from 1) in the company's order, most needed first.
+    """Fields wanted but empty in the profile: count, first labels, locations, and the place (from 1) in the company's order, most needed first.
 
-    ``wanted``: company_id, field, label; ``profile``: company_id, field, value. Companies and fields are not null.
+    ``wanted``: company_id, field, label, location (of a page or form, so there are few); ``profile``: company_id, field, value. Companies and fields are not null.
     """
     by = ["company_id", "field"]
     have = profile.where(F.trim(F.coalesce("value", F.lit(""))) != "").select(*by).distinct()
     open_ = wanted.join(have, by, "left_anti")
-    counted = open_.groupBy(*by).agg(F.count("*").alias("n")).join(_first_labels(open_, by, labels), by, "left")
+    places = F.array_sort(F.collect_set(F.when(F.col("location") != "", F.col("location"))))
+    counted = open_.groupBy(*by).agg(F.count("*").alias("n"), places.alias("locations")).join(_first_labels(open_, by, labels), by, "left")
     need = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("n"), "field"))
-    return counted.select(*by, "n", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), need.alias("need"))
+    return counted.select(*by, "n", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "locations", need.alias("need"))
 
 
 def merge_archive(documents: DataFrame) -> DataFrame:

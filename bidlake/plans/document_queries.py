@@ -17,55 +17,62 @@ from bidlake.plans.registry import query
 from bidlake.streaming.jobs import append_stream
 
 
+def day(column, days, pattern="yyyy-MM-dd"):
+    """A date of the tables, so many days later and in the years that notices are of."""
+    return F.date_format(F.col(column) + F.expr("INTERVAL 30 YEARS") + F.expr(f"INTERVAL {days} DAYS"), pattern)
+
+
 def notices(spark, sf_dir):
-    """One notice an order: value, bid, closing and briefing dates, system, procedure."""
-    o = table(spark, sf_dir, "orders")
+    """One notice an order: value, bid, briefing, closing and end of validity, system stated or not, goals, threshold, procedure, supply."""
+    o, k, status = table(spark, sf_dir, "orders"), F.col("o_custkey") % 3, F.col("o_orderstatus")
     cents = lambda c: F.format_string("%.2f", F.col(c))
+    closing = F.when(k == 0, F.concat(F.lit("The closing date and time: "), day("o_orderdate", 21, "d/M/yyyy"), F.lit(" at 11h00"))).when(k == 1, F.concat(F.lit("Deadline for all bids is  "), day("o_orderdate", 21, "d  MMMM yyyy"))).otherwise(F.concat(F.lit("SUBMISSION DATE "), day("o_orderdate", 21)))
+    system = F.when(status == "F", "The applicable preference point system is 80/20").when(status == "O", "This bid will be evaluated on the 90/10 scale").otherwise("Both 80/20 and 90/10 are known")
+    kind = F.when(k == 0, "Request for quotation: consulting").when(k == 1, "Invitation to bid for construction of roads").otherwise("Supply and delivery of pumps")
     text = F.concat(
-        F.lit("Terms of reference. Estimated value: R "), cents("o_totalprice"), F.lit(". Bid price: R "), F.format_string("%.2f", F.floor(F.col("o_totalprice") / 2).cast("double")), F.lit(". Briefing date: "), F.date_format("o_orderdate", "yyyy-MM-dd"),
-        F.lit(". Closing date: "), F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 21 DAYS"), "d/M/yyyy"), F.lit(". The "), F.when(F.col("o_orderstatus") == "F", "80/20").otherwise("90/10"), F.lit(" system and R 50,000,000.00 apply. Specific goals"),
-        F.when(F.col("o_orderstatus") == "O", " HDI").otherwise(""), F.lit(". Minimum score 70 %. "), F.when(F.col("o_custkey") % 2 == 0, "RFQ for services.").otherwise("Open, construction works."),
+        F.lit("Terms of reference. Estimated value: R "), cents("o_totalprice"), F.lit(". Bid price: R "), F.format_string("%.2f", F.floor(F.col("o_totalprice") / 2).cast("double")), F.lit(".\nA site meeting (all bidders) is on "), day("o_orderdate", 0),
+        F.lit(".\n"), closing, F.lit(".\nValidity period until "), day("o_orderdate", 111), F.lit(".\n"), system, F.lit(", and R 50,000,000.00 is the limit. Specific goals"), F.when(status == "O", " of women").otherwise(""),
+        F.lit(".\nBidders must score at least 70 points. "), kind, F.lit("."),
     )
     return o.select("o_orderkey", "o_custkey", "o_totalprice", text.alias("text"))
 
 
 @query("d1_extract_money", """WITH v AS (SELECT o_orderkey, o_custkey % 3 AS k, round(o_totalprice, 2) AS v, CAST(floor(o_totalprice / 2) AS DOUBLE) AS b FROM orders), f AS (
 SELECT *, list_filter(CASE k WHEN 0 THEN [v, b] WHEN 1 THEN [v, b] ELSE [b] END, lambda x: x > 1000 AND x <> 50000000) AS a FROM v)
-SELECT o_orderkey, CASE WHEN k = 0 THEN v WHEN list_max(a) > list_min(a) THEN list_max(a) END AS value, CASE WHEN k = 0 THEN b ELSE list_min(a) END AS bid, CAST(len(list_distinct(a)) AS INTEGER) AS n_amounts FROM f""")
+SELECT o_orderkey, CASE WHEN k = 0 THEN v WHEN list_max(a) > list_min(a) THEN list_max(a) END AS value, CASE WHEN k = 0 AND b >= 1000 THEN b ELSE list_min(a) END AS bid, CAST(len(list_distinct(a)) AS INTEGER) AS n_amounts FROM f""")
 def extract_money(spark, sf_dir):
-    """Notices with labelled amounts, with two amounts without labels, and with one."""
+    """Notices with labelled amounts, with two amounts without labels, and with one. An amount has four characters or more."""
     kind, plain = F.col("o_custkey") % 3, table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%.2f", "o_totalprice").alias("v"), F.format_string("%.2f", F.floor(F.col("o_totalprice") / 2).cast("double")).alias("b"))
     loose = F.when(kind == 1, F.concat(F.lit("For R "), "v", F.lit(" or ZAR "), "b", F.lit("; the limit of R 50,000,000.00 stands."))).otherwise(F.concat(F.lit("Up to $ "), "b", F.lit(".")))
     out = notices(spark, sf_dir).join(plain, "o_orderkey").select("o_orderkey", D.extract_money(F.when(kind == 0, F.col("text")).otherwise(loose)).alias("m"))
     return out.select("o_orderkey", F.col("m.value").alias("value"), F.col("m.bid").alias("bid"), F.size("m.amounts").alias("n_amounts"))
 
 
-@query("d2_extract_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS briefing, CAST(o_orderdate + INTERVAL 21 DAY AS DATE) AS closing, CAST(greatest(0, date_diff('day', DATE '1998-01-01', CAST(o_orderdate + INTERVAL 21 DAY AS DATE))) AS INTEGER) AS deadline_days FROM orders")
+@query("d2_extract_dates", """WITH o AS (SELECT o_orderkey, o_orderdate + INTERVAL 30 YEAR AS d FROM orders)
+SELECT o_orderkey, CAST(d AS DATE) AS briefing, CAST(d + INTERVAL 21 DAY AS DATE) AS closing, CAST(d + INTERVAL 111 DAY AS DATE) AS award, CAST(greatest(0, date_diff('day', DATE '2028-01-01', CAST(d + INTERVAL 21 DAY AS DATE))) AS INTEGER) AS deadline_days FROM o""")
 def extract_dates(spark, sf_dir):
-    out = notices(spark, sf_dir).select("o_orderkey", D.extract_dates(F.col("text"), F.lit("1998-01-01").cast("date")).alias("d"))
-    return out.select("o_orderkey", "d.briefing", "d.closing", "d.deadline_days")
+    return notices(spark, sf_dir).select("o_orderkey", D.extract_dates(F.col("text"), F.lit("2028-01-01").cast("date")).alias("d")).select("o_orderkey", "d.*")
 
 
-@query("d3_extract_terms", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '80/20' ELSE '90/10' END AS system, CASE WHEN o_orderstatus = 'O' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS goals_ratio, CAST(70 AS INTEGER) AS functionality,
-CASE WHEN o_custkey % 2 = 0 THEN 'RFQ' ELSE 'Open' END AS procedure, CASE WHEN o_custkey % 2 = 0 THEN 'Services' ELSE 'Works' END AS supply FROM orders""")
+@query("d3_extract_terms", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '80/20' WHEN 'O' THEN '90/10' ELSE CASE WHEN o_totalprice < 50000000 THEN '80/20' ELSE '90/10' END END AS system, o_orderstatus NOT IN ('F', 'O') AS low_confidence, CASE WHEN o_orderstatus = 'O' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS goals_ratio,
+CAST(70 AS INTEGER) AS functionality, CASE o_custkey % 3 WHEN 0 THEN 'RFQ' WHEN 1 THEN 'Open' END AS procedure, CASE o_custkey % 3 WHEN 0 THEN 'Services' WHEN 1 THEN 'Works' ELSE 'Goods' END AS supply FROM orders""")
 def extract_terms(spark, sf_dir):
-    return notices(spark, sf_dir).select("o_orderkey", D.extract_terms(F.col("text")).alias("t")).select("o_orderkey", "t.*")
+    return notices(spark, sf_dir).select("o_orderkey", D.extract_terms(F.col("text"), D.extract_money(F.col("text"))["value"]).alias("t")).select("o_orderkey", "t.*")
 
 
-@query("d4_completeness", """WITH p AS (SELECT o_orderkey, o_custkey % 2 = 1 AS value, o_custkey % 3 = 0 AND (o_custkey % 2 = 1 OR round(o_totalprice, 2) <= 1000) AS bid, o_custkey % 5 = 0 AS closing, o_orderstatus = 'P' AS system FROM orders)
-SELECT o_orderkey, (4 - value::INT - bid::INT - closing::INT - system::INT) / 4.0::DOUBLE AS share, array_to_string(list_filter([CASE WHEN value THEN 'value' END, CASE WHEN bid THEN 'bid' END, CASE WHEN closing THEN 'closing' END, CASE WHEN system THEN 'system' END], lambda x: x IS NOT NULL), ',') AS missing,
-value OR bid OR value::INT + bid::INT + closing::INT + system::INT > 2 AS incomplete FROM p""")
+@query("d4_completeness", """WITH p AS (SELECT o_orderkey, o_custkey % 2 = 1 AS value, o_custkey % 2 = 1 AND (o_custkey % 3 = 0 OR floor(o_totalprice / 2) < 1000) AS bid, o_custkey % 5 = 0 AS closing, o_orderstatus = 'P' AS procedure, o_orderkey % 4 = 0 AS supply FROM orders)
+SELECT o_orderkey, (7 - value::INT - bid::INT - closing::INT - procedure::INT - supply::INT) / 7.0::DOUBLE AS share, array_to_string(list_filter([CASE WHEN value THEN 'tender_value' END, CASE WHEN bid THEN 'bid_price' END, CASE WHEN closing THEN 'deadline_days' END,
+CASE WHEN procedure THEN 'tender_proceduretype' END, CASE WHEN supply THEN 'tender_supplytype' END], lambda x: x IS NOT NULL), ',') AS missing, value OR bid OR value::INT + bid::INT + closing::INT + procedure::INT + supply::INT > 3 AS incomplete FROM p""")
 def completeness(spark, sf_dir):
     """Notices that lack any of their parts."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_custkey")
     part = lambda shown, *text: F.when(shown, F.concat(*text)).otherwise("")
     text = F.concat(
         F.lit("Notice. "), part(k % 2 == 0, F.lit("Estimated value: R "), F.format_string("%.2f", "o_totalprice"), F.lit(". ")), part(k % 3 > 0, F.lit("Bid price: R "), F.format_string("%.2f", F.floor(F.col("o_totalprice") / 2).cast("double")), F.lit(". ")),
-        part(k % 5 > 0, F.lit("Closing date: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(". ")), F.when(F.col("o_orderstatus") == "F", "80/20 applies.").when(F.col("o_orderstatus") == "O", "90/10 applies.").otherwise(""),
+        part(k % 5 > 0, F.lit("Closing date: "), day("o_orderdate", 0), F.lit(". ")), F.when(F.col("o_orderstatus") == "F", "An RFQ. ").when(F.col("o_orderstatus") == "O", "An open tender. ").otherwise(""), part(F.col("o_orderkey") % 4 > 0, F.lit("For maintenance.")),
     )
     out = o.select("o_orderkey", D.extract_money(text).alias("m"), D.extract_dates(text, F.lit("1998-01-01").cast("date")).alias("d"), D.extract_terms(text).alias("t"))
-    fields = {"value": F.col("m.value"), "bid": F.col("m.bid"), "closing": F.col("d.closing"), "system": F.col("t.system")}
-    found = D.completeness(fields)
+    found = D.completeness(F.col("m"), F.col("d"), F.col("t"))
     return out.select("o_orderkey", found["share"].alias("share"), F.array_join(found["missing"], ",").alias("missing"), found["incomplete"].alias("incomplete"))
 
 
@@ -91,7 +98,9 @@ def extract_company(spark, sf_dir):
     return found.withColumn("commodities", F.array_join("commodities", ","))
 
 
-@query("d24_accreditation_gaps", f"WITH c AS ({COMPANY_SQL}) SELECT s_suppkey, CAST(1 AS INTEGER) AS priority, 'register on the central supplier database' AS advice FROM c WHERE supplier_number IS NULL UNION ALL SELECT s_suppkey, 1, 'obtain a contribution level' FROM c WHERE level IS NULL OR level >= 9 UNION ALL SELECT s_suppkey, 2, 'obtain a grading for works' FROM c WHERE cidb_grade IS NULL")
+@query("d24_accreditation_gaps", f"""WITH c AS ({COMPANY_SQL}) SELECT s_suppkey, CAST(CASE WHEN level IN (1, 2, 3, 4) THEN 3 WHEN level IN (5, 6) THEN 2 ELSE 1 END AS INTEGER) AS priority,
+CASE WHEN level IN (1, 2) THEN 'level gives most points' WHEN level IN (3, 4) THEN 'level is competitive, a better one gives most points' WHEN level IN (5, 6) THEN 'level is below average, improve it' WHEN level IN (7, 8) THEN 'level is not competitive, improve it before large bids' ELSE 'no level, no points' END AS advice FROM c
+UNION ALL SELECT s_suppkey, 1, 'register on the central supplier database' FROM c WHERE supplier_number IS NULL UNION ALL SELECT s_suppkey, 2, 'obtain a grading for works' FROM c WHERE cidb_grade IS NULL AND regexp_matches(lower(coalesce(industry, '')), 'construction|works')""")
 def accreditation_gaps(spark, sf_dir):
     return D.accreditation_gaps(companies(spark, sf_dir).select("s_suppkey", D.extract_company(F.col("text")).alias("c")).select("s_suppkey", "c.*"), "s_suppkey")
 
@@ -147,17 +156,33 @@ def block_rules(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", B.block_reason(label, context, canonical, section).alias("reason"))
 
 
-@query("d16_explain_unfilled", """SELECT event_id, CASE event_type WHEN 'click' THEN 'signature' WHEN 'purchase' THEN 'pricing cell' WHEN 'error' THEN 'ambiguous' ELSE 'unmatched' END AS why FROM events""")
+# Label, status of its look-up, and the explanation that must come out.
+UNFILLED = (
+    ("If so, furnish particulars", "prose_fragment", "declaration"), ("Identity Number of director", "blocked", "declaration"), ("Any relationship (family, friend)?", "unmatched", "declaration"), ("R", "unmatched", "pricing_cell"), (" r : ", "blocked", "pricing_cell"),
+    ("Delivery period", "unmatched", "tender_terms"), ("Warranty offered", "ambiguous", "tender_terms"), ("hereby certify", "prose_fragment", "prose"), ("Name", "blocked", "ambiguous_label"), ("Registration", "ambiguous", "ambiguous_label"), ("Colour", "unmatched", "unmatched"),
+    ("Rand", "low_corroboration", "unmatched"), ("  ", "blocked", "unmatched"), (None, None, "unmatched"),
+)
+
+
+@query("d16_explain_unfilled", f"SELECT event_id, [{', '.join(repr(u[2]) for u in UNFILLED)}][event_id % {len(UNFILLED)} + 1] AS why FROM events")
 def explain_unfilled(spark, sf_dir):
-    block = F.when(F.col("event_type") == "click", "signature").when(F.col("event_type") == "purchase", "pricing")
-    return table(spark, sf_dir, "events").select("event_id", D.explain_unfilled(block, F.when(F.col("event_type") == "error", "ambiguous")).alias("why"))
+    label, status = (cycled(F.col("event_id"), UNFILLED, c) for c in range(2))
+    return table(spark, sf_dir, "events").select("event_id", D.explain_unfilled(label, status).alias("why"))
+
 
+FIELDS = [*D.WHITELIST, "bank_account", None]
+HELD = (None, " Pending ", " x ", "9", '[{"name": "Ann B", "id_number": "80"}, {"name": " C "}, {"id_number": "1"}]')
 
-@query("d17_fill_decisions", """SELECT event_id, CASE WHEN event_type = 'click' THEN 'blocked' WHEN event_type = 'error' THEN 'no_match' WHEN event_type = 'view' THEN 'not_whitelisted' WHEN value / 5 < 88 THEN 'low_score' WHEN event_id % 2 = 0 THEN 'no_value' ELSE 'fill' END AS decision FROM events""")
+
+@query("d17_fill_decisions", f"""WITH e AS (SELECT event_id, event_type, value / 5 AS score, [{', '.join('NULL' if f is None else repr(f) for f in FIELDS)}][event_id % {len(FIELDS)} + 1] AS field, [NULL, ' Pending ', ' x ', '9', '{HELD[4]}'][event_id % 5 + 1] AS held FROM events), v AS (
+SELECT *, CASE WHEN field = 'director_names_and_id_numbers' THEN CASE WHEN held LIKE '[%' THEN 'Ann B (80); C' END WHEN held IS NULL OR held = ' Pending ' THEN NULL WHEN field = 'bbbee_level' AND held = '9' THEN NULL ELSE trim(held) END AS drawn FROM e), d AS (
+SELECT *, CASE WHEN event_type = 'click' THEN 'blocked' WHEN field IS NULL THEN 'no_match' WHEN field = 'bank_account' THEN 'not_whitelisted' WHEN score < 88 THEN 'low_score' WHEN drawn IS NULL THEN 'no_value' ELSE 'fill' END AS decision FROM v)
+SELECT event_id, decision, CASE WHEN decision = 'fill' THEN drawn END AS value, decision = 'low_score' OR (decision = 'fill' AND field IN ('bbbee_level', 'capacity')) AS low_confidence FROM d""")
 def fill_decisions(spark, sf_dir):
-    kind = F.col("event_type")
-    canonical = F.when(kind == "view", "directors").when(kind != "error", "email")
-    return table(spark, sf_dir, "events").select("event_id", D.fill_decision(F.when(kind == "click", "signature"), canonical, F.col("value") / 5, F.when(F.col("event_id") % 2 == 1, "x")).alias("decision"))
+    """Every field of the whitelist and two that are not on it, with and without values, placeholders and a list of directors."""
+    field, held = cycled(F.col("event_id"), [(f,) for f in FIELDS], 0), cycled(F.col("event_id"), [(h,) for h in HELD], 0)
+    decision = D.fill_decision(F.when(F.col("event_type") == "click", "signature"), field, F.col("value") / 5, held)
+    return table(spark, sf_dir, "events").select("event_id", decision.alias("d")).select("event_id", "d.decision", "d.value", "d.low_confidence")
 
 
 @query("d18_null_sentinels", "SELECT doc_id, CASE WHEN doc_id % 21 >= 19 THEN source END AS source, CAST(CASE WHEN doc_id % 10 NOT IN (0, 9) THEN doc_id % 10 END AS INTEGER) AS level FROM documents")
@@ -211,11 +236,15 @@ def validate_directors(spark, sf_dir):
     return D.validate_directors(table(spark, sf_dir, "customer").select("c_custkey", lists.alias("directors")), "c_custkey")
 
 
-@query("d22_profile_diff", "SELECT c_custkey, 'c_name' AS field, c_name AS before, c_name || '!' AS after FROM customer WHERE c_custkey % 4 = 0")
+@query("d22_profile_diff", """SELECT c_custkey, 'c_name' AS field, 'changed' AS status, CASE WHEN c_custkey % 9 > 0 THEN c_name END AS before, c_name || '!' AS after FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 'c_name', 'changed', NULL, c_name FROM customer WHERE c_custkey % 4 > 0 AND c_custkey % 9 = 0
+UNION ALL SELECT c_custkey, 'c_mktsegment', 'changed', NULL, c_mktsegment FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT c_custkey, 'directors', 'changed', CASE WHEN c_custkey % 9 > 0 THEN '{"a":1,"b":[2]}' END, CASE WHEN c_custkey % 5 > 0 THEN '{"a":1,"b":[2]}' ELSE '{"a":2}' END FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 5 = 0
+UNION ALL SELECT c_custkey, 'rating', 'ignored', NULL, 'A' FROM customer WHERE c_custkey % 6 = 0""")
 def profile_diff(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    changed = c.withColumn("c_name", F.when(F.col("c_custkey") % 4 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")))
-    return D.profile_diff(c, changed, "c_custkey")
+    """Names that change, companies without profile, JSON that says the same in other words, and a field that may not be written."""
+    c, k = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("c_custkey")
+    current = c.where(k % 9 > 0).withColumn("directors", F.lit('{"a":1, "b":[2]}'))
+    proposed = c.withColumns({"c_name": F.when(k % 4 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")), "directors": F.when(k % 5 > 0, '{"b": [2],  "a": 1}').otherwise('{"a": 2}'), "rating": F.when(k % 6 == 0, "A")})
+    return D.profile_diff(current, proposed, "c_custkey", ["c_name", "c_mktsegment", "directors"], ["directors"])
 
 
 @query("d12_lessons", """WITH l AS (SELECT user_id AS company_id, event_type AS key, CASE WHEN event_id % 5 = 0 THEN 'not_a_field' ELSE 'mapping' END AS kind, ts, event_id FROM events)

@@ -129,12 +129,12 @@ def outstanding_groups(spark, sf_dir):
 
 
 @query("a27_missing_fields", f"""WITH {ITEMS_SQL}, h AS (SELECT DISTINCT l_suppkey, kind FROM i WHERE what = 'value' AND l_linenumber = 5 AND done AND pack_id % 50 = 0)
-SELECT i.l_suppkey AS company_id, i.kind AS field, count(*) AS n, array_to_string(list_sort(list_distinct(list(CAST(i.pack_id AS VARCHAR))))[1:5], ',') AS labels, CAST(row_number() OVER (PARTITION BY i.l_suppkey ORDER BY count(*) DESC, i.kind) AS INTEGER) AS need FROM i ANTI JOIN h ON i.l_suppkey = h.l_suppkey AND i.kind = h.kind WHERE what = 'flag' GROUP BY 1, 2""")
+SELECT i.l_suppkey AS company_id, i.kind AS field, count(*) AS n, array_to_string(list_sort(list_distinct(list(CAST(i.pack_id AS VARCHAR))))[1:5], ',') AS labels, array_to_string(list_sort(list_distinct(list(CASE WHEN i.pack_id % 4 > 0 THEN 'page ' || i.pack_id % 4 END))), ',') AS locations, CAST(row_number() OVER (PARTITION BY i.l_suppkey ORDER BY count(*) DESC, i.kind) AS INTEGER) AS need FROM i ANTI JOIN h ON i.l_suppkey = h.l_suppkey AND i.kind = h.kind WHERE what = 'flag' GROUP BY 1, 2""")
 def missing_fields(spark, sf_dir):
     all_items = items(spark, sf_dir)
-    wanted = all_items.where("what = 'flag'").select(F.col("l_suppkey").alias("company_id"), F.col("kind").alias("field"), F.col("pack_id").cast("string").alias("label"))
+    wanted = all_items.where("what = 'flag'").select(F.col("l_suppkey").alias("company_id"), F.col("kind").alias("field"), F.col("pack_id").cast("string").alias("label"), F.when(F.col("pack_id") % 4 > 0, F.concat(F.lit("page "), (F.col("pack_id") % 4).cast("string"))).otherwise("").alias("location"))
     profile = all_items.where("what = 'value' AND l_linenumber = 5 AND done AND pack_id % 50 = 0").select(F.col("l_suppkey").alias("company_id"), F.col("kind").alias("field"), F.lit("x").alias("value"))
-    return A.missing_fields(wanted, profile).withColumn("labels", F.array_join("labels", ","))
+    return A.missing_fields(wanted, profile).withColumns({c: F.array_join(c, ",") for c in ("labels", "locations")})
 
 
 @query("a28_status_counts", f"WITH {ITEMS_SQL} SELECT l_suppkey, count(*) FILTER (kind = 'A') AS \"A\", count(*) FILTER (kind = 'N') AS \"N\", count(*) FILTER (kind = 'R') AS \"R\" FROM i GROUP BY 1")
