@@ -5,8 +5,12 @@ Metrics come from rows the model has not seen; no metric is floored or defaulted
 
 from __future__ import annotations
 
+import json
 import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import product
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,10 +19,12 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidlake.common import materialize
 from bidlake.functions.scoring import recommend
 from bidlake.operators.evaluation import auc_table
 
 SEED = 42
+PARALLEL = 4  # fits that are sent to the cluster at once
 
 
 def learners(seed: int = SEED, trees: int = 20, depth: int = 4) -> dict:
@@ -58,19 +64,30 @@ def _base_scores(base: dict, df: DataFrame) -> DataFrame:
     return df
 
 
-def train_stack(train: DataFrame, features: list[str], label: str, fold_year: str, years: list[int], weight: float = 1.0) -> Stack:
-    """Base models on all rows; a logistic meta-model on their predictions for years later than those they saw."""
-    rows, made = assemble(train, features, label, weight), learners()
+def side_by_side(jobs: list[Callable[[], object]], parallelism: int = PARALLEL) -> list:
+    """Results of Spark jobs that are sent at once; the first failure is raised."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
+def train_stack(train: DataFrame, features: list[str], label: str, fold_year: str, years: list[int], weight: float = 1.0, parallelism: int = PARALLEL) -> Stack:
+    """Base models on all rows; a logistic meta-model on their predictions for years later than those they saw.
+
+    Features are put together and written once; the fits of all folds and learners read them from there, several at a time.
+    """
+    rows, made = materialize(assemble(train, features, label, weight).select("features", "label", "weight", label, fold_year), "features"), learners()
+    past = lambda year: rows if year is None else rows.where(F.col(fold_year) < year)
+    tasks = [(year, name) for year in [None, *years] for name in made]
+    fitted = dict(zip(tasks, side_by_side([lambda t=t: made[t[1]].copy().fit(past(t[0])) for t in tasks], parallelism), strict=True))
     held = None
     for year in years:
-        fold = {n: m.fit(rows.where(F.col(fold_year) < year)) for n, m in made.items()}
-        part = _base_scores(fold, rows.where(F.col(fold_year) == year)).select(*[f"p_{n}" for n in made], label)
+        part = _base_scores({n: fitted[year, n] for n in made}, rows.where(F.col(fold_year) == year)).select(*[f"p_{n}" for n in made], label)
         held = part if held is None else held.unionByName(part)
-    base = {n: m.fit(rows) for n, m in made.items()}
+    base = {n: fitted[None, n] for n in made}
     meta = None
     if held is not None:
         stacked = VectorAssembler(inputCols=[f"p_{n}" for n in made], outputCol="features").transform(held).withColumn("label", F.col(label).cast("double"))
-        meta = LogisticRegression(featuresCol="features", labelCol="label").fit(stacked)
+        meta = LogisticRegression(featuresCol="features", labelCol="label").fit(materialize(stacked.select("features", "label"), "held-out"))
     return Stack(features, base, meta, importances=list(zip(features, base["gbt"].featureImportances.toArray().tolist(), strict=True)))
 
 
@@ -104,15 +121,54 @@ def score_batch(stack: Stack, df: DataFrame, threshold: float, tie_break: float
     return out.select(*df.columns, "raw", "probability", "_r.recommendation", "_r.confidence")
 
 
-def search_params(train: DataFrame, val: DataFrame, features: list[str], label: str, n: int = 4, seed: int = SEED) -> list[tuple[dict, float]]:
-    """Seeded random settings of the boosted learner with their validation AUC, best first."""
-    rnd, rows, held, out = random.Random(seed), assemble(train, features, label), assemble(val, features, label), []
-    for _ in range(n):
-        setting = {"maxDepth": rnd.choice([2, 3, 4, 5]), "maxIter": rnd.choice([5, 10, 20]), "stepSize": rnd.choice([0.05, 0.1, 0.2])}
-        model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=seed, **setting).fit(rows)
-        auc = auc_table(_positive(model.transform(held), "score").select("score", F.col(label).alias("label"))).first()["roc_auc"]
-        out.append((setting, auc))
-    return sorted(out, key=lambda x: -(x[1] or 0.0))
+def random_settings(n: int, seed: int = SEED) -> list[tuple[str, dict]]:
+    """Distinct seeded settings of the three learners, in turn."""
+    rnd, out = random.Random(seed), []
+    grids = {
+        "gbt": {"maxDepth": [2, 3, 4, 5], "maxIter": [5, 10, 20], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 1.0]},
+        "forest": {"maxDepth": [3, 5, 8], "numTrees": [10, 20, 40], "subsamplingRate": [0.5, 0.8, 1.0]},
+        "logistic": {"regParam": [0.0, 1e-3, 1e-2, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
+    }
+    everything = {name: [dict(zip(grid, values, strict=True)) for values in product(*grid.values())] for name, grid in grids.items()}
+    for settings in everything.values():
+        rnd.shuffle(settings)
+    names = list(grids)
+    while len(out) < n and any(everything.values()):
+        name = names[0]
+        names = names[1:] + [name]
+        if everything[name]:
+            out.append((name, everything[name].pop()))
+    return out
+
+
+def search_params(train: DataFrame, val: DataFrame, features: list[str], label: str, key: str, n: int = 24, cut: int = 3, rounds: int = 3, seed: int = SEED, parallelism: int = PARALLEL) -> DataFrame:
+    """(round, learner, setting, auc): validation AUC of random settings by successive halving.
+
+    The first round fits all ``n`` settings on a share of the training rows by hash of ``key``; each further round fits the best of every ``cut``
+    on ``cut`` times the rows, the last on all of them. Every AUC is over all validation rows. Features are built once, fits
+    run side by side, and the AUCs of a round come out of one pass over its scores.
+    """
+    put = lambda df, name: materialize(assemble(df, features, label).select(key, "features", "label", "weight"), name)
+    rows, held = put(train, "search-train"), put(val, "search-val")
+    left = [(f"{k}", name, setting) for k, (name, setting) in enumerate(random_settings(n, seed))]
+    share = lambda r: F.pmod(F.xxhash64(F.lit("search"), key), F.lit(cut ** (rounds - 1 - r))) == 0
+    out = None
+    for r in range(rounds):
+        some = rows.where(share(r))
+        made = [learners(seed)[name].copy({getattr(learners(seed)[name], p): v for p, v in setting.items()}) for _, name, setting in left]
+        models = side_by_side([lambda m=m: m.fit(some) for m in made], parallelism)
+        scored = None
+        for (place, _, _), model in zip(left, models, strict=True):
+            part = _positive(model.transform(held), "score").select(F.lit(place).alias("place"), "score", "label")
+            scored = part if scored is None else scored.unionByName(part)
+        names = F.create_map(*[F.lit(x) for place, name, _ in left for x in (place, name)])
+        settings = F.create_map(*[F.lit(x) for place, _, setting in left for x in (place, json.dumps(setting, sort_keys=True))])
+        found = auc_table(scored, by=["place"]).select(F.lit(r + 1).alias("round"), "place", names[F.col("place")].alias("learner"), settings[F.col("place")].alias("setting"), F.col("roc_auc").alias("auc"))
+        found = materialize(found, "round")
+        out = found if out is None else out.unionByName(found)
+        best = {x["place"]: x["auc"] for x in found.collect()}  # one row a setting
+        left = sorted(left, key=lambda x: (-(best.get(x[0]) or 0.0), int(x[0])))[: max(1, -(-len(left) // cut))]
+    return out.drop("place")
 
 
 def top_factors(stack: Stack, df: DataFrame, medians: dict[str, float], key: str, n: int = 5) -> DataFrame:

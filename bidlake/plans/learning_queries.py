@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidlake.common import scratch, table
+from bidlake.common import materialize, scratch, table
 from bidlake.functions import blanks as B
 from bidlake.functions import documents as D
 from bidlake.functions import scoring as R
@@ -28,7 +28,7 @@ def model_rows(spark, sf_dir):
 
 
 def trained(spark, sf_dir):
-    rows = model_rows(spark, sf_dir)
+    rows = materialize(model_rows(spark, sf_dir), "model-rows")  # read by every fit
     train = rows.where("split = 'train'")
     fold, held = "publish_year", sorted(r["val_year"] for r in year_folds(train).collect())
     if not held:
@@ -68,9 +68,8 @@ def top_factors(spark, sf_dir):
 
 @query("m11_search_params")
 def search_params(spark, sf_dir):
-    rows = model_rows(spark, sf_dir)
-    found = M.search_params(rows.where("split = 'train'"), rows.where("split = 'val'"), FEATURES, "did_win", 2)
-    return spark.createDataFrame([(str(sorted(s.items())), a) for s, a in found], "setting string, auc double")
+    rows = materialize(model_rows(spark, sf_dir), "model-rows")
+    return M.search_params(rows.where("split = 'train'"), rows.where("split = 'val'"), FEATURES, "did_win", "pair_id")
 
 
 LOOKUP_SQL = f"""WITH {RAW_SQL}, q AS (SELECT CAST(o_orderkey AS VARCHAR) AS tender_id, 'Supplier#00000000' || CAST(o_orderkey % 12 AS VARCHAR) AS supplier_name, CAST(o_custkey % 12 AS VARCHAR) AS supplier_id FROM orders)

@@ -1,5 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from bidlake.operators import learning as M
+from bidlake.operators.evaluation import log_loss
 from bidlake.plans import learning_queries as L
 
 
@@ -56,3 +61,46 @@ def test_scored_stream_equals_the_batch_and_keeps_bad_documents(spark, monkeypat
         else:
             assert stream[k]["error"] is None and 0 < stream[k]["win_probability"] < 1
             assert stream[k]["recommendation"] == ("DISQUALIFIED" if not stream[k]["eligible"] else "PURSUE" if stream[k]["adjusted"] >= 0.5 else "PASS")
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return L.trained(spark, "/root/testdata/sf0.001")
+
+
+def test_stack_beats_the_base_rate_and_calibration_keeps_the_order(spark, trained):
+    stack, rows = trained
+    test = rows.where("split = 'test'")
+    scored = M.score_batch(stack, test, 0.6).cache()
+    assert scored.count() == test.count() and scored.where("probability < 0.01 or probability > 0.99 or raw < 0 or raw > 1").count() == 0
+    loss = lambda p: scored.agg(log_loss(p, F.col("did_win"))).first()[0]
+    base = rows.where("split = 'train'").agg(F.avg("did_win")).first()[0]
+    assert loss(F.col("probability")) <= loss(F.lit(base)) + 0.02
+    points = sorted((r["raw"], r["probability"]) for r in scored.select("raw", "probability").distinct().collect())
+    assert all(b[1] >= a[1] - 1e-12 for a, b in zip(points, points[1:], strict=False))
+    wrong = "(probability >= 0.6) != (recommendation = 'PURSUE') or (probability < 0.6) != (recommendation = 'PASS')"
+    assert scored.where(wrong).count() == 0
+
+
+def test_top_factors_are_the_features_of_most_gain(spark, trained):
+    stack, rows = trained
+    out = M.top_factors(stack, rows.where("split = 'test'").limit(20), {f: 0.0 for f in L.FEATURES}, "pair_id", 3).collect()
+    want = [f for f, _ in sorted(stack.importances, key=lambda x: (-x[1], x[0]))[:3]]
+    assert len(out) == 60 and all(want[r["rank"] - 1] == r["feature"] and r["side"] == ("above" if r["value"] is not None and r["value"] >= 0 else "below") for r in out)
+
+
+def test_search_halves_and_finds_the_signal(spark):
+    rnd = random.Random(1)
+    rows = [(k, rnd.random(), rnd.random(), k % 3 == 0) for k in range(1500)]
+    df = spark.createDataFrame([(k, a, b, int(a + 0.3 * rnd.random() > 0.6), v) for k, a, b, v in rows], "id int, a double, b double, y int, held boolean")
+    run = lambda: M.search_params(df.where("not held"), df.where("held"), ["a", "b"], "y", "id", n=20)
+    found = run()
+    by_round = {}
+    for r in found.collect():
+        by_round.setdefault(r["round"], {})[r["learner"], r["setting"]] = r["auc"]
+    assert {k: len(v) for k, v in by_round.items()} == {1: 20, 2: 7, 3: 3}
+    for earlier, later in ((1, 2), (2, 3)):
+        ranked = sorted(by_round[earlier].values(), reverse=True)
+        assert all(by_round[earlier][s] >= ranked[len(by_round[later]) - 1] for s in by_round[later])
+    assert max(by_round[3].values()) > 0.9
+    assert len({n for n, _ in by_round[1]}) == 3 and len(set(map(str, M.random_settings(60)))) == 60
