@@ -10,10 +10,10 @@
    decide nothing.
 3. Components of the confirmed links. A bucket that still holds several components may hide a link that
    does not touch its centre. All members of such a bucket that are outside its largest component are
-   compared with all members of other components, on the full sets: a bucket is cut into cells of about
-   ``CELL`` shingles, each counts the common shingles of many members with all its residents at once, and
+   compared with all members of other components, on the full sets: both are dealt into blocks of about
+   ``CELL`` shingles, each pair of blocks is a cell that counts the common shingles of many members at once, and
    only the links that join two components leave it. So a hot bucket is spread over
-   cells, and no table of pairs is made.
+   cells of bounded size, and no table of pairs is made.
 
 So every two texts that share a bucket are in one component or have been compared. A pair at the threshold
 shares no bucket with a probability of about ``MISS``; a reported link is exact.
@@ -228,22 +228,25 @@ def _star_pairs(members: DataFrame) -> DataFrame:
     return members.join(centre, "key").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
 
 
-def _cells(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, cell, node, c, minor, resident, set): the open buckets, cut into cells of about ``CELL`` shingles.
+def _cells(members: DataFrame, found: DataFrame, sets: DataFrame, cell: int | None = None) -> DataFrame:
+    """(key, cell, node, c, minor, resident, set): the open buckets, cut into cells of about twice ``cell`` (``CELL``) shingles at most.
 
-    Each member of a bucket is resident in one cell. Members outside the bucket's largest component also visit
-    its other cells, so each pair of different components meets where one of the two is resident.
+    All members of a bucket are dealt into blocks, and those outside its largest component once more into blocks of their
+    own; a cell holds one block of each kind, so each pair of different components meets in one cell, and no cell holds more than two blocks.
     """
     placed = members.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c"))
     parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("n", "c")).alias("largest")).where("parts > 1")
-    open_ = materialize(open_.select("key", F.col("largest.c").alias("largest"), F.ceil(F.col("size") / CELL).cast("int").alias("cells")), "open")
-    home = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("cells")).cast("int").alias("home")
-    rows = placed.join(open_, "key").select("key", "node", "c", (F.col("c") != F.col("largest")).alias("minor"), "cells", home).join(sets, "node")
-    visits = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("home"))
-    dealt = rows.select("key", F.explode(visits).alias("cell"), "node", "c", "minor", "home", "set")
-    dealt = dealt.select("key", "cell", "node", "c", "minor", (F.col("cell") == F.col("home")).alias("resident"), "set")
-    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("n", "c", "size")).alias("largest")).where("parts > 1")
+    blocks = lambda size: F.ceil(size / (cell or CELL)).cast("int")
+    open_ = materialize(open_.select("key", F.col("largest.c").alias("largest"), blocks(F.col("size")).alias("homes"), blocks(F.col("size") - F.col("largest.size")).alias("lots")), "open")
+    of = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
+    rows = placed.join(open_, "key").select("key", "node", "c", (F.col("c") != F.col("largest")).alias("outside"), "homes", "lots", of("homes", SEED).alias("home"), of("lots", SEED + 1).alias("lot"))
+    every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    home = F.transform(every("lots"), lambda i: F.struct(F.struct(i.alias("lot"), F.col("home")).alias("cell"), F.lit(False).alias("minor"), F.lit(True).alias("resident")))
+    visit = F.transform(every("homes"), lambda j: F.struct(F.struct(F.col("lot"), j.alias("home")).alias("cell"), F.lit(True).alias("minor"), F.lit(False).alias("resident")))
+    dealt = rows.select("key", "node", "c", F.inline(F.concat(home, F.when(F.col("outside"), visit).otherwise(F.slice(visit, 1, 0)))))
+    dealt = dealt.select("key", (F.col("cell.lot").cast("long") * (1 << 31) + F.col("cell.home")).alias("cell"), "node", "c", "minor", "resident")
+    return dealt.join(sets, "node").select("key", "cell", "node", "c", "minor", "resident", "set").repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
 def _common(rows: np.ndarray, values: np.ndarray, edges: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

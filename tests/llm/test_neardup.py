@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bidlake.llm import neardup as N
 from tests.oracle import assert_same, connect
@@ -156,3 +157,17 @@ def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
     rows = [(1, text), (1, text), (2, text + " x"), (2, other), (2, other), (3, None), (3, None), (None, text)]
     kept = N.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), N.NearDup(5, 80)).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, [(1, text), (2, other), (3, None), (3, None), (None, text)]))
+
+
+def test_no_cell_holds_more_than_two_blocks(spark):
+    """A bucket of 20,000 strangers: each cell has a bounded part of it, and each two of them meet in a cell."""
+    n, size, cell = 20_000, 50, 50_000
+    nodes = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.encode(F.col("id").cast("string"), "utf-8").alias("node"), F.lit(size).cast("long").alias("size"))
+    none = spark.createDataFrame([], "node binary, component binary")
+    sets = nodes.select("node", F.array(F.xxhash64("node")).alias("set"))
+    cells = N._cells(nodes, none, sets, cell).groupBy("cell").agg(F.count_if("minor").alias("minor"), F.count_if("resident").alias("resident")).collect()
+    assert len(cells) == 20 * 20 and max(max(r["minor"], r["resident"]) for r in cells) * size < 1.3 * cell
+    assert sum(r["minor"] * r["resident"] for r in cells) == n * (n - 1)
+    one = nodes.limit(40).select("node", F.lit(b"0").alias("component"))
+    few = N._cells(nodes.limit(60).repartition(2), one, sets, cell).collect()
+    assert {bytes(r["node"]) for r in few if r["minor"]} == {bytes(r["node"]) for r in nodes.limit(60).collect()} - {bytes(r["node"]) for r in one.collect()}
