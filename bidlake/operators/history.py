@@ -101,13 +101,16 @@ def supplier_features(bids: DataFrame, pairs: DataFrame) -> DataFrame:
     named = lambda df, **names: df.select(*[c for c in df.columns if c not in names.values()], *[F.col(v).alias(k) for k, v in names.items()])
     out = pairs.select("pair_id", BIDDER, COUNTRY, BUYER, YEAR)
     total = named(by_bidder, t_entries="cum_entries", t_wins="cum_wins", t_sum="cum_price_sum", t_priced="cum_priced_wins", t_last="run_last_win_year")
-    out = asof_left(out, total, [BIDDER], YEAR, YEAR, ["t_entries", "t_wins", "t_sum", "t_priced", "t_last"])
+    # What depends on bidder and year alone is put together on the few distinct ones, so the pairs meet it in one join.
+    keys = out.select(BIDDER, YEAR).dropna().distinct()
+    own = asof_left(keys, total, [BIDDER], YEAR, YEAR, ["t_entries", "t_wins", "t_sum", "t_priced", "t_last"])
+    own = asof_left(own, countries_so_far(bids), [BIDDER], YEAR, YEAR, ["country_count"]).join(category_hhi(bids, keys), [BIDDER, YEAR], "left")
+    out = out.join(own, [BIDDER, YEAR], "left")
     out = asof_left(out, named(by_country, c_entries="cum_entries", c_wins="cum_wins"), [BIDDER, COUNTRY], YEAR, YEAR, ["c_entries", "c_wins"])
-    out = asof_left(out, countries_so_far(bids), [BIDDER], YEAR, YEAR, ["country_count"])
     out = asof_left(out, named(by_buyer, b_entries="cum_entries", b_wins="cum_wins"), [BIDDER, BUYER], YEAR, YEAR, ["b_entries", "b_wins"])
-    out = out.join(category_hhi(bids, pairs), [BIDDER, YEAR], "left")
     counts = ["t_entries", "t_wins", "t_priced", "c_entries", "c_wins", "country_count", "b_entries", "b_wins"]
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts} | {"t_sum": F.coalesce("t_sum", F.lit(0.0)), "category_hhi": F.coalesce("category_hhi", F.lit(0.0))})
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts} | {"t_sum": F.round(F.coalesce("t_sum", F.lit(0.0)), 4), "category_hhi": F.coalesce("category_hhi", F.lit(0.0))})
+    # Money sums are rounded far below a cent, so that means do not depend on the order in which tasks add.
     years = F.when(F.col("t_last").isNull(), F.lit(NEVER_WON_YEARS)).otherwise(F.greatest(F.lit(0.0), (F.col(YEAR) - F.col("t_last")).cast("double")))
     return out.withColumn("_years", years).select(
         "pair_id",

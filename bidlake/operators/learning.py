@@ -185,10 +185,10 @@ def tender_supplier_lookup(tenders: DataFrame, history: DataFrame, medians: dict
     """
     features = list(medians)
     have = history.select("tender_id", "bidder_name", "bidder_masterid", "publish_year", F.struct(*features).alias("f"))
-    by_name = have.groupBy("tender_id", "bidder_name").agg(F.max_by("f", "bidder_masterid").alias("f1")).withColumnRenamed("bidder_name", "supplier_name")
-    by_id = have.groupBy("tender_id", "bidder_masterid").agg(F.max_by("f", "bidder_name").alias("f2")).withColumnRenamed("bidder_masterid", "supplier_id")
-    of_tender = have.groupBy("tender_id").agg(F.min_by("f", F.struct("bidder_name", "bidder_masterid")).alias("f3"))
-    of_supplier = have.groupBy("bidder_name").agg(F.max_by("f", F.struct("publish_year", "tender_id", "bidder_masterid")).alias("f4")).withColumnRenamed("bidder_name", "supplier_name")
+    by_name = have.groupBy("tender_id", "bidder_name").agg(F.max_by("f", F.struct("bidder_masterid", "f")).alias("f1")).withColumnRenamed("bidder_name", "supplier_name")
+    by_id = have.groupBy("tender_id", "bidder_masterid").agg(F.max_by("f", F.struct("bidder_name", "f")).alias("f2")).withColumnRenamed("bidder_masterid", "supplier_id")
+    of_tender = have.groupBy("tender_id").agg(F.min_by("f", F.struct("bidder_name", "bidder_masterid", "f")).alias("f3"))
+    of_supplier = have.groupBy("bidder_name").agg(F.max_by("f", F.struct("publish_year", "tender_id", "bidder_masterid", "f")).alias("f4")).withColumnRenamed("bidder_name", "supplier_name")
     out = tenders.join(by_name, ["tender_id", "supplier_name"], "left").join(by_id, ["tender_id", "supplier_id"], "left").join(of_tender, "tender_id", "left").join(of_supplier, "supplier_name", "left")
     rank = F.when(F.col("f1").isNotNull(), 1).when(F.col("f2").isNotNull(), 2).when(F.col("f3").isNotNull(), 3).when(F.col("f4").isNotNull(), 4).otherwise(5)
     best = F.coalesce("f1", "f2", "f3", "f4")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidlake.operators.ranks import quantiles
+from bidlake.operators.ranks import quantiles, running_over
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -229,9 +229,10 @@ def coerce_numeric(df: DataFrame, least: float = 0.5, keys: list[str] = ()) -> D
 
 
 def ordinal_dictionary(train: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, code): sorted distinct training values of each column, from 0."""
+    """(column, value, code): sorted distinct training values of each column, from 0; a column of many values is many slices."""
     values = train.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value").where(F.col("value").isNotNull()).distinct()
-    return values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1)
+    numbered = running_over(values.withColumn("_one", F.lit(1)), ["column"], ["value"], {"code": ("sum", "_one")}, exclusive=True)
+    return numbered.select("column", "value", F.col("code").cast("int").alias("code"))
 
 
 def ordinal_encode(df: DataFrame, dictionary: DataFrame, columns: list[str], unknown: int = -1, missing: int = -2, scoring: bool = False) -> DataFrame:

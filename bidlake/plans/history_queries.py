@@ -131,7 +131,7 @@ FEATURES_SQL = f"""WITH {PAIRS_SQL}, b AS (
   FROM (SELECT DISTINCT bidder_name, publish_year FROM raw) p JOIN raw r ON r.bidder_name = p.bidder_name AND r.bid_iswinning AND r.publish_year < p.publish_year GROUP BY 1, 2, 3
 ), h AS (SELECT bidder_name, publish_year, sum(n * n) / (sum(n) * sum(n)) AS hhi FROM c GROUP BY 1, 2)
 SELECT b.pair_id, t_entries AS pit_total_entries, t_wins AS pit_total_wins, round(CASE WHEN t_entries > 0 THEN t_wins / t_entries ELSE 0 END, 6) AS pit_win_rate_overall,
-  round(CASE WHEN c_entries > 0 THEN c_wins / c_entries ELSE 0 END, 6) AS pit_win_rate_country, round(CASE WHEN t_priced > 0 THEN t_sum / t_priced ELSE 0 END, 2) AS pit_avg_contract_value,
+  round(CASE WHEN c_entries > 0 THEN c_wins / c_entries ELSE 0 END, 6) AS pit_win_rate_country, round(CASE WHEN t_priced > 0 THEN round(t_sum, 4) / t_priced ELSE 0 END, 2) AS pit_avg_contract_value,
   CAST(CASE WHEN t_last IS NULL THEN 10 ELSE greatest(0, y - t_last) END AS DOUBLE) AS pit_last_win_years_ago, round(ln(1 + t_wins), 6) AS pit_experience_score,
   round(1.0 / (1 + CASE WHEN t_last IS NULL THEN 10 ELSE greatest(0, y - t_last) END), 6) AS pit_recency_score, CAST(b_wins > 0 AS INTEGER) AS pit_is_incumbent,
   countries AS pit_country_count, CAST(countries > 1 AS INTEGER) AS pit_is_international, b_wins AS pit_buyer_win_count, b_entries AS pit_buyer_entry_count,

@@ -72,15 +72,18 @@ def search_params(spark, sf_dir):
     return M.search_params(rows.where("split = 'train'"), rows.where("split = 'val'"), FEATURES, "did_win", "pair_id")
 
 
-LOOKUP_SQL = f"""WITH {RAW_SQL}, q AS (SELECT CAST(o_orderkey AS VARCHAR) AS tender_id, 'Supplier#00000000' || CAST(o_orderkey % 12 AS VARCHAR) AS supplier_name, CAST(o_custkey % 12 AS VARCHAR) AS supplier_id FROM orders)
-SELECT tender_id, supplier_name, supplier_id, CAST(CASE WHEN EXISTS (SELECT 1 FROM raw WHERE raw.tender_id = q.tender_id AND bidder_name = supplier_name) THEN 1 WHEN EXISTS (SELECT 1 FROM raw WHERE raw.tender_id = q.tender_id AND bidder_masterid = supplier_id) THEN 2
-WHEN EXISTS (SELECT 1 FROM raw WHERE raw.tender_id = q.tender_id) THEN 3 WHEN EXISTS (SELECT 1 FROM raw WHERE bidder_name = supplier_name) THEN 4 ELSE 5 END AS INTEGER) AS matched_by FROM q"""
+LOOKUP_SQL = f"""WITH {RAW_SQL}, q AS (SELECT CAST(o_orderkey AS VARCHAR) AS tender_id, 'Supplier#00000000' || CAST(o_orderkey % 12 AS VARCHAR) AS supplier_name, CAST(o_custkey % 12 AS VARCHAR) AS supplier_id FROM orders),
+n AS (SELECT tender_id, bidder_name, max_by(bid_price, (bidder_masterid, bid_price)) AS p FROM raw GROUP BY 1, 2), i AS (SELECT tender_id, bidder_masterid, max(bid_price) AS p FROM (SELECT *, row_number() OVER (PARTITION BY tender_id, bidder_masterid ORDER BY bidder_name DESC, bid_price DESC) AS k FROM raw) WHERE k = 1 GROUP BY 1, 2),
+t AS (SELECT tender_id, min_by(bid_price, (bidder_name, bidder_masterid, bid_price)) AS p FROM raw GROUP BY 1), s AS (SELECT bidder_name, max_by(bid_price, (publish_year, tender_id, bidder_masterid, bid_price)) AS p FROM raw GROUP BY 1)
+SELECT q.tender_id, supplier_name, supplier_id, CAST(CASE WHEN n.tender_id IS NOT NULL THEN 1 WHEN i.tender_id IS NOT NULL THEN 2 WHEN t.tender_id IS NOT NULL THEN 3 WHEN s.bidder_name IS NOT NULL THEN 4 ELSE 5 END AS INTEGER) AS matched_by,
+round(CASE WHEN n.tender_id IS NOT NULL THEN n.p WHEN i.tender_id IS NOT NULL THEN i.p WHEN t.tender_id IS NOT NULL THEN t.p WHEN s.bidder_name IS NOT NULL THEN s.p ELSE 0 END, 2) AS bid_price
+FROM q LEFT JOIN n ON n.tender_id = q.tender_id AND n.bidder_name = supplier_name LEFT JOIN i ON i.tender_id = q.tender_id AND i.bidder_masterid = supplier_id LEFT JOIN t ON t.tender_id = q.tender_id LEFT JOIN s ON s.bidder_name = supplier_name"""
 
 
 @query("j8_tender_supplier_lookup", LOOKUP_SQL)
 def tender_supplier_lookup(spark, sf_dir):
     asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("tender_id"), F.concat(F.lit("Supplier#00000000"), (F.col("o_orderkey") % 12).cast("string")).alias("supplier_name"), (F.col("o_custkey") % 12).cast("string").alias("supplier_id"))
-    return M.tender_supplier_lookup(asked, raw_contracts(spark, sf_dir), {"bid_price": 0.0}).select("tender_id", "supplier_name", "supplier_id", "matched_by")
+    return M.tender_supplier_lookup(asked, raw_contracts(spark, sf_dir), {"bid_price": 0.0}).select("tender_id", "supplier_name", "supplier_id", "matched_by", F.round("bid_price", 2).alias("bid_price"))
 
 
 @query("f1_select_bid_columns", f"WITH {RAW_SQL} SELECT tender_id, lot_id, bid_iswinning, 'ZA' AS source_country FROM raw WHERE bid_iswinning IS NOT NULL")

@@ -321,9 +321,11 @@ def size_ratio(spark, sf_dir):
     return pairs.join(means, "bidder_name").select("pair_id", F.round(P.size_ratio(F.col("estimate"), F.col("bid_price"), F.col("v")), 6).alias("tender_size_ratio"))
 
 
-@query("f9_source_tag", "SELECT DISTINCT n_name, CASE WHEN n_name = 'ZA' THEN 'SA' ELSE 'GPPD' END AS source FROM nation")
+@query("f9_source_tag", "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'SA' ELSE 'GPPD' END AS source FROM orders")
 def source_tag(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_name", P.source_tag(F.col("n_name")).alias("source")).distinct()
+    """Orders of a South African source, of others, and without a country."""
+    country = F.when(F.col("o_custkey") % 3 == 0, "ZA").when(F.col("o_custkey") % 3 == 1, "UK")
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.source_tag(country).alias("source"))
 
 
 @query("f10_experience_tier", f"""WITH {RAW_SQL}, w AS (SELECT buyer_masterid, count(*) FILTER (bid_iswinning) AS wins FROM raw GROUP BY 1)

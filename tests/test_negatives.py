@@ -21,6 +21,22 @@ def test_negatives_never_meet_true_pairs(spark):
     assert made and len(keys) == len(set(keys)) and not real & set(keys) and {r["did_win"] for r in made} == {0}
 
 
+def test_negatives_are_the_same_rows_in_every_run(spark):
+    pairs, market = pairs_of(spark, SF), ["buyer_country", "publish_year"]
+    one, two = ({tuple(r) for r in A.synthetic_negatives(p, market).collect()} for p in (pairs, pairs.repartition(7)))
+    assert one == two
+    both = Counter(r["pair_type"] for r in pairs.unionByName(A.synthetic_negatives(pairs, market)).select("pair_type").collect())
+    assert both["synthetic_negative"] == len(one) and sum(both.values()) == pairs.count() + len(one)
+
+
+def test_samples_are_nested_repeatable_and_near_their_share(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "pair_id")
+    ids = lambda share, d=df: {r["pair_id"] for r in P.sample_pairs(d, share, "pair_id").collect()}
+    quarter, half = ids(0.25), ids(0.5)
+    assert quarter < half and quarter == ids(0.25, df.repartition(5)) and abs(len(quarter) - 5000) < 300 and abs(len(half) - 10_000) < 350
+    assert ids(1.0) == set(range(20_000)) and ids(0.0) == set()
+
+
 def test_time_split_with_null_year(spark):
     df = spark.createDataFrame([(y,) for y in [2000] * 50 + [2001] * 30 + [2002] * 20 + [2003] * 10 + [None] * 3], "publish_year int")
     got = {(r["publish_year"], r["split"]) for r in P.time_split(df).collect()}
