@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -90,35 +91,44 @@ def stretches(events: DataFrame, seconds: float) -> DataFrame:
     return events.withColumns({"_k": F.struct("key"), "_slot": spot}).join(found, ["_k", "_slot"]).select(*events.columns, "stretch")
 
 
-def _walked(events: DataFrame, rule: Rule, schema: str, emit: Callable[[object, pd.DataFrame, State], pd.DataFrame]) -> DataFrame:
-    """Walks each stretch in order, in slices; ``emit`` makes the output of a slice."""
+def _walked(events: DataFrame, rule: Rule, schema: str, last: bool = False) -> DataFrame:
+    """Walks each stretch in order, row by row as they stream in sorted: each row with its decision, or (``last``) the end of each slice
+    of a stretch with the state there.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), []
-        for pdf in batches:
-            parts = []
-            for own, part in pdf.groupby(["key", "stretch"], sort=False, dropna=False):
-                own = tuple(None if pd.isna(x) else x for x in own)  # a null key comes as NaN
+    Batches become plain lists once, so a short stretch costs no more than its rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, []
+        for batch in batches:
+            keys, stretch, times, flags = (batch.column(c).to_pylist() for c in ("key", "stretch", "t", "flag"))
+            admitted, ends, states = [], [], []
+            for k, own in enumerate(zip(keys, stretch, strict=True)):
                 if own != current:
+                    if last and k:
+                        ends.append(k - 1)
+                        states.append(state)
                     current, state = own, []
-                done, state = walk(part, rule, state)
-                parts.append(emit(own[0], done, state))
-            if parts:
-                yield pd.concat(parts)
+                state, passes = rule.step(state, times[k], bool(flags[k]))
+                admitted.append(passes)
+            if last and len(batch):
+                at = pa.array([*ends, len(batch) - 1], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("key", "t", "id")] + [pa.array([*states, state], pa.list_(pa.float64()))], names=["key", "at", "id", "times"])
+            elif not last:
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "id", "t", "flag")] + [pa.array(admitted, pa.bool_())], names=["key", "id", "t", "flag", "admitted"])
 
     ordered = stretches(events.select("key", "id", "t", "flag"), rule.seconds).repartition("key", "stretch").sortWithinPartitions("key", "stretch", "t", "id")
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def decide_batch(events: DataFrame, rule: Rule) -> DataFrame:
     """Add ``admitted``. Input: key string, id long, t double (epoch seconds), flag boolean."""
-    return _walked(events, rule, DECIDED, lambda key, done, state: done[["key", "id", "t", "flag", "admitted"]])
+    return _walked(events, rule, DECIDED)
 
 
 def states_after(events: DataFrame, rule: Rule) -> DataFrame:
     """(key, t): the times that are the state of each key after these rows, to start a stream from."""
-    last = lambda key, done, state: pd.DataFrame({"key": [key], "at": [done["t"].iloc[-1]], "id": [done["id"].iloc[-1]], "times": [state]})
-    slices = _walked(events, rule, "key string, at double, id long, times array<double>", last)
+    slices = _walked(events, rule, "key string, at double, id long, times array<double>", last=True)
     newest = slices.groupBy("key").agg(F.max_by("times", F.struct("at", "id")).alias("times"))
     return newest.select("key", F.explode("times").alias("t"))
 

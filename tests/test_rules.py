@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def test_one_hot_key_is_the_work_of_many_tasks(spark):
     assert parts.select("stretch").distinct().count() == 800
 
 
+def test_short_stretches_cost_little_more_than_their_rows(spark):
+    """30,000 stretches of one row each take about as long as one stretch of 30,000 rows."""
+
+    def seconds(gap):
+        rows = spark.range(30_000).select(F.lit("hot").alias("key"), "id", (F.col("id") * gap).cast("double").alias("t"), F.lit(False).alias("flag"))
+        began = time.monotonic()
+        admitted = Q.decide_batch(rows, Q.sliding_limit(3, 60.0)).agg(F.count_if("admitted")).first()[0]
+        assert admitted == (30_000 if gap > 60 else 1_500)
+        return time.monotonic() - began
+
+    seconds(1)
+    assert seconds(100) < 2 + 3 * seconds(1)
+
+
 def test_stretches_part_only_at_gaps(spark):
     rows = events(5)
     found = sorted((r["key"] or "", r["t"], r["stretch"]) for r in Q.stretches(spark.createDataFrame(rows, SCHEMA), 60.0).collect())
