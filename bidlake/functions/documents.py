@@ -17,8 +17,10 @@ from bidlake.operators.eligibility import THRESHOLD
 # How amounts and days are written, and what stands before a bid, a value, a briefing, a closing and an award.
 NUMBER = r"([0-9][0-9\s,]{3,}(?:\.[0-9]{2})?)"
 AMOUNT = r"(?:R|ZAR|\$)\s*" + NUMBER
-BID_LABEL = r"(?i)(?:bid price|total price|contract sum|tender sum|tender price|offered price|pricing|amount)[:\s]*(?:R|ZAR|\$)?[:\s]*" + NUMBER
-VALUE_LABEL = r"(?i)(?:estimated value|tender value|budget|project estimate|estimated budget)[:\s]*(?:R|ZAR|\$)?[:\s]*" + NUMBER
+BID_LABEL = r"(?i)(?:bid price|total price|contract sum|tender sum|tender price|offered price|pricing|amount)"
+VALUE_LABEL = r"(?i)(?:estimated value|tender value|budget|project estimate|estimated budget)"
+# Behind a label an amount needs four characters or more, or, as small ones have fewer, its currency and cents.
+LABELLED = (r"[:\s]*(?:R|ZAR|\$)?[:\s]*" + NUMBER, r"[:\s]*(?:R|ZAR|\$)[:\s]*([0-9]{1,3}\.[0-9]{2})\b")
 DAY = r"([0-9]{1,2}\s+[a-zA-Z]{3,9}\s+20[2-3][0-9]|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/20[2-3][0-9])"
 DAY_LABELS = {"briefing": "briefing session|site meeting|compulsory briefing", "closing": "closing date|deadline|submission date", "award": "validity period|award date"}
 # How a tender states its preference system, its goals, its procedure and what it buys, in order.
@@ -88,7 +90,7 @@ def extract_money(text: Column) -> Column:
     """struct(amounts, bid, value): amounts over 1,000 in order; labelled ones first, else the least and, if larger than the bid, the greatest."""
     found = F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1)), to_amount)
     amounts = F.array_distinct(F.filter(found, lambda a: a.isNotNull() & (a > LEAST_AMOUNT) & (a != BOILERPLATE_AMOUNT)))
-    labelled = lambda label: F.nullif(to_amount(_first(text, label)), F.lit(BOILERPLATE_AMOUNT))
+    labelled = lambda label: F.nullif(F.coalesce(*[to_amount(_first(text, label + form)) for form in LABELLED]), F.lit(BOILERPLATE_AMOUNT))
     bid = F.coalesce(labelled(BID_LABEL), F.array_min(amounts))
     value = F.coalesce(labelled(VALUE_LABEL), F.when(F.array_max(amounts) > bid, F.array_max(amounts)))
     return F.struct(amounts.alias("amounts"), bid.alias("bid"), value.alias("value"))

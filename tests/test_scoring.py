@@ -46,3 +46,10 @@ def test_supplier_block_fill(spark):
     want = {"Signed by": "signature", "Dated": None, "Dated at": "signing_date", "Rate per hour": "pricing", "Describe your methodology": "narrative", "Any conflict of interest": "declaration", "Trading name": None}
     df = spark.createDataFrame([(x,) for x in want], "label string")
     assert {r["label"]: r["b"] for r in df.select("label", B.block_reason(F.col("label"), F.lit("form")).alias("b")).collect()} == want
+
+
+def test_small_labelled_amounts_are_read(spark):
+    text = "Estimated value: R 1001.91. Bid price: R {}.\nR 50,000,000.00 is the limit."
+    assert one(spark, D.extract_money(F.lit(text.format("500.00"))))["bid"] == 500.0
+    assert one(spark, D.extract_money(F.lit(text.format("12,500.00"))))["bid"] == 12_500.0
+    assert one(spark, D.extract_money(F.lit("Pricing 3.10 applies to R 2,000.00")))["bid"] == 2_000.0
