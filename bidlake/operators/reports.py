@@ -212,27 +212,69 @@ def market_permutation(pairs: DataFrame, market: list[str], key: str, bidder: li
     return joined.select(*pairs.columns, *[f"new_{b}" for b in bidder])
 
 
-def synthetic_negatives(pairs: DataFrame, market: list[str], target: float = 0.15, trigger: float = 0.30, most: int = 10) -> DataFrame:
-    """Losing pairs from seeded permutations inside each market, none of them a real (lot, bidder), each once.
+def _permuted(pairs: DataFrame, market: list[str], times: int, seed: str) -> DataFrame:
+    """``market_permutation`` of lots and bidders alone: lot_id, the lot's own bidder and pair (by hash), and the new bidder's id and name.
 
-    The pairs are written once, as they are read for the counts, for both orders and to leave real pairs out.
-    Only the two counts that set the number of permutations reach the driver.
+    Hashes are made before the rows move, so no key, price or date is dealt out.
+    """
+    order = F.xxhash64(F.lit(seed), "_k", "pair_id")
+    own = pairs.select(*market, "lot_id", "bidder_masterid", F.xxhash64(F.lit(f"{seed}-place"), "pair_id").alias("_p"))
+    places = positions(own, market, F.col("_p"), "_at")
+    source = pairs.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(times)))).select(*market, "_k", order.alias("_q"), F.col("bidder_masterid").alias("new_bidder_masterid"), F.col("bidder_name").alias("new_bidder_name"))
+    moved = positions(source, [*market, "_k"], F.col("_q"), "_at")
+    place = F.struct(*market, "_at").alias("_place")
+    return places.select("lot_id", "bidder_masterid", "_p", place).join(moved.select(place, "new_bidder_masterid", "new_bidder_name"), "_place").drop("_place")
+
+
+def negative_keys(pairs: DataFrame, market: list[str], target: float = 0.15, trigger: float = 0.30, most: int = 10) -> DataFrame | None:
+    """(lot_id, bidder_masterid, bidder_name, source): losing pairs from seeded permutations inside each market, none of them a real
+    (lot, bidder), each once; ``source`` is the bidder whose place in the lot the pair takes. None where none are due.
+
+    Only the two counts that set the number of permutations reach the driver. Real and made pairs meet in one grouping,
+    dealt by lot, so that a lot's rows lie together in the shuffle. Of permutations that give the same pair, the least place stays.
     """
-    pairs = materialize(pairs, "pairs")
     counts = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum("did_win"), F.lit(0)).alias("w")).first()
     n, wins = counts["n"], counts["w"]
     if not n or wins / n <= trigger:
-        return pairs.limit(0)
+        return None
     times = max(1, min(most, int(wins / target - n) // n))
-    bidder, real = ["bidder_masterid", "bidder_name"], pairs.select("lot_id", "bidder_masterid").distinct()
-    moved = market_permutation(pairs, market, "pair_id", bidder, "negative", times).where(F.col("new_bidder_masterid") != F.col("bidder_masterid"))
-    out = moved.select(*[F.col(f"new_{c}").alias(c) if c in bidder else c for c in pairs.columns if c not in ("pair_id", "did_win", "pair_type")])
-    # Of permutations that give the same pair, the row with the least hash stays, whichever task sees it first.
-    rest = [c for c in out.columns if c not in ("lot_id", "bidder_masterid")]
-    least = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row")
-    once = out.join(real, ["lot_id", "bidder_masterid"], "left_anti").groupBy("lot_id", "bidder_masterid").agg(least)
-    fresh = once.select("lot_id", "bidder_masterid", "_row.*")
-    return fresh.select(F.concat_ws("_", "lot_id", "bidder_masterid").alias("pair_id"), "*", F.lit(0).alias("did_win"), F.lit("synthetic_negative").alias("pair_type")).select(*pairs.columns)
+    moved = _permuted(pairs, market, times, "negative").where(F.col("new_bidder_masterid") != F.col("bidder_masterid"))
+    kind = "struct<place: bigint, source: string, bidder_name: string>"
+    made = moved.select("lot_id", F.col("new_bidder_masterid").alias("bidder_masterid"), F.struct(F.col("_p").alias("place"), F.col("bidder_masterid").alias("source"), F.col("new_bidder_name").alias("bidder_name")).cast(kind).alias("_row"))
+    real = pairs.select("lot_id", "bidder_masterid", F.lit(None).cast(kind).alias("_row"))
+    # A pair with an id missing equals no real one.
+    known = F.col("lot_id").isNotNull() & F.col("bidder_masterid").isNotNull()
+    both = made.unionByName(real).repartition("lot_id").groupBy("lot_id", "bidder_masterid").agg(F.min("_row").alias("_row"), F.bool_or(F.col("_row").isNull() & known).alias("_real"))
+    return both.where(~F.col("_real") & F.col("_row").isNotNull()).select("lot_id", "bidder_masterid", "_row.bidder_name", "_row.source")
+
+
+def _as_negatives(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumns({"pair_id": F.concat_ws("_", "lot_id", "bidder_masterid"), "did_win": F.lit(0), "pair_type": F.lit("synthetic_negative")})
+
+
+def narrow_negatives(pairs: DataFrame, market: list[str]) -> DataFrame:
+    """``synthetic_negatives`` with the columns of a key, its bidder's name and its kind alone: what it takes from a pair's other columns is not needed."""
+    columns = ["pair_id", "lot_id", "bidder_masterid", "bidder_name", "did_win", "pair_type"]
+    pairs = materialize(pairs.select(*columns, *market), "pairs")
+    keys = negative_keys(pairs, market)
+    return pairs.select(*columns).limit(0) if keys is None else _as_negatives(keys).select(*columns)
+
+
+def synthetic_negatives(pairs: DataFrame, market: list[str], target: float = 0.15, trigger: float = 0.30, most: int = 10) -> DataFrame:
+    """Losing pairs (see ``negative_keys``) with all columns of ``pairs``: a pair's other columns are those of the real pair whose place it takes.
+
+    The pairs are written once, as they are read for the counts, for both orders, to leave real pairs out and for the other columns.
+    """
+    pairs = materialize(pairs, "pairs")
+    keys = negative_keys(pairs, market, target, trigger, most)
+    if keys is None:
+        return pairs.limit(0)
+    rest = [c for c in pairs.columns if c not in ("pair_id", "lot_id", "bidder_masterid", "bidder_name", "did_win", "pair_type")]
+    # One row a lot and bidder, the least, should the pairs repeat one.
+    least = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_rest")
+    sources = pairs.groupBy(F.col("lot_id").alias("_lot"), F.col("bidder_masterid").alias("source")).agg(least)
+    full = keys.join(sources, F.col("lot_id").eqNullSafe(F.col("_lot")) & keys["source"].eqNullSafe(sources["source"]), "left").select("lot_id", "bidder_masterid", "bidder_name", "_rest.*")
+    return _as_negatives(full).select(*pairs.columns)
 
 
 def quota_cut(files: DataFrame, quotas: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -241,7 +241,7 @@ def section_carry(spark, sf_dir):
 
 @query("m1_synthetic_negatives")
 def synthetic_negatives(spark, sf_dir):
-    return A.synthetic_negatives(pairs_of(spark, sf_dir), ["buyer_country", "publish_year"]).select("pair_id", "lot_id", "bidder_masterid", "bidder_name", "did_win", "pair_type")
+    return A.narrow_negatives(pairs_of(spark, sf_dir), ["buyer_country", "publish_year"])
 
 
 # --- joins and sets ------------------------------------------------------------------------------------------------------
@@ -340,7 +340,8 @@ def union_by_name(spark, sf_dir):
 @query("u3_concat_negatives")
 def concat_negatives(spark, sf_dir):
     pairs = pairs_of(spark, sf_dir)
-    return pairs.unionByName(A.synthetic_negatives(pairs, ["buyer_country", "publish_year"])).groupBy("pair_type").agg(F.count("*").alias("n"))
+    made = A.narrow_negatives(pairs, ["buyer_country", "publish_year"])
+    return pairs.select(*made.columns).unionByName(made).groupBy("pair_type").agg(F.count("*").alias("n"))
 
 
 @query("u4_set_equal", "SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id + 1 FROM labels) UNION ALL SELECT doc_id + 1, 'unknown' FROM labels WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents)")

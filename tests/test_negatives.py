@@ -41,3 +41,13 @@ def test_time_split_with_null_year(spark):
     df = spark.createDataFrame([(y,) for y in [2000] * 50 + [2001] * 30 + [2002] * 20 + [2003] * 10 + [None] * 3], "publish_year int")
     got = {(r["publish_year"], r["split"]) for r in P.time_split(df).collect()}
     assert (None, None) in got and (2003, "test") in got and (2000, "train") in got
+
+
+def test_negatives_are_dealt_out_as_keys_alone(spark):
+    """The same pairs with and without their other columns, which come from the real pair whose place is taken."""
+    pairs, market = pairs_of(spark, SF), ["buyer_country", "publish_year"]
+    narrow, full = A.narrow_negatives(pairs, market), A.synthetic_negatives(pairs, market)
+    assert {tuple(r) for r in narrow.collect()} == {tuple(r) for r in full.select(*narrow.columns).collect()}
+    years = {r["lot_id"]: r["publish_year"] for r in pairs.collect()}
+    assert all(r["publish_year"] == years[r["lot_id"]] for r in full.collect())
+    assert not {"bid_price", "call_date"} & set(A.negative_keys(pairs, market).columns)
