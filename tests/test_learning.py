@@ -104,3 +104,9 @@ def test_search_halves_and_finds_the_signal(spark):
         assert all(by_round[earlier][s] >= ranked[len(by_round[later]) - 1] for s in by_round[later])
     assert max(by_round[3].values()) > 0.9
     assert len({n for n, _ in by_round[1]}) == 3 and len(set(map(str, M.random_settings(60)))) == 60
+
+
+def test_documents_of_one_file_are_the_work_of_all_cores(spark):
+    docs = L.documents_to_score(spark, "/root/testdata/sf0.001").coalesce(1)
+    parts = L.dealt(docs).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(parts) > spark.sparkContext.defaultParallelism and max(r["n"] for r in parts) < 0.2 * docs.count()
