@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from bidlake.operators.ranks import running
 
 
-def score_counts(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
+def score_counts(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label", times: str | None = None) -> DataFrame:
     """Positives and negatives of each distinct score, with running totals from the highest score down.
 
-    Scores are counted first; the running totals are made inside buckets of scores, not in one task.
+    Scores are counted first; the running totals are made inside buckets of scores, not in one task. ``times``: how many rows a row stands for.
     """
-    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    of = lambda c: F.count_if(c) if times is None else F.sum(F.when(c, F.col(times)).otherwise(0)).cast("long")
+    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(of(F.col(label) == 1).alias("pos"), of(F.col(label) == 0).alias("neg"))
     return running(per, list(by), score, {"tp": "pos", "fp": "neg"}, descending=True)
 
 
-def auc_table(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
+def auc_table(df: DataFrame, by: list[str] = (), score: str = "score", label: str = "label", times: str | None = None) -> DataFrame:
     """Exact ROC-AUC and average precision; ties count half. Null where a class is missing."""
-    runs = score_counts(df, by, score, label)
+    runs = score_counts(df, by, score, label, times)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) + 0.5 * F.col("pos") * F.col("neg"))
     precision = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     out = runs.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), area.alias("_a"), precision.alias("_p"))

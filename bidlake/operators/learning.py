@@ -6,6 +6,7 @@ Metrics come from rows the model has not seen; no metric is floored or defaulted
 from __future__ import annotations
 
 import json
+import math
 import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -13,8 +14,8 @@ from dataclasses import dataclass, field
 from itertools import product
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from bidlake.operators.evaluation import auc_table
 
 SEED = 42
 PARALLEL = 4  # fits that are sent to the cluster at once
+BINS = 32  # of a feature, as many as Spark's tree learners make of it
+LOTS = 8  # of the rows of a cell, where a learner draws bags or subsamples
 
 
 def learners(seed: int = SEED, trees: int = 20, depth: int = 4) -> dict:
@@ -37,14 +40,38 @@ def learners(seed: int = SEED, trees: int = 20, depth: int = 4) -> dict:
     }
 
 
-def assemble(df: DataFrame, features: list[str], label: str | None = None, weight: float = 1.0) -> DataFrame:
-    """``features`` as one vector; with a label also ``label`` and ``weight`` (``weight`` for positives)."""
+def bin_edges(df: DataFrame, features: list[str]) -> list[list[float]]:
+    """For each feature the least values of its second and later bins: quantiles of all rows, whose rank is off by a 1,024th at most."""
+    doubles = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    return [sorted(set(found)) for found in doubles.approxQuantile(features, [k / BINS for k in range(1, BINS)], 1 / 1024)]
+
+
+def assemble(df: DataFrame, features: list[str], label: str | None = None, weight: float = 1.0, edges: list[list[float]] | None = None) -> DataFrame:
+    """``features`` as one vector; with a label also ``label`` and ``weight`` (``weight`` for positives); with ``edges`` also ``cells``, the vector
+    of their bins. What is null or NaN is in the last bin, where trees see it too."""
     out = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
     if label:
         out = out.withColumn("label", F.col(label).cast("double")).withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
+    if edges is not None:
+        cut = [(f"_x{k}", f"_b{k}", least) for k, least in enumerate(edges) if least]
+        out = out.withColumns({x: F.coalesce(F.col(features[int(x[2:])]).cast("double"), F.lit(float("nan"))) for x, _, _ in cut})
+        if cut:
+            inputs, outputs, least = (list(c) for c in zip(*cut, strict=True))
+            out = Bucketizer(inputCols=inputs, outputCols=outputs, splitsArray=[[-math.inf, *e, math.inf] for e in least], handleInvalid="keep").transform(out)
+        bins = [F.least(F.col(f"_b{k}"), F.lit(float(len(least)))) if least else F.lit(0.0) for k, least in enumerate(edges)]
+        out = out.withColumn("cells", array_to_vector(F.array(*bins))).drop(*[c for x, b, _ in cut for c in (x, b)])
     return out
 
 
+def grouped(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` (cells, label, weight) with one row for each cell and label, that weighs as much as all of them.
+
+    Boosted trees see a row only through its bins, label and weight, so they learn from this what they learn from the rows; and it has
+    at most ``BINS`` to the power of the features and twice that many rows, however many there are.
+    """
+    return rows.groupBy(*by, vector_to_array("cells").alias("cells"), "label").agg(F.sum("weight").alias("weight")).withColumn("cells", array_to_vector("cells"))
+
+
 def _positive(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
@@ -56,6 +83,7 @@ class Stack:
     meta: object | None = None
     calibrator: IsotonicRegressionModel | None = None
     importances: list = field(default_factory=list)
+    edges: list[list[float]] | None = None
 
 
 def _base_scores(base: dict, df: DataFrame) -> DataFrame:
@@ -73,12 +101,17 @@ def side_by_side(jobs: list[Callable[[], object]], parallelism: int = PARALLEL)
 def train_stack(train: DataFrame, features: list[str], label: str, fold_year: str, years: list[int], weight: float = 1.0, parallelism: int = PARALLEL) -> Stack:
     """Base models on all rows; a logistic meta-model on their predictions for years later than those they saw.
 
-    Features are put together and written once; the fits of all folds and learners read them from there, several at a time.
+    Features are put together and written once; the fits of all folds and learners read them from there, several at a time. Boosting
+    passes its rows once a level of each tree, so it gets them ``grouped``; the forest draws its bags from single rows, in one pass a level.
     """
-    rows, made = materialize(assemble(train, features, label, weight).select("features", "label", "weight", label, fold_year), "features"), learners()
-    past = lambda year: rows if year is None else rows.where(F.col(fold_year) < year)
-    tasks = [(year, name) for year in [None, *years] for name in made]
-    fitted = dict(zip(tasks, side_by_side([lambda t=t: made[t[1]].copy().fit(past(t[0])) for t in tasks], parallelism), strict=True))
+    edges, made = bin_edges(train, features), learners()
+    rows = materialize(assemble(train, features, label, weight, edges).select("features", "cells", "label", "weight", label, fold_year), "features")
+    cells = materialize(grouped(rows, fold_year), "cells")
+    made["gbt"].setFeaturesCol("cells")
+    seen = lambda df, year: df if year is None else df.where(F.col(fold_year) < year)
+    past = lambda year, name: grouped(seen(cells, year)) if name == "gbt" else seen(rows, year)
+    tasks = [(year, name) for name in made for year in [None, *years]]
+    fitted = dict(zip(tasks, side_by_side([lambda t=t: made[t[1]].copy().fit(past(*t)) for t in tasks], parallelism), strict=True))
     held = None
     for year in years:
         part = _base_scores({n: fitted[year, n] for n in made}, rows.where(F.col(fold_year) == year)).select(*[f"p_{n}" for n in made], label)
@@ -88,12 +121,12 @@ def train_stack(train: DataFrame, features: list[str], label: str, fold_year: st
     if held is not None:
         stacked = VectorAssembler(inputCols=[f"p_{n}" for n in made], outputCol="features").transform(held).withColumn("label", F.col(label).cast("double"))
         meta = LogisticRegression(featuresCol="features", labelCol="label").fit(materialize(stacked.select("features", "label"), "held-out"))
-    return Stack(features, base, meta, importances=list(zip(features, base["gbt"].featureImportances.toArray().tolist(), strict=True)))
+    return Stack(features, base, meta, importances=list(zip(features, base["gbt"].featureImportances.toArray().tolist(), strict=True)), edges=edges)
 
 
 def raw_scores(stack: Stack, df: DataFrame) -> DataFrame:
     """``raw``: the meta-model's probability, or the mean of the base models without one."""
-    out = _base_scores(stack.base, assemble(df, stack.features).withColumn("weight", F.lit(1.0))).drop("features", "weight")
+    out = _base_scores(stack.base, assemble(df, stack.features, edges=stack.edges).withColumn("weight", F.lit(1.0))).drop("features", "cells", "weight")
     names = [f"p_{n}" for n in stack.base]
     if stack.meta is None:
         return out.withColumn("raw", sum(F.col(n) for n in names) / len(names)).drop(*names)
@@ -103,7 +136,7 @@ def raw_scores(stack: Stack, df: DataFrame) -> DataFrame:
 
 def calibrate(stack: Stack, val: DataFrame, label: str) -> Stack:
     """Isotonic on validation rows; outside their range the ends are held."""
-    rows = raw_scores(stack, val).select(F.col("raw"), F.col(label).cast("double").alias("label"))
+    rows = materialize(raw_scores(stack, val).select(F.col("raw"), F.col(label).cast("double").alias("label")), "validation")  # the fit reads it three times
     stack.calibrator = IsotonicRegression(featuresCol="raw", labelCol="label").fit(VectorAssembler(inputCols=["raw"], outputCol="raw_v").transform(rows).select(F.col("raw_v").alias("raw"), "label"))
     return stack
 
@@ -146,24 +179,36 @@ def search_params(train: DataFrame, val: DataFrame, features: list[str], label:
 
     The first round fits all ``n`` settings on a share of the training rows by hash of ``key``; each further round fits the best of every ``cut``
     on ``cut`` times the rows, the last on all of them. Every AUC is over all validation rows. Features are built once, fits
-    run side by side, and the AUCs of a round come out of one pass over its scores.
+    run side by side, and the AUCs of a round come out of one pass over its scores. Trees see bins: boosting without subsamples learns
+    from ``grouped`` rows, bags and subsamples are drawn from up to ``LOTS`` lots of each cell's rows, dealt by hash of ``key``, and trees score each
+    cell of the validation rows once, for all of its rows.
     """
-    put = lambda df, name: materialize(assemble(df, features, label).select(key, "features", "label", "weight"), name)
+    edges = bin_edges(train, features)
+    put = lambda df, name: materialize(assemble(df, features, label, edges=edges).select(key, "features", "cells", "label", "weight"), name)
     rows, held = put(train, "search-train"), put(val, "search-val")
+    held_cells = materialize(grouped(held), "search-val-cells")
     left = [(f"{k}", name, setting) for k, (name, setting) in enumerate(random_settings(n, seed))]
     share = lambda r: F.pmod(F.xxhash64(F.lit("search"), key), F.lit(cut ** (rounds - 1 - r))) == 0
     out = None
     for r in range(rounds):
         some = rows.where(share(r))
-        made = [learners(seed)[name].copy({getattr(learners(seed)[name], p): v for p, v in setting.items()}) for _, name, setting in left]
-        models = side_by_side([lambda m=m: m.fit(some) for m in made], parallelism)
+        lots = materialize(grouped(some.withColumn("lot", F.pmod(F.xxhash64(F.lit("lot"), key), F.lit(LOTS))), "lot"), "search-lots")
+        some_cells = materialize(grouped(lots), "search-cells")
+        made = []
+        for _, name, setting in left:
+            learner = learners(seed)[name].copy({getattr(learners(seed)[name], p): v for p, v in setting.items()})
+            if name == "logistic":
+                made.append((learner, some))
+            else:
+                made.append((learner.setFeaturesCol("cells"), some_cells if name == "gbt" and learner.getSubsamplingRate() == 1.0 else lots))
+        models = side_by_side([lambda m=m, seen=seen: m.fit(seen) for m, seen in made], parallelism)
         scored = None
-        for (place, _, _), model in zip(left, models, strict=True):
-            part = _positive(model.transform(held), "score").select(F.lit(place).alias("place"), "score", "label")
+        for (place, name, _), model in zip(left, models, strict=True):
+            part = _positive(model.transform(held if name == "logistic" else held_cells), "score").select(F.lit(place).alias("place"), "score", "label", "weight")
             scored = part if scored is None else scored.unionByName(part)
         names = F.create_map(*[F.lit(x) for place, name, _ in left for x in (place, name)])
         settings = F.create_map(*[F.lit(x) for place, _, setting in left for x in (place, json.dumps(setting, sort_keys=True))])
-        found = auc_table(scored, by=["place"]).select(F.lit(r + 1).alias("round"), "place", names[F.col("place")].alias("learner"), settings[F.col("place")].alias("setting"), F.col("roc_auc").alias("auc"))
+        found = auc_table(scored, by=["place"], times="weight").select(F.lit(r + 1).alias("round"), "place", names[F.col("place")].alias("learner"), settings[F.col("place")].alias("setting"), F.col("roc_auc").alias("auc"))
         found = materialize(found, "round")
         out = found if out is None else out.unionByName(found)
         best = {x["place"]: x["auc"] for x in found.collect()}  # one row a setting

@@ -24,11 +24,12 @@ FEATURES = ["bid_price", "estimate", "publish_month", "deadline_days"]
 
 
 def model_rows(spark, sf_dir):
-    return P.temporal_features(P.time_split(pairs_of(spark, sf_dir))).select("pair_id", "publish_year", "split", "did_win", *FEATURES)
+    rows = P.temporal_features(pairs_of(spark, sf_dir)).select("pair_id", "publish_year", "did_win", *FEATURES)
+    return P.time_split(materialize(rows, "model-rows"))  # read by the split and by every fit
 
 
 def trained(spark, sf_dir):
-    rows = materialize(model_rows(spark, sf_dir), "model-rows")  # read by every fit
+    rows = model_rows(spark, sf_dir)
     train = rows.where("split = 'train'")
     fold, held = "publish_year", sorted(r["val_year"] for r in year_folds(train).collect())
     if not held:
@@ -68,7 +69,7 @@ def top_factors(spark, sf_dir):
 
 @query("m11_search_params")
 def search_params(spark, sf_dir):
-    rows = materialize(model_rows(spark, sf_dir), "model-rows")
+    rows = model_rows(spark, sf_dir)
     return M.search_params(rows.where("split = 'train'"), rows.where("split = 'val'"), FEATURES, "did_win", "pair_id")
 
 

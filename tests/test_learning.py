@@ -110,3 +110,23 @@ def test_documents_of_one_file_are_the_work_of_all_cores(spark):
     docs = L.documents_to_score(spark, "/root/testdata/sf0.001").coalesce(1)
     parts = L.dealt(docs).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert len(parts) > spark.sparkContext.defaultParallelism and max(r["n"] for r in parts) < 0.2 * docs.count()
+
+
+def test_boosting_learns_from_grouped_rows_what_it_learns_from_single_ones(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, float("nan"), *range(40)]), rnd.random() * 100, rnd.randrange(3)) for _ in range(3000)]
+    df = spark.createDataFrame([(None if a is None else float(a), b, c, int(b + 10 * c + 20 * rnd.random() > 70)) for a, b, c in rows], "a double, b double, c int, y int")
+    edges = M.bin_edges(df, ["a", "b", "c"])
+    assert [len(e) for e in edges[:2]] == [31, 31] and edges[2] == [0.0, 1.0, 2.0]
+    single = M.assemble(df, ["a", "b", "c"], "y", 2.0, edges).cache()
+    few = M.grouped(single).cache()
+    assert few.count() < 3000 and few.agg(F.sum("weight")).first() == single.agg(F.sum("weight")).first()
+    learner = M.learners()["gbt"].setFeaturesCol("cells")
+    one, other = learner.fit(single), learner.fit(few)
+    scores = lambda model: [r[0] for r in model.transform(single).select(F.round(F.element_at(M.vector_to_array("probability"), 2), 9)).collect()]
+    assert scores(one) == scores(other)
+
+
+def test_the_table_of_bids_is_read_once_for_split_and_fits(spark):
+    plan = L.model_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "model-rows" in plan and "lineitem" not in plan
