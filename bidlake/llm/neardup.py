@@ -32,6 +32,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -371,6 +372,19 @@ def near_duplicates(docs: DataFrame, conf: NearDup | None = None, id_col: str =
     return _placed(docs, conf or NearDup(), id_col, text_col).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _may_be_in(rows: DataFrame, keys: DataFrame) -> Column:
+    """Whether a row of ``rows`` may stand in ``keys`` by its columns: always true where it does, seldom where not. So only few whole texts
+    meet ``keys`` in a join, whether or not these are few enough to be broadcast."""
+    bitmap, bits = bit_filter(keys.select(F.xxhash64(*keys.columns).alias("_key")), "_key")
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def hit(hashed: pd.Series) -> pd.Series:
+        return pd.Series(maybe_in(shared.value, bits, hashed.to_numpy()))
+
+    return hit(F.xxhash64(F.xxhash64(*[rows[c] for c in keys.columns])))
+
+
 def keep_one_of_each(docs: DataFrame, conf: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the least id. Rows with a null id, or without words, stay.
 
@@ -383,16 +397,20 @@ def keep_one_of_each(docs: DataFrame, conf: NearDup | None = None, id_col: str =
     # Where the chosen id repeats, one of its texts and one row of that stays.
     again = by_text.where("chosen").groupBy("doc_id", "node").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("copy").alias("copy")).where("n > 1")
     again = materialize(again, "repeated")
-    same = F.xxhash64(F.col(text_col)).alias("_copy")
     gone = by_text.where("not chosen").select(F.col("doc_id").alias(id_col), F.col("copy").alias("_copy"))
+    marked = docs.withColumn("_copy", F.xxhash64(F.col(text_col)))
     if again.isEmpty():
-        return docs.withColumn("_copy", same).join(gone.distinct(), [id_col, "_copy"], "left_anti").select(*docs.columns)
+        gone = materialize(gone.distinct(), "gone")
+        touched = _may_be_in(marked, gone)
+        return marked.where(~touched).unionByName(marked.where(touched).join(gone, [id_col, "_copy"], "left_anti")).select(*docs.columns)
     others = by_text.where("chosen").alias("t").join(again.alias("r"), ["doc_id", "node"]).where(F.col("t.copy") != F.col("r.copy"))
-    gone = gone.unionByName(others.select(F.col("doc_id").alias(id_col), F.col("t.copy").alias("_copy"))).distinct()
-    left = docs.withColumn("_copy", same).join(gone, [id_col, "_copy"], "left_anti")
+    gone = materialize(gone.unionByName(others.select(F.col("doc_id").alias(id_col), F.col("t.copy").alias("_copy"))).distinct(), "gone")
     once = again.select(F.col("doc_id").alias(id_col), F.col("copy").alias("_copy"))
+    touched = _may_be_in(marked, gone.unionByName(once))
+    left = marked.where(touched).join(gone, [id_col, "_copy"], "left_anti")
     single = left.join(once, [id_col, "_copy"], "left_anti")
-    return single.unionByName(left.join(once, [id_col, "_copy"], "left_semi").dropDuplicates([id_col, "_copy"])).select(*docs.columns)
+    kept = single.unionByName(left.join(once, [id_col, "_copy"], "left_semi").dropDuplicates([id_col, "_copy"]))
+    return marked.where(~touched).unionByName(kept).select(*docs.columns)
 
 
 def _sql_words(column: str) -> str:

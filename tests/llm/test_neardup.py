@@ -171,3 +171,19 @@ def test_no_cell_holds_more_than_two_blocks(spark):
     one = nodes.limit(40).select("node", F.lit(b"0").alias("component"))
     few = N._cells(nodes.limit(60).repartition(2), one, sets, cell).collect()
     assert {bytes(r["node"]) for r in few if r["minor"]} == {bytes(r["node"]) for r in nodes.limit(60).collect()} - {bytes(r["node"]) for r in one.collect()}
+
+
+def test_few_whole_texts_meet_the_copies_in_a_join(spark):
+    rnd = random.Random(5)
+    rows = [(k, " ".join(f"w{rnd.randrange(9999)}" for _ in range(30))) for k in range(2000)]
+    rows += [(5000 + k, rows[k][1] + " x") for k in range(40)] + [(None, rows[7][1]), (9000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = N.keep_one_of_each(docs, N.NearDup(5, 80))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id is null or doc_id < 5000 or doc_id = 9000").collect()))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join LeftAnti")
+    assert "hit(" in plan[join:]  # texts are told apart before the join
+    keys = docs.where("doc_id between 5000 and 8999").select("doc_id", F.xxhash64("text").alias("_copy"))
+    marked = docs.withColumn("_copy", F.xxhash64("text"))
+    maybe = marked.where(N._may_be_in(marked, keys))
+    assert maybe.join(keys, ["doc_id", "_copy"], "left_semi").count() == 40 and maybe.count() < 140
