@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -379,8 +379,10 @@ def bpe_encode(df: DataFrame, text_col: str = "text", path: str | None = None, o
     out_fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), True))]
     out_fields += [T.StructField("offsets", T.ArrayType(T.IntegerType(), True))] if offsets else []
     schema = with_fields(source if keep is None else source.select(*keep), *out_fields)
-    drop = [] if keep is None or text_col in keep else [text_col]
+    return source.mapInArrow(_encoder(path, text_col, offsets, [] if keep is None or text_col in keep else [text_col]), schema)
 
+
+def _encoder(path: str, text_col: str, offsets: bool, drop: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
@@ -396,13 +398,25 @@ def bpe_encode(df: DataFrame, text_col: str = "text", path: str | None = None, o
                 part = batch.slice(a, b - a)
                 yield replaced(part.drop_columns(drop) if drop else part, columns)
 
-    return source.mapInArrow(encode, schema)
+    return encode
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """Add ``decoded`` binary: the bytes of the ids. Null ids decode to no bytes."""
     path = path or public_tokenizers.path(RANKS_FILE)
+    return df.mapInArrow(_decoder(path, ids_col), with_fields(df, T.StructField("decoded", T.BinaryType())))
+
+
+def bpe_round_trip(df: DataFrame, text_col: str, keep: list[str], path: str | None = None) -> DataFrame:
+    """The columns ``keep`` with ``ids`` and ``decoded``, as ``bpe_encode`` and ``bpe_decode`` give them, in one step: a task needs one Python worker."""
+    path = path or public_tokenizers.path(RANKS_FILE)
+    source = small_batches(df).select(*dict.fromkeys([*keep, text_col]))
+    encode, decode = _encoder(path, text_col, False, [] if text_col in keep else [text_col]), _decoder(path, "ids")
+    schema = with_fields(source.select(*keep), T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.BinaryType()))
+    return source.mapInArrow(lambda batches: decode(encode(batches)), schema)
+
 
+def _decoder(path: str, ids_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(ids_col)
@@ -417,7 +431,7 @@ def bpe_decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) ->
                 yield replaced(batch.slice(start, stop - start), {"decoded": decoded})
                 start = stop
 
-    return df.mapInArrow(decode, with_fields(df, T.StructField("decoded", T.BinaryType())))
+    return decode
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ STRIP = b".,;:!?*$%&#\"'()[]{}<>|/\\+=~^_-`"
 GAP = 1.0
 AGAIN, DENSE = 100, 200
 DENSE_SHARE = 0.006
-KNOWN_TOKENS = 200_000
+KNOWN_TOKENS = 100_000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -76,27 +76,37 @@ def features(text: str | None) -> np.ndarray:
 
 
 class Lookup(dict):
-    """The features of a vocabulary in texts; what a token stands for is kept for up to ``KNOWN_TOKENS`` tokens."""
+    """The features of a vocabulary in texts; what a token stands for is kept for up to ``KNOWN_TOKENS`` tokens, that share their prefixes."""
 
     def __init__(self, vocabulary: np.ndarray):
         super().__init__()
         self.at = {int(key): k for k, key in enumerate(vocabulary)}
+        self.starts: dict[tuple[int, str], tuple[bytes, list[int]] | None] = {}
+
+    def find(self, raw: bytes, seed: int) -> int:
+        return self.at.get(xxhash.xxh3_64_intdigest(raw, seed=seed), -1)
+
+    def start(self, size: int, prefix: str) -> tuple[bytes, list[int]] | None:
+        """The prefix with its positions, None if it has none."""
+        if (size, prefix) not in self.starts:
+            raw = prefix.encode("utf-8", "surrogatepass")
+            places = [self.find(raw, size + more) for more in (0, AGAIN, DENSE)]
+            self.starts[size, prefix] = (raw, places) if max(places) >= 0 else None
+        return self.starts[size, prefix]
+
+    def clear(self) -> None:
+        super().clear()
+        self.starts.clear()
 
     def __missing__(self, token: bytes):
         """None for no word; else positions of the word, once and again, and for each prefix its hash and positions: once, again, dense."""
         word = token.strip(STRIP)
         entry = None
         if word:
-            find = lambda raw, seed: self.at.get(xxhash.xxh3_64_intdigest(raw, seed=seed), -1)
-            entry = (find(word, 0), find(word, AGAIN), [])
             chars = word.decode("utf-8", "surrogatepass")
-            for size in PREFIXES:
-                if len(chars) > size:
-                    raw = chars[:size].encode("utf-8", "surrogatepass")
-                    places = [find(raw, size + more) for more in (0, AGAIN, DENSE)]
-                    if max(places) >= 0:
-                        entry[2].append((raw, places))
-            if entry == (-1, -1, []):
+            starts = tuple(s for s in (self.start(size, chars[:size]) for size in PREFIXES if len(chars) > size) if s)
+            entry = (self.find(word, 0), self.find(word, AGAIN), starts)
+            if entry == (-1, -1, ()):
                 entry = ()
         self[token] = entry
         return entry

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlake.common import materialize, table
-from bidlake.llm.bpe import bpe_decode, bpe_encode
+from bidlake.llm.bpe import bpe_round_trip
 from bidlake.llm.mixing import mixed_rows
 from bidlake.llm.neardup import NearDup, keep_one_of_each
 from bidlake.llm.secrets import redact
@@ -55,8 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document; the digest of the bytes they decode to shows the round trip. A null text counts as empty."""
-    decoded = bpe_decode(bpe_encode(docs, offsets=False, keep=["doc_id", "source"]))
-    return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_round_trip(docs, "text", ["doc_id", "source"]).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

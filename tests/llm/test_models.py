@@ -110,3 +110,13 @@ def test_very_long_text(spark, corpus):
     long = spark.createDataFrame([(9100, "grumble vilexo " * 200_000)], "doc_id long, text string")
     assert X.score(long, X.fit(docs, labels)).first()["toxic"]
     assert L.language_report(long.withColumn("lang", F.lit("en"))).count() == 1
+
+
+def test_tokens_share_what_is_kept_of_their_prefixes():
+    vocabulary = np.unique(np.concatenate([X.features("abcdefghi abcdefghi"), X.features("xyz")]))
+    lookup = X.Lookup(vocabulary)
+    at, _, total = lookup("abcdefghi abcdefgXX abcdefgYY")
+    kept = [lookup[t][2] for t in (b"abcdefghi", b"abcdefgxx", b"abcdefgyy")]
+    assert total == 3 and all(a is b for k in kept[1:] for a, b in zip(kept[0], k, strict=True))
+    own = np.searchsorted(vocabulary, [f for f in X.features("abcdefghi abcdefgXX abcdefgYY") if f in set(vocabulary)])
+    assert at.tolist() == own.tolist()

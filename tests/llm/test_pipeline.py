@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as C
 from bidlake.common import materialize
 from bidlake.llm import neardup as N
+from bidlake.llm.bpe import bpe_decode, bpe_encode
 from bidlake.llm.secrets import secret_spans
 from tests.llm.test_neardup import components
 
@@ -58,3 +59,12 @@ def test_nulls_in_every_column_and_repeated_rows(spark):
     assert rows.count() == before.count()
     repeats = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert N.keep_one_of_each(repeats).count() == 1
+
+
+def test_token_ids_take_one_python_step(spark):
+    docs = spark.createDataFrame([(1, "a bé c", "s"), (2, None, None), (None, "", "t")], "doc_id long, text string, source string")
+    out = C.encode(spark, docs, SF)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = bpe_decode(bpe_encode(docs, offsets=False, keep=["doc_id", "source"])).collect()
+    want = {(r["doc_id"], r["source"], tuple(r["ids"]), hashlib.sha256(r["decoded"]).hexdigest()) for r in apart}
+    assert {(r["doc_id"], r["source"], tuple(r["ids"]), r["decoded_sha256"]) for r in out.collect()} == want
