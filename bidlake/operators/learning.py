@@ -8,16 +8,18 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.common import materialize
@@ -27,6 +29,7 @@ from bidlake.operators.evaluation import auc_table
 SEED = 42
 PARALLEL = 4  # fits that are sent to the cluster at once
 BINS = 32  # of a feature, as many as Spark's tree learners make of it
+PASSES = 25  # of a logistic fit over its rows, at most; five or six settle it
 LOTS = 8  # of the rows of a cell, where a learner draws bags or subsamples
 
 
@@ -76,11 +79,97 @@ def _positive(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
+@dataclass
+class Logit:
+    """A logistic model on standardised columns; what is null or NaN counts as the column's mean."""
+
+    inputs: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray  # the intercept first
+
+    def score(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the probability ``name``."""
+        z = F.lit(float(self.weights[0]))
+        for c, mean, scale, w in zip(self.inputs, self.mean, self.scale, self.weights[1:], strict=True):
+            z = z + F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(float(mean))) - float(mean), F.lit(0.0)) * float(scale * w)
+        return df.withColumn(name, 1 / (1 + F.exp(-z)))
+
+
+def _sums(rows: DataFrame, inputs: list[str], within: list[Column], of: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """For each condition of ``within`` the sum of ``of(its place, inputs, label, weight)`` over batches of its rows: one pass for all, numbers of a fixed count come back."""
+    width, count = len(inputs), len(within)
+    asked = rows.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(inputs)], "label", "weight", *[F.coalesce(c, F.lit(False)).alias(f"in{k}") for k, c in enumerate(within)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = np.stack([batch.column(f"x{k}").to_numpy(zero_copy_only=False) for k in range(width)], axis=1).astype(np.float64)
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight"))
+            for k in range(count):
+                own = batch.column(f"in{k}").to_numpy(zero_copy_only=False)
+                if own.any():
+                    found = of(k, x[own], y[own], w[own])
+                    out[k] = out[k] + found if k in out else found
+        for k, found in out.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array(range(len(found)), pa.int32()), pa.array(found)], names=["k", "at", "v"])
+
+    total: list[dict] = [{} for _ in within]
+    for r in asked.mapInArrow(run, "k int, at int, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect():
+        total[r["k"]][r["at"]] = r["v"]
+    return [np.array([t[i] for i in range(len(t))]) for t in total]
+
+
+def logits(rows: DataFrame, inputs: list[str], within: list[Column]) -> list[Logit]:
+    """Logistic models without penalty, one for the rows of each condition, by Newton's method: ``rows`` has the inputs, label and weight.
+
+    All models take each pass over the rows together and nothing is cached; a step that raises the loss is halved.
+    """
+    n, width = len(within), len(inputs)
+
+    def moments(k: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        known, x = ~np.isnan(x), np.nan_to_num(x)
+        return np.concatenate([w @ known, w @ x, w @ (x * x), [w.sum(), w @ y]])
+
+    mean, scale, at = [], [], []
+    for m in _sums(rows, inputs, within, moments):
+        seen = np.maximum(m[:width], 1e-300)
+        mean.append(m[width : 2 * width] / seen)
+        spread = np.sqrt(np.maximum(m[2 * width : 3 * width] / seen - mean[-1] ** 2, 0.0))
+        constant = spread <= 1e-7 * np.abs(mean[-1])
+        scale.append(np.where(constant, 0.0, 1 / np.where(constant, 1.0, spread)))
+        share = min(max(m[-1] / m[-2], 1e-9), 1 - 1e-9)
+        at.append(np.concatenate([[math.log(share / (1 - share))], np.zeros(width)]))
+    best, step, loss, left = [a.copy() for a in at], [np.zeros(width + 1) for _ in at], [math.inf] * n, set(range(n))
+    for _ in range(PASSES):
+        asked = sorted(left)
+
+        def gradient(place: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+            k = asked[place]
+            s = np.concatenate([np.ones((len(x), 1)), np.nan_to_num((x - mean[k]) * scale[k])], axis=1)
+            z = s @ at[k]
+            p = 1 / (1 + np.exp(-z))
+            return np.concatenate([[w @ (np.logaddexp(0, z) - y * z)], s.T @ (w * (y - p)), ((s * (w * p * (1 - p))[:, None]).T @ s).ravel()])
+
+        for k, m in zip(asked, _sums(rows, inputs, [within[k] for k in asked], gradient), strict=True):
+            if m[0] > loss[k] * (1 + 1e-12):
+                step[k] = step[k] / 2
+            else:
+                best[k], loss[k] = at[k], m[0]
+                step[k] = np.linalg.lstsq(m[width + 2 :].reshape(width + 1, -1), m[1 : width + 2], rcond=None)[0]
+            at[k] = best[k] + step[k]
+            if np.abs(step[k]).max() < 1e-7:
+                left.discard(k)
+        if not left:
+            break
+    return [Logit(inputs, *x) for x in zip(mean, scale, best, strict=True)]
+
+
 @dataclass
 class Stack:
     features: list[str]
     base: dict
-    meta: object | None = None
+    meta: Logit | None = None
     calibrator: IsotonicRegressionModel | None = None
     importances: list = field(default_factory=list)
     edges: list[list[float]] | None = None
@@ -88,7 +177,7 @@ class Stack:
 
 def _base_scores(base: dict, df: DataFrame) -> DataFrame:
     for name, model in base.items():
-        df = _positive(model.transform(df), f"p_{name}")
+        df = model.score(df, f"p_{name}") if isinstance(model, Logit) else _positive(model.transform(df), f"p_{name}")
     return df
 
 
@@ -101,26 +190,28 @@ def side_by_side(jobs: list[Callable[[], object]], parallelism: int = PARALLEL)
 def train_stack(train: DataFrame, features: list[str], label: str, fold_year: str, years: list[int], weight: float = 1.0, parallelism: int = PARALLEL) -> Stack:
     """Base models on all rows; a logistic meta-model on their predictions for years later than those they saw.
 
-    Features are put together and written once; the fits of all folds and learners read them from there, several at a time. Boosting
-    passes its rows once a level of each tree, so it gets them ``grouped``; the forest draws its bags from single rows, in one pass a level.
+    Features are put together and written once. Trees pass their rows once a level, so boosting gets them ``grouped``, and the forest draws its bags
+    from up to ``LOTS`` lots of each cell's rows, dealt by hash of the row; several such fits run at a time. The logistic models of all folds
+    take few passes over single rows together (``logits``).
     """
     edges, made = bin_edges(train, features), learners()
-    rows = materialize(assemble(train, features, label, weight, edges).select("features", "cells", "label", "weight", label, fold_year), "features")
-    cells = materialize(grouped(rows, fold_year), "cells")
-    made["gbt"].setFeaturesCol("cells")
+    lot = F.pmod(F.xxhash64(F.lit("lot"), *train.columns), F.lit(LOTS)).alias("lot")
+    columns = dict.fromkeys([*features, "cells", "label", "weight", label, fold_year])
+    rows = materialize(assemble(train.select("*", lot), features, label, weight, edges).select(*columns, "lot"), "features")
+    lots = materialize(grouped(rows, fold_year, "lot"), "lots")
+    cells = materialize(grouped(lots, fold_year), "cells")
     seen = lambda df, year: df if year is None else df.where(F.col(fold_year) < year)
-    past = lambda year, name: grouped(seen(cells, year)) if name == "gbt" else seen(rows, year)
-    tasks = [(year, name) for name in made for year in [None, *years]]
-    fitted = dict(zip(tasks, side_by_side([lambda t=t: made[t[1]].copy().fit(past(*t)) for t in tasks], parallelism), strict=True))
+    past = lambda year, name: grouped(seen(cells, year)) if name == "gbt" else grouped(seen(lots, year), "lot")
+    every = [None, *years]
+    tasks = [(year, name) for name in made if name != "logistic" for year in every]
+    fitted = dict(zip(tasks, side_by_side([lambda t=t: made[t[1]].copy().setFeaturesCol("cells").fit(past(*t)) for t in tasks], parallelism), strict=True))
+    fitted |= {(year, "logistic"): m for year, m in zip(every, logits(rows, features, [F.lit(True) if year is None else F.col(fold_year) < year for year in every]), strict=True)}
     held = None
     for year in years:
-        part = _base_scores({n: fitted[year, n] for n in made}, rows.where(F.col(fold_year) == year)).select(*[f"p_{n}" for n in made], label)
+        part = _base_scores({n: fitted[year, n] for n in made}, rows.where(F.col(fold_year) == year)).select(*[f"p_{n}" for n in made], "label", F.lit(1.0).alias("weight"))
         held = part if held is None else held.unionByName(part)
     base = {n: fitted[None, n] for n in made}
-    meta = None
-    if held is not None:
-        stacked = VectorAssembler(inputCols=[f"p_{n}" for n in made], outputCol="features").transform(held).withColumn("label", F.col(label).cast("double"))
-        meta = LogisticRegression(featuresCol="features", labelCol="label").fit(materialize(stacked.select("features", "label"), "held-out"))
+    meta = None if held is None else logits(materialize(held, "held-out"), [f"p_{n}" for n in made], [F.lit(True)])[0]
     return Stack(features, base, meta, importances=list(zip(features, base["gbt"].featureImportances.toArray().tolist(), strict=True)), edges=edges)
 
 
@@ -130,8 +221,7 @@ def raw_scores(stack: Stack, df: DataFrame) -> DataFrame:
     names = [f"p_{n}" for n in stack.base]
     if stack.meta is None:
         return out.withColumn("raw", sum(F.col(n) for n in names) / len(names)).drop(*names)
-    joined = VectorAssembler(inputCols=names, outputCol="features").transform(out)
-    return _positive(stack.meta.transform(joined), "raw").drop("features", *names)
+    return stack.meta.score(out, "raw").drop(*names)
 
 
 def calibrate(stack: Stack, val: DataFrame, label: str) -> Stack:

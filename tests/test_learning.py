@@ -130,3 +130,29 @@ def test_boosting_learns_from_grouped_rows_what_it_learns_from_single_ones(spark
 def test_the_table_of_bids_is_read_once_for_split_and_fits(spark):
     plan = L.model_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "model-rows" in plan and "lineitem" not in plan
+
+
+def test_logistic_models_of_all_folds_equal_those_of_single_fits(spark):
+    """A constant column has no weight."""
+    rnd = random.Random(4)
+    rows = [(rnd.random() * 1e6, rnd.gauss(5, 2), 7.0, 2010 + k % 4) for k in range(4000)]
+    df = spark.createDataFrame([(a, b, c, year, float(a / 1e6 + b / 10 + rnd.random() > 1.6), rnd.choice([1.0, 3.0])) for a, b, c, year in rows], "a double, b double, c double, year int, label double, weight double")
+    within = [F.lit(True), F.col("year") < 2012]
+    for model, some in zip(M.logits(df, ["a", "b", "c"], within), within, strict=True):
+        part = M.assemble(df.where(some), ["a", "b", "c"])
+        one = M.LogisticRegression(weightCol="weight", tol=1e-10).fit(part).transform(part).select("a", F.element_at(M.vector_to_array("probability"), 2).alias("p"))
+        want = {r["a"]: r["p"] for r in one.collect()}
+        got = {r["a"]: r["p"] for r in model.score(part, "p").collect()}
+        assert max(abs(want[a] - got[a]) for a in want) < 1e-6
+
+
+def test_no_fit_of_the_stack_takes_single_rows_into_a_tree_learner(spark, monkeypatch):
+    """Copies of the rows change no count of what trees learn from beyond the lots."""
+    rnd, seen = random.Random(5), []
+    rows = [(float(k % 5), k % 2, 2010 + k % 3, k) for k in range(3000)]
+    df = spark.createDataFrame([(a, int(y and rnd.random() > 0.3), year, k) for a, y, year, k in rows], "a double, y int, year int, id int")
+    fit = M.RandomForestClassifier._fit
+    monkeypatch.setattr(M.RandomForestClassifier, "_fit", lambda self, data: (seen.append(data.count()), fit(self, data))[1])
+    stack = M.train_stack(df, ["a"], "y", "year", [2011, 2012])
+    assert len(seen) == 3 and max(seen) <= 5 * 2 * M.LOTS
+    assert M.raw_scores(stack, df).where("raw > 0 and raw < 1").count() == 3000
