@@ -66,3 +66,19 @@ def test_incumbents_of_nulls_and_strangers(spark):
     bids = spark.createDataFrame([("a", "x", True, 2000), ("a", "x", True, 2002), ("b", "x", False, 1999), (None, "x", True, 1990), ("c", "x", True, None)], "bidder_name string, buyer_masterid string, bid_iswinning boolean, publish_year int")
     pairs = spark.createDataFrame([("a", "x", 2000), ("a", "x", 2001), ("a", None, 2001), (None, "x", 2001), ("b", "x", 2001), ("a", "x", None), ("c", "x", 2001)], "bidder_name string, buyer_masterid string, publish_year int")
     assert [r["pit_is_incumbent"] for r in H.incumbents(bids, pairs).orderBy(F.desc("pit_is_incumbent"), "publish_year").collect()] == [1, 0, 0, 0, 0, 0, 0]
+
+
+def test_pairs_move_twice_for_their_features(unbroadcast):
+    bids = unbroadcast.read.parquet(f"{SF}/lineitem.parquet").select(
+        F.col("l_orderkey").cast("string").alias("lot_id"), F.col("l_suppkey").cast("string").alias("bidder_masterid"), F.col("l_suppkey").cast("string").alias("bidder_name"), F.col("l_partkey").cast("string").alias("buyer_masterid"),
+        F.col("l_linestatus").alias("buyer_country"), F.year("l_shipdate").alias("publish_year"), (F.col("l_returnflag") == "R").alias("bid_iswinning"), F.col("l_extendedprice").alias("bid_price"), F.col("l_returnflag").alias("tender_cpvs"),
+    )
+    out = H.supplier_features(bids, P.build_pairs(bids).withColumnRenamed("pair_id", "pair").withColumn("pair_id", F.col("pair")))
+    assert moves(out, "pair_id") == 2
+
+
+def test_a_country_that_is_not_known_has_the_bidders_own_past(spark):
+    columns = "tender_id string, lot_id string, bidder_masterid string, bidder_name string, buyer_masterid string, buyer_country string, bid_iswinning boolean, bid_price double, tender_cpvs string, publish_year int"
+    bids = spark.createDataFrame([("t1", "l1", "1", "a", "x", "ZA", True, 10.0, "45", 2000), ("t2", "l2", "1", "a", "x", None, True, 5.0, "45", 2001)], columns)
+    row = H.supplier_features(bids, bids.withColumn("pair_id", F.col("lot_id"))).where("pair_id = 'l2'").first()
+    assert row["pit_total_wins"] == 1 and row["pit_win_rate_country"] == 0.0 and row["pit_buyer_win_count"] == 1 and row["pit_country_count"] == 1
