@@ -56,12 +56,30 @@ def positions(df: DataFrame, by: list[str], hashed: Column, at: str, buckets: in
 
     A group is dealt into ``buckets`` parts by the hash and each part is ordered by itself, so a hot group is no one's task.
     """
-    own = df.withColumn("_h", hashed).withColumn("_key", F.struct(*by, (F.shiftrightunsigned("_h", 32) % buckets).alias("_b")))
-    before = Window.partitionBy(*[F.col(f"_key.{c}") for c in by]).orderBy("_key._b").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(*by, _part("_h", buckets).alias("_b"))
+    rest = [c for c in df.columns if c not in by and c != "_h"]
+    own = df.withColumn("_h", hashed).select(key.alias("_key"), "_h", *rest)  # the group moves as part of the key alone
+    placed = _placed(own, at, [F.col(f"_key.{c}") for c in by], F.col("_key._b"))
+    return placed.select(*[F.col(f"_key.{c}").alias(c) if c in by else F.col(c) for c in df.columns], at)
+
+
+def numbered_positions(df: DataFrame, group: str, at: str, buckets: int = 1024) -> DataFrame:
+    """``positions`` by the hash ``_h`` in groups that are small whole numbers: group and part move and are sorted as one number."""
+    own = df.select((F.col(group) * buckets + _part("_h", buckets)).alias("_key"), *[c for c in df.columns if c != group])
+    placed = _placed(own, at, [F.expr(f"_key div {buckets}")], F.col("_key"))
+    return placed.select(*[F.expr(f"_key div {buckets}").alias(c) if c == group else F.col(c) for c in df.columns], at)
+
+
+def _part(hashed: str, buckets: int) -> Column:
+    return F.shiftrightunsigned(hashed, 32) % buckets
+
+
+def _placed(own: DataFrame, at: str, group: list[Column], part: Column) -> DataFrame:
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = own.groupBy("_key").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     ranked = own.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("_h")))
-    return ranked.join(offsets, "_key").select(*df.columns, (F.col("_o") + F.col("_r")).alias(at))
+    return ranked.join(offsets, "_key").withColumn(at, F.col("_o") + F.col("_r"))
 
 
 def running_over(df: DataFrame, by: list[str], order: list[str], measures: dict[str, tuple[str, str]], exclusive: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.common import materialize
-from bidlake.operators.ranks import positions, running_over
+from bidlake.operators.ranks import numbered_positions, positions, running_over
 
 # Limits by tier; prices in USD per million tokens; the VAT rate; required documents.
 TIERS = [("starter", 0, 0), ("pro", 5, 3), ("enterprise", 50, 25)]
@@ -197,19 +197,40 @@ def rolling_count(events: DataFrame, key: str, at: str, seconds: int) -> DataFra
     return joined.select(*events.columns, "recent")
 
 
+def _numbered(pairs: DataFrame, columns: list[str], number: str) -> DataFrame:
+    """The distinct values of the columns as struct ``_of``, numbered from 0, so that rows move with a small number for them; only these
+    values stream through one task."""
+    return materialize(pairs.select(F.struct(*columns).alias("_of")).distinct().repartition(1).select("_of", F.monotonically_increasing_id().alias(number)), "numbers")
+
+
+def _with_number(df: DataFrame, numbers: DataFrame, columns: list[str]) -> DataFrame:
+    return df.join(numbers, F.struct(*columns) == F.col("_of")).drop("_of")
+
+
+def _place() -> Column:
+    """Market and position as one number."""
+    return (F.shiftleft("_m", 36) + F.col("_at")).alias("_place")
+
+
+def _moved(numbered: DataFrame, key: str, seed: str, times: int) -> DataFrame:
+    """(_place, _b): for each of so many permutations, the place in its market that each row's bidder takes."""
+    source = numbered.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(times)))).select((F.col("_m") * times + F.col("_k") - 1).alias("_g"), F.xxhash64(F.lit(seed), "_k", key).alias("_h"), "_b")
+    return numbered_positions(source, "_g", "_at").withColumn("_m", F.expr(f"_g div {times}")).select(_place(), "_b")
+
+
 def market_permutation(pairs: DataFrame, market: list[str], key: str, bidder: list[str], seed: str = "market", times: int = 1) -> DataFrame:
     """Each row with the bidder of another place in its market: a seeded permutation of whole bidders.
 
     Two orders of the rows of a market, by hashes of different seeds, are joined by position; nothing is
-    collected, and a bidder's id and name move together. With ``times`` above 1 each row comes once for
+    collected, and a bidder's id and name move together, as one number. With ``times`` above 1 each row comes once for
     each of so many permutations. A market's positions are made in parts, so a hot market is no one's task.
     """
-    places = positions(pairs, market, F.xxhash64(F.lit(f"{seed}-place"), key), "_at")
-    source = pairs.select(*market, F.col(key).alias("_key"), *[F.col(b).alias(f"new_{b}") for b in bidder], F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_k"))
-    moved = positions(source, [*market, "_k"], F.xxhash64(F.lit(seed), "_k", "_key"), "_at").drop("_key", "_k")
-    place = F.struct(*market, "_at")
-    joined = places.withColumn("_place", place).join(moved.select(place.alias("_place"), *[f"new_{b}" for b in bidder]), "_place")
-    return joined.select(*pairs.columns, *[f"new_{b}" for b in bidder])
+    markets, bidders = _numbered(pairs, market, "_m"), _numbered(pairs, bidder, "_b")
+    own = _with_number(pairs, markets, market)
+    places = numbered_positions(own.withColumn("_h", F.xxhash64(F.lit(f"{seed}-place"), key)), "_m", "_at").select(*pairs.columns, _place())
+    moved = _moved(_with_number(own, bidders, bidder), key, seed, times)
+    names = bidders.select("_b", *[F.col(f"_of.{b}").alias(f"new_{b}") for b in bidder])
+    return places.join(moved, "_place").join(names, "_b").select(*pairs.columns, *[f"new_{b}" for b in bidder])
 
 
 def _permuted(pairs: DataFrame, market: list[str], times: int, seed: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bidlake.common import table
+from bidlake.common import forget_shuffles, materialize, table
 from bidlake.operators import prepare as P
 from bidlake.operators import reports as A
 from bidlake.plans.history_queries import PAIRS_SQL, pairs_of
@@ -225,7 +225,10 @@ def next_seq(spark, sf_dir):
 
 @query("w7_market_permutation")
 def market_permutation(spark, sf_dir):
-    return A.market_permutation(pairs_of(spark, sf_dir), ["buyer_country", "publish_year"], "pair_id", ["bidder_masterid", "bidder_name"]).select("pair_id", "bidder_masterid", "new_bidder_masterid", "new_bidder_name")
+    columns = ["pair_id", "bidder_masterid", "bidder_name", "buyer_country", "publish_year"]
+    pairs = materialize(pairs_of(spark, sf_dir, cpvs=False).select(*columns), "pairs")
+    forget_shuffles(spark)
+    return A.market_permutation(pairs, columns[3:], "pair_id", columns[1:3]).select("pair_id", "bidder_masterid", "new_bidder_masterid", "new_bidder_name")
 
 
 @query("w8_rolling_count", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events")

@@ -82,3 +82,13 @@ def test_a_country_that_is_not_known_has_the_bidders_own_past(spark):
     bids = spark.createDataFrame([("t1", "l1", "1", "a", "x", "ZA", True, 10.0, "45", 2000), ("t2", "l2", "1", "a", "x", None, True, 5.0, "45", 2001)], columns)
     row = H.supplier_features(bids, bids.withColumn("pair_id", F.col("lot_id"))).where("pair_id = 'l2'").first()
     assert row["pit_total_wins"] == 1 and row["pit_win_rate_country"] == 0.0 and row["pit_buyer_win_count"] == 1 and row["pit_country_count"] == 1
+
+
+def test_permuted_names_do_not_move(spark):
+    pairs = pairs_of(spark, SF, cpvs=False)
+    out = A.market_permutation(pairs, ["buyer_country", "publish_year"], "pair_id", ["bidder_masterid", "bidder_name"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert not moves(out.select("pair_id", "new_bidder_name"), "_of") and not moves(out.select("pair_id", "new_bidder_name"), "new_bidder_name")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
