@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.common import materialize
-from bidlake.operators.ranks import numbered_positions, positions, running_over
+from bidlake.common import forget_shuffles, materialize
+from bidlake.operators.ranks import numbered_positions, running_over
 
 # Limits by tier; prices in USD per million tokens; the VAT rate; required documents.
 TIERS = [("starter", 0, 0), ("pro", 5, 3), ("enterprise", 50, 25)]
@@ -233,50 +233,65 @@ def market_permutation(pairs: DataFrame, market: list[str], key: str, bidder: li
     return places.join(moved, "_place").join(names, "_b").select(*pairs.columns, *[f"new_{b}" for b in bidder])
 
 
-def _permuted(pairs: DataFrame, market: list[str], times: int, seed: str) -> DataFrame:
-    """``market_permutation`` of lots and bidders alone: lot_id, the lot's own bidder and pair (by hash), and the new bidder's id and name.
-
-    Hashes are made before the rows move, so no key, price or date is dealt out.
-    """
-    order = F.xxhash64(F.lit(seed), "_k", "pair_id")
-    own = pairs.select(*market, "lot_id", "bidder_masterid", F.xxhash64(F.lit(f"{seed}-place"), "pair_id").alias("_p"))
-    places = positions(own, market, F.col("_p"), "_at")
-    source = pairs.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(times)))).select(*market, "_k", order.alias("_q"), F.col("bidder_masterid").alias("new_bidder_masterid"), F.col("bidder_name").alias("new_bidder_name"))
-    moved = positions(source, [*market, "_k"], F.col("_q"), "_at")
-    place = F.struct(*market, "_at").alias("_place")
-    return places.select("lot_id", "bidder_masterid", "_p", place).join(moved.select(place, "new_bidder_masterid", "new_bidder_name"), "_place").drop("_place")
+def _with_shared(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``_shared``: whether the lot has another pair. Pairs without lot count as such."""
+    own = Window.partitionBy("lot_id", F.when(F.col("lot_id").isNull(), F.col("pair_id")))
+    return pairs.withColumn("_shared", F.col("lot_id").isNull() | (F.count("*").over(own) > 1))
 
 
 def negative_keys(pairs: DataFrame, market: list[str], target: float = 0.15, trigger: float = 0.30, most: int = 10) -> DataFrame | None:
     """(lot_id, bidder_masterid, bidder_name, source): losing pairs from seeded permutations inside each market, none of them a real
     (lot, bidder), each once; ``source`` is the bidder whose place in the lot the pair takes. None where none are due.
 
-    Only the two counts that set the number of permutations reach the driver. Real and made pairs meet in one grouping,
-    dealt by lot, so that a lot's rows lie together in the shuffle. Of permutations that give the same pair, the least place stays.
+    Only the two counts that set the number of permutations, and whether an id has several names, reach the driver. Markets and bidders
+    move as numbers. A lot of one pair has one place, and no real pair but its own: what is made there stands together when
+    it is made. Made and real pairs of the other lots meet in one grouping, dealt by lot. Of permutations that give the same pair, the least place stays.
     """
     counts = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum("did_win"), F.lit(0)).alias("w")).first()
     n, wins = counts["n"], counts["w"]
     if not n or wins / n <= trigger:
         return None
     times = max(1, min(most, int(wins / target - n) // n))
-    moved = _permuted(pairs, market, times, "negative").where(F.col("new_bidder_masterid") != F.col("bidder_masterid"))
+    pairs = pairs if "_shared" in pairs.columns else _with_shared(pairs)
+    bidder = ["bidder_masterid", "bidder_name"]
+    markets, bidders = _numbered(pairs, market, "_m"), _numbered(pairs, bidder, "_b")
+    several_names = F.lit(not bidders.groupBy("_of.bidder_masterid").agg(F.count("*").alias("n")).where("n > 1").isEmpty())
+    own = _with_number(pairs, markets, market).withColumn("_shared", F.col("_shared") | several_names)
+    placed = numbered_positions(own.select("_m", F.xxhash64(F.lit("negative-place"), "pair_id").alias("_h"), "lot_id", "_shared", F.col("bidder_masterid").alias("source")), "_m", "_at")
+    places = materialize(placed.select(_place(), "_h", "lot_id", "_shared", "source"), "places")
+    del placed
+    forget_shuffles(pairs.sparkSession)
+    moved = materialize(_moved(_with_number(own, bidders, bidder), "pair_id", "negative", times), "moved")
+    forget_shuffles(pairs.sparkSession)
+    moved = moved.repartition("_place")
+    names = bidders.select("_b", "_of.bidder_masterid", "_of.bidder_name")
+    met = lambda shared: places.where(F.col("_shared") == shared).join(moved if shared else moved.distinct(), "_place").join(names, "_b").where(F.col("bidder_masterid") != F.col("source"))
+    columns = ["lot_id", "bidder_masterid", "bidder_name", "source"]
     kind = "struct<place: bigint, source: string, bidder_name: string>"
-    made = moved.select("lot_id", F.col("new_bidder_masterid").alias("bidder_masterid"), F.struct(F.col("_p").alias("place"), F.col("bidder_masterid").alias("source"), F.col("new_bidder_name").alias("bidder_name")).cast(kind).alias("_row"))
-    real = pairs.select("lot_id", "bidder_masterid", F.lit(None).cast(kind).alias("_row"))
+    made = met(True).select("lot_id", "bidder_masterid", F.struct(F.col("_h").alias("place"), "source", "bidder_name").cast(kind).alias("_row"))
+    real = own.where("_shared").select("lot_id", "bidder_masterid", F.lit(None).cast(kind).alias("_row"))
     # A pair with an id missing equals no real one.
     known = F.col("lot_id").isNotNull() & F.col("bidder_masterid").isNotNull()
     both = made.unionByName(real).repartition("lot_id").groupBy("lot_id", "bidder_masterid").agg(F.min("_row").alias("_row"), F.bool_or(F.col("_row").isNull() & known).alias("_real"))
-    return both.where(~F.col("_real") & F.col("_row").isNotNull()).select("lot_id", "bidder_masterid", "_row.bidder_name", "_row.source")
+    of_shared = both.where(~F.col("_real") & F.col("_row").isNotNull()).select("lot_id", "bidder_masterid", "_row.bidder_name", "_row.source")
+    return met(False).select(*columns).unionByName(of_shared)
 
 
 def _as_negatives(keyed: DataFrame) -> DataFrame:
     return keyed.withColumns({"pair_id": F.concat_ws("_", "lot_id", "bidder_masterid"), "did_win": F.lit(0), "pair_type": F.lit("synthetic_negative")})
 
 
+def shared_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs written with what ``negative_keys`` asks of their lots, so that what they were made by need not stay on disk."""
+    out = materialize(_with_shared(pairs), "pairs")
+    forget_shuffles(pairs.sparkSession)
+    return out
+
+
 def narrow_negatives(pairs: DataFrame, market: list[str]) -> DataFrame:
     """``synthetic_negatives`` with the columns of a key, its bidder's name and its kind alone: what it takes from a pair's other columns is not needed."""
     columns = ["pair_id", "lot_id", "bidder_masterid", "bidder_name", "did_win", "pair_type"]
-    pairs = materialize(pairs.select(*columns, *market), "pairs")
+    pairs = pairs if "_shared" in pairs.columns else shared_pairs(pairs.select(*columns, *market))
     keys = negative_keys(pairs, market)
     return pairs.select(*columns).limit(0) if keys is None else _as_negatives(keys).select(*columns)
 
@@ -286,16 +301,16 @@ def synthetic_negatives(pairs: DataFrame, market: list[str], target: float = 0.1
 
     The pairs are written once, as they are read for the counts, for both orders, to leave real pairs out and for the other columns.
     """
-    pairs = materialize(pairs, "pairs")
+    asked, pairs = pairs.columns, shared_pairs(pairs)
     keys = negative_keys(pairs, market, target, trigger, most)
     if keys is None:
-        return pairs.limit(0)
-    rest = [c for c in pairs.columns if c not in ("pair_id", "lot_id", "bidder_masterid", "bidder_name", "did_win", "pair_type")]
+        return pairs.select(*asked).limit(0)
+    rest = [c for c in asked if c not in ("pair_id", "lot_id", "bidder_masterid", "bidder_name", "did_win", "pair_type")]
     # One row a lot and bidder, the least, should the pairs repeat one.
     least = F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_rest")
     sources = pairs.groupBy(F.col("lot_id").alias("_lot"), F.col("bidder_masterid").alias("source")).agg(least)
     full = keys.join(sources, F.col("lot_id").eqNullSafe(F.col("_lot")) & keys["source"].eqNullSafe(sources["source"]), "left").select("lot_id", "bidder_masterid", "bidder_name", "_rest.*")
-    return _as_negatives(full).select(*pairs.columns)
+    return _as_negatives(full).select(*asked)
 
 
 def quota_cut(files: DataFrame, quotas: DataFrame, by: str, order: list[str]) -> DataFrame:

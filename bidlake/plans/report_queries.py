@@ -244,7 +244,7 @@ def section_carry(spark, sf_dir):
 
 @query("m1_synthetic_negatives")
 def synthetic_negatives(spark, sf_dir):
-    return A.narrow_negatives(pairs_of(spark, sf_dir), ["buyer_country", "publish_year"])
+    return A.narrow_negatives(pairs_of(spark, sf_dir, cpvs=False), ["buyer_country", "publish_year"])
 
 
 # --- joins and sets ------------------------------------------------------------------------------------------------------
@@ -342,8 +342,9 @@ def union_by_name(spark, sf_dir):
 
 @query("u3_concat_negatives")
 def concat_negatives(spark, sf_dir):
-    pairs = pairs_of(spark, sf_dir)
-    made = A.narrow_negatives(pairs, ["buyer_country", "publish_year"])
+    market = ["buyer_country", "publish_year"]
+    pairs = A.shared_pairs(pairs_of(spark, sf_dir, cpvs=False).select("pair_id", "lot_id", "bidder_masterid", "bidder_name", "did_win", "pair_type", *market))
+    made = A.narrow_negatives(pairs, market)
     return pairs.select(*made.columns).unionByName(made).groupBy("pair_type").agg(F.count("*").alias("n"))
 
 

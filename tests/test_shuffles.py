@@ -92,3 +92,49 @@ def test_permuted_names_do_not_move(spark):
         assert not moves(out.select("pair_id", "new_bidder_name"), "_of") and not moves(out.select("pair_id", "new_bidder_name"), "new_bidder_name")
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_made_pairs_of_lots_with_one_pair_do_not_move_again(spark):
+    """Only shared lots are grouped once more by lot."""
+    rows = [(f"{lot}_{b}", lot, b, f"n{b}", int(k % 5 > 0), "winner", "ZA", 2000) for k, (lot, b) in enumerate((f"l{i}", str(i % 40)) for i in range(400))]
+    pairs = spark.createDataFrame(rows, PAIRS)
+    plan = A.narrow_negatives(pairs, ["buyer_country", "publish_year"])
+    spark.sparkContext._jvm.System.gc()
+    assert plan.count() > 0
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [lot_id" in text.split("Union")[1] and "Aggregate [lot_id" not in text.split("\n:  ")[0]
+
+
+PAIRS = "pair_id string, lot_id string, bidder_masterid string, bidder_name string, did_win int, pair_type string, buyer_country string, publish_year int"
+
+
+def test_negatives_are_those_of_the_written_out_permutations(spark):
+    """Lots of one and several pairs, in several markets, without lot, ids without name and with several, null markets: against ranks in Python."""
+    rng = random.Random(3)
+    rows, seen = [], set()
+    for k in range(900):
+        lot = None if rng.random() < 0.03 else f"l{rng.randrange(400)}"
+        b = None if rng.random() < 0.02 else str(rng.randrange(30))
+        if (lot, b) not in seen:
+            seen.add((lot, b))
+            rows.append((f"{lot}_{b}", lot, b, None if b == "3" else f"n{b}-{rng.randrange(2)}" if b == "4" else f"n{b}", int(rng.random() < 0.8), "winner", rng.choice(["ZA", "GB", None]), rng.choice([2000, 2001])))
+    for several in (True, False):
+        pairs = spark.createDataFrame([r for r in rows if several or r[2] != "4"], PAIRS)
+        times = max(1, min(10, int(sum(r["did_win"] for r in pairs.collect()) / 0.15 - pairs.count()) // pairs.count()))
+        hashed = pairs.withColumns({"p": F.xxhash64(F.lit("negative-place"), "pair_id"), "q": F.array(*[F.xxhash64(F.lit("negative"), F.lit(k + 1), "pair_id") for k in range(times)])}).collect()
+        markets = {}
+        for r in hashed:
+            markets.setdefault((r["buyer_country"], r["publish_year"]), []).append(r)
+        real = {(r["lot_id"], r["bidder_masterid"]) for r in hashed if r["lot_id"] is not None and r["bidder_masterid"] is not None}
+        order = lambda h: ((h >> 32) % 1024 if h >= 0 else ((h + (1 << 64)) >> 32) % 1024, h)
+        made = {}
+        for own in markets.values():
+            places = sorted(own, key=lambda r: order(r["p"]))
+            for k in range(times):
+                for place, new in zip(places, sorted(own, key=lambda r: order(r["q"][k])), strict=True):
+                    a, b = place["bidder_masterid"], new["bidder_masterid"]
+                    if a is not None and b is not None and a != b and (place["lot_id"], b) not in real:
+                        made.setdefault((place["lot_id"], b), []).append((place["p"], a, new["bidder_name"] or "", new["bidder_name"]))
+        want = {(*key, min(found)[1], min(found)[3]) for key, found in made.items()}
+        got = [(r["lot_id"], r["bidder_masterid"], r["source"], r["bidder_name"]) for r in A.negative_keys(pairs, ["buyer_country", "publish_year"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and times > 1
