@@ -5,7 +5,9 @@ Patterns stay in the common subset of Java and RE2. A null text gives null or em
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +84,15 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def _holds(text: Column, words: str) -> Column:
+    """``text.rlike(words)`` for words divided by ``|``: plain ones are searched for as they stand, which is many times faster."""
+    plain, patterns = [], []
+    for word in words.split("|"):
+        (patterns if re.search(r"[][\\.^$*+?(){}]", word) else plain).append(word)
+    found = [text.contains(F.lit(w)) for w in plain] + ([text.rlike("|".join(patterns))] if patterns else [])
+    return reduce(lambda a, b: a | b, found)
+
+
 def to_amount(text: Column) -> Column:
     return F.regexp_replace(text, "[ ,]", "").try_cast("double")
 
@@ -100,7 +111,9 @@ def extract_money(text: Column, small: bool = False) -> Column:
 
 def parse_day(text: Column) -> Column:
     plain = F.regexp_replace(F.trim(text), r"\s+", " ")
-    return F.coalesce(*[F.try_to_date(plain, f) for f in ("d MMMM yyyy", "d MMM yyyy", "yyyy-MM-dd", "d/M/yyyy")])
+    day = lambda form: F.try_to_date(plain, form)
+    # A form that does not fit costs an exception, so marks tell which may fit.
+    return F.when(plain.contains("-"), day("yyyy-MM-dd")).when(plain.contains("/"), day("d/M/yyyy")).otherwise(F.coalesce(day("d MMMM yyyy"), day("d MMM yyyy")))
 
 
 def extract_dates(text: Column, as_of: Column) -> Column:
@@ -119,12 +132,13 @@ def extract_terms(text: Column, value: Column | None = None) -> Column:
     stated = _first(known, SYSTEM_STATED)
     system = F.coalesce(stated, evaluation_system(F.lit(None).cast("double") if value is None else value))
     goals = F.when(F.regexp_extract(known, GOALS, 0).rlike(SHARED_GOALS), 0.5).otherwise(1.0)
-    of = lambda kinds: F.coalesce(*[F.when(known.rlike(p), F.lit(n)) for n, p in kinds.items()])
+    low = F.lower(known)
+    of = lambda kinds: F.coalesce(*[F.when(_holds(low, re.search(r"\(\?:(.*)\)", p)[1]) & known.rlike(p), F.lit(n)) for n, p in kinds.items()])
     functionality = _first(known, THRESHOLD).try_cast("int")
     return F.struct(system.alias("system"), stated.isNull().alias("low_confidence"), goals.alias("goals_ratio"), functionality.alias("functionality"), of(PROCEDURES).alias("procedure"), of(SUPPLIES).alias("supply"))
 
 
-def completeness(money: Column, dates: Column, terms: Column) -> Column:
+def completeness(money: Column | dict, dates: Column | dict, terms: Column | dict) -> Column:
     """struct(share, missing, incomplete) of the seven parts of a tender. System and threshold always count as read: their absence is an answer."""
     parts = {
         "evaluation_system": F.lit(True), "tender_value": money["value"].isNotNull(), "bid_price": money["bid"].isNotNull(), "deadline_days": dates["deadline_days"].isNotNull(),
@@ -171,10 +185,10 @@ def extract_company(text: Column) -> Column:
 def document_type(text: Column) -> Column:
     """struct(type, confidence, label, hits): first rule that hits; 0.95 alone, 0.75 among several, 0.2 for none, 0 for no text."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p, _ in DOCUMENT_RULES]))
+    rules = [F.when(_holds(low, p), F.lit(n)) for n, p, _ in DOCUMENT_RULES]
+    hits, first = F.array_compact(F.array(*rules)), F.coalesce(*rules)
     empty = F.length(low) == 0
     confidence = F.when(empty, 0.0).when(F.size(hits) == 1, 0.95).when(F.size(hits) > 1, 0.75).otherwise(0.2)
-    first = F.get(hits, F.lit(0))
     label = F.when(empty, UNKNOWN_TYPE[2])
     for name, _, title in DOCUMENT_RULES:
         label = label.when(first == name, title)
@@ -184,7 +198,7 @@ def document_type(text: Column) -> Column:
 def region(text: Column, currency: Column, override: Column | None = None) -> Column:
     """struct(region, engine, framework, recommendations): an override, else signals of the UK, then of ZA; ZA without any."""
     upper, money = F.upper(F.coalesce(text, F.lit(""))), F.upper(F.coalesce(currency, F.lit("")))
-    signals = F.when(F.contains(money, F.lit(UK_CURRENCY)) | upper.rlike(UK_TEXT), "UK").when(F.contains(money, F.lit(ZA_CURRENCY)) | upper.rlike(ZA_TEXT), "ZA").otherwise("ZA")
+    signals = F.when(F.contains(money, F.lit(UK_CURRENCY)) | _holds(upper, UK_TEXT), "UK").when(F.contains(money, F.lit(ZA_CURRENCY)) | _holds(upper, ZA_TEXT), "ZA").otherwise("ZA")
     found = signals if override is None else F.when(override.isin(*REGIONS), override).otherwise(signals)
     advice = lambda name, k: F.array(*map(F.lit, REGIONS[name][k])) if k == 2 else F.lit(REGIONS[name][k])
     parts = [F.when(found == "UK", advice("UK", k)).otherwise(advice("ZA", k)).alias(c) for k, c in enumerate(("engine", "framework", "recommendations"))]
